@@ -194,9 +194,9 @@ def chunk_filter(chunks: DataFrame, *predicates: Column) -> DataFrame:
     return chunks
 
 
-def no_suspend_chunks(chunks: DataFrame, members: DataFrame) -> DataFrame:
+def no_suspend_chunks(chunks: DataFrame, members: DataFrame, word: str = fmt.SUSPEND_DONE_WORD) -> DataFrame:
     """Drop chunks with a line that reports a completed suspend; ``members`` are their lines."""
-    suspended = members.where(F.col("line").contains(fmt.SUSPEND_DONE_WORD)).select(*CHUNK).distinct()
+    suspended = members.where(F.col("line").contains(word)).select(*CHUNK).distinct()
     return chunks.join(suspended, CHUNK, "left_anti")
 
 

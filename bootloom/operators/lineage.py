@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """``df`` written once to a table in the shared folder and read from there.
+
+    As :func:`settle`, for wide tables: later reads take only the columns they need.
+    """
+    path = f"{shared_dir(df.sparkSession)}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

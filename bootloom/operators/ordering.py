@@ -29,7 +29,7 @@ def with_order(df: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame
     return df.withColumns(
         {
             "line_id": F.xxhash64("line", *position),
-            "segment": F.array(F.floor(F.col("logcat_token") / F.lit(segment_tokens)).cast("bigint")),
+            "segment": F.array(F.expr(f"logcat_token div {int(segment_tokens)}")),
         }
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
 from bootloom.functions.text import int_or_error, rewrite
-from bootloom.operators.events import cpu_events, power_events, proc_foreground_events
+from bootloom.operators.events import power_events
 from bootloom.operators.ordering import BOOT, ORDER, carry
 from bootloom.operators.predicates import is_power_event
 
@@ -99,8 +99,15 @@ def _foreground_pid() -> Column:
 def _fgbg(lines: DataFrame, delay_seconds: float) -> DataFrame:
     """Lines with ``_pid`` (of foreground events), ``_event`` (latest event) and ``_mark`` (state it implies)."""
     seen = lines.withColumn("_pid", _foreground_pid())
-    event = F.when(F.col("_pid").isNotNull(), F.struct((F.col("_pid") != 0).alias("front"), *ORDER))
-    latest = carry(seen, at={"_event": event})
+    return _marked(seen.withColumn("_new", _event()), delay_seconds).drop("_new")
+
+
+def _event() -> Column:
+    return F.when(F.col("_pid").isNotNull(), F.struct((F.col("_pid") != 0).alias("front"), *ORDER))
+
+
+def _marked(seen: DataFrame, delay_seconds: float) -> DataFrame:
+    latest = carry(seen, at={"_event": F.col("_new")})
     waited = F.col("trace_us") - F.col("_event.trace_us")
     return latest.withColumn(
         "_mark",
@@ -126,17 +133,61 @@ def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
 
 def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal)."""
-    to_back = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    tracked = carry(_fgbg(lines, delay_seconds), before={"old_state": F.col("_mark"), "_left": to_back})
+    return _transitions(_tracked(_fgbg(lines, delay_seconds)), lines.columns)
+
+
+def _tracked(marked: DataFrame) -> DataFrame:
+    """Add ``old_state`` and ``_left``, the latest event whose delay had run out before the line."""
+    ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
+    return carry(marked, before={"old_state": F.col("_mark"), "_left": ran_out})
+
+
+def _transitions(tracked: DataFrame, columns: list[str]) -> DataFrame:
     first_back = (F.col("_mark") == "BACKGROUND") & ~F.col("_event").eqNullSafe(F.col("_left"))
     to_front = F.col("_pid") != 0
-    return (
-        tracked.where(first_back | to_front)
-        .withColumns({"old_state": F.coalesce("old_state", F.lit(UNKNOWN)), "new_state": F.col("_mark")})
-        .drop("_pid", "_event", "_mark", "_left")
+    return tracked.where(first_back | to_front).select(
+        *columns, F.coalesce("old_state", F.lit(UNKNOWN)).alias("old_state"), F.col("_mark").alias("new_state")
     )
 
 
+FGBG_STATE = """device_id string, boot_id string, event struct<front: boolean, logcat_token: bigint,
+    trace_us: bigint, line_id: bigint>, left struct<front: boolean, logcat_token: bigint, trace_us: bigint,
+    line_id: bigint>, state string"""
+
+
+def fgbg_continued(
+    lines: DataFrame, known: DataFrame, delay_seconds: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`fgbg_transitions` of lines that follow earlier ones, and the state after them.
+
+    ``known`` has the columns of :data:`FGBG_STATE`, one row per boot.  It goes
+    in as a row before the first line of each boot.
+    """
+    seen = lines.withColumn("_pid", _foreground_pid()).withColumn("_new", _event())
+    first = {"segment": F.expr("cast(array() as array<bigint>)"), **{c: F.lit(-(1 << 63)).cast("bigint") for c in ORDER}}
+    entry = known.select(
+        *BOOT,
+        *[value.alias(name) for name, value in first.items()],
+        F.col("event").alias("_new"),
+        F.col("left").alias("_left0"),
+        F.col("state").alias("_state0"),
+    )
+    both = seen.unionByName(entry, allowMissingColumns=True)
+    is_entry = F.size("segment") == 0
+    marked = _marked(both, delay_seconds).withColumn(
+        "_mark", F.when(is_entry, F.col("_state0")).otherwise(F.col("_mark"))
+    )
+    ran_out = F.when(is_entry, F.col("_left0")).when(F.col("_mark") == "BACKGROUND", F.col("_event"))
+    tracked = carry(marked.withColumn("_out", ran_out), before={"old_state": F.col("_mark"), "_left": F.col("_out")})
+    place = F.struct("segment", *ORDER)
+    after = marked.withColumn("_out", ran_out).groupBy(*BOOT).agg(
+        F.max_by("_event", F.when(F.col("_event").isNotNull(), place)).alias("event"),
+        F.max_by("_out", F.when(F.col("_out").isNotNull(), place)).alias("left"),
+        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), place)).alias("state"),
+    )
+    return _transitions(tracked.where(~is_entry), lines.columns), after
+
+
 def active_pid(lines: DataFrame) -> DataFrame:
     """Add ``active_pid``, the pid of the latest foreground event, 0 before the first; no delay."""
     tracked = carry(lines.withColumn("_pid", _foreground_pid()), at={"active_pid": F.col("_pid")}).drop("_pid")
@@ -169,17 +220,8 @@ def cpu_state(events: DataFrame, before: bool = False) -> DataFrame:
     )
 
 
-def cpu_state_of(lines: DataFrame, before: bool = False) -> DataFrame:
-    """:func:`cpu_state` over parsed lines."""
-    return cpu_state(cpu_events(lines), before)
-
-
 def day_boundaries(lines: DataFrame) -> DataFrame:
     """Lines whose day of the year differs from that of the line before, with ``old_day`` and ``new_day``."""
     days = lines.withColumn("new_day", F.dayofyear("datetime"))
     return carry(days, before={"old_day": F.col("new_day")}).where(F.col("old_day") != F.col("new_day"))
 
-
-def foreground_events(lines: DataFrame) -> DataFrame:
-    """Foreground events, as the trackers read them."""
-    return proc_foreground_events(lines)
