@@ -1,4 +1,4 @@
-"""Cutting lineage on storage that outlives an executor."""
+"""Intermediate tables on storage that outlives an executor."""
 
 from __future__ import annotations
 
@@ -8,33 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where the session names none, as in tests."""
     named = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = tempfile.mkdtemp(prefix="bootloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = tempfile.mkdtemp(prefix="bootloom-")
+        named = _local[application]
     return named
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder.
+    """``df`` written once to a table in the shared folder, and read from there.
 
-    For narrow intermediate tables that several branches of a plan read, so that
-    the text behind them is parsed once.
+    Ordered scans read their input twice, and stacked ones more often.  Settling
+    the narrow table of events between them means that the text is parsed once
+    and that a lost executor costs no more than one stage.  The folder is the
+    cluster's to clear.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def landed(df: DataFrame) -> DataFrame:
-    """``df`` written once to a table in the shared folder and read from there.
-
-    As :func:`settle`, for wide tables: later reads take only the columns they need.
-    """
-    path = f"{shared_dir(df.sparkSession)}/landed-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,41 +7,64 @@ from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
 from bootloom.operators.events import ctx_switch_info_events, ctx_switch_marker_events
+from bootloom.operators.lineage import settle
 from bootloom.operators.ordering import BOOT, ORDER, carry
 
+_PLACE = [*BOOT, "segment", *ORDER]
+_PER_CPU = [*BOOT, "cpu"]
 SESSION = [*BOOT, "cpu", "start_token", "end_token"]
 INFO = ["task_pid", "task_tgid", "nice", "comm", "utime", "stime", "rtime", "bg_utime", "bg_stime", "bg_rtime",
         "s_run", "s_int", "s_unint", "s_oth", "log_idx", "rx", "tx"]
 
 
-def ctx_switch_sessions(lines: DataFrame) -> DataFrame:
-    """Markers and counters of closed sessions, each with ``start_token`` and ``end_token``.
+def session_bounds(lines: DataFrame) -> DataFrame:
+    """One row per closed session: the places of its two markers, ``start`` and ``end``.
 
-    A BEGIN inside an open session is ignored, as are counters and ENDs outside
-    one; a session without END is left out.  The two marker rows of a session
-    are kept (``marker`` is BEGIN or END), so empty sessions are there too.
+    A BEGIN inside an open session is ignored, as is an END outside one; a
+    session without END is left out.
     """
-    place = [*BOOT, "segment", *ORDER, "cpu"]
-    markers = ctx_switch_marker_events(lines).select(*place, "marker")
-    infos = ctx_switch_info_events(lines).select(*place, *INFO)
-    rows = markers.unionByName(infos, allowMissingColumns=True)
-    per_cpu = [*BOOT, "cpu"]
-
-    after = carry(rows, before={"_last": F.col("marker")}, keys=per_cpu)
+    markers = settle(ctx_switch_marker_events(lines).select(*_PLACE, "cpu", "marker"))
+    after = carry(markers, before={"_last": F.col("marker")}, keys=_PER_CPU)
     begins = (F.col("marker") == "BEGIN") & ~F.col("_last").eqNullSafe("BEGIN")
     ends = (F.col("marker") == "END") & F.col("_last").eqNullSafe("BEGIN")
-    kept = after.where(F.col("marker").isNull() | begins | ends)
-    token = F.when(F.col("marker") == "BEGIN", F.col("logcat_token"))
-    opened = carry(
-        kept,
-        at={"_open": F.when(F.col("marker").isNotNull(), F.struct(token.alias("token")))},
-        before={"_prior": F.when(F.col("marker").isNotNull(), F.struct(token.alias("token")))},
-        keys=per_cpu,
+    # What is left alternates between BEGIN and END.
+    effective = after.where(begins | ends).drop("_last")
+    paired = carry(effective, before={"start": F.struct("segment", *ORDER)}, keys=_PER_CPU)
+    return paired.where("marker = 'END'").select(*BOOT, "cpu", "start", F.struct("segment", *ORDER).alias("end"))
+
+
+def ctx_switch_sessions(lines: DataFrame) -> DataFrame:
+    """Markers and counters of closed sessions, each with ``start_token`` and ``end_token``.
+
+    Counters outside a session are left out.  The two marker rows of a session
+    are there too (``marker`` is BEGIN or END), so empty sessions can be seen.
+    """
+    bounds = settle(session_bounds(lines))
+    infos = ctx_switch_info_events(lines).select(*_PLACE, "cpu", *INFO)
+    session = F.struct(F.col("start.logcat_token").alias("start"), F.col("end.logcat_token").alias("end"))
+
+    def marks(which: str) -> DataFrame:
+        place = [F.col(f"{which}.{c}").alias(c) for c in ("segment", *ORDER)]
+        name = "BEGIN" if which == "start" else "END"
+        return bounds.select(*BOOT, *place, "cpu", F.lit(name).alias("marker"), session.alias("_session"))
+
+    rows = marks("start").unionByName(marks("end")).unionByName(infos, allowMissingColumns=True)
+    # A session's own END still belongs to it; what follows up to the next BEGIN does not.
+    placed = carry(
+        rows,
+        at={"_here": F.when(F.col("marker") == "BEGIN", F.col("_session"))},
+        before={"_ended": F.when(F.col("marker") == "END", F.col("_session"))},
+        keys=_PER_CPU,
+    )
+    inside = F.col("_here").isNotNull() & ~F.col("_here").eqNullSafe(F.col("_ended"))
+    return placed.where(inside).select(
+        *_PLACE,
+        "cpu",
+        "marker",
+        *INFO,
+        F.col("_here.start").alias("start_token"),
+        F.col("_here.end").alias("end_token"),
     )
-    start = F.when(F.col("marker") == "END", F.col("_prior.token")).otherwise(F.col("_open.token"))
-    inside = opened.withColumn("start_token", start).where("start_token is not null").drop("_open", "_prior", "_last")
-    end = F.when(F.col("marker") == "END", F.col("logcat_token"))
-    return carry(inside, at={"end_token": end}, keys=per_cpu, backward=True).where("end_token is not null")
 
 
 def session_metrics(sessions: DataFrame) -> DataFrame:

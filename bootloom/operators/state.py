@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
-from bootloom.functions.text import int_or_error, rewrite
-from bootloom.operators.events import power_events
+from bootloom.functions.text import SEPARATOR, int_or_error, rewrite
+from bootloom.operators.events import power_events, proc_foreground_events
+from bootloom.operators.lineage import settle
 from bootloom.operators.ordering import BOOT, ORDER, carry
 from bootloom.operators.predicates import is_power_event
 
 UNKNOWN = "UNKNOWN"
+_PLACE = [*BOOT, "segment", *ORDER]
+_STEPS = [*ORDER, "_after"]
 
 
 def _found(word: str, text: Column, pattern: str, n: int) -> Column:
@@ -85,8 +88,7 @@ def suspend_intervals(lines: DataFrame) -> DataFrame:
 
 def _foreground_pid() -> Column:
     """Foreground pid of lines that report one, by header and text in one pass; NULL elsewhere."""
-    header = rewrite(F.col("payload"), fmt.TRACE_HEADER, [5, 6])
-    parts = F.split(header, "\x1f", 3)
+    parts = F.split(rewrite(F.col("payload"), fmt.TRACE_HEADER, [5, 6]), SEPARATOR, 3)
     text = F.get(parts, F.lit(2))
     pid = int_or_error(F.regexp_extract(text, f"(?d:{fmt.FOREGROUND_TEXT})", 1))
     tgid = int_or_error(F.regexp_extract(text, f"(?d:{fmt.FOREGROUND_TEXT})", 2))
@@ -96,56 +98,65 @@ def _foreground_pid() -> Column:
     )
 
 
-def _fgbg(lines: DataFrame, delay_seconds: float) -> DataFrame:
-    """Lines with ``_pid`` (of foreground events), ``_event`` (latest event) and ``_mark`` (state it implies)."""
-    seen = lines.withColumn("_pid", _foreground_pid())
-    return _marked(seen.withColumn("_new", _event()), delay_seconds).drop("_new")
+def _with_events(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Lines, and before its own line a row for each foreground event, with ``_new`` set (``_after`` 0).
 
-
-def _event() -> Column:
-    return F.when(F.col("_pid").isNotNull(), F.struct((F.col("_pid") != 0).alias("front"), *ORDER))
+    The text is read for the events only: the scans over all lines then need no
+    more of a line than its place.  ``known`` adds a row before the first line
+    of each boot, see :func:`fgbg_continued`.
+    """
+    front = (F.col("fg_pid") != 0).alias("front")
+    events = settle(proc_foreground_events(lines).select(*_PLACE, F.struct(front, *ORDER).alias("_new")))
+    rows = lines.withColumn("_after", F.lit(1)).unionByName(
+        events.withColumn("_after", F.lit(0)), allowMissingColumns=True
+    )
+    return rows if known is None else rows.unionByName(known, allowMissingColumns=True)
 
 
-def _marked(seen: DataFrame, delay_seconds: float) -> DataFrame:
-    latest = carry(seen, at={"_event": F.col("_new")})
+def _marked(rows: DataFrame, delay_seconds: float) -> DataFrame:
+    """Add ``_event``, the latest foreground event, and ``_mark``, the state it implies by now."""
+    latest = carry(rows, at={"_event": F.col("_new")}, order=_STEPS)
     waited = F.col("trace_us") - F.col("_event.trace_us")
-    return latest.withColumn(
-        "_mark",
-        F.when(F.col("_event.front"), "FOREGROUND").when(waited > int(delay_seconds * 1_000_000), "BACKGROUND"),
-    )
+    mark = F.when(F.col("_event.front"), "FOREGROUND").when(waited > int(delay_seconds * 1_000_000), "BACKGROUND")
+    return latest.withColumn("_mark", mark)
 
 
 def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
-    """Add ``fgbg_state`` (UNKNOWN, FOREGROUND, BACKGROUND) and ``is_fgbg_event``.
+    """Add ``fgbg_state`` (UNKNOWN, FOREGROUND, BACKGROUND).
 
     A foreground process sets FOREGROUND at once.  Its absence sets BACKGROUND
     with the first line more than ``delay_seconds`` later, of whatever kind, so
     all lines of the boot are needed.
     """
-    tracked = carry(_fgbg(lines, delay_seconds), at={"fgbg_state": F.col("_mark")})
-    return tracked.withColumns(
-        {
-            "fgbg_state": F.coalesce("fgbg_state", F.lit(UNKNOWN)),
-            "is_fgbg_event": F.col("line").contains(fmt.FOREGROUND + ":"),
-        }
-    ).drop("_pid", "_event", "_mark")
+    tracked = carry(_marked(_with_events(lines), delay_seconds), at={"fgbg_state": F.col("_mark")}, order=_STEPS)
+    return tracked.where("_after = 1").select(
+        *lines.columns, F.coalesce("fgbg_state", F.lit(UNKNOWN)).alias("fgbg_state")
+    )
 
 
-def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
-    """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal)."""
-    return _transitions(_tracked(_fgbg(lines, delay_seconds)), lines.columns)
+def fgbg_events(lines: DataFrame) -> Column:
+    """Whether a line carries the foreground tracker's own event."""
+    return F.col("line").contains(fmt.FOREGROUND + ":")
 
 
-def _tracked(marked: DataFrame) -> DataFrame:
-    """Add ``old_state`` and ``_left``, the latest event whose delay had run out before the line."""
+def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
+    """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal)."""
+    marked = _marked(_with_events(lines), delay_seconds)
     ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    return carry(marked, before={"old_state": F.col("_mark"), "_left": ran_out})
+    return _transitions(marked.withColumn("_out", ran_out), lines.columns)
 
 
-def _transitions(tracked: DataFrame, columns: list[str]) -> DataFrame:
+def _transitions(marked: DataFrame, columns: list[str]) -> DataFrame:
+    """``_out`` is the latest event, in rows where its delay has run out."""
+    line = F.col("_after") == 1
+    tracked = carry(
+        marked,
+        before={"old_state": F.when(line, F.col("_mark")), "_left": F.col("_out")},
+        order=_STEPS,
+    )
     first_back = (F.col("_mark") == "BACKGROUND") & ~F.col("_event").eqNullSafe(F.col("_left"))
-    to_front = F.col("_pid") != 0
-    return tracked.where(first_back | to_front).select(
+    to_front = F.col("_event.front") & (F.struct(*ORDER) == F.struct(*[F.col(f"_event.{c}") for c in ORDER]))
+    return tracked.where(line & (first_back | to_front)).select(
         *columns, F.coalesce("old_state", F.lit(UNKNOWN)).alias("old_state"), F.col("_mark").alias("new_state")
     )
 
@@ -163,29 +174,29 @@ def fgbg_continued(
     ``known`` has the columns of :data:`FGBG_STATE`, one row per boot.  It goes
     in as a row before the first line of each boot.
     """
-    seen = lines.withColumn("_pid", _foreground_pid()).withColumn("_new", _event())
-    first = {"segment": F.expr("cast(array() as array<bigint>)"), **{c: F.lit(-(1 << 63)).cast("bigint") for c in ORDER}}
+    lowest = F.lit(-(1 << 63)).cast("bigint")
     entry = known.select(
         *BOOT,
-        *[value.alias(name) for name, value in first.items()],
+        F.expr("cast(array() as array<bigint>)").alias("segment"),
+        *[lowest.alias(c) for c in ORDER],
+        F.lit(1).alias("_after"),
         F.col("event").alias("_new"),
         F.col("left").alias("_left0"),
         F.col("state").alias("_state0"),
     )
-    both = seen.unionByName(entry, allowMissingColumns=True)
     is_entry = F.size("segment") == 0
-    marked = _marked(both, delay_seconds).withColumn(
-        "_mark", F.when(is_entry, F.col("_state0")).otherwise(F.col("_mark"))
-    )
+    marked = _marked(_with_events(lines, entry), delay_seconds)
+    marked = marked.withColumn("_mark", F.when(is_entry, F.col("_state0")).otherwise(F.col("_mark")))
     ran_out = F.when(is_entry, F.col("_left0")).when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    tracked = carry(marked.withColumn("_out", ran_out), before={"old_state": F.col("_mark"), "_left": F.col("_out")})
-    place = F.struct("segment", *ORDER)
-    after = marked.withColumn("_out", ran_out).groupBy(*BOOT).agg(
+    narrow = settle(marked.withColumn("_out", ran_out))
+    place = F.struct("segment", *_STEPS)
+    after = narrow.groupBy(*BOOT).agg(
         F.max_by("_event", F.when(F.col("_event").isNotNull(), place)).alias("event"),
         F.max_by("_out", F.when(F.col("_out").isNotNull(), place)).alias("left"),
-        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), place)).alias("state"),
+        F.max_by("_mark", F.when((F.col("_after") == 1) & F.col("_mark").isNotNull(), place)).alias("state"),
     )
-    return _transitions(tracked.where(~is_entry), lines.columns), after
+    changes = _transitions(narrow, lines.columns).where(~is_entry)
+    return changes, after
 
 
 def active_pid(lines: DataFrame) -> DataFrame:

@@ -9,19 +9,25 @@ from bootloom.functions import formats as fmt
 from bootloom.operators.events import (
     cpu_events,
     num_online_cpus_events,
+    proc_foreground_events,
     pvs_last_digit,
     recognised_trace,
     thermal_events,
 )
-from bootloom.operators.ordering import BOOT, ORDER
+from bootloom.operators.lineage import settle
+from bootloom.operators.ordering import BOOT, ORDER, carry
 from bootloom.operators.predicates import is_frequency_line, is_online_cpus_line, is_thermal_line
 from bootloom.operators.spans import freq_combinations, freq_spans, ncpu_spans
-from bootloom.operators.state import active_use
+
+
+def _narrow(events: DataFrame, *columns: str) -> DataFrame:
+    return settle(events.select(*BOOT, "segment", *ORDER, *columns))
 
 
 def freq_time_total(lines: DataFrame, close_on_offline: bool = False) -> DataFrame:
     """``freq`` and the time spent in it over all CPUs, boots and devices."""
-    spans = freq_spans(cpu_events(lines.where(is_frequency_line(colon=True))), close_on_offline)
+    events = _narrow(cpu_events(lines.where(is_frequency_line(colon=True))), "cpu", "freq", "word", "error")
+    spans = freq_spans(events, close_on_offline)
     totals = spans.groupBy("freq").agg(F.sum("duration_us").alias("total_us"))
     return totals.withColumn("seconds", F.col("total_us") / 1_000_000)
 
@@ -54,21 +60,25 @@ def freq_combination_share(lines: DataFrame, cpus: int = 4) -> DataFrame:
         F.regexp_extract("text", f"(?d:{fmt.HOTPLUG_TEXT})", 3).try_cast("int") != 0
     )
     extent = _boot_extent(recognised_trace(wanted).where(~failed))
-    return _shares(freq_combinations(cpu_events(wanted), cpus), "freq_key", extent)
+    events = _narrow(cpu_events(wanted), "cpu", "freq", "word", "error")
+    return _shares(freq_combinations(events, cpus), "freq_key", extent)
 
 
 def ncpu_share(lines: DataFrame) -> DataFrame:
     """Share of each boot's time with each number of online CPUs, one row per boot and number."""
     wanted = lines.where(is_online_cpus_line())
     extent = _boot_extent(recognised_trace(wanted))
-    return _shares(ncpu_spans(num_online_cpus_events(wanted)), "num_online_cpus", extent)
+    events = _narrow(num_online_cpus_events(wanted), "num_online_cpus")
+    return _shares(ncpu_spans(events), "num_online_cpus", extent)
 
 
 def temp_histogram(lines: DataFrame) -> DataFrame:
     """Number of temperature samples per ``temp``, all sensors, while a process is in the foreground."""
-    wanted = lines.where(F.col("line").contains(fmt.FOREGROUND + ":") | is_thermal_line(trace_only=True))
-    samples = thermal_events(active_use(wanted).where(is_thermal_line(trace_only=True)))
-    return samples.groupBy("temp").agg(F.count("*").alias("samples"))
+    fronts = _narrow(proc_foreground_events(lines), "fg_pid")
+    samples = _narrow(thermal_events(lines.where(is_thermal_line(trace_only=True))), "temp")
+    both = fronts.unionByName(samples, allowMissingColumns=True)
+    known = carry(both, at={"active_pid": F.col("fg_pid")})
+    return known.where("temp is not null and active_pid <> 0").groupBy("temp").agg(F.count("*").alias("samples"))
 
 
 def pvs_by_device(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_lines, discharge_chunks
-from bootloom.operators.lineage import landed
+from bootloom.operators.lineage import settle
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
 from bootloom.sources.logs import RAW_PATTERN, list_files, new_files, read_raw_logs, read_store
@@ -35,7 +35,7 @@ def stitch(
     todo = files if processed is None else new_files(files, processed)
     for names in batched((row.file_name for row in todo.select("file_name").toLocalIterator()), files_per_run):
         raw = read_raw_logs(spark, list(names), patterns)
-        lines = landed(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
+        lines = settle(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
         write_stitched(split_hot_segments(lines, 4 * segment_tokens), store_path)
     write_manifest(read_store(spark, store_path), files, manifest_path)
 

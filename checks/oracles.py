@@ -144,7 +144,7 @@ pvs AS (
     round(CAST(regexp_extract(payload, '\[\s*(\d+\.\d+)\]', 1) AS DOUBLE), 9) AS "timestamp"
   FROM loglines WHERE payload LIKE '%ACPU PVS:%'),
 cpu_rows AS (
-  SELECT device_id, boot_id, logcat_token, trace_us, cpu, freq, NULL AS word, CAST(NULL AS INTEGER) AS error
+  SELECT device_id, boot_id, logcat_token, trace_us, cpu, freq, CAST(NULL AS VARCHAR) AS word, CAST(NULL AS INTEGER) AS error
   FROM frequency
   UNION ALL
   SELECT device_id, boot_id, logcat_token, trace_us, cpu, NULL, state, error FROM hotplug),
@@ -319,7 +319,8 @@ members AS (
 
 _DENSE = r"""
 dense AS (
-  SELECT *, row_number() OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token) AS seq FROM loglines),
+  SELECT *, n + n // 50 AS seq FROM (
+    SELECT *, row_number() OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token) AS n FROM loglines)),
 dense_reports AS (
   SELECT h.device_id, h.boot_id, d.seq AS logcat_token, l, t, chg
   FROM healthd h JOIN dense d USING (device_id, boot_id, logcat_token)),
@@ -381,7 +382,7 @@ for _name, _where in [
     ("pvs_prefilter", "line LIKE '%ACPU PVS:%'"),
     ("healthd_predicate", "tag = 'KernelPrintk' AND payload LIKE '%healthd%chg%'"),
     ("power_predicate", "line LIKE '%KernelPrintk%' AND line LIKE '%PM: suspend e%'"),
-    ("line_filter", "line LIKE '%Kernel-Trace%' AND trace_us % 2 = 0"),
+    ("line_filter", "line LIKE '%Kernel-Trace%' AND contains(line, 'cpu_id=0')"),
 ]:
     oracle(_name, f"SELECT {AT} FROM loglines WHERE {_where}")
 
@@ -478,8 +479,6 @@ for _name in ("boot_ids", "stitch_manifest"):
 oracle("list_devices", "SELECT DISTINCT file_device AS device_id FROM text_lines")
 oracle("filter_devices", """SELECT device_id, count(*) AS lines FROM loglines
   WHERE device_id IN (lpad('1', 40, '0'), lpad('3', 40, '0'), lpad('9', 40, '0')) GROUP BY device_id""")
-oracle("device_intersection", """SELECT DISTINCT file_device AS device_id FROM text_lines INTERSECT
-  SELECT device_id FROM loglines WHERE trace_us % 5 = 0 GROUP BY device_id HAVING count(*) % 2 = 0""")
 _KNOWN = """
 known AS (
   SELECT device_id FROM pvs GROUP BY device_id
@@ -490,15 +489,15 @@ oracle("read_manifest", """SELECT device_id, CAST(count(DISTINCT boot_id) AS INT
 oracle("device_boots", """SELECT DISTINCT d.file_device AS device_id, b.boot_id FROM text_lines d
   LEFT JOIN (SELECT DISTINCT device_id, boot_id FROM loglines JOIN known USING (device_id)) b ON b.device_id = d.file_device""", _KNOWN)
 oracle("skipped_devices", "SELECT file_device AS device_id FROM text_lines EXCEPT SELECT device_id FROM known", _KNOWN)
-oracle("pending_devices", """SELECT file_device AS device_id FROM text_lines EXCEPT
-  SELECT device_id FROM chunks WHERE start_level >= 95""", _CUT)
+oracle("device_intersection", "SELECT device_id FROM known", _KNOWN)
+oracle("pending_devices", "SELECT file_device AS device_id FROM text_lines EXCEPT SELECT device_id FROM known", _KNOWN)
 _FILE = "file_device || '/' || CAST(line_no // 400 AS VARCHAR) || '.out.gz'"
 oracle("new_files", f"""SELECT {_FILE} AS file_name FROM text_lines EXCEPT
-  SELECT {_FILE} FROM text_lines WHERE line_no % 9 = 0""")
-oracle("merged_files", f"""SELECT {_FILE} AS file_name FROM text_lines WHERE line_no % 9 = 0 UNION
-  SELECT {_FILE} FROM text_lines WHERE line_no % 7 = 0""")
-oracle("merged_bootids", """SELECT device_id, boot_id FROM loglines WHERE trace_us % 2 = 0 UNION
-  SELECT device_id, boot_id FROM loglines WHERE logcat_token % 3 = 0""")
+  SELECT {_FILE} FROM text_lines WHERE line LIKE '%chg=u%'""")
+oracle("merged_files", f"""SELECT {_FILE} AS file_name FROM text_lines WHERE line LIKE '%chg=u%' UNION
+  SELECT {_FILE} FROM text_lines WHERE line LIKE '%PM: suspend exit%'""")
+oracle("merged_bootids", """SELECT device_id, boot_id FROM loglines WHERE line LIKE '%chg=u%' UNION
+  SELECT device_id, boot_id FROM loglines WHERE line LIKE '%PVS: 6%'""")
 oracle("ingest_stream", f"SELECT {AT}, trace_us, tag FROM loglines")
 oracle("daily_counts", """SELECT device_id, epoch_us(date_trunc('day', CAST(stamp AS TIMESTAMP))) AS start_us, count(*) AS lines
   FROM loglines GROUP BY ALL""")

@@ -138,7 +138,7 @@ predicate_query("power_predicate", pr.is_power_event)
 @query
 def line_filter(spark, sf):
     lines = telemetry_loglines(spark, sf)
-    return lg.line_filter(lines, F.col("line").contains(fmt.TRACE_SOURCE), F.col("trace_us") % 2 == 0).select(*AT)
+    return lg.line_filter(lines, F.col("line").contains(fmt.TRACE_SOURCE), F.col("line").contains("cpu_id=0")).select(*AT)
 
 
 # States
@@ -349,9 +349,10 @@ def no_suspend_chunks(spark, sf):
 
 @query
 def gapless_chunks(spark, sf):
-    # The tokens of a boot have gaps here, so the lines are numbered anew.
+    # Hardly a token has its neighbour in the same boot here, so the lines are
+    # numbered anew, with a gap after every fiftieth.
     lines = ordering.with_seq(telemetry_loglines(spark, sf))
-    dense = lines.withColumn("logcat_token", F.col("seq")).drop("seq")
+    dense = lines.withColumn("logcat_token", F.expr("seq + seq div 50")).drop("seq")
     chunks = ck.discharge_chunks(dense)
     return ck.gapless_chunks(chunks, ck.chunk_lines(dense, chunks)).select(*ck.CHUNK)
 
@@ -470,19 +471,21 @@ def filter_devices(spark, sf):
     )
 
 
+def known_devices(spark: SparkSession, sf: str) -> DataFrame:
+    """Devices with a silicon bin above 2."""
+    return di.pvs_by_device(telemetry_loglines(spark, sf)).where("pvs_bin > 2").select("device_id")
+
+
 @query
 def device_intersection(spark, sf):
-    busy = telemetry_loglines(spark, sf).where(F.col("trace_us") % 5 == 0).groupBy("device_id").count()
-    return logs.device_intersection(device_rows(spark, sf), busy.where("count % 2 = 0"))
+    return logs.device_intersection(device_rows(spark, sf), known_devices(spark, sf))
 
 
 def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A manifest of the devices with an even number of boots or a silicon bin above 2."""
-    lines = telemetry_loglines(spark, sf)
-    known = di.pvs_by_device(lines).where("pvs_bin > 2").select("device_id")
+    """A manifest of the known devices."""
+    lines = logs.filter_devices(telemetry_loglines(spark, sf), known_devices(spark, sf))
     files = lines.select("device_id", F.concat("device_id", F.lit("/0.out.gz")).alias("file_name")).distinct()
-    return writers.manifest(logs.boot_ids(lines).join(known, "device_id", "left_semi"),
-                            files.join(known, "device_id", "left_semi"))
+    return writers.manifest(logs.boot_ids(lines), files)
 
 
 @query
@@ -505,33 +508,35 @@ def skipped_devices(spark, sf):
 
 @query
 def pending_devices(spark, sf):
-    done = ck.discharge_chunks(telemetry_loglines(spark, sf)).where("start.l >= 95").select("device_id").distinct()
-    return logs.pending_devices(device_rows(spark, sf), done)
+    return logs.pending_devices(device_rows(spark, sf), known_devices(spark, sf))
 
 
-def hourly_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Upload names: one per device and 400 lines."""
+def upload_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line with the name of its upload: one per device and 400 lines."""
     name = F.concat("file_device", F.lit("/"), F.expr("line_no div 400").cast("string"), F.lit(".out.gz"))
-    return stored_lines(spark, sf).select("line_no", name.alias("file_name"))
+    return stored_lines(spark, sf).select("line", name.alias("file_name"))
+
+
+def having(rows: DataFrame, word: str) -> DataFrame:
+    return rows.where(F.col("line").contains(word))
 
 
 @query
 def new_files(spark, sf):
-    files = hourly_files(spark, sf)
-    seen = files.where(F.col("line_no") % 9 == 0).select("file_name").distinct()
-    return logs.new_files(files.select("file_name").distinct(), seen)
+    files = upload_files(spark, sf)
+    return logs.new_files(files.select("file_name").distinct(), having(files, "chg=u").select("file_name").distinct())
 
 
 @query
 def merged_files(spark, sf):
-    files = hourly_files(spark, sf)
-    return logs.merged_files(files.where("line_no % 9 = 0"), files.where("line_no % 7 = 0"))
+    files = upload_files(spark, sf)
+    return logs.merged_files(having(files, "chg=u"), having(files, fmt.SUSPEND_EXIT_WORD))
 
 
 @query
 def merged_bootids(spark, sf):
     lines = telemetry_loglines(spark, sf)
-    return logs.merged_bootids(lines.where("trace_us % 2 = 0"), lines.where("logcat_token % 3 = 0"))
+    return logs.merged_bootids(having(lines, "chg=u"), having(lines, "PVS: 6"))
 
 
 # Streams, run to the end of what is there
