@@ -11,7 +11,7 @@ from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_l
 from bootloom.operators.lineage import settle
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
-from bootloom.sources.logs import RAW_PATTERN, list_files, new_files, read_raw_logs, read_store
+from bootloom.sources.logs import RAW_PATTERN, boot_ids, list_files, new_files, read_raw_logs, read_store
 from bootloom.sources.writers import write_chunk_meta, write_chunks, write_manifest, write_stitched
 
 
@@ -46,4 +46,4 @@ def chunk_devices(lines: DataFrame, path: str) -> None:
     write_chunks(chunks, chunk_lines(lines, chunks), path)
     chunk_cpu_state(lines, chunks).write.mode("overwrite").parquet(f"{path}/cpu_state")
     chunk_fgbg_state(lines, chunks).write.mode("overwrite").parquet(f"{path}/fgbg_state")
-    write_chunk_meta(chunks, f"{path}/meta")
+    write_chunk_meta(chunks, boot_ids(lines), f"{path}/meta")

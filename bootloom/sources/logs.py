@@ -17,11 +17,17 @@ STORE_SCHEMA = (
 )
 
 
-def _glob(patterns: str) -> str:
+def name_glob(patterns: str) -> str:
+    """Comma-separated name patterns as one."""
     names = [p.strip() for p in patterns.split(",") if p.strip()]
     return names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
 
 
+def without_return(line: Column) -> Column:
+    """A line without the carriage return before its end."""
+    return F.when(line.endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(line)
+
+
 def device_of_path(path: Column) -> Column:
     """The device directory in a path; NULL without one."""
     return F.nullif(F.regexp_extract(path, DEVICE_DIR, 1), F.lit(""))
@@ -35,10 +41,10 @@ def read_raw_logs(spark: SparkSession, path: str | list[str], patterns: str = RA
     line's place in its file.  A gzip file is read by one task; everything after
     the parsing is spread over (boot, segment).
     """
-    text = spark.read.text(path, pathGlobFilter=_glob(patterns), recursiveFileLookup=True)
+    text = spark.read.text(path, lineSep="\n", pathGlobFilter=name_glob(patterns), recursiveFileLookup=True)
     in_task = (1 << 33) - 1
     return text.select(
-        "value",
+        without_return(F.col("value")).alias("value"),
         device_of_path(F.col("_metadata.file_path")).alias("file_device"),
         F.col("_metadata.file_path").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -50,7 +56,7 @@ def list_files(spark: SparkSession, path: str, patterns: str = RAW_PATTERN) -> D
     """``file_name`` and ``device_id`` of the files below ``path``; contents are not read."""
     listed = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", _glob(patterns))
+        .option("pathGlobFilter", name_glob(patterns))
         .option("recursiveFileLookup", True)
         .load(path)
     )
@@ -110,7 +116,7 @@ def read_manifest(
         multiLine=multi_line,
         mode="PERMISSIVE",
         columnNameOfCorruptRecord="_corrupt",
-        pathGlobFilter=_glob(patterns),
+        pathGlobFilter=name_glob(patterns),
         recursiveFileLookup=True,
     )
     valid = F.col("bootids").isNotNull()

@@ -73,11 +73,12 @@ def write_chunks(chunks: DataFrame, members: DataFrame, path: str, mode: str = "
     ).parquet(f"{path}/lines")
 
 
-def chunk_meta(chunks: DataFrame) -> DataFrame:
-    """Number of chunks of each boot."""
-    return chunks.groupBy(*BOOT).agg(F.count("*").alias("chunks"))
+def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
+    """Number of chunks of each boot, 0 for boots without any."""
+    flags = boots.select(*BOOT, F.lit(0).alias("_one")).unionByName(chunks.select(*BOOT, F.lit(1).alias("_one")))
+    return flags.groupBy(*BOOT).agg(F.sum("_one").alias("chunks"))
 
 
-def write_chunk_meta(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_chunk_meta(chunks: DataFrame, boots: DataFrame, path: str, mode: str = "overwrite") -> None:
     """:func:`chunk_meta` as JSON, one object per row, a directory per device."""
-    chunk_meta(chunks).write.partitionBy("device_id").mode(mode).json(path)
+    chunk_meta(chunks, boots).write.partitionBy("device_id").mode(mode).json(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import BOOT, SEGMENT_TOKENS
 from bootloom.operators.state import FGBG_STATE, fgbg_continued
-from bootloom.sources.logs import RAW_PATTERN, device_of_path
+from bootloom.sources.logs import RAW_PATTERN, device_of_path, name_glob, without_return
 
 
 def stream_loglines(
@@ -23,13 +23,12 @@ def stream_loglines(
     segment_tokens: int = SEGMENT_TOKENS,
 ) -> DataFrame:
     """Parsed lines of the files below ``path``, each file once; ``file_name`` tells where from."""
-    names = [p.strip() for p in patterns.split(",") if p.strip()]
     text = (
-        spark.readStream.option("pathGlobFilter", names[0] if len(names) == 1 else "{" + ",".join(names) + "}")
+        spark.readStream.option("pathGlobFilter", name_glob(patterns))
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file_name"))
+        .text(path, lineSep="\n")
+        .select(without_return(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file_name"))
     )
     return parse_loglines(text, "value", device_of_path(F.col("file_name")), segment_tokens=segment_tokens)
 

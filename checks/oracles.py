@@ -460,7 +460,8 @@ oracle("gapless_chunks", f"""SELECT {_CHUNK.replace('device_id, boot_id', 'c.dev
 oracle("chunk_filter", f"SELECT {_CHUNK} FROM chunks WHERE start_level >= 90 AND end_temp > start_temp", _CUT)
 oracle("chunk_counts", """SELECT device_id, boot_id, count(*) AS chunks, count(*) FILTER (start_level >= 90) AS kept
   FROM chunks GROUP BY ALL""", _CUT)
-oracle("chunk_meta", "SELECT device_id, boot_id, count(*) AS chunks FROM chunks GROUP BY ALL", _CUT)
+oracle("chunk_meta", """SELECT b.device_id, b.boot_id, count(start_token) AS chunks
+  FROM (SELECT DISTINCT device_id, boot_id FROM loglines) b LEFT JOIN chunks USING (device_id, boot_id) GROUP BY ALL""", _CUT)
 oracle("read_chunks", f"""SELECT {_CHUNK}, (SELECT count(*) FROM members m WHERE m.device_id = c.device_id
   AND m.boot_id = c.boot_id AND m.start_token = c.start_token) AS lines FROM chunks c""", _CUT, _MEMBERS)
 

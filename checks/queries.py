@@ -372,7 +372,8 @@ def chunk_counts(spark, sf):
 @query
 def chunk_meta(spark, sf):
     path = scratch(spark, "meta")
-    writers.write_chunk_meta(ck.discharge_chunks(telemetry_loglines(spark, sf)), path)
+    lines = telemetry_loglines(spark, sf)
+    writers.write_chunk_meta(ck.discharge_chunks(lines), logs.boot_ids(lines), path)
     return spark.read.schema("device_id string, boot_id string, chunks bigint").json(path)
 
 
