@@ -30,6 +30,15 @@ def with_fields(df: DataFrame, name: str, rewritten: Column, count: int) -> Data
     return df.select("*", F.explode(hit).alias(name))
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that satisfy a condition over computed columns, each computed once.
+
+    As in :func:`with_fields`: a filter here would be pushed below the
+    projection and compute the columns again.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).select(*df.columns)
+
+
 def capture(df: DataFrame, name: str, text: Column, pattern: str, count: int) -> DataFrame:
     """Keep the rows whose ``text`` matches; add the groups of the first match as ``name``.
 
@@ -75,8 +84,7 @@ def micros(seconds: Column) -> Column:
 
 def log_time(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS.ffffff…`` to TIMESTAMP_NTZ; digits past the microsecond are cut off."""
-    shaped = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d"), F.substring(text, 1, 26))
-    return shaped.try_cast("timestamp_ntz")
+    return F.substring(text, 1, 26).try_cast("timestamp_ntz")
 
 
 def epoch_micros(time: Column) -> Column:

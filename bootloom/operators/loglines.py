@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
-from bootloom.functions.text import field, int_or_error, log_time, micros, rewrite, with_fields
+from bootloom.functions.text import field, int_or_error, keep, log_time, micros, rewrite, with_fields
 from bootloom.operators.ordering import SEGMENT_TOKENS, with_order
 
 
@@ -43,7 +43,8 @@ def parse_loglines(
         field("_f", 9).alias("tag"),
         field("_f", 10).alias("payload"),
     )
-    return with_order(typed.dropna(subset=list(_values(base0))), segment_tokens)
+    whole = reduce(and_, [F.col(name).isNotNull() for name in _values(base0)])
+    return with_order(keep(typed, whole), segment_tokens)
 
 
 def rejected_lines(raw: DataFrame, line: str = "value", base0: bool = False) -> DataFrame:

@@ -80,31 +80,101 @@ def carry(
 
     ``at`` counts the row itself, ``before`` only earlier rows.  With
     ``backward`` the order is read from its end, so it is the *next* value.
+    Rows without a key or segment are left out.
     """
     at, before = at or {}, before or {}
+    # The filter is the one that the join below implies for its other side: stated
+    # here, both sides scan alike and may share an exchange.
+    tagged = _with_block(df, keys).select("*", *[e.alias(f"_new_{n}") for n, e in (at | before).items()])
+    local = _inside(tagged, df.columns, list(at), list(before), keys, order, backward)
+    tails = _tails(tagged, [*at, *before], keys, order, backward)
+    return _with_entry(local, _entry(tails, tails, [*at, *before], keys, backward), df.columns, [*at, *before], keys)
+
+
+def as_of(
+    lines: DataFrame,
+    events: DataFrame,
+    values: dict[str, Column],
+    *,
+    keys: list[str] = BOOT,
+    order: list[str] = ORDER,
+) -> DataFrame:
+    """Add to each line the last non-null value among the events at or before it.
+
+    For events that are few among the lines: they go in as rows before the lines
+    at their place, and the summaries of the segments are made from them alone.
+    """
     block = [*keys, "segment"]
+    names = list(values)
+    marks = _with_block(events, keys).select(
+        *block, *order, F.lit(0).alias("_step"), *[e.alias(f"_new_{n}") for n, e in values.items()]
+    )
+    rows = _with_block(lines, keys).withColumn("_step", F.lit(1))
+    steps = [*order, "_step"]
+    local = _inside(rows.unionByName(marks, allowMissingColumns=True), [*lines.columns, "_step"], names, [], keys, steps)
+    segments = rows.select(*block).distinct()
+    entry = _entry(_tails(marks, names, keys, order), segments, names, keys)
+    return _with_entry(local.where("_step = 1"), entry, lines.columns, names, keys)
+
+
+def _with_block(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.dropna(subset=[*keys, "segment"])
+
+
+def _inside(
+    tagged: DataFrame,
+    columns: list[str],
+    at: list[str],
+    before: list[str],
+    keys: list[str],
+    order: list[str],
+    backward: bool = False,
+) -> DataFrame:
+    """``_own_`` columns: the values as far as the row's own segment knows them."""
     start = Window.unboundedPreceding
-    inside = Window.partitionBy(*block).orderBy(*_placed(order, backward))
+    inside = Window.partitionBy(*keys, "segment").orderBy(*_placed(order, backward))
     frames = {n: inside.rowsBetween(start, Window.currentRow) for n in at}
     frames |= {n: inside.rowsBetween(start, -1) for n in before}
-    tagged = df.select("*", *[e.alias(f"_new_{n}") for n, e in (at | before).items()])
+    return tagged.select(*columns, *[F.last(f"_new_{n}", True).over(w).alias(f"_own_{n}") for n, w in frames.items()])
 
-    local = tagged.select(
-        *df.columns, *[F.last(f"_new_{n}", True).over(w).alias(f"_own_{n}") for n, w in frames.items()]
-    )
+
+def _tails(tagged: DataFrame, names: list[str], keys: list[str], order: list[str], backward: bool = False) -> DataFrame:
+    """The last value of each segment."""
     end_of = F.min_by if backward else F.max_by
-    tails = tagged.groupBy(*block).agg(
+    return tagged.groupBy(*keys, "segment").agg(
         *[
             end_of(f"_new_{n}", F.when(F.col(f"_new_{n}").isNotNull(), F.struct(*order))).alias(f"_new_{n}")
-            for n in frames
+            for n in names
         ]
     )
-    earlier = Window.partitionBy(*keys).orderBy(*_placed(["segment"], backward)).rowsBetween(start, -1)
-    entry = tails.select(*block, *[F.last(f"_new_{n}", True).over(earlier).alias(f"_in_{n}") for n in frames])
+
+
+def _entry(
+    tails: DataFrame, segments: DataFrame, names: list[str], keys: list[str], backward: bool = False
+) -> DataFrame:
+    """``_in_`` columns: for each segment the last value of those before it."""
+    block = [*keys, "segment"]
+    by_segment = _placed(["segment"], backward)
+    start = Window.unboundedPreceding
+    if segments is tails:
+        earlier = Window.partitionBy(*keys).orderBy(*by_segment).rowsBetween(start, -1)
+        asked, found = tails, F.lit(True)
+    else:
+        # Each segment asks from before its own tail.
+        ask = segments.select(*block, F.lit(0).alias("_tail"))
+        asked = ask.unionByName(tails.withColumn("_tail", F.lit(1)), allowMissingColumns=True)
+        earlier = Window.partitionBy(*keys).orderBy(*by_segment, "_tail").rowsBetween(start, -1)
+        found = F.col("_tail") == 0
+    known = [F.last(f"_new_{n}", True).over(earlier).alias(f"_in_{n}") for n in names]
+    return asked.select("*", *known).where(found).select(*block, *[f"_in_{n}" for n in names])
+
+
+def _with_entry(
+    local: DataFrame, entry: DataFrame, columns: list[str], names: list[str], keys: list[str]
+) -> DataFrame:
     # One small row per segment on the build side: a hash join keeps the window's sort.
-    return local.join(entry.hint("shuffle_hash"), block, "left").select(
-        *df.columns, *[F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in frames]
-    )
+    joined = local.join(entry.hint("shuffle_hash"), [*keys, "segment"], "left")
+    return joined.select(*columns, *[F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in names])
 
 
 def running_sum(

@@ -48,6 +48,6 @@ def in_state(tracked: DataFrame, column: str, *states: str) -> DataFrame:
     return tracked.where(F.col(column).isin(*states) if states else F.lit(False))
 
 
-def exclusive(tracked: DataFrame, is_event: str) -> DataFrame:
+def exclusive(tracked: DataFrame, is_event: Column) -> DataFrame:
     """Keep only the lines that carry the tracker's own event."""
-    return tracked.where(F.col(is_event))
+    return tracked.where(is_event)

@@ -11,47 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
-from bootloom.functions.text import SEPARATOR, int_or_error, rewrite
-from bootloom.operators.events import power_events, proc_foreground_events
+from bootloom.operators.events import healthd_events, power_events, proc_foreground_events
 from bootloom.operators.lineage import settle
-from bootloom.operators.ordering import BOOT, ORDER, carry
+from bootloom.operators.ordering import BOOT, ORDER, as_of, carry
 from bootloom.operators.predicates import is_power_event
 
 UNKNOWN = "UNKNOWN"
 _PLACE = [*BOOT, "segment", *ORDER]
-_STEPS = [*ORDER, "_after"]
 
 
-def _found(word: str, text: Column, pattern: str, n: int) -> Column:
-    """Group ``n`` in lines that hold ``word`` and match; NULL elsewhere, where no pattern runs."""
-    return F.when(F.col("line").contains(word) & text.rlike(f"(?d:{pattern})"), F.regexp_extract(text, f"(?d:{pattern})", n))
+def _events(events: DataFrame, *columns: str) -> DataFrame:
+    return settle(events.select(*_PLACE, *columns))
 
 
 def charging_state(lines: DataFrame, empty_means_charging: bool = True) -> DataFrame:
-    """Add ``charging_state`` (UNKNOWN, CHARGING, UNPLUGGED) and ``is_charging_event``.
+    """Add ``charging_state`` (UNKNOWN, CHARGING, UNPLUGGED); see :func:`is_charging_event`.
 
     An empty charger field means CHARGING by default.  The discharge chunks read
     the field the other way round, which ``empty_means_charging=False`` gives.
     """
     empty, letters = ("CHARGING", "UNPLUGGED") if empty_means_charging else ("UNPLUGGED", "CHARGING")
-    chg = _found("healthd:", F.col("payload"), fmt.HEALTHD_TEXT, 8)
-    tracked = carry(lines, at={"charging_state": F.when(chg == "", empty).when(chg != "", letters)})
-    return tracked.withColumns(
-        {
-            "charging_state": F.coalesce("charging_state", F.lit(UNKNOWN)),
-            "is_charging_event": F.col("line").contains("healthd:"),
-        }
-    )
+    state = F.when(F.col("chg") == "", empty).otherwise(letters)
+    tracked = as_of(lines, _events(healthd_events(lines), "chg"), {"charging_state": state})
+    return tracked.withColumn("charging_state", F.coalesce("charging_state", F.lit(UNKNOWN)))
+
+
+def is_charging_event() -> Column:
+    """Line that carries the charging tracker's own event."""
+    return F.col("line").contains("healthd:")
 
 
 def suspend_state(lines: DataFrame) -> DataFrame:
-    """Add ``suspend_state`` (UNKNOWN, SUSPENDED, AWAKE) and ``is_suspend_event``."""
-    power = _found("PM: suspend", F.col("payload"), fmt.POWER_TEXT, 1)
-    state = F.when(is_power_event(), F.when(power == "entry", "SUSPENDED").when(power == "exit", "AWAKE"))
-    tracked = carry(lines, at={"suspend_state": state})
-    return tracked.withColumns(
-        {"suspend_state": F.coalesce("suspend_state", F.lit(UNKNOWN)), "is_suspend_event": is_power_event()}
-    )
+    """Add ``suspend_state`` (UNKNOWN, SUSPENDED, AWAKE)."""
+    state = F.when(F.col("power") == "entry", "SUSPENDED").otherwise("AWAKE")
+    events = _events(power_events(lines.where(is_power_event())), "power")
+    tracked = as_of(lines, events, {"suspend_state": state})
+    return tracked.withColumn("suspend_state", F.coalesce("suspend_state", F.lit(UNKNOWN)))
 
 
 def suspend_transitions(lines: DataFrame) -> DataFrame:
@@ -86,39 +81,29 @@ def suspend_intervals(lines: DataFrame) -> DataFrame:
     )
 
 
-def _foreground_pid() -> Column:
-    """Foreground pid of lines that report one, by header and text in one pass; NULL elsewhere."""
-    parts = F.split(rewrite(F.col("payload"), fmt.TRACE_HEADER, [5, 6]), SEPARATOR, 3)
-    text = F.get(parts, F.lit(2))
-    pid = int_or_error(F.regexp_extract(text, f"(?d:{fmt.FOREGROUND_TEXT})", 1))
-    tgid = int_or_error(F.regexp_extract(text, f"(?d:{fmt.FOREGROUND_TEXT})", 2))
-    return F.when(
-        F.col("line").contains(fmt.FOREGROUND + ":"),
-        F.when((F.get(parts, F.lit(1)) == fmt.FOREGROUND) & tgid.isNotNull(), pid),
-    )
-
+def is_fgbg_event() -> Column:
+    """Line that carries the foreground tracker's own event."""
+    return F.col("line").contains(fmt.FOREGROUND + ":")
 
-def _with_events(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Lines, and before its own line a row for each foreground event, with ``_new`` set (``_after`` 0).
 
-    The text is read for the events only: the scans over all lines then need no
-    more of a line than its place.  ``known`` adds a row before the first line
-    of each boot, see :func:`fgbg_continued`.
-    """
+def _fronts(lines: DataFrame) -> DataFrame:
     front = (F.col("fg_pid") != 0).alias("front")
-    events = settle(proc_foreground_events(lines).select(*_PLACE, F.struct(front, *ORDER).alias("_new")))
-    rows = lines.withColumn("_after", F.lit(1)).unionByName(
-        events.withColumn("_after", F.lit(0)), allowMissingColumns=True
-    )
-    return rows if known is None else rows.unionByName(known, allowMissingColumns=True)
+    return settle(proc_foreground_events(lines).select(*_PLACE, F.struct(front, *ORDER).alias("event")))
 
 
-def _marked(rows: DataFrame, delay_seconds: float) -> DataFrame:
-    """Add ``_event``, the latest foreground event, and ``_mark``, the state it implies by now."""
-    latest = carry(rows, at={"_event": F.col("_new")}, order=_STEPS)
+def _mark(delay_seconds: float) -> Column:
+    """The state that the latest foreground event implies by now."""
     waited = F.col("trace_us") - F.col("_event.trace_us")
-    mark = F.when(F.col("_event.front"), "FOREGROUND").when(waited > int(delay_seconds * 1_000_000), "BACKGROUND")
-    return latest.withColumn("_mark", mark)
+    return F.when(F.col("_event.front"), "FOREGROUND").when(waited > int(delay_seconds * 1_000_000), "BACKGROUND")
+
+
+def _marked(lines: DataFrame, delay_seconds: float) -> DataFrame:
+    """Lines with ``_event``, the latest foreground event, and ``_mark``, the state it implies by now.
+
+    The text is read for the events only: the scans over all lines need no more
+    of a line than its place.
+    """
+    return as_of(lines, _fronts(lines), {"_event": F.col("event")}).withColumn("_mark", _mark(delay_seconds))
 
 
 def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
@@ -128,35 +113,23 @@ def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     with the first line more than ``delay_seconds`` later, of whatever kind, so
     all lines of the boot are needed.
     """
-    tracked = carry(_marked(_with_events(lines), delay_seconds), at={"fgbg_state": F.col("_mark")}, order=_STEPS)
-    return tracked.where("_after = 1").select(
-        *lines.columns, F.coalesce("fgbg_state", F.lit(UNKNOWN)).alias("fgbg_state")
-    )
-
-
-def fgbg_events(lines: DataFrame) -> Column:
-    """Whether a line carries the foreground tracker's own event."""
-    return F.col("line").contains(fmt.FOREGROUND + ":")
+    tracked = carry(_marked(lines, delay_seconds), at={"fgbg_state": F.col("_mark")})
+    return tracked.select(*lines.columns, F.coalesce("fgbg_state", F.lit(UNKNOWN)).alias("fgbg_state"))
 
 
 def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal)."""
-    marked = _marked(_with_events(lines), delay_seconds)
+    marked = _marked(lines, delay_seconds)
     ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
     return _transitions(marked.withColumn("_out", ran_out), lines.columns)
 
 
 def _transitions(marked: DataFrame, columns: list[str]) -> DataFrame:
     """``_out`` is the latest event, in rows where its delay has run out."""
-    line = F.col("_after") == 1
-    tracked = carry(
-        marked,
-        before={"old_state": F.when(line, F.col("_mark")), "_left": F.col("_out")},
-        order=_STEPS,
-    )
+    tracked = carry(marked, before={"old_state": F.col("_mark"), "_left": F.col("_out")})
     first_back = (F.col("_mark") == "BACKGROUND") & ~F.col("_event").eqNullSafe(F.col("_left"))
     to_front = F.col("_event.front") & (F.struct(*ORDER) == F.struct(*[F.col(f"_event.{c}") for c in ORDER]))
-    return tracked.where(line & (first_back | to_front)).select(
+    return tracked.where(first_back | to_front).select(
         *columns, F.coalesce("old_state", F.lit(UNKNOWN)).alias("old_state"), F.col("_mark").alias("new_state")
     )
 
@@ -172,36 +145,30 @@ def fgbg_continued(
     """:func:`fgbg_transitions` of lines that follow earlier ones, and the state after them.
 
     ``known`` has the columns of :data:`FGBG_STATE`, one row per boot.  It goes
-    in as a row before the first line of each boot.
+    in as an event and as a line before the first of each boot.
     """
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    entry = known.select(
-        *BOOT,
-        F.expr("cast(array() as array<bigint>)").alias("segment"),
-        *[lowest.alias(c) for c in ORDER],
-        F.lit(1).alias("_after"),
-        F.col("event").alias("_new"),
-        F.col("left").alias("_left0"),
-        F.col("state").alias("_state0"),
-    )
+    first = [F.expr("cast(array() as array<bigint>)").alias("segment")]
+    first += [F.lit(-(1 << 63)).cast("bigint").alias(c) for c in ORDER]
+    entry = known.select(*BOOT, *first, "event", F.col("left").alias("_left0"), F.col("state").alias("_state0"))
     is_entry = F.size("segment") == 0
-    marked = _marked(_with_events(lines, entry), delay_seconds)
-    marked = marked.withColumn("_mark", F.when(is_entry, F.col("_state0")).otherwise(F.col("_mark")))
+    rows = lines.unionByName(entry.drop("event"), allowMissingColumns=True)
+    events = _fronts(lines).unionByName(entry.drop("_left0", "_state0"))
+    latest = as_of(rows, events, {"_event": F.col("event")})
+    marked = latest.withColumn("_mark", F.when(is_entry, F.col("_state0")).otherwise(_mark(delay_seconds)))
     ran_out = F.when(is_entry, F.col("_left0")).when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    narrow = settle(marked.withColumn("_out", ran_out))
-    place = F.struct("segment", *_STEPS)
-    after = narrow.groupBy(*BOOT).agg(
+    ready = settle(marked.withColumn("_out", ran_out))
+    place = F.struct("segment", *ORDER)
+    after = ready.groupBy(*BOOT).agg(
         F.max_by("_event", F.when(F.col("_event").isNotNull(), place)).alias("event"),
         F.max_by("_out", F.when(F.col("_out").isNotNull(), place)).alias("left"),
-        F.max_by("_mark", F.when((F.col("_after") == 1) & F.col("_mark").isNotNull(), place)).alias("state"),
+        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), place)).alias("state"),
     )
-    changes = _transitions(narrow, lines.columns).where(~is_entry)
-    return changes, after
+    return _transitions(ready, lines.columns).where(~is_entry), after
 
 
 def active_pid(lines: DataFrame) -> DataFrame:
     """Add ``active_pid``, the pid of the latest foreground event, 0 before the first; no delay."""
-    tracked = carry(lines.withColumn("_pid", _foreground_pid()), at={"active_pid": F.col("_pid")}).drop("_pid")
+    tracked = as_of(lines, _events(proc_foreground_events(lines), "fg_pid"), {"active_pid": F.col("fg_pid")})
     return tracked.withColumn("active_pid", F.coalesce("active_pid", F.lit(0)))
 
 

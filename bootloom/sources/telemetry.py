@@ -8,6 +8,7 @@ layout is described in ``FIXTURES.md``, section 4.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,11 @@ end
 
 def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no``, ``file_device`` and ``line``, one row per event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", epoch_micros(F.col("ts")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # A small table is one split: spread the work over the cores.
+        events = events.repartition(spark.sparkContext.defaultParallelism)
+    events = events.withColumn("us", epoch_micros(F.col("ts")))
     numbers = events.selectExpr(*[f"{e} as {n}" for n, e in _NUMBERS.items()])
     parts = numbers.selectExpr("*", *[f"{e} as {n}" for n, e in _DERIVED.items()])
     traced = "if(k % 12 in (9, 10), body, concat('kworker/0:1-1 [00', u % 4, '] ...1 ', tt, ': ', body))"
@@ -86,20 +91,30 @@ def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_rendered: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table in the shared folder, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered lines as a table in the shared folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _rendered:
-        path = f"{shared_dir(spark)}/telemetry-{uuid.uuid4().hex}"
-        telemetry_lines(spark, sf_dir).write.parquet(path)
-        _rendered[key] = path
-    return spark.read.parquet(_rendered[key])
+    """The rendered lines as a table of text."""
+    return _once(spark, sf_dir, "text", lambda: telemetry_lines(spark, sf_dir))
 
 
-def telemetry_loglines(spark: SparkSession, sf_dir: str, segment_tokens: int = 4096) -> DataFrame:
-    """The rendered lines, parsed."""
+def parsed_lines(spark: SparkSession, sf_dir: str, segment_tokens: int = 4096) -> DataFrame:
+    """The rendered lines, parsed from their text with every use."""
     text = stored_lines(spark, sf_dir).drop("line_no")
     return parse_loglines(text, "line", F.col("file_device"), segment_tokens=segment_tokens).drop("file_device")
+
+
+def telemetry_loglines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered lines as a table of parsed lines, as the stitch run leaves them."""
+    return _once(spark, sf_dir, "lines", lambda: parsed_lines(spark, sf_dir))

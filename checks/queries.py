@@ -23,7 +23,7 @@ from bootloom.operators.lineage import shared_dir
 from bootloom.plans import distributions as di
 from bootloom.plans.stitch import stitch
 from bootloom.sources import logs, writers
-from bootloom.sources.telemetry import stored_lines, telemetry_loglines
+from bootloom.sources.telemetry import parsed_lines, stored_lines, telemetry_loglines
 from bootloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,14 +55,14 @@ def nine(column: str) -> Column:
 
 @query
 def parse_loglines(spark, sf):
-    return telemetry_loglines(spark, sf).select(
+    return parsed_lines(spark, sf).select(
         *AT, us("datetime"), "datetime_nanos", "trace_us", "pid", "tid", "level", "tag", "payload"
     )
 
 
 @query
 def line_round_trip(spark, sf):
-    return telemetry_loglines(spark, sf).select("logcat_token", "line")
+    return parsed_lines(spark, sf).select("logcat_token", "line")
 
 
 @query
@@ -146,7 +146,8 @@ def line_filter(spark, sf):
 
 @query
 def charging_state(spark, sf):
-    return state.charging_state(telemetry_loglines(spark, sf)).select(*AT, "charging_state", "is_charging_event")
+    tracked = state.charging_state(telemetry_loglines(spark, sf))
+    return tracked.select(*AT, "charging_state", state.is_charging_event().alias("is_charging_event"))
 
 
 @query
@@ -156,7 +157,7 @@ def in_state(spark, sf):
 
 @query
 def exclusive(spark, sf):
-    return pr.exclusive(state.suspend_state(telemetry_loglines(spark, sf)), "is_suspend_event").select(
+    return pr.exclusive(state.suspend_state(telemetry_loglines(spark, sf)), pr.is_power_event()).select(
         *AT, "suspend_state"
     )
 
