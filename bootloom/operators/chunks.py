@@ -28,7 +28,7 @@ from bootloom.operators.state import UNKNOWN, fgbg_state
 
 CHUNK = [*BOOT, "start_token", "end_token"]
 REPORT = ["timestamp", "l", "v", "t", "h", "st", "c", "chg"]
-_BLOCK = [*BOOT, "segment"]
+_BLOCK = ["segment", *BOOT]
 
 # A report as it is kept in the arrays: its place first, so that arrays sort in order.
 _PLACE = [*ORDER, "segment"]
@@ -58,9 +58,9 @@ aggregate(
 _LEAVES = """
 aggregate(
   blocks,
-  cast(array(named_struct('segment', array(), 'waiting', true,
+  cast(array(named_struct('segment', -1L, 'waiting', true,
                           'x', if(blocks[0].effect.charged, blocks[0].effect.level, blocks[0].first_level)))
-    as array<struct<segment: array<bigint>, waiting: boolean, x: int>>),
+    as array<struct<segment: bigint, waiting: boolean, x: int>>),
   (done, b) -> concat(done, array(named_struct(
     'segment', b.segment,
     'waiting', element_at(done, -1).waiting and not exists(b.effect.lows, y -> y.l < element_at(done, -1).x),

@@ -21,15 +21,13 @@ def with_order(df: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame
     """Add ``line_id`` (tie-break of equal tokens and times) and ``segment`` (range of tokens).
 
     Where the file position of a line is known it is part of the tie-break, so
-    that copies of a line have an order too.  A segment is an array so that
-    :func:`split_hot_segments` can make it finer; arrays sort by their elements
-    from left to right.
+    that copies of a line have an order too.
     """
     position = [c for c in ("file_name", "block_start", "line_no") if c in df.columns]
     return df.withColumns(
         {
             "line_id": F.xxhash64("line", *position),
-            "segment": F.array(F.expr(f"logcat_token div {int(segment_tokens)}")),
+            "segment": F.expr(f"logcat_token div {int(segment_tokens)}"),
         }
     )
 
@@ -41,8 +39,8 @@ def split_hot_segments(
 
     Needed where many lines share a token.  The cuts follow the order itself
     (token, time, then ranges of the tie-break), so every scan gives the same
-    result with them.  Runs one counting job per level, on the key
-    columns only, and stops at the first level that finds no hot segment.
+    result with them.  Runs one counting job per level, on the key columns only,
+    and stops at the first level that finds no hot segment.
     """
     levels = [
         F.col("logcat_token"),
@@ -51,16 +49,34 @@ def split_hot_segments(
         F.shiftright("line_id", 40).cast("bigint"),
         F.col("line_id"),
     ]
-    block = [*BOOT, "segment"]
+    part = ["segment", *BOOT, "_cut"]
+    cut = lines.withColumn("_cut", F.expr("cast(array() as array<bigint>)"))
+    was_cut = False
     for level in levels:
-        hot = lines.groupBy(*block).count().where(F.col("count") > limit).select(*block, F.lit(True).alias("_hot"))
-        found = hot.limit(broadcast_limit + 1).count()
-        if not found:
+        hot = cut.groupBy(*part).count().where(F.col("count") > limit).select(*part, F.lit(True).alias("_hot"))
+        marked = _join_few(cut, hot, part, broadcast_limit)
+        if marked is None:
             break
-        marked = lines.join(F.broadcast(hot) if found <= broadcast_limit else hot, block, "left")
-        finer = F.when(F.col("_hot"), F.concat("segment", F.array(level))).otherwise(F.col("segment"))
-        lines = marked.withColumn("segment", finer).select(*lines.columns)
-    return lines
+        was_cut = True
+        finer = F.when(F.col("_hot"), F.concat("_cut", F.array(level))).otherwise(F.col("_cut"))
+        cut = marked.withColumn("_cut", finer).select(*lines.columns, "_cut")
+    if not was_cut:
+        return lines
+    # Number the parts of each cut segment in order, in a range of their own.
+    in_order = Window.partitionBy("segment", *BOOT).orderBy("_cut")
+    parts = cut.where(F.size("_cut") > 0).select(*part).distinct().withColumn("_nth", F.row_number().over(in_order))
+    room = parts.agg(F.max("_nth")).first()[0] + 1
+    numbered = _join_few(cut, parts, part, broadcast_limit)
+    segment = F.col("segment") * room + F.coalesce("_nth", F.lit(0))
+    return numbered.withColumn("segment", segment).select(*lines.columns)
+
+
+def _join_few(lines: DataFrame, few: DataFrame, keys: list[str], broadcast_limit: int) -> DataFrame | None:
+    """Left join with a table that is usually small, broadcast only if it is; None if it is empty."""
+    found = few.limit(broadcast_limit + 1).count()
+    if not found:
+        return None
+    return lines.join(F.broadcast(few) if found <= broadcast_limit else few, keys, "left")
 
 
 def _placed(order: list[str], descending: bool) -> list[Column]:
@@ -104,7 +120,7 @@ def as_of(
     For events that are few among the lines: they go in as rows before the lines
     at their place, and the summaries of the segments are made from them alone.
     """
-    block = [*keys, "segment"]
+    block = ["segment", *keys]
     names = list(values)
     marks = _with_block(events, keys).select(
         *block, *order, F.lit(0).alias("_step"), *[e.alias(f"_new_{n}") for n, e in values.items()]
@@ -132,7 +148,7 @@ def _inside(
 ) -> DataFrame:
     """``_own_`` columns: the values as far as the row's own segment knows them."""
     start = Window.unboundedPreceding
-    inside = Window.partitionBy(*keys, "segment").orderBy(*_placed(order, backward))
+    inside = Window.partitionBy("segment", *keys).orderBy(*_placed(order, backward))
     frames = {n: inside.rowsBetween(start, Window.currentRow) for n in at}
     frames |= {n: inside.rowsBetween(start, -1) for n in before}
     return tagged.select(*columns, *[F.last(f"_new_{n}", True).over(w).alias(f"_own_{n}") for n, w in frames.items()])
@@ -141,7 +157,7 @@ def _inside(
 def _tails(tagged: DataFrame, names: list[str], keys: list[str], order: list[str], backward: bool = False) -> DataFrame:
     """The last value of each segment."""
     end_of = F.min_by if backward else F.max_by
-    return tagged.groupBy(*keys, "segment").agg(
+    return tagged.groupBy("segment", *keys).agg(
         *[
             end_of(f"_new_{n}", F.when(F.col(f"_new_{n}").isNotNull(), F.struct(*order))).alias(f"_new_{n}")
             for n in names
@@ -153,7 +169,7 @@ def _entry(
     tails: DataFrame, segments: DataFrame, names: list[str], keys: list[str], backward: bool = False
 ) -> DataFrame:
     """``_in_`` columns: for each segment the last value of those before it."""
-    block = [*keys, "segment"]
+    block = ["segment", *keys]
     by_segment = _placed(["segment"], backward)
     start = Window.unboundedPreceding
     if segments is tails:
@@ -173,7 +189,7 @@ def _with_entry(
     local: DataFrame, entry: DataFrame, columns: list[str], names: list[str], keys: list[str]
 ) -> DataFrame:
     # One small row per segment on the build side: a hash join keeps the window's sort.
-    joined = local.join(entry.hint("shuffle_hash"), [*keys, "segment"], "left")
+    joined = local.join(entry.hint("shuffle_hash"), ["segment", *keys], "left")
     return joined.select(*columns, *[F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in names])
 
 
@@ -187,7 +203,7 @@ def running_sum(
 ) -> DataFrame:
     """Add running sums along the order; ``at`` counts the row itself, ``before`` only earlier rows."""
     at, before = at or {}, before or {}
-    block = [*keys, "segment"]
+    block = ["segment", *keys]
     start = Window.unboundedPreceding
     inside = Window.partitionBy(*block).orderBy(*order)
     frames = {n: inside.rowsBetween(start, Window.currentRow) for n in at}

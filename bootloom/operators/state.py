@@ -147,10 +147,10 @@ def fgbg_continued(
     ``known`` has the columns of :data:`FGBG_STATE`, one row per boot.  It goes
     in as an event and as a line before the first of each boot.
     """
-    first = [F.expr("cast(array() as array<bigint>)").alias("segment")]
+    first = [F.lit(-1).cast("bigint").alias("segment")]
     first += [F.lit(-(1 << 63)).cast("bigint").alias(c) for c in ORDER]
     entry = known.select(*BOOT, *first, "event", F.col("left").alias("_left0"), F.col("state").alias("_state0"))
-    is_entry = F.size("segment") == 0
+    is_entry = F.col("segment") == -1
     rows = lines.unionByName(entry.drop("event"), allowMissingColumns=True)
     events = _fronts(lines).unionByName(entry.drop("_left0", "_state0"))
     latest = as_of(rows, events, {"_event": F.col("event")})

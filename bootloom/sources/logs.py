@@ -13,7 +13,7 @@ RAW_PATTERN = "*.out.gz"
 STORE_SCHEMA = (
     "line string, device_id string, boot_id string, datetime timestamp_ntz, datetime_nanos bigint,"
     " logcat_token bigint, trace_us bigint, pid int, tid int, trace_time double, level string,"
-    " tag string, payload string, line_id bigint, segment array<bigint>"
+    " tag string, payload string, line_id bigint, segment bigint"
 )
 
 

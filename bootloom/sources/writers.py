@@ -31,8 +31,7 @@ def export_lines(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FI
 
 
 def _in_order(lines: DataFrame) -> DataFrame:
-    block = [*BOOT, "segment"]
-    return lines.repartition(*block).sortWithinPartitions(*block, *ORDER)
+    return lines.repartition("segment", *BOOT).sortWithinPartitions(*BOOT, "segment", *ORDER)
 
 
 def manifest(boots: DataFrame, files: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -67,8 +66,7 @@ def write_thermal_lines(lines: DataFrame, path: str, mode: str = "overwrite") ->
 def write_chunks(chunks: DataFrame, members: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Chunk headers and chunk lines as tables; a chunk is known by device, boot and its two tokens."""
     chunks.write.mode(mode).parquet(f"{path}/chunks")
-    spread = [*BOOT, "segment"]
-    members.repartition(*spread).sortWithinPartitions(*CHUNK, *ORDER).write.partitionBy("device_id").mode(
+    members.repartition("segment", *BOOT).sortWithinPartitions(*CHUNK, *ORDER).write.partitionBy("device_id").mode(
         mode
     ).parquet(f"{path}/lines")
 

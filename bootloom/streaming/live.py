@@ -36,7 +36,7 @@ def stream_loglines(
 def ingest_stream(lines: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Append the lines that have arrived to the store and stop; files seen before are not read again."""
     return (
-        lines.repartition(*BOOT, "segment")
+        lines.repartition("segment", *BOOT)
         .writeStream.format("parquet")
         .partitionBy(*BOOT)
         .option("path", store_path)

@@ -47,6 +47,9 @@ def test_hot_token_is_split_and_order_is_kept(spark):
     split = ordering.split_hot_segments(lines, limit=200)
     sizes = [r["count"] for r in split.groupBy("segment").count().collect()]
     assert max(sizes) <= 200 and sum(sizes) == len(text)
+    span = split.groupBy("segment").agg(F.min("logcat_token").alias("low"), F.max("logcat_token").alias("high"))
+    tokens = [(r.low, r.high) for r in span.orderBy("segment").collect()]
+    assert all(a[1] <= b[0] for a, b in zip(tokens, tokens[1:]))
 
     def numbered(df):
         return sorted((r.seq, r.logcat_token, r.trace_us) for r in ordering.with_seq(df).collect())

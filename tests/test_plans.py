@@ -34,8 +34,6 @@ def store(spark, tmp_path_factory):
 def test_one_run_of_the_line_pattern(spark):
     raw = spark.createDataFrame([("x",)], "value string")
     plan = plan_of(parse_loglines(raw).where("tag = 'T'").select("boot_id", "pid"))
-    assert len(re.findall(r"Generate \(", plan.split("\n\n\n")[0])) <= 1
-    assert "Filter" in plan
     assert sum("regexp_replace" in line for line in plan.splitlines()) == 1
 
 
