@@ -221,10 +221,8 @@ def gapless_chunks(chunks: DataFrame, members: DataFrame) -> DataFrame:
     return joined.where(F.coalesce(whole, between == 0)).select(*chunks.columns)
 
 
-def chunk_counts(chunks: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """``chunks`` per boot, and ``kept`` after a filter."""
+def chunk_counts(chunks: DataFrame, kept: DataFrame | None = None, keys: list[str] = BOOT) -> DataFrame:
+    """``chunks`` per boot, or per other keys, and ``kept`` after a filter."""
     kept = chunks if kept is None else kept
-    flags = chunks.select(*BOOT, F.lit(0).alias("_kept")).unionByName(kept.select(*BOOT, F.lit(1).alias("_kept")))
-    return flags.groupBy(*BOOT).agg(
-        F.sum(1 - F.col("_kept")).alias("chunks"), F.sum("_kept").alias("kept")
-    )
+    flags = chunks.select(*keys, F.lit(0).alias("_kept")).unionByName(kept.select(*keys, F.lit(1).alias("_kept")))
+    return flags.groupBy(*keys).agg(F.sum(1 - F.col("_kept")).alias("chunks"), F.sum("_kept").alias("kept"))

@@ -1,12 +1,16 @@
 """State of the phone as of each line: charging, foreground, suspend, CPUs, day.
 
-The trackers add columns to the lines they are given and keep every line, so
-several can follow each other.  Their transitions come as tables with one row
+The trackers add columns to the lines they are given and keep every line;
+:func:`track` runs several in one pass.  Their transitions come as tables with one row
 per change instead of callbacks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +24,63 @@ UNKNOWN = "UNKNOWN"
 _PLACE = [*BOOT, "segment", *ORDER]
 
 
-def _events(events: DataFrame, *columns: str) -> DataFrame:
-    return settle(events.select(*_PLACE, *columns))
+@dataclass(frozen=True)
+class Tracker:
+    """A state set by events of its own: column ``name``, as ``changes`` finds it in lines."""
 
+    name: str
+    changes: Callable[[DataFrame], DataFrame]
+    initial: str | int = UNKNOWN
 
-def charging_state(lines: DataFrame, empty_means_charging: bool = True) -> DataFrame:
-    """Add ``charging_state`` (UNKNOWN, CHARGING, UNPLUGGED); see :func:`is_charging_event`.
+
+def track(lines: DataFrame, *trackers: Tracker) -> DataFrame:
+    """Add the state of each tracker as of each line, all in one ordered pass."""
+    found = [t.changes(lines).select(*_PLACE, t.name) for t in trackers]
+    events = settle(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found))
+    tracked = as_of(lines, events, {t.name: F.col(t.name) for t in trackers})
+    return tracked.withColumns({t.name: F.coalesce(t.name, F.lit(t.initial)) for t in trackers})
+
+
+def charging(empty_means_charging: bool = True) -> Tracker:
+    """``charging_state``: UNKNOWN, CHARGING or UNPLUGGED.
 
     An empty charger field means CHARGING by default.  The discharge chunks read
     the field the other way round, which ``empty_means_charging=False`` gives.
     """
     empty, letters = ("CHARGING", "UNPLUGGED") if empty_means_charging else ("UNPLUGGED", "CHARGING")
-    state = F.when(F.col("chg") == "", empty).otherwise(letters)
-    tracked = as_of(lines, _events(healthd_events(lines), "chg"), {"charging_state": state})
-    return tracked.withColumn("charging_state", F.coalesce("charging_state", F.lit(UNKNOWN)))
+
+    def changes(lines: DataFrame) -> DataFrame:
+        state = F.when(F.col("chg") == "", empty).otherwise(letters)
+        return healthd_events(lines).withColumn("charging_state", state)
+
+    return Tracker("charging_state", changes)
+
+
+def suspending() -> Tracker:
+    """``suspend_state``: UNKNOWN, SUSPENDED or AWAKE."""
+
+    def changes(lines: DataFrame) -> DataFrame:
+        state = F.when(F.col("power") == "entry", "SUSPENDED").otherwise("AWAKE")
+        return power_events(lines.where(is_power_event())).withColumn("suspend_state", state)
+
+    return Tracker("suspend_state", changes)
+
+
+def fronting() -> Tracker:
+    """``active_pid``: pid of the latest foreground event, 0 before the first; no delay."""
+    return Tracker("active_pid", lambda lines: proc_foreground_events(lines).withColumn("active_pid", F.col("fg_pid")), 0)
+
+
+def charging_state(lines: DataFrame, empty_means_charging: bool = True) -> DataFrame:
+    """Add ``charging_state``, see :func:`charging`."""
+    return track(lines, charging(empty_means_charging))
+
+
+def charging_transitions(lines: DataFrame, empty_means_charging: bool = True) -> DataFrame:
+    """Battery reports with ``old_state`` and ``new_state`` (which may be equal)."""
+    reports = charging(empty_means_charging).changes(lines).withColumnRenamed("charging_state", "new_state")
+    tracked = carry(reports, before={"old_state": F.col("new_state")})
+    return tracked.withColumn("old_state", F.coalesce("old_state", F.lit(UNKNOWN)))
 
 
 def is_charging_event() -> Column:
@@ -42,11 +89,8 @@ def is_charging_event() -> Column:
 
 
 def suspend_state(lines: DataFrame) -> DataFrame:
-    """Add ``suspend_state`` (UNKNOWN, SUSPENDED, AWAKE)."""
-    state = F.when(F.col("power") == "entry", "SUSPENDED").otherwise("AWAKE")
-    events = _events(power_events(lines.where(is_power_event())), "power")
-    tracked = as_of(lines, events, {"suspend_state": state})
-    return tracked.withColumn("suspend_state", F.coalesce("suspend_state", F.lit(UNKNOWN)))
+    """Add ``suspend_state``, see :func:`suspending`."""
+    return track(lines, suspending())
 
 
 def suspend_transitions(lines: DataFrame) -> DataFrame:
@@ -167,9 +211,8 @@ def fgbg_continued(
 
 
 def active_pid(lines: DataFrame) -> DataFrame:
-    """Add ``active_pid``, the pid of the latest foreground event, 0 before the first; no delay."""
-    tracked = as_of(lines, _events(proc_foreground_events(lines), "fg_pid"), {"active_pid": F.col("fg_pid")})
-    return tracked.withColumn("active_pid", F.coalesce("active_pid", F.lit(0)))
+    """Add ``active_pid``, see :func:`fronting`."""
+    return track(lines, fronting())
 
 
 def active_use(lines: DataFrame) -> DataFrame:

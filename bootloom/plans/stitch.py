@@ -11,9 +11,13 @@ from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_l
 from bootloom.operators.lineage import settle
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
+from bootloom.plans.sizing import GZIP_RATIO, partitions_for
 from bootloom.sources.logs import RAW_PATTERN, boot_ids, list_files, new_files, read_raw_logs, read_store
 from bootloom.sources.writers import write_chunk_meta, write_chunks, write_manifest, write_stitched
 
+# A gzip file above this many bytes is spread over many tasks after reading.
+LARGE_FILE = 512 << 20
+
 
 def stitch(
     spark: SparkSession,
@@ -33,10 +37,14 @@ def stitch(
     """
     files = list_files(spark, raw_path, patterns)
     todo = files if processed is None else new_files(files, processed)
-    for names in batched((row.file_name for row in todo.select("file_name").toLocalIterator()), files_per_run):
-        raw = read_raw_logs(spark, list(names), patterns)
+    for run in batched(todo.select("file_name", "length").toLocalIterator(), files_per_run):
+        raw = read_raw_logs(spark, [f.file_name for f in run], patterns)
+        partitions = partitions_for(GZIP_RATIO * sum(f.length for f in run))
+        if max(f.length for f in run) > LARGE_FILE:
+            # One task must unzip it, but others can share its parsing.
+            raw = raw.repartition(partitions, "file_name", "block_start", "line_no")
         lines = settle(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
-        write_stitched(split_hot_segments(lines, 4 * segment_tokens), store_path)
+        write_stitched(split_hot_segments(lines, 4 * segment_tokens), store_path, partitions=partitions)
     write_manifest(read_store(spark, store_path), files, manifest_path)
 
 

@@ -53,14 +53,14 @@ def read_raw_logs(spark: SparkSession, path: str | list[str], patterns: str = RA
 
 
 def list_files(spark: SparkSession, path: str, patterns: str = RAW_PATTERN) -> DataFrame:
-    """``file_name`` and ``device_id`` of the files below ``path``; contents are not read."""
+    """``file_name``, ``device_id`` and ``length`` of the files below ``path``; contents are not read."""
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", name_glob(patterns))
         .option("recursiveFileLookup", True)
         .load(path)
     )
-    return listed.select(F.col("path").alias("file_name"), device_of_path(F.col("path")).alias("device_id"))
+    return listed.select(F.col("path").alias("file_name"), device_of_path(F.col("path")).alias("device_id"), "length")
 
 
 def list_devices(files: DataFrame) -> DataFrame:

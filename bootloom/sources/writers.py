@@ -13,13 +13,20 @@ from bootloom.plans.distributions import bounded_lists
 LINES_PER_FILE = 1_000_000
 
 
-def write_stitched(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE, mode: str = "append") -> None:
+def write_stitched(
+    lines: DataFrame,
+    path: str,
+    lines_per_file: int = LINES_PER_FILE,
+    mode: str = "append",
+    partitions: int | None = None,
+) -> None:
     """Parsed lines as a table with a directory per device and boot, sorted inside each file.
 
     The one shuffle is on (boot, segment): a boot is written by as many tasks as
     it has segments, and its files follow each other in token order.
+    ``partitions`` sizes that shuffle, see :mod:`bootloom.plans.sizing`.
     """
-    _in_order(lines).write.partitionBy(*BOOT).option("maxRecordsPerFile", lines_per_file).mode(mode).parquet(path)
+    _in_order(lines, partitions).write.partitionBy(*BOOT).option("maxRecordsPerFile", lines_per_file).mode(mode).parquet(path)
 
 
 def export_lines(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE, mode: str = "append") -> None:
@@ -30,8 +37,10 @@ def export_lines(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FI
     ).text(path)
 
 
-def _in_order(lines: DataFrame) -> DataFrame:
-    return lines.repartition("segment", *BOOT).sortWithinPartitions(*BOOT, "segment", *ORDER)
+def _in_order(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+    spread = ["segment", *BOOT]
+    together = lines.repartition(partitions, *spread) if partitions else lines.repartition(*spread)
+    return together.sortWithinPartitions(*BOOT, "segment", *ORDER)
 
 
 def manifest(boots: DataFrame, files: DataFrame, limit: int = 100_000) -> DataFrame:

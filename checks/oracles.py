@@ -387,6 +387,9 @@ for _name, _where in [
     oracle(_name, f"SELECT {AT} FROM loglines WHERE {_where}")
 
 oracle("charging_state", f"SELECT {AT}, charging_state, is_charging_event FROM charging", _TRACKED)
+oracle("charging_transitions", f"""SELECT {AT}, CASE WHEN chg = '' THEN 'CHARGING' ELSE 'UNPLUGGED' END AS new_state,
+  CASE lag(chg = '') OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token)
+    WHEN true THEN 'CHARGING' WHEN false THEN 'UNPLUGGED' ELSE 'UNKNOWN' END AS old_state FROM healthd""")
 oracle("in_state", f"SELECT {AT} FROM charging WHERE charging_state = 'UNPLUGGED'", _TRACKED)
 oracle("exclusive", f"SELECT {AT}, suspend_state FROM charging WHERE is_suspend_event", _TRACKED)
 oracle("suspend_state", f"SELECT {AT}, suspend_state FROM charging", _TRACKED)
@@ -460,6 +463,8 @@ oracle("gapless_chunks", f"""SELECT {_CHUNK.replace('device_id, boot_id', 'c.dev
 oracle("chunk_filter", f"SELECT {_CHUNK} FROM chunks WHERE start_level >= 90 AND end_temp > start_temp", _CUT)
 oracle("chunk_counts", """SELECT device_id, boot_id, count(*) AS chunks, count(*) FILTER (start_level >= 90) AS kept
   FROM chunks GROUP BY ALL""", _CUT)
+oracle("chunk_counts_by_device", """SELECT device_id, count(*) AS chunks, count(*) FILTER (end_temp > start_temp) AS kept
+  FROM chunks GROUP BY ALL""", _CUT)
 oracle("chunk_meta", """SELECT b.device_id, b.boot_id, count(start_token) AS chunks
   FROM (SELECT DISTINCT device_id, boot_id FROM loglines) b LEFT JOIN chunks USING (device_id, boot_id) GROUP BY ALL""", _CUT)
 oracle("read_chunks", f"""SELECT {_CHUNK}, (SELECT count(*) FROM members m WHERE m.device_id = c.device_id

@@ -150,6 +150,11 @@ def charging_state(spark, sf):
     return tracked.select(*AT, "charging_state", state.is_charging_event().alias("is_charging_event"))
 
 
+@query
+def charging_transitions(spark, sf):
+    return state.charging_transitions(telemetry_loglines(spark, sf)).select(*AT, "old_state", "new_state")
+
+
 @query
 def in_state(spark, sf):
     return pr.in_state(state.charging_state(telemetry_loglines(spark, sf)), "charging_state", "UNPLUGGED").select(*AT)
@@ -164,7 +169,8 @@ def exclusive(spark, sf):
 
 @query
 def apply_all(spark, sf):
-    tracked = state.active_pid(state.suspend_state(state.charging_state(telemetry_loglines(spark, sf))))
+    trackers = [state.charging(), state.suspending(), state.fronting()]
+    tracked = state.track(telemetry_loglines(spark, sf), *trackers)
     return tracked.groupBy("charging_state", "suspend_state", (F.col("active_pid") != 0).alias("active")).agg(
         F.count("*").alias("lines")
     )
@@ -370,6 +376,12 @@ def chunk_counts(spark, sf):
     return ck.chunk_counts(chunks, ck.chunk_filter(chunks, F.col("start.l") >= 90))
 
 
+@query
+def chunk_counts_by_device(spark, sf):
+    chunks = ck.discharge_chunks(telemetry_loglines(spark, sf))
+    return ck.chunk_counts(chunks, ck.chunk_filter(chunks, F.col("end.t") > F.col("start.t")), keys=["device_id"])
+
+
 @query
 def chunk_meta(spark, sf):
     path = scratch(spark, "meta")
