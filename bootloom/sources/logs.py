@@ -13,7 +13,8 @@ RAW_PATTERN = "*.out.gz"
 STORE_SCHEMA = (
     "line string, device_id string, boot_id string, datetime timestamp_ntz, datetime_nanos bigint,"
     " logcat_token bigint, trace_us bigint, pid int, tid int, trace_time double, level string,"
-    " tag string, payload string, line_id bigint, segment bigint"
+    " tag string, payload string, line_id bigint, segment bigint, payload_chars int,"
+    " file_name string, block_start bigint, line_no bigint"
 )
 
 
@@ -81,9 +82,28 @@ def device_intersection(devices: DataFrame, wanted: DataFrame) -> DataFrame:
     return devices.select("device_id").intersect(wanted.select("device_id"))
 
 
+def packed(lines: DataFrame) -> DataFrame:
+    """Parsed lines for storing: a payload that ends its line is kept as a length only."""
+    return lines.withColumns(
+        {
+            "payload_chars": F.length("payload"),
+            "payload": F.when(~F.col("line").endswith(F.col("payload")), F.col("payload")),
+        }
+    )
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    """Parsed lines from what :func:`packed` stored."""
+    payload = F.coalesce("payload", F.expr("right(line, payload_chars)"))
+    return stored.withColumn("payload", payload).drop("payload_chars")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed lines written by :func:`bootloom.sources.writers.write_stitched`."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+    """Parsed lines written by :func:`bootloom.sources.writers.write_stitched`.
+
+    The place of a line in its raw file is NULL where it was not known.
+    """
+    return unpacked(spark.read.schema(STORE_SCHEMA).parquet(path))
 
 
 def read_boot(store: DataFrame, device_id: str, boot_id: str, *predicates: Column) -> DataFrame:
@@ -173,7 +193,7 @@ def boot_ids(lines: DataFrame) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chunk headers and chunk lines written by :func:`bootloom.sources.writers.write_chunks`."""
-    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/lines")
+    return spark.read.parquet(f"{path}/chunks"), unpacked(spark.read.parquet(f"{path}/lines"))
 
 
 # Names of the fields in chunk dumps.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from bootloom.functions.text import epoch_micros
 from bootloom.operators.lineage import shared_dir
 from bootloom.operators.loglines import parse_loglines
+from bootloom.sources.logs import packed, unpacked
 
 _NUMBERS = {
     "k": "event_id",
@@ -117,4 +118,4 @@ def parsed_lines(spark: SparkSession, sf_dir: str, segment_tokens: int = 4096) -
 
 def telemetry_loglines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered lines as a table of parsed lines, as the stitch run leaves them."""
-    return _once(spark, sf_dir, "lines", lambda: parsed_lines(spark, sf_dir))
+    return unpacked(_once(spark, sf_dir, "lines", lambda: packed(parsed_lines(spark, sf_dir))))

@@ -9,6 +9,7 @@ from bootloom.operators.chunks import CHUNK
 from bootloom.operators.events import thermal_events
 from bootloom.operators.ordering import BOOT, ORDER
 from bootloom.plans.distributions import bounded_lists
+from bootloom.sources.logs import packed
 
 LINES_PER_FILE = 1_000_000
 
@@ -26,7 +27,8 @@ def write_stitched(
     it has segments, and its files follow each other in token order.
     ``partitions`` sizes that shuffle, see :mod:`bootloom.plans.sizing`.
     """
-    _in_order(lines, partitions).write.partitionBy(*BOOT).option("maxRecordsPerFile", lines_per_file).mode(mode).parquet(path)
+    stored = _in_order(packed(lines).drop("file_device"), partitions)
+    stored.write.partitionBy(*BOOT).option("maxRecordsPerFile", lines_per_file).mode(mode).parquet(path)
 
 
 def export_lines(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE, mode: str = "append") -> None:
@@ -75,7 +77,7 @@ def write_thermal_lines(lines: DataFrame, path: str, mode: str = "overwrite") ->
 def write_chunks(chunks: DataFrame, members: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Chunk headers and chunk lines as tables; a chunk is known by device, boot and its two tokens."""
     chunks.write.mode(mode).parquet(f"{path}/chunks")
-    members.repartition("segment", *BOOT).sortWithinPartitions(*CHUNK, *ORDER).write.partitionBy("device_id").mode(
+    packed(members).repartition("segment", *BOOT).sortWithinPartitions(*CHUNK, *ORDER).write.partitionBy("device_id").mode(
         mode
     ).parquet(f"{path}/lines")
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import BOOT, SEGMENT_TOKENS
 from bootloom.operators.state import FGBG_STATE, fgbg_continued
-from bootloom.sources.logs import RAW_PATTERN, device_of_path, name_glob, without_return
+from bootloom.sources.logs import RAW_PATTERN, device_of_path, name_glob, packed, without_return
 
 
 def stream_loglines(
@@ -36,7 +36,7 @@ def stream_loglines(
 def ingest_stream(lines: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Append the lines that have arrived to the store and stop; files seen before are not read again."""
     return (
-        lines.repartition("segment", *BOOT)
+        packed(lines).repartition("segment", *BOOT)
         .writeStream.format("parquet")
         .partitionBy(*BOOT)
         .option("path", store_path)

@@ -89,6 +89,9 @@ def test_stitch_keeps_every_line_in_order(spark, upload):
     read = logs.read_manifest(spark, manifest, "*.json", multi_line=False).collect()
     assert {r.device_id: (r.bootids, len(r.files)) for r in read} == {d: ([records[d][0].boot], 3) for d in DEVICES}
 
+    # The places of lines in their files are kept, and so can be checked.
+    assert quality.token_order_violations(lines.drop("segment"), strict=True).count() == 0
+
     # A second run takes the new file only.
     extra = [device_line(10_000_000, 1, "T", "late", records[DEVICES[0]][0].boot)]
     write_gz(path / "raw" / DEVICES[0] / "9.out.gz", extra)
