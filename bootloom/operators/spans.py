@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bootloom.operators.ordering import BOOT, carry
+from bootloom.operators.lineage import settle
+from bootloom.operators.ordering import BOOT, ORDER, carry
 
 
 def freq_spans(events: DataFrame, close_on_offline: bool = False) -> DataFrame:
@@ -66,11 +67,15 @@ def freq_combinations(events: DataFrame, cpus: int = 4) -> DataFrame:
         known = (online[n] == "offline") | ((online[n] == "online") & (F.coalesce(f"_freq{n}", F.lit(-1)) != -1))
         full = full & F.coalesce(known, F.lit(False))
     freqs = F.array(*[F.when(online[n] == "online", F.col(f"_freq{n}").cast("string")) for n in range(cpus)])
-    keyed = found.select(
-        *events.columns,
-        "_seen",
-        full.alias("_full"),
-        F.array_join(F.array_sort(F.array_compact(freqs)), "-").alias("freq_key"),
+    keyed = settle(
+        found.select(
+            *BOOT,
+            "segment",
+            *ORDER,
+            "_seen",
+            full.alias("_full"),
+            F.array_join(F.array_sort(F.array_compact(freqs)), "-").alias("freq_key"),
+        )
     )
     started = F.when(F.col("_full") | F.col("_seen").isNull(), F.col("trace_us"))
     return (

@@ -193,7 +193,9 @@ def boot_ids(lines: DataFrame) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chunk headers and chunk lines written by :func:`bootloom.sources.writers.write_chunks`."""
-    return spark.read.parquet(f"{path}/chunks"), unpacked(spark.read.parquet(f"{path}/lines"))
+    # Stated, because a partitioned table without rows has no file to tell its schema.
+    members = spark.read.schema(f"{STORE_SCHEMA}, start_token bigint, end_token bigint")
+    return spark.read.parquet(f"{path}/chunks"), unpacked(members.parquet(f"{path}/lines"))
 
 
 # Names of the fields in chunk dumps.
