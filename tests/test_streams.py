@@ -44,6 +44,7 @@ def test_foreground_over_many_batches(spark, tmp_path):
 
 def test_days_are_counted_and_late_lines_left_out(spark, tmp_path):
     raw = tmp_path / "raw"
+    raw.mkdir()
     counted = (
         live.daily_counts(live.stream_loglines(spark, str(raw)))
         .writeStream.outputMode("append")
@@ -51,7 +52,7 @@ def test_days_are_counted_and_late_lines_left_out(spark, tmp_path):
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "offsets"))
         .trigger(availableNow=True)
-    ) if raw.mkdir() is None else None
+    )
     put(raw, "0.out.gz", [device_line(t, t, "T", "x", day=1) for t in range(5)])
     counted.start().awaitTermination()
     put(raw, "1.out.gz", [device_line(9, 9, "T", "x", day=3)])
