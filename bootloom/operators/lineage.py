@@ -8,18 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A session without that setting gets a folder of its own if it runs inside one
+    process (``local[...]``), where any folder is shared.  On a cluster a folder
+    of one machine would lose rows without a word, so there it is an error.
+    """
     named = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        application = spark.sparkContext.applicationId
-        if application not in _local:
-            _local[application] = tempfile.mkdtemp(prefix="bootloom-")
-        named = _local[application]
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {SHARED_DIR} to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="bootloom-")
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -27,9 +32,23 @@ def settle(df: DataFrame) -> DataFrame:
 
     Ordered scans read their input twice, and stacked ones more often.  Settling
     the narrow table of events between them means that the text is parsed once
-    and that a lost executor costs no more than one stage.  The folder is the
-    cluster's to clear.
+    and that a lost executor costs no more than one stage.  If the driver finds
+    no file of what the executors wrote, that is an error, not an empty table.
     """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not written.inputFiles():
+        raise OSError(f"{path} has no files: is {SHARED_DIR} shared by driver and executors?")
+    return written
+
+
+def drop_settled(df: DataFrame) -> None:
+    """Remove the files of settled tables that ``df`` was read from; call it when no more plan needs them."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/settled-" in folder:
+            system.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
