@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bootloom.llm import bpe, token_counts
+from bootloom.llm import bpe, decontamination, simhash, token_counts, toxicity
+from bootloom.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,28 @@ def op1_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op3_decontamination(spark, sf):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = decontamination.decontaminated(documents(spark, sf).select("doc_id", "text"), benchmark)
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+@query
+def op5_toxicity(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    held_out = (bucket_of(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out")
+    return toxicity.scored(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query
+def op6_simhash(spark, sf):
+    found = simhash.near_duplicates(documents(spark, sf))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op10_bpe(spark, sf):
     coded = bpe.bpe_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
