@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 
 from bootloom.llm.common import cut_at_space
 
-PART_BYTES = 1 << 19
-REMEMBERED = 1 << 19
+#: Bytes of text that are worked off at once, and words and pieces that a worker remembers in each of two generations.
+PART_BYTES = 1 << 22
+REMEMBERED = 300_000
 #: Fixed value: the split pattern of word-level files as their JSON has it, and the same for lower-case printable ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and the Latin letters whose normal form is themselves and whose lower case is one letter.
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ňŊ-ž]+")
+#: The split pattern for lower-case text of these characters.
+_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|[0-9]|[^a-z0-9ß-ž]+")
+#: How byte-level vocabularies write the bytes that are not printable: with code points from 256 on, in order.
+_UNSHOWN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_UNSHOWN)}
 
 
 class Vocabulary:
@@ -170,35 +177,52 @@ class Codec:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")" if self.special else "(?!)")
         self.plain_split = SPLIT in content
+        # Ids and decoded text of pieces between white space, and of words; those in use, and those in use before.
         self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.known_before: dict[bytes, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words_before: dict[str, tuple[bytes, str]] = {}
 
     def _split(self, text: str) -> Iterator[tuple[bool, str]]:
         """(special or not, special string or word in the vocabulary's alphabet) of a text without white space."""
         for part in self.special_pattern.split(text) if "<" in text else [text]:
             if part in self.special:
                 yield True, part
-            elif part and self.plain_split and part.isascii() and part.isprintable():
-                for word in _ASCII_WORD.findall(part.lower()):
-                    yield False, word
+            elif part and self.plain_split and _LATIN.fullmatch(part):
+                for word in _LATIN_WORD.findall(part.lower()):
+                    yield False, word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
             elif part:
                 for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
                     yield False, word
 
     def learn(self, pieces: set[bytes]) -> None:
+        """Have all of ``pieces`` in ``known``; the words that are new are encoded in one trie."""
         if len(self.known) > self.remembered:
-            self.known.clear()
-        trie, found = Trie(self.vocabulary), {}
-        for piece in pieces.difference(self.known):
-            found[piece] = list(self._split(piece.decode()))
-            for special, word in found[piece]:
-                if not special:
-                    trie.insert(word)
-        encoded = dict(trie.encodings())
+            self.known, self.known_before = {}, self.known
+        if len(self.words) > self.remembered:
+            self.words, self.words_before = {}, self.words
+        known, words, trie = self.known, self.words, Trie(self.vocabulary)
+        found: dict[bytes, list[tuple[bool, str]]] = {}
+        new: set[str] = set()
+        for piece in pieces.difference(known):
+            if (before := self.known_before.get(piece)) is not None:
+                known[piece] = before
+                continue
+            split = found[piece] = list(self._split(piece.decode()))
+            for special, word in split:
+                if not special and word not in words:
+                    if (before_word := self.words_before.get(word)) is not None:
+                        words[word] = before_word
+                    else:
+                        new.add(word)
+        for word in new:
+            trie.insert(word)
         ids = self.vocabulary.ids
-        for piece, words in found.items():
-            tokens = [t for special, word in words for t in ([word] if special else encoded[word])]
-            numbers = [self.special[t] if t in self.special else ids[t] for t in tokens]
-            self.known[piece] = struct.pack(f"<{len(numbers)}I", *numbers), " ".join(tokens)
+        for word, tokens in trie.encodings():
+            words[word] = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
+        for piece, split in found.items():
+            parts = [(struct.pack("<I", self.special[w]), w) if special else words[w] for special, w in split]
+            known[piece] = parts[0] if len(parts) == 1 else (b"".join(i for i, _ in parts), " ".join(d for _, d in parts))
 
     def results(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
         """Number of tokens, ids and decoded text of each text, worked off in parts of bounded size."""
