@@ -10,8 +10,8 @@ from bootloom.operators.lineage import settle
 
 #: The band of inverse document frequency, ln(documents / documents with the term).
 LEAST_IDF, MOST_IDF = 3.0, 6.9
-#: Of each share of the lexicon, this many random subsets.
-SHARES, SUBSETS = (1.0, 0.25, 0.0625, 0.015625), 4
+#: Of each share of the lexicon, this many random subsets: sparse ones tell long texts apart, dense ones short texts.
+SHARES, SUBSETS = tuple(2.0**-k for k in range(2, 10)), 3
 #: Terms of a lexicon that is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_TERMS = 500_000
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bootloom.llm import bpe, decontamination, simhash, token_counts, toxicity
+from bootloom.llm import bpe, decontamination, fingerprints, licenses, simhash, spans, token_counts, toxicity
 from bootloom.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_decontamination(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
+@query
+def op4_fingerprints(spark, sf):
+    return fingerprints.fingerprints(documents(spark, sf))
+
+
 @query
 def op5_toxicity(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
@@ -53,6 +58,16 @@ def op6_simhash(spark, sf):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op8_licenses(spark, sf):
+    return licenses.license_scan(documents(spark, sf))
+
+
+@query
+def op9_spans(spark, sf):
+    return spans.without_repeats(documents(spark, sf).select("doc_id", "text"))
+
+
 @query
 def op10_bpe(spark, sf):
     coded = bpe.bpe_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
