@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bootloom.llm import bpe, decontamination, fingerprints, licenses, simhash, spans, token_counts, toxicity
+from bootloom.llm import bpe, decontamination, fingerprints, language_model, licenses, simhash, spans, token_counts
+from bootloom.llm import toxicity, urls
 from bootloom.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,22 @@ def op1_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op2_language_model(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    learned = language_model.learned_from(F.col("doc_id"))
+    model = language_model.train(docs.where(learned))
+    return language_model.scored(docs, model).select(
+        "doc_id",
+        (~learned).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op3_decontamination(spark, sf):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -58,6 +75,12 @@ def op6_simhash(spark, sf):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_urls(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op8_licenses(spark, sf):
     return licenses.license_scan(documents(spark, sf))
