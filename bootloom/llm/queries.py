@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from bootloom.llm import bpe, decontamination, fingerprints, language_model, licenses, simhash, spans, token_counts
 from bootloom.llm import toxicity, urls
+from bootloom.llm.oracles import ORACLES as SQL
 from bootloom.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(SQL)
 
 
 def query(fn: Query) -> Query:

@@ -160,3 +160,12 @@ def near_duplicates(
         F.col("least.doc_id").alias("component_id"),
         (F.struct(*KEY) == F.struct(*[F.col(f"least.{k}") for k in KEY])).alias("stays"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The documents that stay, with all their columns: one of each group that ``near_duplicates`` finds.
+
+    Rows equal in id and text are one document, so they stay or go together.
+    """
+    found = near_duplicates(docs, text=text, doc_id=doc_id, **settings)
+    return with_key(docs, text, doc_id).join(found.where("stays").select(*KEY).distinct(), KEY, "left_semi").drop(*KEY)
