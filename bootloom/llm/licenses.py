@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bootloom.llm.common import KEY, plain_words, with_key
@@ -86,7 +86,8 @@ def license_scan(
     """One row per document: id, ``n_words``, phrase places, labels and ``score``.
 
     A label comes from a phrase whose words stand consecutively anywhere, or from
-    a line that has at least ``threshold`` of the distinct words of a template.
+    a line that has at least ``threshold`` of the distinct words of a template; of
+    several templates that a line meets, those with the largest share label it.
     ``score`` is 1 where a phrase is found, else the largest share of a template
     that a matching line contains, else 0.  Null texts count as empty; rows equal
     in id and text are one document and get the same result.
@@ -142,8 +143,10 @@ def license_scan(
     )
     shared = F.size(F.array_intersect("template", "block"))
     matched = met.withColumn("shared", shared).where("shared >= least")
-    found = matched.groupBy(*KEY).agg(
-        F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("template")).alias("share")
+    matched = matched.withColumn("share", F.col("shared") / F.size("template"))
+    best = F.max("share").over(Window.partitionBy(*KEY, "block"))
+    found = matched.withColumn("best", best).where("share = best").groupBy(*KEY).agg(
+        F.collect_set("label").alias("more"), F.max("share").alias("share")
     )
     none = F.array().cast("array<string>")
     return table.join(found, KEY, "left").select(

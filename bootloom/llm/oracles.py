@@ -59,8 +59,9 @@ placed as (select doc_id, count(*) as n, min(start) as a, max(start) as b,
 blocks as (select distinct doc_id, list_distinct({words("line")}) as w
            from (select doc_id, unnest(lines) as line from docs)),
 templates(id, label, w, least) as (values {templates}),
-near as (select doc_id, label, len(list_intersect(b.w, t.w)) / len(t.w) as share
-         from blocks b, templates t where len(list_intersect(b.w, t.w)) >= least),
+met as (select doc_id, b.w as block, label, len(list_intersect(b.w, t.w)) / len(t.w) as share
+        from blocks b, templates t where len(list_intersect(b.w, t.w)) >= least),
+near as (select doc_id, label, share from met qualify share = max(share) over (partition by doc_id, list_sort(block))),
 every as (select doc_id, string_agg(distinct label, ',' order by label) as labels
           from (select doc_id, label from base union select doc_id, label from near) group by doc_id),
 best as (select doc_id, max(share) as share from near group by doc_id)

@@ -78,7 +78,6 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
     }
     suffixes = {
         "s_host": F.substring_index(host, ".", -2),
-        "s_site": F.substring_index(host, ".", -3),
         "s_file": F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)),
     }
     return pages.withColumns(features | suffixes)
@@ -88,7 +87,7 @@ FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_hyphens", "f_digits", "f_host_digits",
     "f_entropy", "f_path_entropy", "f_parameters", "f_fragment", "f_secure",
 ]
-SUFFIXES = ["s_host", "s_site", "s_file"]
+SUFFIXES = ["s_host", "s_file"]
 
 
 def _statistics(labelled: DataFrame, suffix: str, overall: float) -> DataFrame:
