@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import math
@@ -17,7 +18,7 @@ from bootloom.llm.common import cut_at_space
 
 #: Bytes of text that are worked off at once, and words and pieces that a worker remembers in each of two generations.
 PART_BYTES = 1 << 22
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Fixed value: the split pattern of word-level files as their JSON has it, and the same for lower-case printable ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Printable ASCII and the Latin letters whose normal form is themselves and whose lower case is one letter.
@@ -38,7 +39,11 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()}
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.ranks = {p: rank for rank, p in enumerate(pairs)}
-        self.longest = max(map(len, self.ids), default=0)
+        # By last symbol: the most characters of a token that ends with it.
+        self.reach: dict[str, int] = {}
+        for token in self.ids:
+            *body, symbol = self.symbols(token)
+            self.reach[symbol] = max(self.reach.get(symbol, 0), len(body) + 1)
         self._spines: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
 
@@ -103,7 +108,11 @@ class Vocabulary:
 
 
 class Trie:
-    """Distinct words by symbol.  Each node stands for a prefix; a prefix that words share is one node."""
+    """Distinct words by symbol.  Each node stands for a prefix; a prefix that words share is one node.
+
+    A node is a dict by symbol; under a word's last symbol, with the end mark,
+    is the word itself.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -112,8 +121,11 @@ class Trie:
     def insert(self, word: str) -> None:
         node = self.root
         for char in word[:-1]:
-            node = node.setdefault(char, {})
-        node.setdefault(word[-1] + self.vocabulary.end, {})[None] = word
+            below = node.get(char)
+            if below is None:
+                below = node[char] = {}
+            node = below
+        node[word[-1] + self.vocabulary.end] = word
 
     def encodings(self) -> Iterator[tuple[str, list[str]]]:
         """Each word with its tokens.
@@ -131,20 +143,30 @@ class Trie:
         while stack:
             prefix, depth, node = stack.pop()
             del last[depth:]
-            last.append(self._last_token(prefix, depth, last))
-            if None in node:
-                yield node[None], self._tokens(last, end)
-            stack += [(prefix + symbol, depth + 1, below) for symbol, below in node.items() if symbol]
+            while True:
+                last.append(self._last_token(prefix, depth, last))
+                if type(node) is str:
+                    yield node, self._tokens(last, end)
+                    break
+                if len(node) > 1:
+                    stack += [(prefix + symbol, depth + 1, below) for symbol, below in node.items()]
+                    break
+                # A prefix with one continuation goes on without the stack.
+                ((symbol, node),) = node.items()
+                prefix += symbol
+                depth += 1
 
     def _last_token(self, prefix: str, depth: int, last: list[str]) -> str:
         """``prefix`` has ``depth`` characters, and the end mark after them if a word ends here."""
-        ids, pairs, fits = self.vocabulary.ids, self.vocabulary._pairs, self.vocabulary.side_by_side
-        for start in range(max(0, depth - self.vocabulary.longest), depth):
+        vocabulary = self.vocabulary
+        ids, pairs = vocabulary.ids, vocabulary._pairs
+        reach = vocabulary.reach.get(prefix[depth - 1 :], 0)
+        for start in range(depth - reach if depth > reach else 0, depth):
             token = prefix[start:]
             if token in ids:
                 before = last[start]
                 known = pairs.get((before, token))
-                if known or known is None and fits(before, token):
+                if known or known is None and vocabulary.side_by_side(before, token):
                     return token
         raise ValueError(f"no token ends {prefix!r}: a symbol is not in the vocabulary")
 
@@ -152,10 +174,12 @@ class Trie:
     def _tokens(last: list[str], end: int) -> list[str]:
         tokens, at = [], len(last) - 1
         while at > 0:
-            tokens.append(last[at])
-            at -= len(last[at]) - end
+            token = last[at]
+            tokens.append(token)
+            at -= len(token) - end
             end = 0
-        return tokens[::-1]
+        tokens.reverse()
+        return tokens
 
 
 class Codec:
@@ -163,7 +187,9 @@ class Codec:
 
     The words between white space are remembered with their ids, so a word is
     split and encoded once.  Normal form and split of a word that is not plain
-    ASCII are the library's own.
+    Latin text are the library's own.  What is remembered has two generations:
+    once the newer one is full it becomes the older one, and what is still in
+    use comes back from there.
     """
 
     def __init__(self, content: str, part_bytes: int = PART_BYTES, remembered: int = REMEMBERED):
@@ -173,56 +199,68 @@ class Codec:
         config = json.loads(content)
         self.vocabulary = Vocabulary(config["model"])
         self.library = Tokenizer.from_str(content)
-        self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")" if self.special else "(?!)")
+        special = sorted((t["content"] for t in config["added_tokens"]), key=len, reverse=True)
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else "(?!)")
+        # Special strings are no words, as a word never has letters next to signs; so they can stand among the words.
+        self.special = {t["content"]: (struct.pack("<I", t["id"]), t["content"] + " ") for t in config["added_tokens"]}
         self.plain_split = SPLIT in content
-        # Ids and decoded text of pieces between white space, and of words; those in use, and those in use before.
-        self.known: dict[bytes, tuple[bytes, str]] = {}
-        self.known_before: dict[bytes, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        # Of pieces between white space: ids, and tokens each followed by a space.
+        self.ids: dict[bytes, bytes] = {}
+        self.texts: dict[bytes, str] = {}
+        self.before: tuple[dict[bytes, bytes], dict[bytes, str]] = {}, {}
+        self.words: dict[str, tuple[bytes, str]] = dict(self.special)
         self.words_before: dict[str, tuple[bytes, str]] = {}
 
-    def _split(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(special or not, special string or word in the vocabulary's alphabet) of a text without white space."""
-        for part in self.special_pattern.split(text) if "<" in text else [text]:
+    def _split(self, text: str) -> list[str]:
+        """Words in the vocabulary's alphabet and special strings of a text without white space."""
+        if self.plain_split and _LATIN.fullmatch(text) and "<|" not in text:
+            words = _LATIN_WORD.findall(text.lower())
+            if text.isascii():
+                return words
+            return [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in words]
+        found = []
+        for part in self.special_pattern.split(text):
             if part in self.special:
-                yield True, part
-            elif part and self.plain_split and _LATIN.fullmatch(part):
-                for word in _LATIN_WORD.findall(part.lower()):
-                    yield False, word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                found.append(part)
             elif part:
-                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    yield False, word
+                normal = self.library.normalizer.normalize_str(part)
+                found += [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return found
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Have all of ``pieces`` in ``known``; the words that are new are encoded in one trie."""
-        if len(self.known) > self.remembered:
-            self.known, self.known_before = {}, self.known
+        """Have ids and text of all of ``pieces``; the words that are new are encoded in one trie."""
+        if len(self.ids) > self.remembered:
+            self.before, self.ids, self.texts = (self.ids, self.texts), {}, {}
         if len(self.words) > self.remembered:
-            self.words, self.words_before = {}, self.words
-        known, words, trie = self.known, self.words, Trie(self.vocabulary)
-        found: dict[bytes, list[tuple[bool, str]]] = {}
+            self.words_before, self.words = self.words, dict(self.special)
+        ids, texts, words, words_before = self.ids, self.texts, self.words, self.words_before
+        ids_before, texts_before = self.before
+        found: list[tuple[bytes, list[str]]] = []
         new: set[str] = set()
-        for piece in pieces.difference(known):
-            if (before := self.known_before.get(piece)) is not None:
-                known[piece] = before
+        for piece in pieces.difference(ids):
+            if piece in ids_before:
+                ids[piece], texts[piece] = ids_before[piece], texts_before[piece]
                 continue
-            split = found[piece] = list(self._split(piece.decode()))
-            for special, word in split:
-                if not special and word not in words:
-                    if (before_word := self.words_before.get(word)) is not None:
-                        words[word] = before_word
+            split = [piece.decode().lower()] if piece.isalpha() else self._split(piece.decode())
+            found.append((piece, split))
+            for word in split:
+                if word not in words:
+                    if word in words_before:
+                        words[word] = words_before[word]
                     else:
                         new.add(word)
+        trie = Trie(self.vocabulary)
         for word in new:
             trie.insert(word)
-        ids = self.vocabulary.ids
+        numbers = self.vocabulary.ids
         for word, tokens in trie.encodings():
-            words[word] = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
-        for piece, split in found.items():
-            parts = [(struct.pack("<I", self.special[w]), w) if special else words[w] for special, w in split]
-            known[piece] = parts[0] if len(parts) == 1 else (b"".join(i for i, _ in parts), " ".join(d for _, d in parts))
+            words[word] = struct.pack(f"<{len(tokens)}I", *[numbers[t] for t in tokens]), " ".join(tokens) + " "
+        for piece, split in found:
+            if len(split) == 1:
+                ids[piece], texts[piece] = words[split[0]]
+            else:
+                got = [words[w] for w in split]
+                ids[piece], texts[piece] = b"".join([i for i, _ in got]), "".join([t for _, t in got])
 
     def results(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
         """Number of tokens, ids and decoded text of each text, worked off in parts of bounded size."""
@@ -237,14 +275,18 @@ class Codec:
                     waiting, size = [], 0
         self._settle(waiting, rows)
         for parts in rows:
-            ids = b"".join(i for i, _ in parts)
-            yield len(ids) // 4, ids, " ".join(d for _, d in parts if d)
+            ids = b"".join([i for i, _ in parts])
+            yield len(ids) // 4, ids, "".join([t for _, t in parts])[:-1]
 
     def _settle(self, waiting: list[tuple[int, list[bytes]]], rows: list[list[tuple[bytes, str]]]) -> None:
-        self.learn(set().union(*(pieces for _, pieces in waiting)))
+        gc.disable()  # many small containers and no cycles among them
+        try:
+            self.learn(set().union(*(pieces for _, pieces in waiting)))
+        finally:
+            gc.enable()
+        ids_of, text_of = self.ids.__getitem__, self.texts.__getitem__
         for row, pieces in waiting:
-            got = [self.known[p] for p in pieces]
-            rows[row].append((b"".join([i for i, _ in got]), " ".join([d for _, d in got if d])))
+            rows[row].append((b"".join(map(ids_of, pieces)), "".join(map(text_of, pieces))))
 
 
 _codecs: dict[int, Codec] = {}

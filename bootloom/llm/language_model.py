@@ -24,7 +24,7 @@ TRUST = 0.25
 #: Filter and counts up to this size are broadcast; larger ones stay distributed.
 BROADCAST_BYTES = 160 << 20
 #: Tokens that are worked on at once.
-STEP = 1 << 21
+STEP = 1 << 19
 _END = "\n"  # no word has a line end in it
 
 
@@ -190,6 +190,7 @@ def _on_driver(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray
     names = np.asarray(table.column("name").combine_chunks(), np.int64).view(np.uint64)
     order = np.argsort(names)
     counts = np.asarray(table.column("n").combine_chunks(), np.int64)[order]
+    counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
     bits = np.zeros(model.n_blocks * (BLOCK_BITS // 8), np.uint8)
     for row in model.blocks.toLocalIterator():
         start = row["block"] * (BLOCK_BITS // 8)
@@ -230,6 +231,7 @@ def scored(docs: DataFrame, model: LanguageModel, *, text: str = "text", broadca
             parts = []
             for a, b in _steps(column):
                 values, starts = _flat(column.slice(a, b - a))
+                # Each distinct n-gram of the step is looked up once, in order.
                 single, back = np.unique(single_names(values), return_inverse=True)
                 at = np.minimum(np.searchsorted(names, single), max(len(names) - 1, 0))
                 exact = np.where(names[at] == single, counts[at], 0) if len(names) else np.zeros(len(single), np.int64)
