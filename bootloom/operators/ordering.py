@@ -33,14 +33,20 @@ def with_order(df: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame
 
 
 def split_hot_segments(
-    lines: DataFrame, limit: int = 4 * SEGMENT_TOKENS, broadcast_limit: int = 10_000
+    lines: DataFrame, limit: int = 4 * SEGMENT_TOKENS, broadcast_limit: int = 10_000, into: str = "segment"
 ) -> DataFrame:
-    """Cut segments of more than ``limit`` rows further, until none is left or rows are equal.
-
-    Needed where many lines share a token.  The cuts follow the order itself
-    (token, time, then ranges of the tie-break), so every scan gives the same
-    result with them.  Runs one counting job per level, on the key columns only,
-    and stops at the first level that finds no hot segment.
+    """Cut segments of more than ``limit`` rows along the order, into parts of at most about twice that.
+
+    Needed where many lines share a token.  A hot segment is counted by token, a
+    hot token by time, and equal times by ranges of the tie-break, until a piece
+    has ``limit`` rows or its rows are equal; then consecutive pieces are put
+    together up to ``limit`` rows, so a segment of n rows has no more than
+    n / limit + 1 parts.  Runs one counting job per level, on the key columns
+    only, and stops at the first level that finds no hot piece.
+
+    The numbers depend on all rows given, so they serve the plan that made them
+    and are not for storing: stored segments are ranges of the token alone, which
+    mean the same in every run.  ``into`` names the column that gets the numbers.
     """
     levels = [
         F.col("logcat_token"),
@@ -61,14 +67,16 @@ def split_hot_segments(
         finer = F.when(F.col("_hot"), F.concat("_cut", F.array(level))).otherwise(F.col("_cut"))
         cut = marked.withColumn("_cut", finer).select(*lines.columns, "_cut")
     if not was_cut:
-        return lines
+        return lines if into == "segment" else lines.withColumn(into, F.col("segment"))
     # Number the parts of each cut segment in order, in a range of their own.
-    in_order = Window.partitionBy("segment", *BOOT).orderBy("_cut")
-    parts = cut.where(F.size("_cut") > 0).select(*part).distinct().withColumn("_nth", F.row_number().over(in_order))
-    room = parts.agg(F.max("_nth")).first()[0] + 1
-    numbered = _join_few(cut, parts, part, broadcast_limit)
-    segment = F.col("segment") * room + F.coalesce("_nth", F.lit(0))
-    return numbered.withColumn("segment", segment).select(*lines.columns)
+    earlier = Window.partitionBy("segment", *BOOT).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = cut.where(F.size("_cut") > 0).groupBy(*part).count()
+    before = F.coalesce(F.sum("count").over(earlier), F.lit(0))
+    pieces = pieces.select(*part, F.floor(before / limit).alias("_nth"))
+    room = pieces.agg(F.max("_nth")).first()[0] + 1
+    numbered = _join_few(cut, pieces, part, broadcast_limit)
+    number = F.col("segment") * room + F.coalesce("_nth", F.lit(0))
+    return numbered.withColumn(into, number).select(*dict.fromkeys([*lines.columns, into]))
 
 
 def _join_few(lines: DataFrame, few: DataFrame, keys: list[str], broadcast_limit: int) -> DataFrame | None:
@@ -96,7 +104,8 @@ def carry(
 
     ``at`` counts the row itself, ``before`` only earlier rows.  With
     ``backward`` the order is read from its end, so it is the *next* value.
-    Rows without a key or segment are left out.
+    Rows without a key or segment have no place in the order and are left out;
+    parsed and stored lines always have both (an unknown device is ``''``).
     """
     at, before = at or {}, before or {}
     # The filter is the one that the join below implies for its other side: stated

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_lines, discharge_chunks
-from bootloom.operators.lineage import settle
+from bootloom.operators.lineage import drop_settled, settle
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
 from bootloom.plans.sizing import GZIP_RATIO, partitions_for
-from bootloom.sources.logs import RAW_PATTERN, boot_ids, list_files, new_files, read_raw_logs, read_store
-from bootloom.sources.writers import write_chunk_meta, write_chunks, write_manifest, write_stitched
+from bootloom.sources.logs import (
+    RAW_PATTERN,
+    boot_ids,
+    done_devices,
+    list_files,
+    new_files,
+    read_raw_logs,
+    stitched_files,
+)
+from bootloom.sources.writers import (
+    write_chunk_meta,
+    write_chunk_states,
+    write_chunks,
+    write_manifest,
+    write_stitched,
+)
 
 # A gzip file above this many bytes is spread over many tasks after reading.
 LARGE_FILE = 512 << 20
@@ -29,29 +45,60 @@ def stitch(
     files_per_run: int = 10_000,
     segment_tokens: int = SEGMENT_TOKENS,
 ) -> None:
-    """Add the raw files that are not in ``processed`` to the store, then write the manifest.
+    """Add the raw files that have not been stitched to the store, and to the manifest.
 
-    Files are taken in runs of ``files_per_run``, so the list held by the driver
-    stays small.  Each run is parsed once, into a table in the shared folder,
-    where its segments are counted and from which it is sorted.
+    The files that are in the manifest, and those in ``processed`` if given, are
+    left out.  Files are taken in runs of ``files_per_run``, so the list held by
+    the driver stays small.  Each run is parsed once, into a table in the shared
+    folder, from which it is sorted.  A run has a folder of its own in the store,
+    named by its files, and its own part of the manifest, which is written last:
+    a run that failed half-way is written anew, over what it left.
+
+    Stored segments are ranges of tokens, the same in every run.
     """
+    _drop_unfinished(spark, store_path, manifest_path)
     files = list_files(spark, raw_path, patterns)
-    todo = files if processed is None else new_files(files, processed)
-    for run in batched(todo.select("file_name", "length").toLocalIterator(), files_per_run):
+    known = [stitched_files(spark, manifest_path), *([processed.select("file_name")] if processed is not None else [])]
+    todo = new_files(files, reduce(DataFrame.union, known)).orderBy("file_name")
+    for run in batched(todo.select("file_name", "device_id", "length").toLocalIterator(), files_per_run):
         raw = read_raw_logs(spark, [f.file_name for f in run], patterns)
         partitions = partitions_for(GZIP_RATIO * sum(f.length for f in run))
         if max(f.length for f in run) > LARGE_FILE:
             # One task must unzip it, but others can share its parsing.
             raw = raw.repartition(partitions, "file_name", "block_start", "line_no")
         lines = settle(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
-        write_stitched(split_hot_segments(lines, 4 * segment_tokens), store_path, partitions=partitions)
-    write_manifest(read_store(spark, store_path), files, manifest_path)
+        spread = split_hot_segments(lines, 4 * segment_tokens, into="_spread")
+        name = hashlib.sha256("\n".join(f.file_name for f in run).encode()).hexdigest()[:16]
+        write_stitched(spread, f"{store_path}/run={name}", mode="overwrite", partitions=partitions)
+        taken = spark.createDataFrame([(f.file_name, f.device_id) for f in run], "file_name string, device_id string")
+        write_manifest(boot_ids(lines), taken, f"{manifest_path}/run={name}")
+        drop_settled(lines)
+
+
+def _drop_unfinished(spark: SparkSession, store_path: str, manifest_path: str) -> None:
+    """Remove the runs of a store that are not in its manifest: they failed before they were whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store, conf = path(store_path), spark.sparkContext._jsc.hadoopConfiguration()
+    system = store.getFileSystem(conf)
+    for found in system.globStatus(path(store, "run=*")) or []:
+        name = found.getPath().getName()
+        part = path(path(manifest_path, name), "_SUCCESS")
+        if not part.getFileSystem(conf).exists(part):
+            system.delete(found.getPath(), True)
 
 
-def chunk_devices(lines: DataFrame, path: str) -> None:
-    """Cut the boots of ``lines`` into discharge chunks and write them with their start states and counts."""
-    chunks = discharge_chunks(lines)
+def chunk_devices(lines: DataFrame, path: str, reload: bool = False) -> None:
+    """Cut the boots of ``lines`` into discharge chunks and write them with their start states and counts.
+
+    Devices whose chunks have been counted below ``path`` are left as they are;
+    with ``reload`` all devices of ``lines`` are done anew.  The counts are
+    written last, so a device counts as done only when all else is there, and
+    doing it again replaces what a failed run has left.
+    """
+    if not reload:
+        lines = lines.join(done_devices(lines.sparkSession, path), "device_id", "left_anti")
+    chunks = settle(discharge_chunks(lines))
     write_chunks(chunks, chunk_lines(lines, chunks), path)
-    chunk_cpu_state(lines, chunks).write.mode("overwrite").parquet(f"{path}/cpu_state")
-    chunk_fgbg_state(lines, chunks).write.mode("overwrite").parquet(f"{path}/fgbg_state")
+    write_chunk_states(chunk_cpu_state(lines, chunks), chunk_fgbg_state(lines, chunks), path)
     write_chunk_meta(chunks, boot_ids(lines), f"{path}/meta")
+    drop_settled(chunks)

@@ -17,6 +17,14 @@ STORE_SCHEMA = (
     " file_name string, block_start bigint, line_no bigint"
 )
 
+STORE_COLUMNS = [c.strip().split(" ")[0] for c in STORE_SCHEMA.split(",")]
+
+_CHUNK = "device_id string, boot_id string, start_token bigint, end_token bigint"
+_REPORT = (
+    "struct<logcat_token: bigint, trace_us: bigint, line_id: bigint, segment: bigint, timestamp: double,"
+    " l: int, v: int, t: double, h: int, st: int, c: int, chg: string>"
+)
+
 
 def name_glob(patterns: str) -> str:
     """Comma-separated name patterns as one."""
@@ -93,17 +101,23 @@ def packed(lines: DataFrame) -> DataFrame:
 
 
 def unpacked(stored: DataFrame) -> DataFrame:
-    """Parsed lines from what :func:`packed` stored."""
+    """Parsed lines from what :func:`packed` stored.
+
+    A directory cannot be named by an empty device, which lines of an unknown
+    device have; it comes back from the directory that stands for none.
+    """
     payload = F.coalesce("payload", F.expr("right(line, payload_chars)"))
-    return stored.withColumn("payload", payload).drop("payload_chars")
+    device = F.coalesce("device_id", F.lit(""))
+    return stored.withColumns({"payload": payload, "device_id": device}).drop("payload_chars")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Parsed lines written by :func:`bootloom.sources.writers.write_stitched`.
 
-    The place of a line in its raw file is NULL where it was not known.
+    The place of a line in its raw file is NULL where it was not known.  A store
+    that was stitched in several runs is read as a whole.
     """
-    return unpacked(spark.read.schema(STORE_SCHEMA).parquet(path))
+    return unpacked(spark.read.schema(STORE_SCHEMA).parquet(path).select(*STORE_COLUMNS))
 
 
 def read_boot(store: DataFrame, device_id: str, boot_id: str, *predicates: Column) -> DataFrame:
@@ -165,9 +179,30 @@ def pending_devices(devices: DataFrame, done: DataFrame, reload: bool = False) -
     return todo if reload else todo.join(done.select("device_id"), "device_id", "left_anti")
 
 
-def done_devices(spark: SparkSession, path: str) -> DataFrame:
-    """Devices below ``path`` whose chunks have been counted (``meta.json`` exists)."""
-    return list_devices(list_files(spark, path, "meta.json"))
+#: Names of the files that say that a device's chunks have been counted: one for each device, or those of a run.
+META_PATTERN = "meta.json,part-*.json"
+
+
+def done_devices(spark: SparkSession, path: str, patterns: str = META_PATTERN) -> DataFrame:
+    """Devices below ``path`` whose chunks have been counted; none if there is no such folder."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "device_id string")
+    found = list_files(spark, path, patterns).where(F.col("file_name").rlike("(/meta/|/meta\\.json$)"))
+    unknown = F.when(F.col("file_name").contains("/device_id=__HIVE_DEFAULT_PARTITION__/"), "")
+    return found.select(F.coalesce("device_id", unknown).alias("device_id")).where("device_id is not null").distinct()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def stitched_files(spark: SparkSession, manifest_path: str) -> DataFrame:
+    """``file_name`` of the files in the manifest of a store; none if there is no manifest yet."""
+    if not _exists(spark, manifest_path):
+        return spark.createDataFrame([], "file_name string")
+    manifest = read_manifest(spark, manifest_path, "*.json", multi_line=False)
+    return manifest.select(F.explode("files").alias("file_name")).distinct()
 
 
 def new_files(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -191,11 +226,24 @@ def boot_ids(lines: DataFrame) -> DataFrame:
     return lines.select("device_id", "boot_id").distinct()
 
 
+def _of_devices(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table with a directory per device.  The schema is stated: device names may look like numbers."""
+    columns = [f.name for f in T.StructType.fromDDL(schema).fields]
+    read = spark.read.schema(schema).parquet(path)
+    return read.withColumn("device_id", F.coalesce("device_id", F.lit(""))).select(*columns)
+
+
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chunk headers and chunk lines written by :func:`bootloom.sources.writers.write_chunks`."""
-    # Stated, because a partitioned table without rows has no file to tell its schema.
-    members = spark.read.schema(f"{STORE_SCHEMA}, start_token bigint, end_token bigint")
-    return spark.read.parquet(f"{path}/chunks"), unpacked(members.parquet(f"{path}/lines"))
+    headers = _of_devices(spark, f"{path}/chunks", f"{_CHUNK}, start {_REPORT}, end {_REPORT}")
+    members = _of_devices(spark, f"{path}/lines", f"{STORE_SCHEMA}, start_token bigint, end_token bigint")
+    return headers, unpacked(members)
+
+
+def read_chunk_states(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The state of each CPU, and of the foreground, at the start of each chunk."""
+    cpus = _of_devices(spark, f"{path}/cpu_state", f"{_CHUNK}, cpu int, cpu_state string, cpu_freq int")
+    return cpus, _of_devices(spark, f"{path}/fgbg_state", f"{_CHUNK}, fgbg_state string")
 
 
 # Names of the fields in chunk dumps.

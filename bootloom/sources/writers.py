@@ -40,9 +40,10 @@ def export_lines(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FI
 
 
 def _in_order(lines: DataFrame, partitions: int | None = None) -> DataFrame:
-    spread = ["segment", *BOOT]
+    # Where hot segments were cut, their parts are written by different tasks.
+    spread = ["_spread" if "_spread" in lines.columns else "segment", *BOOT]
     together = lines.repartition(partitions, *spread) if partitions else lines.repartition(*spread)
-    return together.sortWithinPartitions(*BOOT, "segment", *ORDER)
+    return together.sortWithinPartitions(*BOOT, "segment", *ORDER).drop("_spread")
 
 
 def manifest(boots: DataFrame, files: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -70,16 +71,36 @@ def extract_thermal_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_thermal_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The lines of :func:`extract_thermal_lines` as gzip text, a directory per device."""
-    extract_thermal_lines(lines).write.partitionBy("device_id").mode(mode).option("compression", "gzip").text(path)
+    """The lines of :func:`extract_thermal_lines` as gzip text, a directory per device.
+
+    A device's lines are brought together by ranges of their hash, so a device
+    has a few files however many tasks found its lines.
+    """
+    found = extract_thermal_lines(lines).repartition("device_id", F.pmod(F.xxhash64("line"), F.lit(8)))
+    found.write.partitionBy("device_id").mode(mode).option("compression", "gzip").text(path)
+
+
+def by_device(df: DataFrame, path: str, *spread: str, order: list[str] = BOOT, kind: str = "parquet") -> None:
+    """Write a table with a directory per device; devices that are not in it keep what they have.
+
+    Writing the same devices again replaces their rows, so a run that failed
+    half-way can be repeated.
+    """
+    placed = df.repartition(*(spread or ["device_id"])).sortWithinPartitions(*order)
+    writer = placed.write.partitionBy("device_id").option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.format(kind).save(path)
 
 
-def write_chunks(chunks: DataFrame, members: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_chunks(chunks: DataFrame, members: DataFrame, path: str) -> None:
     """Chunk headers and chunk lines as tables; a chunk is known by device, boot and its two tokens."""
-    chunks.write.mode(mode).parquet(f"{path}/chunks")
-    packed(members).repartition("segment", *BOOT).sortWithinPartitions(*CHUNK, *ORDER).write.partitionBy("device_id").mode(
-        mode
-    ).parquet(f"{path}/lines")
+    by_device(chunks, f"{path}/chunks", *BOOT)
+    by_device(packed(members), f"{path}/lines", "segment", *BOOT, order=[*CHUNK, *ORDER])
+
+
+def write_chunk_states(cpus: DataFrame, fgbg: DataFrame, path: str) -> None:
+    """The state of CPUs and of the foreground at the start of chunks."""
+    by_device(cpus, f"{path}/cpu_state", *BOOT)
+    by_device(fgbg, f"{path}/fgbg_state", *BOOT)
 
 
 def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
@@ -88,6 +109,9 @@ def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
     return flags.groupBy(*BOOT).agg(F.sum("_one").alias("chunks"))
 
 
-def write_chunk_meta(chunks: DataFrame, boots: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """:func:`chunk_meta` as JSON, one object per row, a directory per device."""
-    chunk_meta(chunks, boots).write.partitionBy("device_id").mode(mode).json(path)
+def write_chunk_meta(chunks: DataFrame, boots: DataFrame, path: str) -> None:
+    """:func:`chunk_meta` as JSON, one object per row, a directory per device.
+
+    This is what says that a device is done, so it is written last.
+    """
+    by_device(chunk_meta(chunks, boots), path, kind="json")

@@ -2,14 +2,16 @@
 
 import gzip
 import json
+import re
+import shutil
 from collections import Counter
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from bootloom.operators import chunks, ordering, quality
-from bootloom.operators.lineage import settle, shared_dir
+from bootloom.operators import chunks, ordering, quality, state
+from bootloom.operators.lineage import shared_dir
 from bootloom.operators.loglines import parse_loglines
 from bootloom.plans import distributions
 from bootloom.plans.stitch import chunk_devices, stitch
@@ -95,11 +97,54 @@ def test_stitch_keeps_every_line_in_order(spark, upload):
     # A second run takes the new file only.
     extra = [device_line(10_000_000, 1, "T", "late", records[DEVICES[0]][0].boot)]
     write_gz(path / "raw" / DEVICES[0] / "9.out.gz", extra)
-    processed = logs.read_manifest(spark, manifest, "*.json", multi_line=False)
-    processed = settle(processed.select(F.explode("files").alias("file_name")))
-    stitch(spark, str(path / "raw"), store, manifest, processed=processed, segment_tokens=50)
+    stitch(spark, str(path / "raw"), store, manifest, segment_tokens=50)
     assert logs.read_store(spark, store).count() == 601
 
+    # A file that is no longer listed stays in the manifest, and a third run finds nothing to do.
+    stitch(spark, str(path / "raw"), store, manifest, "[0-2].out.gz", segment_tokens=50)
+    stitch(spark, str(path / "raw"), store, manifest, segment_tokens=50)
+    assert logs.read_store(spark, store).count() == 601 and logs.stitched_files(spark, manifest).count() == 7
+
+    # A run that failed before its manifest was written is done again, without duplicates.
+    newest = max((path / "manifest").glob("run=*"), key=lambda p: p.stat().st_mtime_ns).name
+    shutil.copytree(path / "store", path / "store2")
+    shutil.copytree(path / "manifest", path / "manifest2", ignore=shutil.ignore_patterns(newest))
+    write_gz(path / "raw" / DEVICES[0] / "8.out.gz", [device_line(11, 1, "T", "x", records[DEVICES[0]][0].boot)])
+    stitch(spark, str(path / "raw"), str(path / "store2"), str(path / "manifest2"), segment_tokens=50)
+    assert logs.read_store(spark, str(path / "store2")).count() == 602
+
+
+def test_order_does_not_depend_on_runs(spark, tmp_path):
+    """One run with a hot token, others without, tokens that overlap: as if stitched at once."""
+    parts = [range(0, 40), range(30, 60), range(10, 20)]
+    for n, tokens in enumerate(parts):
+        own = [device_line(t, 1_000 * t + n, "T", f"x {t} {n}") for t in tokens]
+        if n == 1:
+            own += [device_line(35, 35_000, "T", f"hot {k}") for k in range(200)]
+        write_gz(tmp_path / "raw" / DEVICES[0] / f"{n}.out.gz", own)
+    raw = str(tmp_path / "raw")
+    stitch(spark, raw, str(tmp_path / "a"), str(tmp_path / "am"), segment_tokens=8)
+    stitch(spark, raw, str(tmp_path / "b"), str(tmp_path / "bm"), segment_tokens=8, files_per_run=1)
+
+    def numbered(path):
+        lines = ordering.split_hot_segments(logs.read_store(spark, str(path)), limit=20)
+        return sorted((r.seq, r.line) for r in ordering.with_seq(lines).collect())
+
+    whole = numbered(tmp_path / "a")
+    assert whole == numbered(tmp_path / "b") and [s for s, _ in whole] == list(range(1, 281))
+    tokens = [int(re.search(r"x (\d+)|hot", line)[1] or 35) for _, line in whole]
+    assert tokens == sorted(tokens)
+
+
+def test_lines_of_an_unknown_device_stay(spark, tmp_path):
+    text = [(f"{BOOT} 2016-01-02 03:04:05.000006 {t} [{t}.5] 1 2 I Tag: x {t}",) for t in range(6)]
+    lines = parse_loglines(spark.createDataFrame(text, "value string"))
+    writers.write_stitched(lines, str(tmp_path / "s"))
+    back = logs.read_store(spark, str(tmp_path / "s"))
+    assert {r.device_id for r in back.collect()} == {""}
+    assert sorted(r.seq for r in ordering.with_seq(back).collect()) == [1, 2, 3, 4, 5, 6]
+    assert state.charging_state(back).count() == 6
+
 
 def test_files_are_sorted_and_rotated(spark, upload):
     path, records = upload
@@ -161,11 +206,19 @@ def test_chunk_store(spark, upload):
     want = [(r[0].boot, s, e, len(data)) for r in records.values() for s, e, data in models.chunks(r)]
     assert sorted((r.boot_id, r.start_token, r.end_token) for r in headers.collect()) == sorted(w[:3] for w in want)
     assert members.count() == sum(w[3] for w in want)
-    done = logs.list_devices(logs.list_files(spark, str(path / "tbc" / "meta"), "*.json"))
+    done = logs.done_devices(spark, str(path / "tbc"))
     todo = spark.createDataFrame([(d,) for d in [*DEVICES, "c" * 40]], "device_id string")
     assert [r.device_id for r in logs.pending_devices(todo, done).collect()] == ["c" * 40]
-    for part in ("cpu_state", "fgbg_state"):
-        assert spark.read.parquet(str(path / "tbc" / part)).count() > 0
+    cpus, fgbg = logs.read_chunk_states(spark, str(path / "tbc"))
+    assert cpus.count() > 0 and fgbg.count() == headers.count()
+
+    # What is done is left alone, also by a run over other devices; a reload replaces it.
+    before = sorted(map(tuple, headers.select("device_id", "boot_id", "start_token").collect()))
+    chunk_devices(lines.where(F.col("device_id") == DEVICES[0]), str(path / "tbc"))
+    chunk_devices(lines.limit(0), str(path / "tbc"))
+    chunk_devices(lines.where(F.col("device_id") == DEVICES[1]), str(path / "tbc"), reload=True)
+    again = logs.read_chunks(spark, str(path / "tbc"))[0]
+    assert sorted(map(tuple, again.select("device_id", "boot_id", "start_token").collect())) == before
 
 
 def test_chunk_dumps(spark, tmp_path):
