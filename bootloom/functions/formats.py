@@ -6,15 +6,16 @@ this library.  Patterns are Java regular expressions with numbered groups.
 """
 
 # The two layouts of a log line.
+# The device is a whole word: a search from within it could only find what one from its start finds.
 # Groups: device, boot, token, trace seconds, date and time, pid, tid, level, tag, payload.
 DEVICE_LAYOUT = (
-    r"([a-z0-9]+)\s+\d+\s+\d+(?:\.\d+)?\s+([a-z0-9\-]{36})\s+(\d+)\s+(\d+\.\d+)"
+    r"(?<![a-z0-9])([a-z0-9]+)\s+\d+\s+\d+(?:\.\d+)?\s+([a-z0-9\-]{36})\s+(\d+)\s+(\d+\.\d+)"
     r"\s+(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)\s+(\d+)\s+(\d+)\s+([A-Z]+)\s+(\S+)\s+(.*)"
 )
 # Groups: boot, date and time, token, trace seconds, pid, tid, level, tag, payload.
 LOGCAT_LAYOUT = (
     r"([a-z0-9\-]{36})\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s*(\d+)"
-    r"\s*\[\s*(\d+\.\d+)\]\s*(\d+)\s*(\d+)\s*([A-Z]+)\s*(\S+?)\s*:\s*(.*)"
+    r"\s*\[\s*(\d+\.\d+)\]\s*(?>(\d+)\s*(\d+))\s*([A-Z]+)\s*(\S+?)\s*:\s*(.*)"
 )
 
 # Tags of the two kernel sources inside logcat.
@@ -23,7 +24,8 @@ PRINTK_SOURCE = "KernelPrintk"
 
 # Fixed value: kernel trace header.
 # Groups: thread, cpu, flags, timestamp, trace tag, text.
-TRACE_HEADER = r"\s*(.*?)\s+\[(\d+)\]\s+(.{4})\s+(\d+\.\d+): (.*?):\s+(.*)"
+# A search begins at a line's start, and blanks are read once, so that text without a header is passed over quickly.
+TRACE_HEADER = r"(?<![^\n])(?:\s*+|(?=\s+\[))(.*?)(?<!\s)\s++\[(\d+)\]\s+(.{4})\s+(\d+\.\d+): (.*?):\s+(.*)"
 
 # Trace tags with a typed payload.
 HOTPLUG = "sched_cpu_hotplug"

@@ -18,16 +18,36 @@ def rewrite(text: Column, pattern: str, groups: list[int]) -> Column:
     return F.regexp_replace(text, rf"^(?!{SEPARATOR})(?s:.*?)(?d:{pattern})(?s:.*)\z", marks)
 
 
-def with_fields(df: DataFrame, name: str, rewritten: Column, count: int) -> DataFrame:
-    """Keep the rows that were rewritten to ``count`` fields and add them as ARRAY<STRING> ``name``.
+def fields(text: Column, *layouts: tuple[str, list[int]]) -> Column:
+    """The numbered groups of the first layout (pattern, groups) that ``text`` matches: an array of one or no array.
+
+    All groups come out of one run of a pattern, between separators.  A text that
+    has a separator of its own could be taken for one that was rewritten, or have
+    its fields shifted; such a text, which no writer of these logs makes, is read
+    group by group instead.
+    """
+    rewritten = text
+    for pattern, groups in layouts:
+        rewritten = rewrite(rewritten, pattern, groups)
+    count = len(layouts[0][1])
+    parts = F.array(F.split(rewritten, SEPARATOR, count + 1))
+    matched = F.filter(parts, lambda p: (F.size(p) == count + 1) & (F.get(p, F.lit(0)) == ""))
+    one_run = F.transform(matched, lambda p: F.slice(p, 2, count))
+    by_group = F.array().cast("array<array<string>>")
+    for pattern, groups in reversed(layouts):
+        own = F.array(*[F.regexp_extract(text, f"(?d:{pattern})", n) if n else F.lit("") for n in groups])
+        by_group = F.when(text.rlike(f"(?d:{pattern})"), F.array(own)).otherwise(by_group)
+    return F.when(text.contains(SEPARATOR), by_group).otherwise(one_run)
+
+
+def with_fields(df: DataFrame, name: str, found: Column) -> DataFrame:
+    """Keep the rows for which :func:`fields` found something, and add it as ARRAY<STRING> ``name``.
 
     The fields come out of an ``explode`` of no or one element, not of a filter
     on a column: a filter would be pushed below the projection and run the
     pattern a second time.
     """
-    parts = F.split(rewritten, SEPARATOR, count + 1)
-    hit = F.filter(F.array(parts), lambda p: (F.size(p) == count + 1) & (F.get(p, F.lit(0)) == ""))
-    return df.select("*", F.explode(hit).alias(name))
+    return df.select("*", F.explode(found).alias(name))
 
 
 def keep(df: DataFrame, condition: Column) -> DataFrame:
@@ -46,12 +66,12 @@ def capture(df: DataFrame, name: str, text: Column, pattern: str, count: int) ->
     (``regexp_extract`` needs one per group).  A group that took no part in the
     match is ``''``.
     """
-    return with_fields(df, name, rewrite(text, pattern, list(range(1, count + 1))), count)
+    return with_fields(df, name, fields(text, (pattern, list(range(1, count + 1)))))
 
 
 def field(name: str, n: int) -> Column:
     """Field ``n`` (from 1) of a column made by :func:`capture` or :func:`with_fields`."""
-    return F.get(F.col(name), F.lit(n))
+    return F.get(F.col(name), F.lit(n - 1))
 
 
 def int_or_error(text: Column, bits: int = 32, base0: bool = False) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
-from bootloom.functions.text import capture, field, int_or_error, int_or_zero, log_time, rewrite, with_fields
+from bootloom.functions.text import capture, field, fields, int_or_error, int_or_zero, log_time, with_fields
 from bootloom.operators.predicates import is_healthd_text, is_pvs_line
 
 TRACE_COLUMNS = ["thread", "trace_cpu", "flags", "trace_timestamp", "trace_tag", "text"]
@@ -211,10 +211,10 @@ def cpu_events(lines: DataFrame, base0: bool = False) -> DataFrame:
     trace = parse_trace(lines.where(words)).where(F.col("trace_tag").isin(fmt.CPU_FREQUENCY, fmt.HOTPLUG))
     # Fields 1 and 2 are the frequency's, 3 to 5 the hotplug's.
     is_freq = F.col("trace_tag") == fmt.CPU_FREQUENCY
-    rewritten = F.when(is_freq, rewrite(F.col("text"), fmt.CPU_FREQUENCY_TEXT, [1, 2, 0, 0, 0])).otherwise(
-        rewrite(F.col("text"), fmt.HOTPLUG_TEXT, [0, 0, 1, 2, 3])
+    either = F.when(is_freq, fields(F.col("text"), (fmt.CPU_FREQUENCY_TEXT, [1, 2, 0, 0, 0]))).otherwise(
+        fields(F.col("text"), (fmt.HOTPLUG_TEXT, [0, 0, 1, 2, 3]))
     )
-    found = with_fields(trace, "_p", rewritten, 5)
+    found = with_fields(trace, "_p", either)
     typed = found.select(
         *trace.columns,
         int_or_error(F.when(is_freq, field("_p", 2)).otherwise(field("_p", 3)), 32, base0).alias("cpu"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
-from bootloom.functions.text import field, int_or_error, keep, log_time, micros, rewrite, with_fields
+from bootloom.functions.text import field, fields, int_or_error, keep, log_time, micros, with_fields
 from bootloom.operators.ordering import SEGMENT_TOKENS, with_order
 
 
@@ -61,8 +61,8 @@ def _split(df: DataFrame, line: str) -> DataFrame:
 
     Order: device, boot, token, trace seconds, time, pid, tid, level, tag, payload.
     """
-    by_device = rewrite(F.col(line), fmt.DEVICE_LAYOUT, list(range(1, 11)))
-    return with_fields(df, "_f", rewrite(by_device, fmt.LOGCAT_LAYOUT, [0, 1, 3, 4, 2, 5, 6, 7, 8, 9]), 10)
+    layouts = (fmt.DEVICE_LAYOUT, list(range(1, 11))), (fmt.LOGCAT_LAYOUT, [0, 1, 3, 4, 2, 5, 6, 7, 8, 9])
+    return with_fields(df, "_f", fields(F.col(line), *layouts))
 
 
 def _values(base0: bool) -> dict[str, Column]:

@@ -39,7 +39,7 @@ def payload(kind: str, v: dict, us: int) -> tuple[str, str]:
     }
     printk = {
         "health": "healthd: battery l={l} v=4000 t=30.5 h=2 st=3 c=-100 chg={chg}",
-        "power": "PM: suspend {power} 2016-04-27 04:00:00.220795560 UTC",
+        "power": "PM: suspend {power} 2017-05-06 07:08:09.101112131 UTC",
     }
     if kind in trace:
         return "Kernel-Trace", f"kworker/0:1-1 [000] ...1 {seconds(us)}: " + trace[kind].format(**v)

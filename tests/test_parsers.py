@@ -1,6 +1,7 @@
 """Golden lines of both layouts and of every payload."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from bootloom.operators.loglines import line_filter, parse_loglines, rejected_li
 from tests.phone import BOOT, DEVICE, device_line
 
 RAW = (
-    "6b793913-7cd9-477a-bbfa-62f07fbac87b 2016-04-21 09:59:01.199025638 11553177 [29981.752359]   202   203 D"
-    " Kernel-Trace:      kworker/1:1-21588 [001] ...2 29981.751893: phonelab_num_online_cpus: num_online_cpus=2"
+    "0c0ffee0-1234-4abc-8def-00000000beef 2017-02-03 04:05:06.070809101 4242 [77.000123]   31   32 W"
+    " Kernel-Trace:      helper/7:a-55 [007] d..1 76.999999: phonelab_num_online_cpus: num_online_cpus=3"
 )
 
 
@@ -20,7 +21,7 @@ def parsed(spark, *lines, **options):
     return parse_loglines(spark.createDataFrame([(line,) for line in lines], "value string"), **options)
 
 
-def trace(spark, *texts, header="kworker/0:2-1911  [000] ...1 20455.979145: "):
+def trace(spark, *texts, header="helper/3:b-77  [003] d..2 812.000345: "):
     return parsed(spark, *[device_line(n + 1, 1_000_000, "Kernel-Trace", header + t) for n, t in enumerate(texts)])
 
 
@@ -35,19 +36,19 @@ def rows(df, *columns):
 def test_logcat_layout(spark):
     (row,) = parsed(spark, RAW, device=F.lit("from-path")).collect()
     assert row.device_id == "from-path"
-    assert row.boot_id == "6b793913-7cd9-477a-bbfa-62f07fbac87b"
-    assert row.datetime == datetime.datetime(2016, 4, 21, 9, 59, 1, 199025)
-    assert row.datetime_nanos == 199025638
-    assert (row.logcat_token, row.trace_time, row.trace_us) == (11553177, 29981.752359, 29981752359)
-    assert (row.pid, row.tid, row.level, row.tag) == (202, 203, "D", "Kernel-Trace")
-    assert row.payload.startswith("kworker/1:1-21588 [001] ...2 29981.751893: ")
+    assert row.boot_id == "0c0ffee0-1234-4abc-8def-00000000beef"
+    assert row.datetime == datetime.datetime(2017, 2, 3, 4, 5, 6, 70809)
+    assert row.datetime_nanos == 70809101
+    assert (row.logcat_token, row.trace_time, row.trace_us) == (4242, 77.000123, 77000123)
+    assert (row.pid, row.tid, row.level, row.tag) == (31, 32, "W", "Kernel-Trace")
+    assert row.payload.startswith("helper/7:a-55 [007] d..1 76.999999: ")
     assert row.line == RAW
 
 
 def test_device_layout(spark):
-    (row,) = parsed(spark, device_line(7, 20456226252, "Kernel-Trace", "a  b"), device=F.lit("other")).collect()
+    (row,) = parsed(spark, device_line(7, 5000250000, "Kernel-Trace", "a  b"), device=F.lit("other")).collect()
     assert (row.device_id, row.boot_id, row.logcat_token) == (DEVICE, BOOT, 7)
-    assert (row.trace_time, row.trace_us, row.payload) == (20456.226252, 20456226252, "a  b")
+    assert (row.trace_time, row.trace_us, row.payload) == (5000.25, 5000250000, "a  b")
 
 
 def test_junk_before_the_layout_is_skipped(spark):
@@ -62,7 +63,7 @@ def test_dots_stop_at_newline_only(spark):
 
 def test_rejects(spark):
     good = device_line(7, 5, "T", "x")
-    bad = ["dummy string", "", device_line(10**20, 5, "T", "x"), good.replace("2016-01-01", "2016-13-01")]
+    bad = ["no log line", "", device_line(10**20, 5, "T", "x"), good.replace("2016-01-01", "2016-13-01")]
     raw = spark.createDataFrame([(line,) for line in [good, *bad, None]], "value string")
     assert [r.line for r in parse_loglines(raw).collect()] == [good]
     assert sorted(r.value or "" for r in rejected_lines(raw).collect()) == sorted([*bad, ""])
@@ -102,28 +103,28 @@ def test_int_parse(spark, value, bits, base0, strict, lenient):
 
 def test_trace_header(spark):
     lines = trace(spark, "thermal_temp: sensor_id=5 temp=32")
-    want = ("kworker/0:2-1911", 0, "...1", 20455.979145, "thermal_temp", "sensor_id=5 temp=32")
+    want = ("helper/3:b-77", 3, "d..2", 812.000345, "thermal_temp", "sensor_id=5 temp=32")
     assert rows(events.parse_trace(lines), *events.TRACE_COLUMNS) == [want]
 
 
-@pytest.mark.parametrize("header", ["kworker/0:2-1911  [00a] ...1 20455.979145: ", "kworker/0:2-1911  [000] 20455.979145: "])
+@pytest.mark.parametrize("header", ["helper/3:b-77  [0x3] d..2 812.000345: ", "helper/3:b-77  [003] 812.000345: "])
 def test_bad_trace_headers(spark, header):
     assert events.thermal_events(trace(spark, "thermal_temp: sensor_id=5 temp=32", header=header)).count() == 0
 
 
 def test_unknown_trace_tags(spark):
-    lines = trace(spark, "thermal_tempERATUR!#$@#: sensor_id=5 temp=32", "thermal_temp: sensor_id=5 temp=32")
+    lines = trace(spark, "thermal_tempo: sensor_id=5 temp=32", "thermal_temp: sensor_id=5 temp=32")
     assert rows(events.recognised_trace(lines), "logcat_token") == [(2,)]
     assert rows(events.trace_events(lines, "thermal_temp"), "logcat_token") == [(2,)]
-    assert events.trace_events(lines, "kgsl_gpubusy").count() == 0
+    assert events.trace_events(lines, "no_such_tag").count() == 0
 
 
 def test_hotplug(spark):
     good = ["sched_cpu_hotplug: cpu 1 online error=0", "sched_cpu_hotplug: cpu 2 offline error=-1"]
     bad = [
-        "sched_cpu_hotplug: cpu A online error=0",
-        "sched_cpu_hotplug: cpu 19999299009299 online error=0",
-        "sched_cpu_hotplug: cpu 1 online error=281283882183800",
+        "sched_cpu_hotplug: cpu one online error=0",
+        "sched_cpu_hotplug: cpu 70000000000 online error=0",
+        "sched_cpu_hotplug: cpu 1 online error=-70000000000",
     ]
     lines = trace(spark, *good, *bad)
     assert rows(events.hotplug_events(lines), "cpu", "state", "error") == [(1, "online", 0), (2, "offline", -1)]
@@ -135,21 +136,21 @@ def test_hotplug(spark):
 
 
 def test_thermal(spark):
-    bad = ["thermal_temp: sensor_id=50042002040204 temp=32", "thermal_temp: sensor_id=5 temp=32699699692939495"]
+    bad = ["thermal_temp: sensor_id=70000000001 temp=32", "thermal_temp: sensor_id=5 temp=70000000002"]
     lines = trace(spark, "thermal_temp: sensor_id=5 temp=32", *bad)
     assert rows(events.thermal_events(lines), "sensor_id", "temp") == [(5, 32)]
 
 
 def test_cpu_frequency(spark):
-    bad = ["cpu_frequency: state=1728000000000 cpu_id=0", "cpu_frequency: state=1728000 cpu_id=993958293994529"]
-    lines = trace(spark, "cpu_frequency: state=1728000 cpu_id=0", *bad)
-    assert rows(events.cpu_frequency_events(lines), "freq", "cpu") == [(1728000, 0)]
-    assert rows(events.cpu_events(lines), "freq", "cpu") == [(1728000, 0)]
+    bad = ["cpu_frequency: state=70000000003 cpu_id=0", "cpu_frequency: state=960000 cpu_id=70000000004"]
+    lines = trace(spark, "cpu_frequency: state=960000 cpu_id=0", *bad)
+    assert rows(events.cpu_frequency_events(lines), "freq", "cpu") == [(960000, 0)]
+    assert rows(events.cpu_events(lines), "freq", "cpu") == [(960000, 0)]
 
 
 def test_online_cpus(spark):
     name = "phonelab_num_online_cpus: num_online_cpus="
-    lines = trace(spark, name + "2", name + "29994292949249")
+    lines = trace(spark, name + "2", name + "70000000005")
     assert rows(events.num_online_cpus_events(lines), "num_online_cpus") == [(2,)]
 
 
@@ -157,27 +158,27 @@ def test_foreground(spark):
     name = "phonelab_proc_foreground: "
     lines = trace(
         spark,
-        name + "pid=894 tgid=894 comm=ndroid.systemui",
-        name + "pid=89402104020400 tgid=894 comm=x",
-        name + "pid=894 tgid=8949492499249 comm=x",
+        name + "pid=417 tgid=417 comm=app.home",
+        name + "pid=70000000006 tgid=417 comm=x",
+        name + "pid=417 tgid=70000000007 comm=x",
     )
-    assert rows(events.proc_foreground_events(lines), "fg_pid", "fg_tgid", "comm") == [(894, 894, "ndroid.systemui")]
+    assert rows(events.proc_foreground_events(lines), "fg_pid", "fg_tgid", "comm") == [(417, 417, "app.home")]
 
 
 COUNTERS = (
-    "phonelab_periodic_ctx_switch_info: cpu=1 pid=1563 tgid=1561 nice=0 comm=su daemon utime=1 stime=0 rtime=318437"
-    " bg_utime=0 bg_stime=4 bg_rtime=0 s_run=0 s_int=2 s_unint=0 s_oth=0 log_idx=939983"
+    "phonelab_periodic_ctx_switch_info: cpu=1 pid=88 tgid=87 nice=0 comm=two words utime=1 stime=0 rtime=2500"
+    " bg_utime=0 bg_stime=4 bg_rtime=0 s_run=0 s_int=2 s_unint=0 s_oth=0 log_idx=61"
 )
 
 
 def test_counters(spark):
-    lines = trace(spark, COUNTERS + " rx=7 tx=8", COUNTERS, COUNTERS.replace("rtime=318437", "rtime=" + "9" * 30))
+    lines = trace(spark, COUNTERS + " rx=7 tx=8", COUNTERS, COUNTERS.replace("rtime=2500", "rtime=" + "9" * 30))
     columns = ["cpu", "task_pid", "task_tgid", "nice", "comm", "utime", "rtime", "bg_stime", "s_int", "log_idx", "rx", "tx"]
-    head = (1, 1563, 1561, 0, "su daemon", 1)
+    head = (1, 88, 87, 0, "two words", 1)
     assert rows(events.ctx_switch_info_events(lines), *columns) == [
-        (*head, 318437, 4, 2, 939983, 7, 8),
-        (*head, 318437, 4, 2, 939983, 0, 0),
-        (*head, 0, 4, 2, 939983, 0, 0),
+        (*head, 2500, 4, 2, 61, 7, 8),
+        (*head, 2500, 4, 2, 61, 0, 0),
+        (*head, 0, 4, 2, 61, 0, 0),
     ]
 
 
@@ -185,16 +186,16 @@ def test_markers(spark):
     name = "phonelab_periodic_ctx_switch_marker: "
     lines = trace(
         spark,
-        name + "BEGIN cpu=1 count=369 log_idx=72",
-        name + "END cpu=1 count=369 log_idx=72",
-        name + "BEGIAN cpu=1 count=369 log_idx=72",
-        name + "BEGIN cpu=-1 count=369 log_idx=72",
-        name + "BEGIN cpu=1 count=-369 log_idx=72",
+        name + "BEGIN cpu=1 count=12 log_idx=34",
+        name + "END cpu=1 count=12 log_idx=34",
+        name + "BEGINS cpu=1 count=12 log_idx=34",
+        name + "BEGIN cpu=-1 count=12 log_idx=34",
+        name + "BEGIN cpu=1 count=-12 log_idx=34",
         name + "BEGIN cpu=11111111111 count=3 log_idx=" + "9" * 25,
     )
     assert rows(events.ctx_switch_marker_events(lines), "marker", "cpu", "count", "log_idx") == [
-        ("BEGIN", 1, 369, 72),
-        ("END", 1, 369, 72),
+        ("BEGIN", 1, 12, 34),
+        ("END", 1, 12, 34),
         ("BEGIN", 0, 3, 0),
     ]
 
@@ -202,9 +203,9 @@ def test_markers(spark):
 def test_msm_thermal(spark):
     lines = printk(
         spark,
-        "<6>[   21.512807] msm_thermal: Allow Online CPU3 Temp: 66",
-        "<6>[   21.512807] msm_thermal: Set Offline: CPU2 Temp: 80",
-        "<6>[   21.512807] msm_thermal: Something CPU2 Temp: 80",
+        "<6>[   3.250000] msm_thermal: Allow Online CPU3 Temp: 66",
+        "<6>[   3.250000] msm_thermal: Set Offline: CPU2 Temp: 80",
+        "<6>[   3.250000] msm_thermal: Something CPU2 Temp: 80",
     )
     assert rows(events.msm_thermal_events(lines), "state", "cpu", "temp") == [("ONLINE", 3, 66), ("OFFLINE", 2, 80)]
 
@@ -212,14 +213,14 @@ def test_msm_thermal(spark):
 def test_power(spark):
     lines = printk(
         spark,
-        "<6>[93341.687692] PM: suspend exit 2016-04-27 04:00:00.220795560 UTC",
-        "<6>[93341.915138] PM: suspend entry 2016-04-27 04:00:00.448241184 UTC",
-        "<6>[93341.915138] PM: suspend of devices complete after 3 msecs",
+        "<6>[41.5] PM: suspend exit 2017-05-06 07:08:09.101112131 UTC",
+        "<6>[42.5] PM: suspend entry 2017-05-06 07:08:09.141516171 UTC",
+        "<6>[42.5] PM: suspend of devices complete after 3 msecs",
     )
-    at = datetime.datetime(2016, 4, 27, 4)
+    at = datetime.datetime(2017, 5, 6, 7, 8, 9)
     assert rows(events.power_events(lines), "power", "power_time") == [
-        ("exit", at.replace(microsecond=220795)),
-        ("entry", at.replace(microsecond=448241)),
+        ("exit", at.replace(microsecond=101112)),
+        ("entry", at.replace(microsecond=141516)),
     ]
     assert lines.where(predicates.is_power_event()).count() == 2
 
@@ -252,3 +253,26 @@ def test_predicates_and_states(spark):
     assert rows(both, "logcat_token") == [(2,), (3,)]
     assert predicates.in_state(lines, "level", "D").count() == 4
     assert predicates.in_state(lines, "level").count() == 0
+
+
+@pytest.mark.parametrize("unit", ["x", "7", " ", "ab 12 ", "a1-"])
+def test_long_junk_is_rejected_quickly(spark, unit):
+    junk = unit * (1_000_000 // len(unit))
+    raw = spark.createDataFrame([(junk,), (f"{junk} {BOOT} {junk}",)], "value string")
+    start = time.time()
+    assert parse_loglines(raw).count() == 0
+    assert events.parse_trace(raw.select(F.col("value").alias("payload"), F.col("value").alias("line"))).count() == 0
+    assert time.time() - start < 20
+
+
+def test_separators_in_the_text(spark):
+    """A line of separators is no log line, and a separator inside a field stays in it."""
+    fake = "".join(f"\x1f{x}" for x in ("d", BOOT, 1, "1.5", "2016-01-02 03:04:05.000006", 1, 2, "I", "T", "p"))
+    good = device_line(5, 1_000, "Tag", "a\x1fb\x1f")
+    got = parse_loglines(spark.createDataFrame([(fake,), (good,)], "value string")).collect()
+    assert [(r.logcat_token, r.tag, r.payload) for r in got] == [(5, "Tag", "a\x1fb\x1f")]
+    rejected = rejected_lines(spark.createDataFrame([(fake,), (good,)], "value string"))
+    assert [r.value for r in rejected.collect()] == [fake]
+    header = spark.createDataFrame([("k\x1fw-1 [001] d..3 12.5: my_tag: x\x1fy",)], "payload string")
+    (row,) = events.parse_trace(header).collect()
+    assert (row.thread, row.trace_cpu, row.flags, row.trace_tag, row.text) == ("k\x1fw-1", 1, "d..3", "my_tag", "x\x1fy")

@@ -163,20 +163,20 @@ def test_files_are_sorted_and_rotated(spark, upload):
 def test_manifests(spark, tmp_path):
     right, wrong, broken = (tmp_path / (c * 40) / "info.json" for c in "abc")
     for file, content in [
-        (right, json.dumps({"bootids": ["a", "b", "c", "d"]}, indent=4)),
-        (wrong, json.dumps({"random": "text"})),
+        (right, json.dumps({"bootids": ["b1", "b2", "b3"]}, indent=4)),
+        (wrong, json.dumps({"other": "words"})),
         (broken, "{"),
     ]:
         file.parent.mkdir()
         file.write_text(content)
     got = {r.device_id: (r.bootids, r.is_valid) for r in logs.read_manifest(spark, str(tmp_path)).collect()}
-    assert got == {"a" * 40: (list("abcd"), True), "b" * 40: (None, False), "c" * 40: (None, False)}
+    assert got == {"a" * 40: (["b1", "b2", "b3"], True), "b" * 40: (None, False), "c" * 40: (None, False)}
 
     devices = spark.createDataFrame([(c * 40,) for c in "abd"], "device_id string")
     manifest = logs.read_manifest(spark, str(tmp_path))
     boots = logs.device_boots(devices, manifest).collect()
     assert sorted((r.device_id[0], r.boot_id or "") for r in boots) == [
-        ("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("b", ""), ("d", ""),
+        ("a", "b1"), ("a", "b2"), ("a", "b3"), ("b", ""), ("d", ""),
     ]
     assert sorted(r.device_id[0] for r in logs.skipped_devices(devices, manifest).collect()) == ["b", "d"]
 
