@@ -17,22 +17,24 @@ BROADCAST_TERMS = 500_000
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_IDF, most: float = MOST_IDF) -> DataFrame:
-    """(term, mask): the terms within the band over all documents, and the random subsets that each is in, as bits.
+    """(term, subset): the terms within the band over all documents, for each random subset that they are in.
 
     At most e^most times the mean number of distinct terms of a document are in
-    the band, however large the corpus is.  A term is in a subset if the part of
-    its MD5 that belongs to the subset is below the subset's share.
+    the band, however large the corpus is, and a term is in fewer than two
+    subsets on average.  It is in a subset if the part of its MD5 that belongs to
+    the subset is below the subset's share.
     """
     total = docs.count()
     terms = docs.select(F.explode(F.array_distinct(plain_words(F.col(text)))).alias("term"))
     counted = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
     kept = counted.where((idf >= least) & (idf <= most)).select("term")
-    bits = []
+    subsets = []
     for i, share in enumerate(share for share in SHARES for _ in range(SUBSETS)):
-        drawn = F.conv(F.substring(F.md5(F.concat(F.col("term"), F.lit(f" {i // 8}")).cast("binary")), 4 * (i % 8) + 1, 4), 16, 10)
-        bits.append(F.when(drawn.cast("int") < int(share * 65536), 1 << i).otherwise(0))
-    return kept.withColumn("mask", sum(bits[1:], bits[0]))
+        digest = F.md5(F.concat(F.col("term"), F.lit(f" {i // 8}")).cast("binary"))
+        drawn = F.conv(F.substring(digest, 4 * (i % 8) + 1, 4), 16, 10).cast("int")
+        subsets.append(F.when(drawn < int(share * 65536), F.lit(i)))
+    return kept.select("term", F.explode(F.array_compact(F.array(*subsets))).alias("subset"))
 
 
 def _starts(docs: DataFrame, doc_id: str) -> list:
@@ -98,20 +100,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(asked == 0, 0.0).otherwise(same / asked)
 
 
-def _hashes(terms: Column, flag: int, rest: Column) -> Column:
-    """One hash for each subset of a document's sorted lexicon terms, '' for an empty one.
+def _places(hashes: Column, rest: Column) -> Column:
+    """Hashes by subset as an array, '' for an empty subset.
 
-    The last place is for a document without any lexicon term: a hash of all its
-    terms, so that two such documents are alike only if they are equal in them.
+    The last place is for a document without a term in any subset: a hash of all
+    its terms, so that two such documents are alike only if they are equal in them.
     """
-    own = F.filter(terms, lambda t: t.flags.bitwiseAND(flag) != 0)
-
-    def of(i: int) -> Column:
-        names = F.transform(F.filter(own, lambda t: t.mask.bitwiseAND(1 << i) != 0), lambda t: t.term)
-        return F.when(F.size(names) > 0, F.substring(F.md5(F.array_join(names, " ").cast("binary")), 1, 16)).otherwise("")
-
-    each = [of(i) for i in range(len(SHARES) * SUBSETS)]
-    return F.array(*each, F.when(F.size(own) == 0, rest).otherwise(""))
+    found = F.map_from_entries(hashes)
+    each = [F.coalesce(F.try_element_at(found, F.lit(i)), F.lit("")) for i in range(len(SHARES) * SUBSETS)]
+    return F.array(*each, F.when(F.size(hashes) == 0, rest).otherwise(""))
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -129,7 +126,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     terms = settle(lexicon(docs, text))
     size = terms.count()
     # The row that carries a document's own columns passes the join as a term of its own.
-    known = terms.unionByName(docs.sparkSession.createDataFrame([("", 0)], "term string, mask int"))
+    known = terms.unionByName(docs.sparkSession.createDataFrame([("", -1)], "term string, subset int"))
     near = with_next(docs, text, doc_id)
     n_chars = F.length("text")
     quarter = F.floor(n_chars / 4).cast("int")
@@ -170,18 +167,30 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     )
     exploded = exploded.select("_bucket", "_nth", "t.term", "t.flags", "t.doc")
     kept = exploded.join(F.broadcast(known) if size <= BROADCAST_TERMS else known, "term")
-    gathered = kept.groupBy("_bucket", "_nth").agg(
-        F.max("doc").alias("doc"), F.array_sort(F.collect_list(F.struct("term", "mask", "flags"))).alias("terms")
+    def hashed(flag: int) -> Column:
+        own = F.collect_list(F.when(F.col("flags").bitwiseAND(flag) != 0, F.col("term")))
+        digest = F.md5(F.array_join(F.array_sort(own), " ").cast("binary"))
+        return F.when(F.size(own) > 0, F.substring(digest, 1, 16))
+
+    by_subset = kept.groupBy("_bucket", "_nth", "subset").agg(
+        F.max("doc").alias("doc"), hashed(1).alias("own"), hashed(2).alias("new")
+    )
+
+    def listed(name: str) -> Column:
+        return F.collect_list(F.when(F.col(name).isNotNull(), F.struct("subset", name)))
+
+    gathered = by_subset.groupBy("_bucket", "_nth").agg(
+        F.max("doc").alias("doc"), listed("own").alias("own"), listed("new").alias("new")
     )
-    hashed = gathered.select(
+    hashed_docs = gathered.select(
         "_bucket",
         "_nth",
         "doc.*",
-        _hashes(F.col("terms"), 1, F.col("doc.rest")).alias("own"),
-        _hashes(F.col("terms"), 2, F.col("doc.new_rest")).alias("new"),
+        _places(F.col("own"), F.col("doc.rest")).alias("own"),
+        _places(F.col("new"), F.col("doc.new_rest")).alias("new"),
     )
     inside = Window.partitionBy("_bucket").orderBy("_nth")
-    whole = hashed.withColumn("after", F.lead("own").over(inside)).where(~F.col("_extra"))
+    whole = hashed_docs.withColumn("after", F.lead("own").over(inside)).where(~F.col("_extra"))
     return whole.select(
         F.col("doc_id").alias(doc_id),
         F.col("n_chars").cast("bigint").alias("n_chars"),

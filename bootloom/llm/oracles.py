@@ -99,7 +99,7 @@ drawn as (select term, i from known, subsets where ('0x' || md5(term || ' ' || w
 hashes as (select doc_id, kind, i, md5(string_agg(term, ' ' order by term))[1 : 16] as h
            from terms join drawn using (term) group by doc_id, kind, i),
 rest as (select b.doc_id, b.kind, md5(array_to_string(list_sort(b.w), ' ')) as h from versions b
-         where not exists (select 1 from terms t join known using (term) where t.doc_id = b.doc_id and t.kind = b.kind)),
+         where not exists (select 1 from hashes x where x.doc_id = b.doc_id and x.kind = b.kind)),
 slots as (select doc_id, kind, i from versions, range({n + 1}) r(i)),
 prints as (select s.doc_id, s.kind, list(coalesce(h.h, case when s.i = {n} then r.h end, '') order by s.i) as f
            from slots s left join hashes h on s.doc_id = h.doc_id and s.kind = h.kind and s.i = h.i

@@ -23,7 +23,7 @@ def brute(docs, order):
         for i, share in enumerate(shares):
             own = [w for w in words & known if int(md5(f"{w} {i // 8}")[4 * (i % 8) :][:4], 16) < int(share * 65536)]
             out.append(md5(" ".join(sorted(own)))[:16] if own else "")
-        return [*out, "" if words & known else md5(" ".join(sorted(words)))]
+        return [*out, "" if any(out) else md5(" ".join(sorted(words)))]
 
     def like(a, b):
         asked = [(x, y) for x, y in zip(a, b) if x or y]
