@@ -178,38 +178,6 @@ def _transitions(marked: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-FGBG_STATE = """device_id string, boot_id string, event struct<front: boolean, logcat_token: bigint,
-    trace_us: bigint, line_id: bigint>, left struct<front: boolean, logcat_token: bigint, trace_us: bigint,
-    line_id: bigint>, state string"""
-
-
-def fgbg_continued(
-    lines: DataFrame, known: DataFrame, delay_seconds: float = 1.0
-) -> tuple[DataFrame, DataFrame]:
-    """:func:`fgbg_transitions` of lines that follow earlier ones, and the state after them.
-
-    ``known`` has the columns of :data:`FGBG_STATE`, one row per boot.  It goes
-    in as an event and as a line before the first of each boot.
-    """
-    first = [F.lit(-1).cast("bigint").alias("segment")]
-    first += [F.lit(-(1 << 63)).cast("bigint").alias(c) for c in ORDER]
-    entry = known.select(*BOOT, *first, "event", F.col("left").alias("_left0"), F.col("state").alias("_state0"))
-    is_entry = F.col("segment") == -1
-    rows = lines.unionByName(entry.drop("event"), allowMissingColumns=True)
-    events = _fronts(lines).unionByName(entry.drop("_left0", "_state0"))
-    latest = as_of(rows, events, {"_event": F.col("event")})
-    marked = latest.withColumn("_mark", F.when(is_entry, F.col("_state0")).otherwise(_mark(delay_seconds)))
-    ran_out = F.when(is_entry, F.col("_left0")).when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    ready = settle(marked.withColumn("_out", ran_out))
-    place = F.struct("segment", *ORDER)
-    after = ready.groupBy(*BOOT).agg(
-        F.max_by("_event", F.when(F.col("_event").isNotNull(), place)).alias("event"),
-        F.max_by("_out", F.when(F.col("_out").isNotNull(), place)).alias("left"),
-        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), place)).alias("state"),
-    )
-    return _transitions(ready, lines.columns).where(~is_entry), after
-
-
 def active_pid(lines: DataFrame) -> DataFrame:
     """Add ``active_pid``, see :func:`fronting`."""
     return track(lines, fronting())

@@ -95,15 +95,17 @@ def thermal_line_counts(lines: DataFrame) -> DataFrame:
 def bounded_lists(df: DataFrame, keys: list[str], value: Column, name: str, limit: int = 100_000) -> DataFrame:
     """The values of each key as sorted lists of about ``limit`` at most, numbered by ``part``.
 
-    A key with more values gets several rows, so no list is collected whole into
-    one task.  One counting job finds the largest key.
+    A key with n values has ceil(n / limit) rows, whatever other keys have, and a
+    hash of the value says which row it is in; so no list is collected whole into
+    one task, and a key's rows depend on its own values only.
     """
-    valued = df.select(*keys, value.alias(name))
-    largest = valued.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    parts = -(-largest // limit) or 1
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+    valued = df.select(*keys, value.alias(name), F.xxhash64(*df.columns).alias("_h"))
+    parts = valued.groupBy(*keys).agg(F.ceil(F.count("*") / limit).alias("_parts"))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    spread = F.pmod("_h", "_parts").cast("int")
+    joined = valued.alias("v").join(parts.alias("p"), same)
     return (
-        df.select(*keys, spread.alias("part"), value.alias(name))
+        joined.select(*[F.col(f"v.{k}").alias(k) for k in keys], spread.alias("part"), name)
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(name)).alias(name))
     )

@@ -47,12 +47,18 @@ def _in_order(lines: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def manifest(boots: DataFrame, files: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``bootids`` and ``files`` of each device; a device with very many gets several rows."""
+    """``bootids`` and ``files`` of each device; one with more than ``limit`` of either has several rows.
+
+    The rows of a device are parts of two independent lists; a part without any
+    has an empty list.
+    """
     ids = bounded_lists(boots.select(*BOOT).distinct(), ["device_id"], F.col("boot_id"), "bootids", limit)
     names = bounded_lists(
         files.select("device_id", "file_name").distinct(), ["device_id"], F.col("file_name"), "files", limit
     )
-    return ids.join(names, ["device_id", "part"], "full").select("device_id", "bootids", "files")
+    none = F.array().cast("array<string>")
+    both = ids.join(names, ["device_id", "part"], "full")
+    return both.select("device_id", F.coalesce("bootids", none).alias("bootids"), F.coalesce("files", none).alias("files"))
 
 
 def write_manifest(boots: DataFrame, files: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from bootloom.operators.loglines import parse_loglines
-from bootloom.operators.ordering import BOOT, SEGMENT_TOKENS
-from bootloom.operators.state import FGBG_STATE, fgbg_continued
+from bootloom.operators.ordering import BOOT, ORDER, SEGMENT_TOKENS
+from bootloom.operators.state import fgbg_transitions, is_fgbg_event
 from bootloom.sources.logs import RAW_PATTERN, device_of_path, name_glob, packed, without_return
 
 
@@ -28,64 +27,89 @@ def stream_loglines(
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .text(path, lineSep="\n")
-        .select(without_return(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file_name"))
+        .select(
+            without_return(F.col("value")).alias("value"),
+            F.col("_metadata.file_path").alias("file_name"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+        )
     )
     return parse_loglines(text, "value", device_of_path(F.col("file_name")), segment_tokens=segment_tokens)
 
 
 def ingest_stream(lines: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Append the lines that have arrived to the store and stop; files seen before are not read again."""
-    return (
-        packed(lines).repartition("segment", *BOOT)
-        .writeStream.format("parquet")
-        .partitionBy(*BOOT)
-        .option("path", store_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = packed(lines).repartition("segment", *BOOT).writeStream.format("parquet").partitionBy(*BOOT)
+    return _to_the_end(writer.option("path", store_path).outputMode("append"), checkpoint)
 
 
-def daily_counts(lines: DataFrame, length: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """``lines`` per device and day (``start_us``); on a stream, those later than ``lateness`` are left out."""
+def daily_counts(lines: DataFrame, length: str = "1 day", lateness: str | None = None) -> DataFrame:
+    """``lines`` per device and day (``start_us``); on a stream, ``lateness`` leaves out lines that come later."""
     timed = lines.withColumn("_time", F.concat(F.col("datetime").cast("string"), F.lit("Z")).cast("timestamp"))
-    if lines.isStreaming:
+    if lines.isStreaming and lateness:
         timed = timed.withWatermark("_time", lateness)
     counted = timed.groupBy(F.window("_time", length), "device_id").agg(F.count("*").alias("lines"))
     return counted.select("device_id", F.unix_micros("window.start").alias("start_us"), "lines")
 
 
+def count_stream(lines: DataFrame, out_path: str, checkpoint: str, length: str = "1 day") -> StreamingQuery:
+    """Counts of arriving lines as ``out_path/batch=n``; :func:`read_counts` adds them up.
+
+    A line counts for its day however late its upload comes, and no state is
+    kept.  A batch that is run again replaces its own counts.
+    """
+
+    def step(batch_lines: DataFrame, batch: int) -> None:
+        daily_counts(batch_lines, length).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
+
+    return _to_the_end(lines.writeStream.foreachBatch(step), checkpoint)
+
+
+def read_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """``lines`` per device and day over all batches."""
+    counts = spark.read.schema("device_id string, start_us bigint, lines bigint").parquet(out_path)
+    return counts.groupBy("device_id", "start_us").agg(F.sum("lines").alias("lines"))
+
+
+def _to_the_end(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_PLACES = "device_id string, boot_id string, segment bigint, logcat_token bigint, trace_us bigint, line_id bigint"
+_NARROW = f"{_PLACES}, line string, payload string"
+_CHANGES = f"{_PLACES}, old_state string, new_state string"
+
+
 def fgbg_stream(
     lines: DataFrame, out_path: str, state_path: str, checkpoint: str, delay_seconds: float = 1.0
 ) -> StreamingQuery:
-    """Foreground transitions of arriving lines, as ``out_path/batch=n``; stops at the end of what is there.
-
-    Lines are taken in the order in which batches bring them, and sorted inside
-    a batch.  The state of every boot is kept as a table per batch, so a batch
-    that is run again finds the same state and writes the same result.
+    """Foreground transitions of all lines that have arrived; stops at the end of what is there.
+
+    A batch first adds the places of its lines, with the text of foreground
+    events only, to a table below ``state_path``; then the boots that it touched
+    are derived anew from that table, and replace what ``out_path`` has of them.
+    So the result is that of :func:`bootloom.operators.state.fgbg_transitions`
+    over all lines so far, whatever batches brought them and in whatever order.
+    A batch that is run again writes the same.  Read with :func:`read_transitions`.
     """
     step = partial(_fgbg_batch, out_path=out_path, state_path=state_path, delay_seconds=delay_seconds)
-    return (
-        lines.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _to_the_end(lines.writeStream.foreachBatch(step), checkpoint)
 
 
 def _fgbg_batch(lines: DataFrame, batch: int, out_path: str, state_path: str, delay_seconds: float) -> None:
     spark = lines.sparkSession
-    known = _state_before(spark, batch, state_path)
-    changes, after = fgbg_continued(lines, known, delay_seconds)
-    changes.write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
-    after.write.mode("overwrite").parquet(f"{state_path}/batch={batch}")
-
-
-def _state_before(spark: SparkSession, batch: int, state_path: str) -> DataFrame:
-    if batch == 0:
-        return spark.createDataFrame([], FGBG_STATE)
-    try:
-        return spark.read.schema(FGBG_STATE).parquet(f"{state_path}/batch={batch - 1}")
-    except AnalysisException as missing:
-        raise RuntimeError(f"no state of batch {batch - 1} below {state_path}") from missing
+    own = f"{state_path}/batch={batch}"
+    event = is_fgbg_event()
+    text = [F.when(event, F.col(c)).alias(c) for c in ("line", "payload")]
+    lines.select(*BOOT, "segment", *ORDER, *text).write.mode("overwrite").parquet(own)
+    touched = spark.read.schema(_NARROW).parquet(own).select(*BOOT).distinct()
+    arrived = spark.read.schema(_NARROW).parquet(state_path).drop("batch").join(touched, BOOT, "left_semi")
+    changes = fgbg_transitions(arrived, delay_seconds).drop("line", "payload")
+    placed = changes.repartition(*BOOT).sortWithinPartitions(*BOOT, *ORDER)
+    writer = placed.write.partitionBy(*BOOT).option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.parquet(out_path)
+
+
+def read_transitions(spark: SparkSession, out_path: str) -> DataFrame:
+    """What :func:`fgbg_stream` has written."""
+    read = spark.read.schema(_CHANGES).parquet(out_path)
+    return read.withColumn("device_id", F.coalesce("device_id", F.lit("")))

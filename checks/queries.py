@@ -557,7 +557,8 @@ def merged_bootids(spark, sf):
 
 
 def line_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return live.stream_loglines(spark, raw_dir(spark, sf), "*.txt.gz", segment_tokens=4096)
+    """The upload in several batches."""
+    return live.stream_loglines(spark, raw_dir(spark, sf), "*.txt.gz", files_per_batch=8, segment_tokens=4096)
 
 
 @query
@@ -569,11 +570,9 @@ def ingest_stream(spark, sf):
 
 @query
 def daily_counts(spark, sf):
-    name = f"daily_{uuid.uuid4().hex}"
-    counts = live.daily_counts(line_stream(spark, sf))
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name)
-    writer.option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = scratch(spark, "counts")
+    live.count_stream(line_stream(spark, sf), out, scratch(spark, "offsets")).awaitTermination()
+    return live.read_counts(spark, out)
 
 
 @query
@@ -581,4 +580,4 @@ def fgbg_stream(spark, sf):
     out = scratch(spark, "changes")
     run = live.fgbg_stream(line_stream(spark, sf), out, scratch(spark, "state"), scratch(spark, "offsets"))
     run.awaitTermination()
-    return spark.read.parquet(out).select(*AT, "old_state", "new_state")
+    return live.read_transitions(spark, out).select(*AT, "old_state", "new_state")

@@ -254,6 +254,19 @@ def test_lists_are_whole_and_bounded(spark):
     parts = distributions.share_lists(df, "k", limit=100).collect()
     assert sum(len(r.shares) for r in parts) == 1000 and max(len(r.shares) for r in parts) < 160
     assert sorted(x for r in parts for x in r.shares) == [n / 4 for n in range(1000)]
+    # A key's rows do not depend on other keys.
+    assert {r.k: sum(p.k == r.k for p in parts) for r in parts} == {"hot": 7, "cold": 3}
+    alone = distributions.share_lists(df.where("k = 'cold'"), "k", limit=100).collect()
+    assert sorted(map(str, alone)) == sorted(str(r) for r in parts if r.k == "cold")
+
+
+def test_manifest_parts_are_all_valid(spark, tmp_path):
+    boots = spark.createDataFrame([("d", "x")], "device_id string, boot_id string")
+    files = spark.createDataFrame([("d", f"f{n}") for n in range(30)], "device_id string, file_name string")
+    writers.write_json(writers.manifest(boots, files, limit=10), str(tmp_path / "m"))
+    read = logs.read_manifest(spark, str(tmp_path / "m"), "*.json", multi_line=False).collect()
+    assert len(read) == 3 and all(r.is_valid for r in read)
+    assert sorted(f for r in read for f in r.files) == sorted(f"f{n}" for n in range(30))
 
 
 def test_shared_dir_is_the_session_s():
