@@ -507,3 +507,21 @@ oracle("merged_bootids", """SELECT device_id, boot_id FROM loglines WHERE line L
 oracle("ingest_stream", f"SELECT {AT}, trace_us, tag FROM loglines")
 oracle("daily_counts", """SELECT device_id, epoch_us(date_trunc('day', CAST(stamp AS TIMESTAMP))) AS start_us, count(*) AS lines
   FROM loglines GROUP BY ALL""")
+
+# The same rows by another way.
+for _name, _same in {
+    "stitch_incremental": "write_stitched",
+    "charging_incremental": "charging_state",
+    "chunk_devices_cpu": "chunk_cpu_state",
+    "chunk_devices_fgbg": "chunk_fgbg_state",
+    "freq_totals_file": "freq_time_total",
+    "ncpu_lists_file": "ncpu_share_lists",
+    "temp_histogram_file": "temp_histogram",
+    "pvs_file": "pvs_by_device",
+}.items():
+    ORACLES[_name] = ORACLES[_same]
+oracle("in_state_suspended", f"SELECT {AT} FROM charging WHERE suspend_state = 'SUSPENDED'", _TRACKED)
+oracle("in_state_foreground", f"SELECT {AT} FROM fgbg WHERE fgbg_state = 'FOREGROUND'")
+oracle("deviceless_lines", """SELECT device AS device_id, boot_id, logcat_token,
+  row_number() OVER (PARTITION BY device, boot_id ORDER BY logcat_token) AS seq
+  FROM (SELECT *, CASE WHEN starts_with(line, device_id) THEN device_id ELSE '' END AS device FROM loglines)""")

@@ -21,7 +21,7 @@ from bootloom.operators import ordering, quality, sessions, spans, state
 from bootloom.operators import predicates as pr
 from bootloom.operators.lineage import shared_dir
 from bootloom.plans import distributions as di
-from bootloom.plans.stitch import stitch
+from bootloom.plans.stitch import chunk_devices, stitch
 from bootloom.sources import logs, writers
 from bootloom.sources.telemetry import parsed_lines, stored_lines, telemetry_loglines
 from bootloom.streaming import live
@@ -553,6 +553,95 @@ def merged_bootids(spark, sf):
     return logs.merged_bootids(having(lines, "chg=u"), having(lines, "PVS: 6"))
 
 
+# Stores that grow in several runs
+
+
+def grown_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The upload stitched in runs of a few files, and once more with nothing left to do; hot segments cut."""
+    raw, store, manifest = raw_dir(spark, sf), scratch(spark, "store"), scratch(spark, "manifest")
+    for _ in range(2):
+        stitch(spark, raw, store, manifest, "*.txt.gz", files_per_run=24, segment_tokens=4096)
+    return ordering.split_hot_segments(logs.read_store(spark, store), limit=100)
+
+
+@query
+def stitch_incremental(spark, sf):
+    return ordering.with_seq(grown_store(spark, sf)).select(*AT, "seq", "line")
+
+
+@query
+def charging_incremental(spark, sf):
+    tracked = state.charging_state(grown_store(spark, sf))
+    return tracked.select(*AT, "charging_state", state.is_charging_event().alias("is_charging_event"))
+
+
+@query
+def deviceless_lines(spark, sf):
+    path = scratch(spark, "store")
+    lines = lg.parse_loglines(stored_lines(spark, sf).select("line"), "line", segment_tokens=4096)
+    writers.write_stitched(lines, path)
+    return ordering.with_seq(logs.read_store(spark, path)).select(*AT, "seq")
+
+
+def chunk_store(spark: SparkSession, sf: str) -> str:
+    """Chunks of some devices, then of all: the second run leaves the first one's devices alone."""
+    path, lines = scratch(spark, "chunks"), telemetry_loglines(spark, sf)
+    chunk_devices(lines.where(F.col("device_id").endswith("3")), path)
+    chunk_devices(lines, path)
+    return path
+
+
+@query
+def chunk_devices_cpu(spark, sf):
+    return logs.read_chunk_states(spark, chunk_store(spark, sf))[0]
+
+
+@query
+def chunk_devices_fgbg(spark, sf):
+    return logs.read_chunk_states(spark, chunk_store(spark, sf))[1]
+
+
+# Result files
+
+
+def through_json(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    writers.write_json(df, path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+@query
+def freq_totals_file(spark, sf):
+    return through_json(di.freq_time_total(telemetry_loglines(spark, sf)), "totals").select("freq", "total_us")
+
+
+@query
+def ncpu_lists_file(spark, sf):
+    lists = di.share_lists(di.ncpu_share(telemetry_loglines(spark, sf)), "num_online_cpus")
+    text_of = F.array_join(F.transform("shares", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), ",")
+    return through_json(lists, "lists").select("num_online_cpus", "part", text_of.alias("millionths"))
+
+
+@query
+def temp_histogram_file(spark, sf):
+    return through_json(di.temp_histogram(telemetry_loglines(spark, sf)), "temps")
+
+
+@query
+def pvs_file(spark, sf):
+    return through_json(di.pvs_by_device(telemetry_loglines(spark, sf)), "pvs")
+
+
+@query
+def in_state_suspended(spark, sf):
+    return pr.in_state(state.suspend_state(telemetry_loglines(spark, sf)), "suspend_state", "SUSPENDED").select(*AT)
+
+
+@query
+def in_state_foreground(spark, sf):
+    return pr.in_state(state.fgbg_state(telemetry_loglines(spark, sf)), "fgbg_state", "FOREGROUND").select(*AT)
+
+
 # Streams, run to the end of what is there
 
 
