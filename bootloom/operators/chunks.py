@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
+from bootloom.functions.text import fields
 from bootloom.operators.events import battery_reports, cpu_events
 from bootloom.operators.lineage import settle
-from bootloom.operators.ordering import BOOT, ORDER, carry
+from bootloom.operators.ordering import BOOT, ORDER, carry, split_hot_segments
 from bootloom.operators.predicates import is_healthd_text
 from bootloom.operators.state import UNKNOWN, fgbg_state
 
@@ -30,6 +31,9 @@ CHUNK = [*BOOT, "start_token", "end_token"]
 REPORT = ["timestamp", "l", "v", "t", "h", "st", "c", "chg"]
 _BLOCK = ["segment", *BOOT]
 
+#: Battery reports that are folded in one array.
+REPORTS = 50_000
+
 # A report as it is kept in the arrays: its place first, so that arrays sort in order.
 _PLACE = [*ORDER, "segment"]
 
@@ -87,10 +91,15 @@ aggregate(
 """
 
 
-def chunk_boundaries(lines: DataFrame) -> DataFrame:
-    """Reports that open a chunk: ``at`` (the report) and ``closes`` (it ends the chunk before it as well)."""
+def chunk_boundaries(lines: DataFrame, limit: int = REPORTS) -> DataFrame:
+    """Reports that open a chunk: ``at`` (the report) and ``closes`` (it ends the chunk before it as well).
+
+    Reports are folded in arrays of at most about twice ``limit``: a segment with
+    more, whatever made it so, is cut along the order first.
+    """
     reports = settle(battery_reports(lines).select(*BOOT, *_PLACE, *REPORT))
-    blocks = reports.groupBy(*_BLOCK).agg(
+    cut = split_hot_segments(reports, limit, into="_fold")
+    blocks = cut.groupBy(F.col("_fold").alias("segment"), *BOOT).agg(
         F.array_sort(F.collect_list(F.struct(*_PLACE, *REPORT))).alias("reports")
     )
     in_order = Window.partitionBy(*BOOT).orderBy("segment")
@@ -116,9 +125,9 @@ def chunk_boundaries(lines: DataFrame) -> DataFrame:
     return runs.select(*_BLOCK, F.inline(F.expr(_RUN)))
 
 
-def discharge_chunks(lines: DataFrame) -> DataFrame:
+def discharge_chunks(lines: DataFrame, limit: int = REPORTS) -> DataFrame:
     """One row per closed chunk: ``start`` and ``end`` reports, and their tokens."""
-    bounds = settle(chunk_boundaries(lines).select(*BOOT, "at", "closes", "at.*"))
+    bounds = settle(chunk_boundaries(lines, limit).select(*BOOT, "at", "closes", "at.*"))
     paired = carry(bounds.select(*BOOT, *_PLACE, "at", "closes"), before={"start": F.col("at")})
     return paired.where("closes").select(
         *BOOT,
@@ -135,11 +144,10 @@ def _place_of(report: str) -> Column:
 
 def chunk_lines(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """The lines of each chunk, between its reports, with ``start_token`` and ``end_token``."""
-    chg = F.when(is_healthd_text(), F.regexp_extract("payload", f"(?d:{fmt.HEALTHD_TEXT})", 8))
-    level = F.when(
-        is_healthd_text() & F.col("payload").rlike(f"(?d:{fmt.HEALTHD_TEXT})") & (chg == ""),
-        F.regexp_extract("payload", f"(?d:{fmt.HEALTHD_TEXT})", 2).try_cast("int"),
-    )
+    # Level and charger of a report, from one run of its pattern.
+    report = F.get(fields(F.col("payload"), (fmt.HEALTHD_TEXT, [2, 8])), F.lit(0))
+    told = F.filter(F.array(F.when(is_healthd_text(), report)), lambda r: F.get(r, F.lit(1)) == "")
+    level = F.get(F.transform(told, lambda r: F.get(r, F.lit(0)).try_cast("int")), F.lit(0))
     rows = lines.withColumns({"_after": F.lit(0), "_level": level, "_report": is_healthd_text()})
     chunk = F.struct("start_token", "end_token", F.col("start.l").alias("level"), _place_of("end").alias("end"))
     marks = chunks.select(*BOOT, *[F.col(f"start.{c}") for c in _PLACE], F.lit(1).alias("_after"), chunk.alias("_mark"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootloom.functions import formats as fmt
 from bootloom.operators.events import (
+    TRACE_EVENTS,
     cpu_events,
     num_online_cpus_events,
     proc_foreground_events,
@@ -50,25 +54,35 @@ def _shares(spans: DataFrame, key: str, extent: DataFrame) -> DataFrame:
     )
 
 
+def _extent_of(events: DataFrame, wanted: DataFrame, tags: list[str]) -> DataFrame:
+    """Extent of the boots over ``events``, which are all valid ones of ``tags``, and valid events of other tags.
+
+    Only lines that name another tag are read for the latter: hardly any, as
+    ``wanted`` has the lines with the words of ``tags``.
+    """
+    named = reduce(or_, [F.col("line").contains(tag) for tag in TRACE_EVENTS if tag not in tags])
+    others = recognised_trace(wanted.where(named)).where(~F.col("trace_tag").isin(tags))
+    places = [*BOOT, *ORDER]
+    return _boot_extent(events.select(*places).unionByName(others.select(*places)))
+
+
 def freq_combination_share(lines: DataFrame, cpus: int = 4) -> DataFrame:
     """Share of each boot's time in each combination of the online CPUs' frequencies.
 
     One row per boot and combination; a boot of no duration has NULL shares.
     """
     wanted = lines.where(is_frequency_line())
-    failed = (F.col("trace_tag") == fmt.HOTPLUG) & (
-        F.regexp_extract("text", f"(?d:{fmt.HOTPLUG_TEXT})", 3).try_cast("int") != 0
-    )
-    extent = _boot_extent(recognised_trace(wanted).where(~failed))
     events = _narrow(cpu_events(wanted), "cpu", "freq", "word", "error")
+    sound = events.where(F.coalesce("error", F.lit(0)) == 0)
+    extent = _extent_of(sound, wanted, [fmt.CPU_FREQUENCY, fmt.HOTPLUG])
     return _shares(freq_combinations(events, cpus), "freq_key", extent)
 
 
 def ncpu_share(lines: DataFrame) -> DataFrame:
     """Share of each boot's time with each number of online CPUs, one row per boot and number."""
     wanted = lines.where(is_online_cpus_line())
-    extent = _boot_extent(recognised_trace(wanted))
     events = _narrow(num_online_cpus_events(wanted), "num_online_cpus")
+    extent = _extent_of(events, wanted, [fmt.ONLINE_CPUS])
     return _shares(ncpu_spans(events), "num_online_cpus", extent)
 
 

@@ -134,6 +134,8 @@ def test_chunks(lines, boots):
     got = chunks.discharge_chunks(lines)
     want = expected(boots, lambda r: [c[:2] for c in models.chunks(r)])
     assert want and found(got, "start_token", "end_token") == want
+    # Folding few reports at a time gives the same.
+    assert found(chunks.discharge_chunks(lines, limit=3), "start_token", "end_token") == want
     members = found(chunks.chunk_lines(lines, got), "start_token", "end_token", "logcat_token")
     assert members == expected(boots, lambda r: [(s, e, t) for s, e, data in models.chunks(r) for t in data])
 
