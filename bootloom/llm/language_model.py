@@ -22,7 +22,7 @@ BITS_PER_ENTRY, PROBES, BLOCK_BITS = 12, 4, 1 << 20
 #: Weight of the estimate from pairs, for a history that was seen.
 TRUST = 0.25
 #: Filter and counts up to this size are broadcast; larger ones stay distributed.
-BROADCAST_BYTES = 160 << 20
+BROADCAST_BYTES = 128 << 20
 #: Tokens that are worked on at once.
 STEP = 1 << 19
 _END = "\n"  # no word has a line end in it
@@ -82,16 +82,19 @@ def _ngram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["name", "n"])
 
 
-# The filter. An n-gram of count c has the levels 1 .. 1 + floor(log2 c), each one an entry.
+# The filter. A token of count c has the levels 1 .. 1 + floor(log2 c), a pair those of c / LEAST, as no kept pair is
+# rarer; each level is one entry.
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1))), 0).astype(np.int64)
+def levels_of(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    least = np.where(names & np.uint64(1) == 0, 1, LEAST)
+    return np.where(counts >= least, 1 + np.floor(np.log2(np.maximum(counts / least, 1))), 0).astype(np.int64)
 
 
-def expected(levels: np.ndarray) -> np.ndarray:
+def expected(names: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The middle of the counts that have so many levels."""
-    return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
+    least = np.where(names & np.uint64(1) == 0, 1, LEAST)
+    return np.where(levels > 0, (3 * least * 2.0 ** (levels - 1) - 1) / 2, 0.0)
 
 
 def blocks_of(names: np.ndarray, blocks: int) -> np.ndarray:
@@ -107,7 +110,7 @@ def _bits(names: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
 
 def filter_block(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One block of the filter, with all levels of the n-grams that fall into it."""
-    levels = levels_of(counts)
+    levels = levels_of(names, counts)
     block = np.zeros(BLOCK_BITS // 8, np.uint8)
     each = np.repeat(names, levels)
     level = np.arange(len(each)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
@@ -157,7 +160,7 @@ def train(docs: DataFrame, text: str = "text") -> LanguageModel:
     counted = hashed.mapInArrow(_ngram_counts, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
     single = F.col("name").bitwiseAND(1) == 0
     kept = settle(counted.where(single | (F.col("n") >= LEAST)))
-    entries = F.sum(F.floor(F.log2("n") + 1e-12) + 1)
+    entries = F.sum(F.floor(F.log2(F.col("n") / F.when(single, 1).otherwise(LEAST)) + 1e-12) + 1)
     figures = kept.agg(
         F.sum(F.when(single, F.col("n"))).alias("tokens"), F.sum(F.when(single, 1)).alias("types"), entries.alias("entries")
     ).first()
@@ -184,18 +187,36 @@ def _probability(word: np.ndarray, history: np.ndarray, pair: np.ndarray, total:
     return weight * np.minimum(pair, history) / np.maximum(history, 1) + (1 - weight) * alone
 
 
-def _on_driver(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names (sorted) and counts of single tokens, and the bits of all blocks; only for a checked size."""
+class ExactCounts:
+    """Counts by name in little memory: a byte each, and the few from 255 on in full."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.argsort(names)
+        self.names = names[order]
+        self.bytes = np.minimum(counts, 255).astype(np.uint8)[order]
+        self.large = np.flatnonzero(self.bytes == 255)
+        self.in_full = counts[order[self.large]]
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        found = np.where(self.names[at] == names, self.bytes[at], 0).astype(np.int64)
+        large = found == 255
+        found[large] = self.in_full[np.searchsorted(self.large, at[large])]
+        return found
+
+
+def _on_driver(model: LanguageModel) -> tuple[ExactCounts, np.ndarray]:
+    """Counts of single tokens, and the bits of all blocks; only for a checked size."""
     table = model.counts.select("name", "n").toArrow()
     names = np.asarray(table.column("name").combine_chunks(), np.int64).view(np.uint64)
-    order = np.argsort(names)
-    counts = np.asarray(table.column("n").combine_chunks(), np.int64)[order]
-    counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+    exact = ExactCounts(names, np.asarray(table.column("n").combine_chunks(), np.int64))
     bits = np.zeros(model.n_blocks * (BLOCK_BITS // 8), np.uint8)
     for row in model.blocks.toLocalIterator():
         start = row["block"] * (BLOCK_BITS // 8)
         bits[start : start + BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return names[order], counts, bits
+    return exact, bits
 
 
 _SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -213,7 +234,7 @@ def scored(docs: DataFrame, model: LanguageModel, *, text: str = "text", broadca
     are sent to the blocks that can tell their levels, and the answers are joined
     back.  Both ways give the same figures.
     """
-    size = model.n_types * 16 + model.n_blocks * (BLOCK_BITS // 8)
+    size = model.n_types * 9 + model.n_blocks * (BLOCK_BITS // 8)
     if size > broadcast_bytes:
         return _scored_apart(docs, model, text)
     shared = docs.sparkSession.sparkContext.broadcast(_on_driver(model))
@@ -221,11 +242,11 @@ def scored(docs: DataFrame, model: LanguageModel, *, text: str = "text", broadca
 
     @F.arrow_udf(f"struct<{', '.join(c.replace(' ', ': ', 1) for c in _SCORES.split(', '))}>")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, counts, bits = shared.value
+        counts, bits = shared.value
         total = float(known_tokens + known_types + 1)
 
         def levels(of: np.ndarray) -> np.ndarray:
-            return expected(probe_levels(of, blocks_of(of, n_blocks) * (BLOCK_BITS // 8), bits))
+            return expected(of, probe_levels(of, blocks_of(of, n_blocks) * (BLOCK_BITS // 8), bits))
 
         for column in columns:
             parts = []
@@ -233,8 +254,7 @@ def scored(docs: DataFrame, model: LanguageModel, *, text: str = "text", broadca
                 values, starts = _flat(column.slice(a, b - a))
                 # Each distinct n-gram of the step is looked up once, in order.
                 single, back = np.unique(single_names(values), return_inverse=True)
-                at = np.minimum(np.searchsorted(names, single), max(len(names) - 1, 0))
-                exact = np.where(names[at] == single, counts[at], 0) if len(names) else np.zeros(len(single), np.int64)
+                exact = counts.of(single)
                 word = levels(single)[back]
                 pairs, pair_back = np.unique(pair_names(values, starts[:-1]), return_inverse=True)
                 history = np.concatenate([[0.0], word[:-1]])
@@ -288,7 +308,7 @@ def _scored_apart(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame
         names = np.asarray(left.column("name").combine_chunks(), np.int64).view(np.uint64)
         bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8) if right.num_rows else np.zeros(BLOCK_BITS // 8, np.uint8)
         levels = probe_levels(names, np.zeros(len(names), np.int64), bits)
-        return pa.table({"name": left.column("name"), "c": pa.array(expected(levels))})
+        return pa.table({"name": left.column("name"), "c": pa.array(expected(names, levels))})
 
     told = asked.groupBy("block").cogroup(model.blocks.groupBy("block")).applyInArrow(probe, "name long, c double")
     told = settle(told.join(model.counts, "name", "left").select("name", "c", F.coalesce("n", F.lit(0)).alias("n")))

@@ -56,11 +56,21 @@ def test_filter_never_misses_a_level():
     counts = rng.integers(1, 5000, 3000)
     block = lm.filter_block(names, counts)
     found = lm.probe_levels(names, np.zeros(3000, np.int64), block)
-    assert (found >= lm.levels_of(counts)).all() and (found > lm.levels_of(counts)).mean() < 0.02
+    levels = lm.levels_of(names, counts)
+    assert (found >= levels).all() and (found > levels).mean() < 0.02
+    middle = lm.expected(names, levels)[levels > 0]
+    assert (middle / counts[levels > 0] > 0.5).all() and (middle / counts[levels > 0] <= 1.5).all()
     strange = rng.integers(0, 1 << 62, 20000).astype(np.uint64)
     assert (lm.probe_levels(strange, np.zeros(20000, np.int64), block) > 0).mean() < 0.02
 
 
+def test_exact_counts():
+    names = np.array([9, 4, 7, 2], np.uint64)
+    exact = lm.ExactCounts(names, np.array([1, 255, 70_000, 254]))
+    assert list(exact.of(np.array([2, 3, 4, 7, 9, 11], np.uint64))) == [254, 0, 255, 70_000, 1, 0]
+    assert list(lm.ExactCounts(names[:0], np.zeros(0, np.int64)).of(names)) == [0, 0, 0, 0]
+
+
 def test_probabilities_sum_to_at_most_one():
     """Over all next words of a history, from counts as the filter gives them exactly."""
     pair = np.array([4.0, 2.0, 2.0, 0.0])
