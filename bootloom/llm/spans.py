@@ -90,12 +90,10 @@ def _all_runs(docs: DataFrame, text: str, least: int, words: int) -> DataFrame:
                 flat = np.array([x for r in each for x in r], np.int64).reshape(-1, 3)
                 columns = [batch.column(i).take(pa.array(owner)) for i in range(batch.num_columns - 1)]
                 columns += [pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_kd", "_kt", "at", "n", "run"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_kt", "at", "n", "run"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_kd", "_kt", text).mapInArrow(
-        rows, f"doc_id {kind}, _kd long, _kt long, at int, n int, run long"
-    )
+    return docs.select("doc_id", "_kt", text).mapInArrow(rows, f"doc_id {kind}, _kt long, at int, n int, run long")
 
 
 def repeated_spans(
@@ -112,12 +110,14 @@ def repeated_spans(
     """
     keyed = with_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     found = settle(_all_runs(keyed, "_text", least, words))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_kd", "_kt", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_kt", "at")
     repeated = found.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
-    first = ["_kd", "_kt", "at"]
-    later = found.join(repeated.select("run", *[F.col(f"first.{c}").alias(f"first{c}") for c in first]), "run")
-    later = later.where(" or ".join(f"{c} <> first{c}" for c in first))
-    return later.groupBy("_kd", "_kt").agg(F.collect_set(F.struct("at", "n")).alias("_ranges"))
+    first = repeated.select("run", *[F.col(f"first.{c}").alias(f"_first_{c}") for c in ("doc_id", "_kt", "at")])
+    # Written, so that both sides of the join are plain shuffles and a run with very many rows can be split.
+    later = found.join(settle(first), "run").where("not (doc_id <=> _first_doc_id) or _kt <> _first__kt or at <> _first_at")
+    return later.groupBy("doc_id", "_kt").agg(F.collect_set(F.struct("at", "n")).alias("_ranges")).select(
+        F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("_kd"), "_kt", "_ranges"
+    )
 
 
 def without_repeats(
