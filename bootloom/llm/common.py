@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,3 +63,8 @@ def with_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 KEY = ["_kd", "_kt"]
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Have the session send at most about ``size`` bytes at once to a Python worker, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

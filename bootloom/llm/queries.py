@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bootloom.llm import bpe, decontamination, fingerprints, language_model, licenses, simhash, spans, token_counts
 from bootloom.llm import toxicity, urls
 from bootloom.llm.oracles import ORACLES as SQL
-from bootloom.llm.common import bucket_of
+from bootloom.llm.common import bounded_batches, bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,7 @@ def query(fn: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
