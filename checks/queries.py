@@ -646,8 +646,8 @@ def in_state_foreground(spark, sf):
 
 
 def line_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The upload in several batches."""
-    return live.stream_loglines(spark, raw_dir(spark, sf), "*.txt.gz", files_per_batch=24, segment_tokens=4096)
+    """The upload in more than one batch."""
+    return live.stream_loglines(spark, raw_dir(spark, sf), "*.txt.gz", files_per_batch=32, segment_tokens=4096)
 
 
 @query
