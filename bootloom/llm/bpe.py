@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from bootloom.llm.common import cut_at_space
 
 #: Bytes of text that are worked off at once, and words and pieces that a worker remembers in each of two generations.
-PART_BYTES = 1 << 22
-REMEMBERED = 400_000
+PART_BYTES = 1 << 21
+REMEMBERED = 250_000
+#: Texts of a batch whose results are held at once.
+ROWS = 1000
 #: Fixed value: the split pattern of word-level files as their JSON has it, and the same for lower-case printable ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Printable ASCII and the Latin letters whose normal form is themselves and whose lower case is one letter.
@@ -45,7 +47,7 @@ class Vocabulary:
             *body, symbol = self.symbols(token)
             self.reach[symbol] = max(self.reach.get(symbol, 0), len(body) + 1)
         self._spines: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def symbols(self, token: str) -> list[str]:
         """The first symbols of a token: its characters, the last one with the end mark."""
@@ -84,8 +86,8 @@ class Vocabulary:
         the left end of ``right`` before either is merged inside its own token.
         """
         key = (left, right)
-        if (known := self._pairs.get(key)) is None:
-            known = self._pairs[key] = self._stays_apart(left, right)
+        if (known := self.pairs.get(key)) is None:
+            known = self.pairs[key] = self._stays_apart(left, right)
         return known
 
     def _stays_apart(self, left: str, right: str) -> bool:
@@ -138,13 +140,23 @@ class Trie:
         once; the words below it only read it.
         """
         end = len(self.vocabulary.end)
+        ids, pairs, reach = self.vocabulary.ids, self.vocabulary.pairs, self.vocabulary.reach
         last: list[str] = [""]  # by depth: the last token of the prefix on the way from the root
         stack = [(symbol, 1, node) for symbol, node in self.root.items()]
         while stack:
             prefix, depth, node = stack.pop()
             del last[depth:]
             while True:
-                last.append(self._last_token(prefix, depth, last))
+                # Of the suffix tokens, the longest that can stand beside what is before it.
+                for start in range(max(depth - reach.get(prefix[depth - 1 :], 0), 0), depth):
+                    token = prefix[start:]
+                    if token in ids:
+                        pair = last[start], token
+                        if pairs[pair] if pair in pairs else self.vocabulary.side_by_side(*pair):
+                            last.append(token)
+                            break
+                else:
+                    raise ValueError(f"no token ends {prefix!r}: a symbol is not in the vocabulary")
                 if type(node) is str:
                     yield node, self._tokens(last, end)
                     break
@@ -156,20 +168,6 @@ class Trie:
                 prefix += symbol
                 depth += 1
 
-    def _last_token(self, prefix: str, depth: int, last: list[str]) -> str:
-        """``prefix`` has ``depth`` characters, and the end mark after them if a word ends here."""
-        vocabulary = self.vocabulary
-        ids, pairs = vocabulary.ids, vocabulary._pairs
-        reach = vocabulary.reach.get(prefix[depth - 1 :], 0)
-        for start in range(depth - reach if depth > reach else 0, depth):
-            token = prefix[start:]
-            if token in ids:
-                before = last[start]
-                known = pairs.get((before, token))
-                if known or known is None and vocabulary.side_by_side(before, token):
-                    return token
-        raise ValueError(f"no token ends {prefix!r}: a symbol is not in the vocabulary")
-
     @staticmethod
     def _tokens(last: list[str], end: int) -> list[str]:
         tokens, at = [], len(last) - 1
@@ -262,6 +260,10 @@ class Codec:
                 got = [words[w] for w in split]
                 ids[piece], texts[piece] = b"".join([i for i, _ in got]), "".join([t for _, t in got])
 
+    def rest(self) -> None:
+        """Between tasks a worker that waits keeps the newer generation only."""
+        self.before, self.words_before = ({}, {}), {}
+
     def results(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
         """Number of tokens, ids and decoded text of each text, worked off in parts of bounded size."""
         rows: list[list[tuple[bytes, str]]] = [[] for _ in texts]
@@ -301,6 +303,14 @@ def _codec_of(content: str) -> Codec:
     return _codecs[key]
 
 
+def _row_groups(batches: Iterator[pa.Array], codec: Codec) -> Iterator[list[bytes]]:
+    """The texts of a task a thousand at a time, so that results of few are in memory at once."""
+    for batch in batches:
+        for at in range(0, max(len(batch), 1), ROWS):
+            yield [row or b"" for row in batch.slice(at, ROWS).cast(pa.binary()).to_pylist()]
+    codec.rest()
+
+
 def _read(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
@@ -318,8 +328,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def codes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec_of(model.value)
-        for batch in texts:
-            rows = [row or b"" for row in batch.cast(pa.binary()).to_pylist()]
+        for rows in _row_groups(texts, codec):
             got = list(codec.results(rows))
             offsets = [0]
             for n, _, _ in got:
@@ -338,8 +347,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> Column:
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def sums(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec_of(model.value)
-        for batch in texts:
-            rows = [row or b"" for row in batch.cast(pa.binary()).to_pylist()]
+        for rows in _row_groups(texts, codec):
             got = [
                 (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 for n, ids, decoded in codec.results(rows)
