@@ -23,9 +23,9 @@ from bootloom.functions import formats as fmt
 from bootloom.functions.text import fields
 from bootloom.operators.events import battery_reports, cpu_events
 from bootloom.operators.lineage import settle
-from bootloom.operators.ordering import BOOT, ORDER, carry, split_hot_segments
+from bootloom.operators.ordering import BOOT, ORDER, as_of, carry, split_hot_segments
 from bootloom.operators.predicates import is_healthd_text
-from bootloom.operators.state import UNKNOWN, fgbg_state
+from bootloom.operators.state import UNKNOWN, fgbg_changes
 
 CHUNK = [*BOOT, "start_token", "end_token"]
 REPORT = ["timestamp", "l", "v", "t", "h", "st", "c", "chg"]
@@ -188,11 +188,11 @@ def chunk_cpu_state(lines: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunk_fgbg_state(lines: DataFrame, chunks: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
-    """The foreground state at the start of each chunk."""
-    narrow = lines.select(*BOOT, *_PLACE, "line", "payload")
-    reports = fgbg_state(narrow, delay_seconds).where(F.col("line").contains("healthd"))
-    starts = chunks.select(*CHUNK, *[F.col(f"start.{c}") for c in ORDER])
-    return reports.join(starts, [*BOOT, *ORDER]).select(*CHUNK, "fgbg_state")
+    """The foreground state at the start of each chunk, from the places where the state is set."""
+    starts = chunks.select(*CHUNK, *[F.col(f"start.{c}") for c in _PLACE])
+    set_at = settle(fgbg_changes(lines, delay_seconds).select(*BOOT, *_PLACE, "new_state"))
+    known = as_of(starts, set_at, {"fgbg_state": F.col("new_state")})
+    return known.select(*CHUNK, F.coalesce("fgbg_state", F.lit(UNKNOWN)).alias("fgbg_state"))
 
 
 def chunk_filter(chunks: DataFrame, *predicates: Column) -> DataFrame:

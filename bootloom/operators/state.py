@@ -168,6 +168,14 @@ def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     return _transitions(marked.withColumn("_out", ran_out), lines.columns)
 
 
+def fgbg_changes(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
+    """The places of :func:`fgbg_transitions` with their states; no text of other lines than events is read or moved."""
+    places = lines.select(*_PLACE)
+    marked = as_of(places, _fronts(lines), {"_event": F.col("event")}).withColumn("_mark", _mark(delay_seconds))
+    ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
+    return _transitions(marked.withColumn("_out", ran_out), places.columns)
+
+
 def _transitions(marked: DataFrame, columns: list[str]) -> DataFrame:
     """``_out`` is the latest event, in rows where its delay has run out."""
     tracked = carry(marked, before={"old_state": F.col("_mark"), "_left": F.col("_out")})

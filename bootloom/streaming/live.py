@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import BOOT, ORDER, SEGMENT_TOKENS
-from bootloom.operators.state import fgbg_transitions, is_fgbg_event
+from bootloom.operators.state import fgbg_changes, is_fgbg_event
 from bootloom.sources.logs import RAW_PATTERN, device_of_path, name_glob, packed, without_return
 
 
@@ -103,7 +103,7 @@ def _fgbg_batch(lines: DataFrame, batch: int, out_path: str, state_path: str, de
     lines.select(*BOOT, "segment", *ORDER, *text).write.mode("overwrite").parquet(own)
     touched = spark.read.schema(_NARROW).parquet(own).select(*BOOT).distinct()
     arrived = spark.read.schema(_NARROW).parquet(state_path).drop("batch").join(touched, BOOT, "left_semi")
-    changes = fgbg_transitions(arrived, delay_seconds).drop("line", "payload")
+    changes = fgbg_changes(arrived, delay_seconds)
     placed = changes.repartition(*BOOT).sortWithinPartitions(*BOOT, *ORDER)
     writer = placed.write.partitionBy(*BOOT).option("partitionOverwriteMode", "dynamic").mode("overwrite")
     writer.parquet(out_path)
