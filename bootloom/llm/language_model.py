@@ -15,8 +15,8 @@ from bootloom.operators.lineage import settle
 
 #: Fold modulus and the remainder that is held out.
 FOLDS, HELD_OUT = 7, 2
-#: Bigrams that occur less often are not kept.
-LEAST = 2
+#: Bigrams that occur less often are not kept: none, as 1 is the filter's first level.
+LEAST = 1
 #: Bits of the filter for each entry, probes of each entry, and bits of a block.
 BITS_PER_ENTRY, PROBES, BLOCK_BITS = 12, 4, 1 << 20
 #: Weight of the estimate from pairs, for a history that was seen.

@@ -86,3 +86,14 @@ def test_nothing_to_learn_from(spark):
         rows = lm.scored(df, model, broadcast_bytes=limit).collect()
         assert {r.n_known for r in rows} == {0} and all(r.base_score == 0 for r in rows)
     assert lm.scored(df.limit(0), model).collect() == []
+
+
+def test_a_pair_that_occurs_once_counts(spark):
+    """Every pair of the only text occurs once; in its order each token has 1 of 1 after its history."""
+    words = [f"w{i}" for i in range(60)]
+    df = table(spark, [(1, " ".join(words)), (2, " ".join(reversed(words)))])
+    model = lm.train(df.where("doc_id = 1"))
+    for limit in (lm.BROADCAST_BYTES, 0):
+        got = {r.doc_id: r.score for r in lm.scored(df, model, broadcast_bytes=limit).collect()}
+        assert got[1] == pytest.approx(61 * math.log10(0.25 + 0.75 * 2 / (61 + 61 + 1)))
+        assert got[1] > got[2] + 20
