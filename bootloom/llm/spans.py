@@ -17,33 +17,55 @@ from bootloom.operators.lineage import settle
 
 #: Sentences and words that a run has at least.
 SENTENCES, WORDS = 3, 16
-#: A longer sentence is cut at a comma after so many words, or else after the larger number.
-SOFT, HARD = 12, 24
+#: A sentence of more words is cut, at one word at least of each so many in a row.
+LONG, WINDOW = 24, 8
+_NEVER = np.iinfo(np.int64).max
 _SENTENCE = re.compile(rb"[^.!?\n]+(?:[.!?\n][.!? \t\n\r]*)?|[.!?\n][.!? \t\n\r]*")
 _WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*|[ \t-\r]+")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """After how many words a long sentence is cut, in order: of each ``WINDOW`` words, after the last with the least hash.
+
+    A cut depends on the ``WINDOW`` words on both sides of it and on nothing
+    else, so cuts fall in step inside equal passages whatever stands before
+    them.  A word that repeats the one before has no hash; where no word of a
+    window has one, cuts are counted from the last.
+    """
+    digest = xxhash.xxh64_intdigest
+    values = np.array([_NEVER if a == b else digest(b) >> 2 for a, b in zip([b"", *words], words)], np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(values, WINDOW)[:, ::-1]
+    best = windows.argmin(axis=1)
+    at = np.arange(len(windows))
+    found = np.unique((at + WINDOW - best)[windows[at, best] < _NEVER]).tolist()
+    out, last = [], 0
+    for cut in [*found, len(words)]:
+        out.extend(range(last + WINDOW, cut, WINDOW))
+        out.append(cut)
+        last = cut
+    return out
+
+
 def sentences(text: bytes) -> Iterator[tuple[bytes, int]]:
     """The parts of a text, whose concatenation is the text, each with its number of words.
 
     A sentence ends after ``.``, ``!``, ``?`` or a line end and what follows of
-    these and white space.  One of more than 24 words is cut after the first
-    comma from its 12th word on, or after its 24th word, and so on.
+    these and white space.  One of more than 24 words is cut by its content (see
+    ``cuts``) into parts of at most 8.
     """
     for sentence in _SENTENCE.findall(text):
         n = len(sentence.split())
-        if n <= HARD:
+        if n <= LONG:
             yield sentence, n
             continue
-        part, count = [], 0
-        for word in _WORD.findall(sentence):
-            part.append(word)
-            count += not word.isspace()
-            if count >= HARD or count >= SOFT and word.rstrip().endswith(b","):
-                yield b"".join(part), count
-                part, count = [], 0
-        if part:
-            yield b"".join(part), count
+        words = _WORD.findall(sentence)
+        if words[0].isspace():
+            words[:2] = [words[0] + words[1]]
+        last = 0
+        for cut in cuts([w.strip().lower() for w in words]):
+            if cut > last:
+                yield b"".join(words[last:cut]), cut - last
+            last = cut
 
 
 def runs(text: bytes | None, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int]]:

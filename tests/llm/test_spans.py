@@ -1,3 +1,5 @@
+import random
+
 from bootloom.llm import spans as sp
 from tests.llm.plain import ODD, PASSAGE, plain_words, prose, table
 
@@ -54,3 +56,31 @@ def test_runs_cover_a_long_passage():
 def test_nothing(spark):
     assert sp.without_repeats(table(spark).limit(0)).collect() == []
     assert sp.runs(None) == [] and sp.runs(b"") == [] and sp.without(None, []) == (None, 0, 0)
+
+
+def letters(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+
+
+def test_a_passage_inside_long_sentences_goes_whatever_stands_before(spark):
+    rng = random.Random(5)
+    passage = letters(rng, 60)
+    docs = [(i, f"{letters(rng, n)} {passage} {letters(rng, n)}") for i, n in enumerate((5, 9, 16, 2))]
+    got = {r.doc_id: r.text.split() for r in sp.without_repeats(table(spark, docs)).collect()}
+    words = passage.split()
+    assert " ".join(got[0]) == docs[0][1]
+    for i in (1, 2, 3):
+        left = " ".join(got[i])
+        assert not any(" ".join(words[k : k + 51]) in left for k in range(10)) and got[i][0] == docs[i][1].split()[0]
+
+
+def test_any_51_words_of_a_long_sentence_share_a_run():
+    rng = random.Random(6)
+    for k in range(300):
+        passage = letters(rng, 51) if k % 3 else " ".join(rng.choices(["ab", "cd", "ef"], k=51))
+        both = [f"{letters(rng, rng.randint(0, 40))} {passage} {letters(rng, rng.randint(0, 40))}" for _ in range(2)]
+        one, other = ({h for _, _, h in sp.runs(t.encode())} for t in both)
+        assert one & other
+    parts = list(sp.sentences(("  " + passage + "\t").encode()))
+    assert b"".join(s for s, _ in parts).decode() == "  " + passage + "\t" and sum(n for _, n in parts) == 51
+    assert max(n for _, n in parts) <= sp.WINDOW
