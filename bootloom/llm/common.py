@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,11 @@ KEY = ["_kd", "_kt"]
 def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Have the session send at most about ``size`` bytes at once to a Python worker, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def release_memory() -> None:
+    """Give back what a Python worker has freed, at the end of a task: the same worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from bootloom.llm import fingerprints, licenses
-from bootloom.llm.common import LOWER, PLAIN_WORD, UPPER
+from bootloom.llm import filter_audit, fingerprints, licenses, mixing
+from bootloom.llm.common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER
 from bootloom.llm.decontamination import WINDOW
 
 
@@ -112,8 +112,88 @@ from edits e join prints o on o.doc_id = e.doc_id and o.kind = 'own'
 """
 
 
+def _filter_audit() -> str:
+    letters = filter_audit.FILTERS
+    n = len(letters)
+    apart = " and ".join(f"l{i}.x <> l{j}.x" for i in range(n) for j in range(i))
+    order = " || ".join(f"l{i}.x" for i in range(n))
+    tables = ", ".join(f"letters l{i}" for i in range(n))
+    bit = lambda at: f"(1 << (ascii(substr(o, {at}, 1)) - {ord(letters[0])}))"
+    steps = " union all ".join(
+        f"select o, {s} as step, {bit(s)} as own, {' + '.join(bit(k) for k in range(1, s)) or '0'} as earlier from orders"
+        for s in range(1, n + 1)
+    )
+    return f"""
+with docs as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+firsts as (select t, min(doc_id) as least from docs group by t),
+worded as (select doc_id, part, d.t, regexp_extract_all(d.t, '{SPACED_WORD}') as w, least
+           from docs d join firsts f on d.t = f.t),
+masked as (
+  select doc_id, part,
+    case when len(w) < {filter_audit.FEWEST_WORDS} then 1 else 0 end
+    + case when 100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.CAPITAL_PERCENT} * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when doc_id > least or (doc_id is null and least is not null) then 16 else 0 end as mask
+  from worded),
+flags as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+counts as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from masked m left join flags f on m.doc_id = f.doc_id group by part, mask),
+letters as (select unnest({quoted(list(letters))}) as x),
+orders as (select {order} as o from {tables} where {apart}),
+steps as ({steps}),
+found as (
+  select part, o as filter_order, step, own,
+    coalesce(sum(n) filter (where mask & (own | earlier) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where mask & own <> 0 and mask & earlier = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & own <> 0 and mask & earlier <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where mask = own), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & own <> 0 and mask & earlier = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where mask & own <> 0 and mask & earlier = 0), 0)::bigint as toxic_lost
+  from counts, steps group by part, o, step, own)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley
+from found
+"""
+
+
+def _mixing() -> str:
+    weights = "[" + ", ".join(str(w) for w in mixing.WEIGHTS) + "]"
+    unit = 1 << mixing.RATE_BITS
+    return f"""
+with docs as (
+  select doc_id, case when source is null then 't' else 's' || source end as s,
+    len(regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}'))::bigint as size
+  from documents),
+sources as (
+  select s, sum(size)::bigint as source_size, count(*) as n,
+    {weights}[1 + (row_number() over (order by s) - 1) % {len(mixing.WEIGHTS)}] as w
+  from docs group by s),
+stops as (select *, {float(mixing.MOST)} * source_size as stop, row_number() over (order by {float(mixing.MOST)} * source_size / w, s) as k from sources),
+levels as (
+  select max(({mixing.SHARE} * (select sum(source_size) from sources) - coalesce((select sum(stop) from stops b where b.k < a.k), 0))
+    / (select sum(w) from stops b where b.k >= a.k)) as level
+  from stops a),
+wanted as (select s, source_size, n, least(stop, w * level) as target,
+    ('0x' || substr(md5('0:' || s), 1, 6))::bigint * {unit >> 24} as start
+  from stops, levels),
+rated as (select *, case when source_size > 0 then round(target / source_size * {unit})::bigint else 0 end as rate from wanted),
+ranked as (
+  select doc_id, size, source_size, target, rate, start, n,
+    row_number() over (partition by d.s order by size, doc_id nulls first) - 1 as r
+  from docs d join rated on d.s = rated.s),
+placed as (select *, case when r % 2 = 0 then r // 2 else n - 1 - r // 2 end as p from ranked)
+select doc_id, size, source_size, target,
+  ((((p + 1) * rate + start) // {unit} - (p * rate + start) // {unit}) * size)::bigint as taken
+from placed
+"""
+
+
 ORACLES = {
     "op3_decontamination": DECONTAMINATION,
     "op4_fingerprints": _fingerprints(),
     "op8_licenses": _licenses(),
+    "op12_filter_audit": _filter_audit(),
+    "op13_mixing": _mixing(),
 }

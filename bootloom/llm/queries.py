@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bootloom.llm import bpe, decontamination, fingerprints, language_model, licenses, simhash, spans, token_counts
-from bootloom.llm import toxicity, urls
+from bootloom.llm import alignment, bpe, decontamination, filter_audit, fingerprints, language_model, licenses, mixing
+from bootloom.llm import simhash, spans, token_counts, toxicity, urls
 from bootloom.llm.oracles import ORACLES as SQL
 from bootloom.llm.common import bounded_batches, bucket_of
 
@@ -97,3 +97,21 @@ def op9_spans(spark, sf):
 def op10_bpe(spark, sf):
     coded = bpe.bpe_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op11_alignment(spark, sf):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.aligned(documents(spark, sf), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_filter_audit(spark, sf):
+    return filter_audit.filter_audit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op13_mixing(spark, sf):
+    taken = (F.col("n_copies") * F.col("size")).alias("taken")
+    return mixing.copies(documents(spark, sf)).select("doc_id", "size", "source_size", "target", taken)
