@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+class Settled:
+    """The settled tables of a scope."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> None:
+        """Leave the tables that ``df`` reads to the scope around this one, or to the caller."""
+        self.kept |= {folder for folder in self.paths if any(folder.rsplit("/", 1)[1] in file for file in df.inputFiles())}
+
+
+_scope: ContextVar[Settled | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def settled_within(spark: SparkSession) -> Iterator[Settled]:
+    """Remove the tables settled inside, at the end, but for those that are kept.
+
+    ``with settled_within(spark): operator(df).write.parquet(path)`` leaves the
+    result and nothing else.  A frame that has not been written must be used, or
+    its tables kept, before the end.
+    """
+    outer, own = _scope.get(), Settled()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer.paths |= own.kept
+        _delete(spark, own.paths - own.kept)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written once to a table in the shared folder, and read from there.
 
@@ -36,6 +73,8 @@ def settle(df: DataFrame) -> DataFrame:
     no file of what the executors wrote, that is an error, not an empty table.
     """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.paths.add(path)
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     if not written.inputFiles():
@@ -45,10 +84,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 def drop_settled(df: DataFrame) -> None:
     """Remove the files of settled tables that ``df`` was read from; call it when no more plan needs them."""
-    spark = df.sparkSession
+    _delete(df.sparkSession, {f for f in (file.rsplit("/", 1)[0] for file in df.inputFiles()) if "/settled-" in f})
+
+
+def _delete(spark: SparkSession, folders: set[str]) -> None:
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        if "/settled-" in folder:
-            system.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
