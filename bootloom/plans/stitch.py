@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_lines, discharge_chunks
-from bootloom.operators.lineage import drop_settled, settle
+from bootloom.operators.lineage import settle, settled_within
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
 from bootloom.plans.sizing import GZIP_RATIO, partitions_for
@@ -23,13 +23,7 @@ from bootloom.sources.logs import (
     read_raw_logs,
     stitched_files,
 )
-from bootloom.sources.writers import (
-    write_chunk_meta,
-    write_chunk_states,
-    write_chunks,
-    write_manifest,
-    write_stitched,
-)
+from bootloom.sources.writers import write_chunks, write_manifest, write_stitched
 
 # A gzip file above this many bytes is spread over many tasks after reading.
 LARGE_FILE = 512 << 20
@@ -66,13 +60,13 @@ def stitch(
         if max(f.length for f in run) > LARGE_FILE:
             # One task must unzip it, but others can share its parsing.
             raw = raw.repartition(partitions, "file_name", "block_start", "line_no")
-        lines = settle(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
-        spread = split_hot_segments(lines, 4 * segment_tokens, into="_spread")
-        name = hashlib.sha256("\n".join(f.file_name for f in run).encode()).hexdigest()[:16]
-        write_stitched(spread, f"{store_path}/run={name}", mode="overwrite", partitions=partitions)
-        taken = spark.createDataFrame([(f.file_name, f.device_id) for f in run], "file_name string, device_id string")
-        write_manifest(boot_ids(lines), taken, f"{manifest_path}/run={name}")
-        drop_settled(lines)
+        with settled_within(spark):
+            lines = settle(parse_loglines(raw, "value", F.col("file_device"), segment_tokens=segment_tokens))
+            spread = split_hot_segments(lines, 4 * segment_tokens, into="_spread")
+            name = hashlib.sha256("\n".join(f.file_name for f in run).encode()).hexdigest()[:16]
+            write_stitched(spread, f"{store_path}/run={name}", mode="overwrite", partitions=partitions)
+            taken = spark.createDataFrame([(f.file_name, f.device_id) for f in run], "file_name string, device_id string")
+            write_manifest(boot_ids(lines), taken, f"{manifest_path}/run={name}")
 
 
 def _drop_unfinished(spark: SparkSession, store_path: str, manifest_path: str) -> None:
@@ -90,15 +84,16 @@ def _drop_unfinished(spark: SparkSession, store_path: str, manifest_path: str) -
 def chunk_devices(lines: DataFrame, path: str, reload: bool = False) -> None:
     """Cut the boots of ``lines`` into discharge chunks and write them with their start states and counts.
 
-    Devices whose chunks have been counted below ``path`` are left as they are;
-    with ``reload`` all devices of ``lines`` are done anew.  The counts are
-    written last, so a device counts as done only when all else is there, and
-    doing it again replaces what a failed run has left.
+    Devices that are in the chunk store at ``path`` are left as they are; with
+    ``reload`` all devices of ``lines`` are done anew, and what the store has of
+    them is replaced, also by nothing.  The store changes at one moment, when all
+    tables are there.
     """
     if not reload:
         lines = lines.join(done_devices(lines.sparkSession, path), "device_id", "left_anti")
-    chunks = settle(discharge_chunks(lines))
-    write_chunks(chunks, chunk_lines(lines, chunks), path)
-    write_chunk_states(chunk_cpu_state(lines, chunks), chunk_fgbg_state(lines, chunks), path)
-    write_chunk_meta(chunks, boot_ids(lines), f"{path}/meta")
-    drop_settled(chunks)
+    with settled_within(lines.sparkSession):
+        chunks = settle(discharge_chunks(lines))
+        members, boots = chunk_lines(lines, chunks), settle(boot_ids(lines))
+        if boots.isEmpty():
+            return
+        write_chunks(chunks, members, path, chunk_cpu_state(lines, chunks), chunk_fgbg_state(lines, chunks), boots)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bootloom.functions.formats import DEVICE_DIR
+from bootloom.sources.commits import last_version
 
 RAW_PATTERN = "*.out.gz"
 
@@ -179,17 +180,20 @@ def pending_devices(devices: DataFrame, done: DataFrame, reload: bool = False) -
     return todo if reload else todo.join(done.select("device_id"), "device_id", "left_anti")
 
 
-#: Names of the files that say that a device's chunks have been counted: one for each device, or those of a run.
-META_PATTERN = "meta.json,part-*.json"
+#: Names of the files that say that a device's chunks have been counted, where there is one for each device.
+META_PATTERN = "meta.json"
 
 
 def done_devices(spark: SparkSession, path: str, patterns: str = META_PATTERN) -> DataFrame:
-    """Devices below ``path`` whose chunks have been counted; none if there is no such folder."""
+    """Devices whose chunks have been counted; none if there is no such folder.
+
+    They are the devices of the chunk store at ``path``, and those that have a
+    file of their own that says so somewhere below it.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], "device_id string")
-    found = list_files(spark, path, patterns).where(F.col("file_name").rlike("(/meta/|/meta\\.json$)"))
-    unknown = F.when(F.col("file_name").contains("/device_id=__HIVE_DEFAULT_PARTITION__/"), "")
-    return found.select(F.coalesce("device_id", unknown).alias("device_id")).where("device_id is not null").distinct()
+    found = list_files(spark, path, patterns).select("device_id").where("device_id is not null")
+    return found.unionByName(live_devices(spark, path).select("device_id")).distinct()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -226,24 +230,68 @@ def boot_ids(lines: DataFrame) -> DataFrame:
     return lines.select("device_id", "boot_id").distinct()
 
 
-def _of_devices(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table with a directory per device.  The schema is stated: device names may look like numbers."""
+#: The tables of a chunk store, and how they are kept.
+CHUNK_TABLES = {
+    "chunks": (f"{_CHUNK}, start {_REPORT}, end {_REPORT}", "parquet"),
+    "lines": (f"{STORE_SCHEMA}, start_token bigint, end_token bigint", "parquet"),
+    "cpu_state": (f"{_CHUNK}, cpu int, cpu_state string, cpu_freq int", "parquet"),
+    "fgbg_state": (f"{_CHUNK}, fgbg_state string", "parquet"),
+    "meta": ("device_id string, boot_id string, chunks bigint", "json"),
+}
+
+
+def _generations(spark: SparkSession, path: str, table: str, schema: str, kind: str = "parquet") -> DataFrame | None:
+    """One table of all generations, with ``_generation``; None if no generation has it."""
     columns = [f.name for f in T.StructType.fromDDL(schema).fields]
-    read = spark.read.schema(schema).parquet(path)
-    return read.withColumn("device_id", F.coalesce("device_id", F.lit(""))).select(*columns)
+    rows = None
+    for folder in last_version(spark, path).folders:
+        place = f"{path}/{folder['name']}/{table}"
+        if _exists(spark, place):
+            # The schema is stated: device names may look like numbers.
+            read = spark.read.schema(schema).format(kind).load(place)
+            read = read.withColumn("device_id", F.coalesce("device_id", F.lit(""))).select(*columns)
+            read = read.withColumn("_generation", F.lit(folder["generation"]).cast("bigint"))
+            rows = read if rows is None else rows.unionByName(read)
+    return rows
+
+
+def live_devices(spark: SparkSession, path: str) -> DataFrame:
+    """The devices of a chunk store, each with the generation that counts for it, the last one."""
+    devices = _generations(spark, path, "devices", "device_id string")
+    if devices is None:
+        return spark.createDataFrame([], "device_id string, _generation bigint")
+    return devices.groupBy("device_id").agg(F.max("_generation").alias("_generation"))
+
+
+def read_generations(spark: SparkSession, path: str, table: str, schema: str, kind: str = "parquet") -> DataFrame | None:
+    """The rows of a table that count: of each device those of its last generation; None if there is no such table."""
+    rows = _generations(spark, path, table, schema, kind)
+    if rows is None or len(last_version(spark, path).folders) == 1:
+        return None if rows is None else rows.drop("_generation")
+    return rows.join(live_devices(spark, path), ["device_id", "_generation"], "left_semi").drop("_generation").select(
+        *[f.name for f in T.StructType.fromDDL(schema).fields]
+    )
+
+
+def _chunk_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    schema, kind = CHUNK_TABLES[table]
+    rows = read_generations(spark, path, table, schema, kind)
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chunk headers and chunk lines written by :func:`bootloom.sources.writers.write_chunks`."""
-    headers = _of_devices(spark, f"{path}/chunks", f"{_CHUNK}, start {_REPORT}, end {_REPORT}")
-    members = _of_devices(spark, f"{path}/lines", f"{STORE_SCHEMA}, start_token bigint, end_token bigint")
-    return headers, unpacked(members)
+    return _chunk_table(spark, path, "chunks"), unpacked(_chunk_table(spark, path, "lines"))
 
 
 def read_chunk_states(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The state of each CPU, and of the foreground, at the start of each chunk."""
-    cpus = _of_devices(spark, f"{path}/cpu_state", f"{_CHUNK}, cpu int, cpu_state string, cpu_freq int")
-    return cpus, _of_devices(spark, f"{path}/fgbg_state", f"{_CHUNK}, fgbg_state string")
+    return _chunk_table(spark, path, "cpu_state"), _chunk_table(spark, path, "fgbg_state")
+
+
+def read_chunk_counts(spark: SparkSession, path: str) -> DataFrame:
+    """How many chunks each boot of a chunk store has."""
+    return _chunk_table(spark, path, "meta")
 
 
 # Names of the fields in chunk dumps.

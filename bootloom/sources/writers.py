@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootloom.operators.chunks import CHUNK
 from bootloom.operators.events import thermal_events
 from bootloom.operators.ordering import BOOT, ORDER
 from bootloom.plans.distributions import bounded_lists
-from bootloom.sources.logs import packed
+from bootloom.sources.commits import commit, last_version, new_folder
+from bootloom.sources.logs import CHUNK_TABLES, live_devices, packed, read_generations
 
 LINES_PER_FILE = 1_000_000
 
@@ -97,16 +98,55 @@ def by_device(df: DataFrame, path: str, *spread: str, order: list[str] = BOOT, k
     writer.format(kind).save(path)
 
 
-def write_chunks(chunks: DataFrame, members: DataFrame, path: str) -> None:
-    """Chunk headers and chunk lines as tables; a chunk is known by device, boot and its two tokens."""
-    by_device(chunks, f"{path}/chunks", *BOOT)
-    by_device(packed(members), f"{path}/lines", "segment", *BOOT, order=[*CHUNK, *ORDER])
-
+def write_chunks(
+    chunks: DataFrame,
+    members: DataFrame,
+    path: str,
+    cpus: DataFrame | None = None,
+    fgbg: DataFrame | None = None,
+    boots: DataFrame | None = None,
+) -> None:
+    """Chunk headers and lines, and if given their start states and counts, as the new generation of their devices.
 
-def write_chunk_states(cpus: DataFrame, fgbg: DataFrame, path: str) -> None:
-    """The state of CPUs and of the foreground at the start of chunks."""
-    by_device(cpus, f"{path}/cpu_state", *BOOT)
-    by_device(fgbg, f"{path}/fgbg_state", *BOOT)
+    A chunk is known by device, boot and its two tokens.  The devices are those of
+    ``boots`` (without it, those of ``chunks``): of each of them readers see what was
+    written here and nothing older, also where it now has no chunk at all.  All
+    tables of a generation count from one moment on, when its version is
+    committed; a run that ends before leaves the older generation whole.
+    """
+    spark, name = chunks.sparkSession, new_folder()
+    top = f"{path}/{name}"
+
+    def write(df: DataFrame, table: str, *spread: str, order: list[str] = BOOT, kind: str = "parquet") -> None:
+        by_device(df, f"{top}/{table}", *spread, order=order, kind=kind)
+
+    write(chunks, "chunks", *BOOT)
+    write(packed(members), "lines", "segment", *BOOT, order=[*CHUNK, *ORDER])
+    if cpus is not None:
+        write(cpus, "cpu_state", *BOOT)
+    if fgbg is not None:
+        write(fgbg, "fgbg_state", *BOOT)
+    if boots is not None:
+        write(chunk_meta(chunks, boots), "meta", kind="json")
+    devices = (chunks if boots is None else boots).select("device_id").distinct()
+    devices.write.parquet(f"{top}/devices")
+    before = last_version(spark, path)
+    commit(spark, path, before, [*before.folders, {"name": name, "generation": before.number + 1}])
+
+
+def merge_generations(spark: SparkSession, path: str) -> None:
+    """Put the live generations of a chunk store into one, without what newer ones have replaced."""
+    before = last_version(spark, path)
+    if len(before.folders) < 2:
+        return
+    live, name = live_devices(spark, path), new_folder()
+    for table, (schema, kind) in CHUNK_TABLES.items():
+        rows = read_generations(spark, path, table, schema, kind)
+        if rows is not None:
+            spread = ["segment", *BOOT] if table == "lines" else BOOT
+            by_device(rows, f"{path}/{name}/{table}", *spread, order=[*CHUNK, *ORDER] if table == "lines" else BOOT, kind=kind)
+    live.select("device_id").write.parquet(f"{path}/{name}/devices")
+    commit(spark, path, before, [{"name": name, "generation": before.number}])
 
 
 def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
@@ -118,6 +158,6 @@ def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
 def write_chunk_meta(chunks: DataFrame, boots: DataFrame, path: str) -> None:
     """:func:`chunk_meta` as JSON, one object per row, a directory per device.
 
-    This is what says that a device is done, so it is written last.
+    A boot that has lost all its chunks is counted with 0.
     """
     by_device(chunk_meta(chunks, boots), path, kind="json")
