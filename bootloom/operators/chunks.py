@@ -10,8 +10,8 @@ A boot's battery reports drive a small state machine:
 
 The machine is sequential, but what a whole segment does to its state is small:
 for each level it may be entered with, the level it leaves with.  So each
-segment is reduced to that table, the tables are chained over the segments of a
-boot, and every segment then runs on its own from the state it is entered with.
+stretch of reports is reduced to that table, the tables are composed as a tree,
+and every stretch then runs on its own from the state it is entered with.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from bootloom.functions import formats as fmt
 from bootloom.functions.text import fields
 from bootloom.operators.events import battery_reports, cpu_events
+from bootloom.operators.folds import WIDTH, entered
 from bootloom.operators.lineage import settle
 from bootloom.operators.ordering import BOOT, ORDER, as_of, carry, split_hot_segments
 from bootloom.operators.predicates import is_healthd_text
@@ -32,7 +33,7 @@ REPORT = ["timestamp", "l", "v", "t", "h", "st", "c", "chg"]
 _BLOCK = ["segment", *BOOT]
 
 #: Battery reports that are folded in one array.
-REPORTS = 50_000
+REPORTS = 512
 
 # A report as it is kept in the arrays: its place first, so that arrays sort in order.
 _PLACE = [*ORDER, "segment"]
@@ -58,21 +59,31 @@ aggregate(
   e -> named_struct('exits', map_entries(e.exits), 'lows', e.lows, 'charged', e.charged, 'level', e.level))
 """
 
-# The states that a stretch of segments without a charger are left in, in order, after the state it starts with.
-_LEAVES = """
-aggregate(
-  blocks,
-  cast(array(named_struct('segment', -1L, 'waiting', true,
-                          'x', if(blocks[0].effect.charged, blocks[0].effect.level, blocks[0].first_level)))
-    as array<struct<segment: bigint, waiting: boolean, x: int>>),
-  (done, b) -> concat(done, array(named_struct(
-    'segment', b.segment,
-    'waiting', element_at(done, -1).waiting and not exists(b.effect.lows, y -> y.l < element_at(done, -1).x),
-    'x', coalesce(
-      if(element_at(done, -1).waiting,
-         get(filter(b.effect.lows, y -> y.l < element_at(done, -1).x), 0).leave,
-         get(filter(b.effect.exits, y -> y.key = element_at(done, -1).x), 0).value),
-      element_at(done, -1).x)))))
+# Two effects one after the other. A state that the first leaves open goes on as the second has it; the second may end
+# waiting with what is lower than all that the first could have ended it with.
+_COMPOSED = """
+if({g}.charged, {g}, named_struct(
+  'exits', concat(
+    transform({f}.exits, x -> named_struct('key', x.key,
+      'value', coalesce(get(filter({g}.exits, y -> y.key = x.value), 0).value, x.value))),
+    filter({g}.exits, y -> not exists({f}.exits, x -> x.key = y.key))),
+  'lows', concat(
+    transform({f}.lows, x -> named_struct('l', x.l,
+      'leave', coalesce(get(filter({g}.exits, y -> y.key = x.leave), 0).value, x.leave))),
+    filter({g}.lows, y -> size({f}.lows) = 0 or y.l < element_at({f}.lows, -1).l)),
+  'charged', {f}.charged,
+  'level', {f}.level))
+"""
+
+# The state that an effect leaves: a report on charge has set its level, and then comes what is after it.
+_LEFT = """
+transform(array(if({f}.charged, named_struct('waiting', true, 'x', {f}.level), {s})), s -> named_struct(
+  'waiting', s.waiting and not exists({f}.lows, y -> y.l < s.x),
+  'x', coalesce(
+    if(s.waiting,
+       get(filter({f}.lows, y -> y.l < s.x), 0).leave,
+       get(filter({f}.exits, y -> y.key = s.x), 0).value),
+    s.x)))[0]
 """
 
 # The chunk boundaries of a segment, from the state it is entered with.
@@ -91,11 +102,12 @@ aggregate(
 """
 
 
-def chunk_boundaries(lines: DataFrame, limit: int = REPORTS) -> DataFrame:
+def chunk_boundaries(lines: DataFrame, limit: int = REPORTS, width: int = WIDTH) -> DataFrame:
     """Reports that open a chunk: ``at`` (the report) and ``closes`` (it ends the chunk before it as well).
 
     Reports are folded in arrays of at most about twice ``limit``: a segment with
-    more, whatever made it so, is cut along the order first.
+    more, whatever made it so, is cut along the order first.  What these blocks do
+    is folded as a tree, so neither many reports nor many segments meet in one array.
     """
     reports = settle(battery_reports(lines).select(*BOOT, *_PLACE, *REPORT))
     cut = split_hot_segments(reports, limit, into="_fold")
@@ -103,25 +115,18 @@ def chunk_boundaries(lines: DataFrame, limit: int = REPORTS) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(*_PLACE, *REPORT))).alias("reports")
     )
     in_order = Window.partitionBy(*BOOT).orderBy("segment")
-    effects = blocks.select(
-        *_BLOCK, F.expr(_EFFECT).alias("effect"), F.col("reports")[0]["l"].alias("first_level")
-    ).withColumn("stretch", F.sum(F.col("effect.charged").cast("int")).over(in_order))
-    stretches = effects.groupBy(*BOOT, "stretch").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "effect", "first_level"))).alias("blocks")
-    )
-    left = stretches.select(*BOOT, F.inline(F.expr(f"slice({_LEAVES}, 2, size(blocks))")))
-    entered = left.select(
-        *_BLOCK,
-        F.lag("waiting").over(in_order).alias("waiting"),
-        F.lag("x").over(in_order).alias("x"),
-    )
-    # The first segment of a boot is entered waiting, with the level of its first report.
-    runs = blocks.join(entered.hint("shuffle_hash"), _BLOCK).withColumns(
-        {
-            "waiting": F.coalesce("waiting", F.lit(True)),
-            "x": F.coalesce("x", F.col("reports")[0]["l"]),
-        }
+    blocks = settle(blocks.withColumn("nth", (F.row_number().over(in_order) - 1).cast("bigint")))
+    effects = settle(blocks.select(*BOOT, "nth", F.expr(_EFFECT).alias("effect")))
+    # A boot is entered waiting, with the level of its first report.
+    begun = F.struct(F.lit(True).alias("waiting"), F.col("reports")[0]["l"].alias("x"))
+    states = entered(
+        effects,
+        blocks.where("nth = 0").select(*BOOT, begun.alias("enter")),
+        compose=lambda f, g: _COMPOSED.format(f=f, g=g),
+        apply=lambda state, f: _LEFT.format(s=state, f=f),
+        width=width,
     )
+    runs = blocks.join(states, [*BOOT, "nth"]).select(*_BLOCK, "reports", "enter.waiting", "enter.x")
     return runs.select(*_BLOCK, F.inline(F.expr(_RUN)))
 
 
@@ -142,19 +147,40 @@ def _place_of(report: str) -> Column:
     return F.struct(*[F.col(f"{report}.{c}") for c in ORDER])
 
 
-def chunk_lines(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The lines of each chunk, between its reports, with ``start_token`` and ``end_token``."""
-    # Level and charger of a report, from one run of its pattern.
+def _reach(chunks: DataFrame) -> DataFrame:
+    """For each segment that a chunk reaches into, the chunks that do: where they begin and end, and their level."""
+    chunk = F.struct(
+        _place_of("start").alias("start"), _place_of("end").alias("end"), "start_token", "end_token", F.col("start.l").alias("level")
+    )
+    segments = F.explode(F.sequence(F.col("start.segment"), F.col("end.segment"))).alias("segment")
+    return chunks.select(*BOOT, segments, chunk.alias("_chunk")).groupBy(*_BLOCK).agg(
+        F.array_sort(F.collect_list("_chunk")).alias("_chunks")
+    )
+
+
+def chunk_lines(lines: DataFrame, chunks: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
+    """The lines of each chunk, between its reports, with ``start_token`` and ``end_token``.
+
+    Chunks of a boot do not overlap, so it takes no ordered scan: each segment
+    gets the chunks that reach into it, and a line looks for the one it is in.
+    Up to ``broadcast_limit`` chunks go to the lines, which then stay where they
+    are; with more, only lines of segments that a chunk reaches into are moved.
+    """
+    reach = settle(_reach(chunks))
+    few = reach.agg(F.sum(F.size("_chunks"))).first()[0] or 0
+    # The keys alone tell most lines outside chunks; the few words per chunk come in after that.
+    if few <= broadcast_limit:
+        near = lines.join(F.broadcast(reach), _BLOCK)
+    else:
+        near = lines.join(reach.select(*_BLOCK), _BLOCK, "left_semi").join(reach, _BLOCK)
+    place = F.struct(*ORDER)
+    inside = F.get(F.filter("_chunks", lambda c: (c["start"] < place) & (place < c["end"])), F.lit(0))
+    found = near.withColumn("_chunk", inside).where("_chunk is not null")
+    # A report belongs to the chunk if it is off charge and at its level; one run of its pattern tells both.
     report = F.get(fields(F.col("payload"), (fmt.HEALTHD_TEXT, [2, 8])), F.lit(0))
     told = F.filter(F.array(F.when(is_healthd_text(), report)), lambda r: F.get(r, F.lit(1)) == "")
     level = F.get(F.transform(told, lambda r: F.get(r, F.lit(0)).try_cast("int")), F.lit(0))
-    rows = lines.withColumns({"_after": F.lit(0), "_level": level, "_report": is_healthd_text()})
-    chunk = F.struct("start_token", "end_token", F.col("start.l").alias("level"), _place_of("end").alias("end"))
-    marks = chunks.select(*BOOT, *[F.col(f"start.{c}") for c in _PLACE], F.lit(1).alias("_after"), chunk.alias("_mark"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    placed = carry(both, at={"_chunk": F.col("_mark")}, order=[*ORDER, "_after"])
-    inside = (F.struct(*ORDER) < F.col("_chunk.end")) & (~F.col("_report") | (F.col("_level") == F.col("_chunk.level")))
-    return placed.where((F.col("_after") == 0) & inside).select(
+    return found.where(~is_healthd_text() | (level == F.col("_chunk.level"))).select(
         *lines.columns, F.col("_chunk.start_token").alias("start_token"), F.col("_chunk.end_token").alias("end_token")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bootloom.functions import formats as fmt
 from bootloom.operators.events import healthd_events, power_events, proc_foreground_events
 from bootloom.operators.lineage import settle
+from bootloom.operators.machines import Machine
 from bootloom.operators.ordering import BOOT, ORDER, as_of, carry
 from bootloom.operators.predicates import is_power_event
 
@@ -26,15 +27,19 @@ _PLACE = [*BOOT, "segment", *ORDER]
 
 @dataclass(frozen=True)
 class Tracker:
-    """A state set by events of its own: column ``name``, as ``changes`` finds it in lines."""
+    """A state set by events of its own: column ``name``, as ``changes`` finds it in lines.
+
+    Each event sets its state whatever the one before is; for states that depend
+    on the one before there is :class:`bootloom.operators.machines.Machine`.
+    """
 
     name: str
     changes: Callable[[DataFrame], DataFrame]
     initial: str | int = UNKNOWN
 
 
-def track(lines: DataFrame, *trackers: Tracker) -> DataFrame:
-    """Add the state of each tracker as of each line, all in one ordered pass."""
+def track(lines: DataFrame, *trackers: Tracker | Machine) -> DataFrame:
+    """Add the state of each tracker or machine as of each line, all in one ordered pass."""
     found = [t.changes(lines).select(*_PLACE, t.name) for t in trackers]
     events = settle(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found))
     tracked = as_of(lines, events, {t.name: F.col(t.name) for t in trackers})
@@ -130,24 +135,31 @@ def is_fgbg_event() -> Column:
     return F.col("line").contains(fmt.FOREGROUND + ":")
 
 
-def _fronts(lines: DataFrame) -> DataFrame:
+def _fronts(events: DataFrame) -> DataFrame:
+    """Places of foreground events with ``event``: whether a process is in front, and the place once more."""
     front = (F.col("fg_pid") != 0).alias("front")
-    return settle(proc_foreground_events(lines).select(*_PLACE, F.struct(front, *ORDER).alias("event")))
+    return events.select(*_PLACE, F.struct(front, *ORDER).alias("event"))
 
 
-def _mark(delay_seconds: float) -> Column:
-    """The state that the latest foreground event implies by now."""
-    waited = F.col("trace_us") - F.col("_event.trace_us")
-    return F.when(F.col("_event.front"), "FOREGROUND").when(waited > int(delay_seconds * 1_000_000), "BACKGROUND")
+def _marks(places: DataFrame, fronts: DataFrame, delay_seconds: float) -> DataFrame:
+    """Places that set the state, with ``mark``: those of processes in front, and where a delay has run out.
 
+    One pass over all lines' places: each gets the latest event, and in the same
+    partitions the first line of a segment at which that event's delay is over
+    is taken.  Of these few rows the first for each event counts.
+    """
+    timed = as_of(places.select(*_PLACE), fronts, {"_event": F.col("event")})
+    late = ~F.col("_event.front") & (F.col("trace_us") - F.col("_event.trace_us") > int(delay_seconds * 1_000_000))
+    firsts = timed.where(late).groupBy("segment", *BOOT, "_event").agg(F.min(F.struct(*ORDER)).alias("_at"))
+    over = firsts.groupBy(*BOOT, "_event").agg(F.min(F.struct("_at", "segment")).alias("_first"))
+    back = over.select(*BOOT, "_first.segment", "_first._at.*", F.lit("BACKGROUND").alias("mark"))
+    fore = fronts.where("event.front").select(*_PLACE, F.lit("FOREGROUND").alias("mark"))
+    return settle(fore.unionByName(back))
 
-def _marked(lines: DataFrame, delay_seconds: float) -> DataFrame:
-    """Lines with ``_event``, the latest foreground event, and ``_mark``, the state it implies by now.
 
-    The text is read for the events only: the scans over all lines need no more
-    of a line than its place.
-    """
-    return as_of(lines, _fronts(lines), {"_event": F.col("event")}).withColumn("_mark", _mark(delay_seconds))
+def _with_old(marked: DataFrame) -> DataFrame:
+    tracked = carry(marked.withColumnRenamed("mark", "new_state"), before={"old_state": F.col("new_state")})
+    return tracked.withColumn("old_state", F.coalesce("old_state", F.lit(UNKNOWN)))
 
 
 def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
@@ -157,33 +169,35 @@ def fgbg_state(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     with the first line more than ``delay_seconds`` later, of whatever kind, so
     all lines of the boot are needed.
     """
-    tracked = carry(_marked(lines, delay_seconds), at={"fgbg_state": F.col("_mark")})
+    marks = _marks(lines, settle(_fronts(proc_foreground_events(lines))), delay_seconds)
+    tracked = as_of(lines, marks, {"fgbg_state": F.col("mark")})
     return tracked.select(*lines.columns, F.coalesce("fgbg_state", F.lit(UNKNOWN)).alias("fgbg_state"))
 
 
 def fgbg_transitions(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
-    """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal)."""
-    marked = _marked(lines, delay_seconds)
-    ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    return _transitions(marked.withColumn("_out", ran_out), lines.columns)
+    """Lines that set the state, with ``old_state`` and ``new_state`` (which may be equal).
+
+    Only places of lines are scanned in order; the few lines at which a delay has
+    run out are looked up afterwards.
+    """
+    events = settle(proc_foreground_events(lines).select(*lines.columns, "fg_pid"))
+    marks = _marks(lines, _fronts(events), delay_seconds)
+    back = marks.where("mark = 'BACKGROUND'").drop("mark")
+    # Equal lines have one place: a delay runs out at the first of them.
+    found = lines.join(back, _PLACE, "left_semi").dropDuplicates(_PLACE).withColumn("mark", F.lit("BACKGROUND"))
+    fore = events.where("fg_pid <> 0").drop("fg_pid").withColumn("mark", F.lit("FOREGROUND"))
+    return _with_old(settle(fore.unionByName(found.select(*fore.columns)))).select(*lines.columns, "old_state", "new_state")
 
 
 def fgbg_changes(lines: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     """The places of :func:`fgbg_transitions` with their states; no text of other lines than events is read or moved."""
-    places = lines.select(*_PLACE)
-    marked = as_of(places, _fronts(lines), {"_event": F.col("event")}).withColumn("_mark", _mark(delay_seconds))
-    ran_out = F.when(F.col("_mark") == "BACKGROUND", F.col("_event"))
-    return _transitions(marked.withColumn("_out", ran_out), places.columns)
-
-
-def _transitions(marked: DataFrame, columns: list[str]) -> DataFrame:
-    """``_out`` is the latest event, in rows where its delay has run out."""
-    tracked = carry(marked, before={"old_state": F.col("_mark"), "_left": F.col("_out")})
-    first_back = (F.col("_mark") == "BACKGROUND") & ~F.col("_event").eqNullSafe(F.col("_left"))
-    to_front = F.col("_event.front") & (F.struct(*ORDER) == F.struct(*[F.col(f"_event.{c}") for c in ORDER]))
-    return tracked.where(first_back | to_front).select(
-        *columns, F.coalesce("old_state", F.lit(UNKNOWN)).alias("old_state"), F.col("_mark").alias("new_state")
-    )
+    return fgbg_changes_of(lines, proc_foreground_events(lines), delay_seconds)
+
+
+def fgbg_changes_of(places: DataFrame, events: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
+    """:func:`fgbg_changes` from the places of lines and their foreground events (``fg_pid``)."""
+    changes = _with_old(_marks(places, settle(_fronts(events)), delay_seconds))
+    return changes.select(*[c for c in places.columns if c in _PLACE], "old_state", "new_state")
 
 
 def active_pid(lines: DataFrame) -> DataFrame:
