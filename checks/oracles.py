@@ -403,7 +403,7 @@ oracle("suspend_transitions", f"""SELECT {AT}, new_state,
 oracle("suspend_intervals", """SELECT device_id, boot_id, before_us AS entry_us, trace_us AS exit_us,
   trace_us - before_us AS suspended_us FROM power_steps WHERE power = 'exit' AND before = 'entry'""", _TRACKED)
 oracle("fgbg_state", f"SELECT {AT}, fgbg_state FROM fgbg")
-for _name in ("fgbg_transitions", "fgbg_stream"):
+for _name in ("fgbg_transitions", "fgbg_stream", "fgbg_stream_late"):
     oracle(_name, f"""SELECT {AT}, old_state, mark AS new_state FROM fgbg
       WHERE (mark = 'BACKGROUND' AND nth = 1) OR fg_pid <> 0""")
 oracle("active_pid", f"SELECT {AT}, active_pid FROM sampled")
@@ -416,6 +416,36 @@ oracle("day_boundaries", f"""SELECT * FROM (SELECT {AT},
     CAST(lag(dayofyear(CAST(stamp AS TIMESTAMP))) OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token) AS INTEGER) AS old_day,
     CAST(dayofyear(CAST(stamp AS TIMESTAMP)) AS INTEGER) AS new_day FROM loglines) WHERE old_day <> new_day""")
 
+_PERIOD_US = (5 * 60 + 7) * 60_000_000
+_PERIODS = f"""
+timed AS (SELECT device_id, boot_id, logcat_token, epoch_us(CAST(stamp AS TIMESTAMP)) AS us FROM loglines),
+period_steps(device_id, boot_id, logcat_token, us, old_us) AS (
+  SELECT device_id, boot_id, logcat_token, us, CAST(NULL AS BIGINT) FROM timed
+  QUALIFY row_number() OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token) = 1
+  UNION ALL
+  SELECT s.device_id, s.boot_id, t.logcat_token, t.us, s.us
+  FROM period_steps s JOIN timed t ON t.device_id = s.device_id AND t.boot_id = s.boot_id
+  WHERE t.logcat_token = (SELECT min(m.logcat_token) FROM timed m WHERE m.device_id = s.device_id
+    AND m.boot_id = s.boot_id AND m.logcat_token > s.logcat_token AND m.us >= s.us + {_PERIOD_US})),
+"""
+oracle("period_boundaries", f"SELECT {AT}, old_us AS old_start, us AS new_start FROM period_steps WHERE old_us IS NOT NULL", _PERIODS)
+_HEAT = """
+degrees AS (SELECT device_id, boot_id, logcat_token, CASE WHEN temp % 2 = 1 THEN 1 ELSE -1 END AS step,
+    row_number() OVER (PARTITION BY device_id, boot_id ORDER BY logcat_token) AS n FROM thermal),
+heat_steps(device_id, boot_id, n, logcat_token, heat) AS (
+  SELECT device_id, boot_id, n, logcat_token, greatest(step, 0) FROM degrees WHERE n = 1
+  UNION ALL
+  SELECT d.device_id, d.boot_id, d.n, d.logcat_token, least(greatest(s.heat + d.step, 0), 2)
+  FROM heat_steps s JOIN degrees d ON d.device_id = s.device_id AND d.boot_id = s.boot_id AND d.n = s.n + 1),
+heated AS (
+  SELECT c.device_id, c.boot_id, c.logcat_token, c.suspend_state,
+    last_value(heat IGNORE NULLS) OVER (PARTITION BY c.device_id, c.boot_id ORDER BY c.logcat_token
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heat
+  FROM charging c LEFT JOIN heat_steps h ON h.device_id = c.device_id AND h.boot_id = c.boot_id AND h.logcat_token = c.logcat_token),
+"""
+oracle("custom_tracker", f"""SELECT {AT}, suspend_state,
+  CASE coalesce(heat, 0) WHEN 0 THEN 'cool' WHEN 1 THEN 'warm' ELSE 'hot' END AS heat FROM heated""", _TRACKED, _HEAT)
+
 oracle("freq_spans", "SELECT * FROM spans", _TRACKED)
 oracle("freq_spans_closed", "SELECT * FROM closed_spans", _TRACKED)
 oracle("ncpu_spans", "SELECT * FROM online_spans", _TRACKED)
@@ -430,6 +460,11 @@ oracle("ncpu_share", """SELECT num_online_cpus, device_id, boot_id, duration_us,
 oracle("ncpu_share_lists", """SELECT num_online_cpus, 0 AS part,
   string_agg(CAST(CAST(round(share * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY share) AS millionths
   FROM online_shares GROUP BY num_online_cpus""", _TRACKED)
+oracle("combination_lists_file", """SELECT freq_key, 0 AS part,
+  string_agg(CAST(CAST(round(share * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY share) AS millionths
+  FROM (SELECT freq_key, CAST(sum(duration_us) AS DOUBLE) / boot_us AS share
+        FROM combinations c JOIN combination_extent USING (device_id, boot_id) WHERE boot_us <> 0
+        GROUP BY freq_key, c.device_id, c.boot_id, boot_us) GROUP BY freq_key""", _TRACKED)
 oracle("temp_histogram", """SELECT temp, count(*) AS samples FROM thermal t
   JOIN sampled s USING (device_id, boot_id, logcat_token) WHERE active_pid <> 0 GROUP BY temp""")
 oracle("pvs_by_device", """SELECT device_id, arg_min(pvs_bin, boot_id || lpad(CAST(logcat_token AS VARCHAR), 20, '0')) AS pvs_bin
@@ -455,6 +490,12 @@ oracle("chunk_cpu_state", f"""SELECT {_CHUNK}, cpu, coalesce(arg_max(CASE WHEN f
   FROM chunks JOIN cpu_rows USING (device_id, boot_id) WHERE logcat_token <= start_token GROUP BY {_CHUNK}, cpu""", _CUT)
 oracle("chunk_fgbg_state", f"""SELECT {_CHUNK.replace('device_id, boot_id', 'c.device_id, c.boot_id')}, fgbg_state
   FROM chunks c JOIN fgbg f ON f.device_id = c.device_id AND f.boot_id = c.boot_id AND f.logcat_token = start_token""", _CUT)
+oracle("chunk_devices_reload", f"""SELECT c.device_id, c.boot_id, start_token, end_token,
+  (SELECT count(*) FROM members m WHERE m.device_id = c.device_id AND m.boot_id = c.boot_id AND m.start_token = c.start_token) AS lines,
+  (SELECT nullif(count(DISTINCT r.cpu), 0) FROM cpu_rows r WHERE r.device_id = c.device_id AND r.boot_id = c.boot_id
+     AND r.logcat_token <= c.start_token) AS cpus, fgbg_state
+  FROM chunks c JOIN fgbg f ON f.device_id = c.device_id AND f.boot_id = c.boot_id AND f.logcat_token = start_token
+  WHERE c.device_id NOT LIKE '%3'""", _CUT, _MEMBERS)
 oracle("no_suspend_chunks", f"""SELECT {_CHUNK} FROM chunks EXCEPT
   SELECT {_CHUNK} FROM members WHERE payload LIKE '%PM: suspend exit%'""", _CUT, _MEMBERS)
 oracle("gapless_chunks", f"""SELECT {_CHUNK.replace('device_id, boot_id', 'c.device_id, c.boot_id')} FROM chunks c
@@ -514,10 +555,12 @@ for _name, _same in {
     "charging_incremental": "charging_state",
     "chunk_devices_cpu": "chunk_cpu_state",
     "chunk_devices_fgbg": "chunk_fgbg_state",
+    "chunk_devices_counts": "chunk_meta",
     "freq_totals_file": "freq_time_total",
     "ncpu_lists_file": "ncpu_share_lists",
     "temp_histogram_file": "temp_histogram",
     "pvs_file": "pvs_by_device",
+    "closed_daily_counts": "daily_counts",
 }.items():
     ORACLES[_name] = ORACLES[_same]
 oracle("in_state_suspended", f"SELECT {AT} FROM charging WHERE suspend_state = 'SUSPENDED'", _TRACKED)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from bootloom.functions import text
 from bootloom.operators import chunks as ck
 from bootloom.operators import events as ev
 from bootloom.operators import loglines as lg
-from bootloom.operators import ordering, quality, sessions, spans, state
+from bootloom.operators import machines, ordering, periods, quality, sessions, spans, state
 from bootloom.operators import predicates as pr
 from bootloom.operators.lineage import shared_dir
 from bootloom.plans import distributions as di
@@ -227,6 +228,23 @@ def day_boundaries(spark, sf):
     return state.day_boundaries(telemetry_loglines(spark, sf)).select(*AT, "old_day", "new_day")
 
 
+@query
+def period_boundaries(spark, sf):
+    lines = telemetry_loglines(spark, sf)
+    return periods.period_boundaries(lines, timedelta(hours=5, minutes=7)).select(*AT, "old_start", "new_start")
+
+
+@query
+def custom_tracker(spark, sf):
+    """A machine that a user wrote: each odd temperature is a step up, each even one a step down, between three states."""
+    lines = telemetry_loglines(spark, sf)
+    steps = ["cool", "warm", "hot"]
+    leads = {(a, "up"): b for a, b in zip(steps, steps[1:])} | {(b, "down"): a for a, b in zip(steps, steps[1:])}
+    event = F.when(F.col("temp") % 2 == 1, "up").otherwise("down")
+    heat = machines.Machine("heat", lambda df: ev.thermal_events(df).withColumn("event", event), tuple(steps), leads)
+    return state.track(lines, heat, state.suspending()).select(*AT, "heat", "suspend_state")
+
+
 # Spans, sessions, distributions
 
 
@@ -601,6 +619,29 @@ def chunk_devices_fgbg(spark, sf):
     return logs.read_chunk_states(spark, chunk_store(spark, sf))[1]
 
 
+@query
+def chunk_devices_reload(spark, sf):
+    """All devices, then two of them anew: one from the same lines, one without battery reports, so without chunks."""
+    path, lines = scratch(spark, "chunks"), telemetry_loglines(spark, sf)
+    chunk_devices(lines, path)
+    device = F.col("device_id")
+    again = lines.where(device.endswith("3") & ~F.col("line").contains("healthd") | device.endswith("5"))
+    chunk_devices(again, path, reload=True)
+    headers, members = logs.read_chunks(spark, path)
+    cpus, fgbg = logs.read_chunk_states(spark, path)
+    counted = members.groupBy(*ID, "start_token").agg(F.count("*").alias("lines"))
+    known = cpus.groupBy(*ID, "start_token").agg(F.count("*").alias("cpus"))
+    found = headers.join(fgbg.drop("end_token"), [*ID, "start_token"], "full")
+    for table in (counted, known):
+        found = found.join(table, [*ID, "start_token"], "full")
+    return found.select(*ID, "start_token", "end_token", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"), "cpus", "fgbg_state")
+
+
+@query
+def chunk_devices_counts(spark, sf):
+    return logs.read_chunk_counts(spark, chunk_store(spark, sf))
+
+
 # Result files
 
 
@@ -622,6 +663,13 @@ def ncpu_lists_file(spark, sf):
     return through_json(lists, "lists").select("num_online_cpus", "part", text_of.alias("millionths"))
 
 
+@query
+def combination_lists_file(spark, sf):
+    lists = di.share_lists(di.freq_combination_share(telemetry_loglines(spark, sf)).where("share is not null"), "freq_key")
+    text_of = F.array_join(F.transform("shares", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), ",")
+    return through_json(lists, "lists").select("freq_key", "part", text_of.alias("millionths"))
+
+
 @query
 def temp_histogram_file(spark, sf):
     return through_json(di.temp_histogram(telemetry_loglines(spark, sf)), "temps")
@@ -654,7 +702,7 @@ def line_stream(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_stream(spark, sf):
     store = scratch(spark, "store")
     live.ingest_stream(line_stream(spark, sf), store, scratch(spark, "offsets")).awaitTermination()
-    return logs.read_store(spark, store).select(*AT, "trace_us", "tag")
+    return live.read_ingested(spark, store).select(*AT, "trace_us", "tag")
 
 
 @query
@@ -670,3 +718,25 @@ def fgbg_stream(spark, sf):
     run = live.fgbg_stream(line_stream(spark, sf), out, scratch(spark, "state"), scratch(spark, "offsets"))
     run.awaitTermination()
     return live.read_transitions(spark, out).select(*AT, "old_state", "new_state")
+
+
+@query
+def fgbg_stream_late(spark, sf):
+    """Half of the upload first; the other half, whose lines stand between those, in a later run."""
+    raw, run = raw_dir(spark, sf), [scratch(spark, name) for name in ("changes", "state", "offsets")]
+    for pattern in ("part-????[13579]-*.txt.gz", "*.txt.gz"):
+        lines = live.stream_loglines(spark, raw, pattern, segment_tokens=256)
+        live.fgbg_stream(lines, *run, buckets=8).awaitTermination()
+    return live.read_transitions(spark, run[0]).select(*AT, "old_state", "new_state")
+
+
+@query
+def closed_daily_counts(spark, sf):
+    """One batch for each file; closed and open counts and late lines together are all lines."""
+    out = scratch(spark, "counts")
+    lines = live.stream_loglines(spark, raw_dir(spark, sf), "*.txt.gz", files_per_batch=16, segment_tokens=4096)
+    live.closed_count_stream(lines, out, scratch(spark, "offsets"), lateness=timedelta(hours=6)).awaitTermination()
+    closed, still_open, late = live.read_closed_counts(spark, out)
+    missed = late.groupBy("device_id", "start_us").agg(F.count("*").alias("lines"))
+    every = closed.unionByName(still_open).unionByName(missed)
+    return every.groupBy("device_id", "start_us").agg(F.sum("lines").alias("lines"))

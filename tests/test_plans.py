@@ -6,7 +6,8 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from bootloom.operators import events, ordering, spans, state
+from bootloom.operators import chunks, events, ordering, spans, state
+from bootloom.operators.lineage import settle
 from bootloom.plans import distributions
 from bootloom.sources import logs, writers
 from checks.queries import QUERIES
@@ -82,3 +83,23 @@ def test_every_query_reads_the_tables(spark):
     assert len(QUERIES) > 70
     for name in ("parse_loglines", "freq_spans", "boot_ids"):
         assert "parquet" in plan_of(QUERIES[name](spark, SF)).lower()
+
+
+def test_chunk_lines_leave_other_text_where_it_is(spark, tmp_path):
+    """With few chunks no line moves; with many, only lines of segments that a chunk reaches into."""
+    text = [(line_of(r),) for r in random_boot(5, 400)]
+    lines = settle(parse_loglines(spark.createDataFrame(text, "value string"), segment_tokens=40))
+    found = settle(chunks.discharge_chunks(lines))
+    few, many = chunks.chunk_lines(lines, found), chunks.chunk_lines(lines, found, broadcast_limit=0)
+    assert "hashpartitioning" not in plan_of(few) and "Window" not in plan_of(few)
+    assert "LeftSemi" in plan_of(many)
+    keys = ["logcat_token", "start_token", "end_token"]
+    assert sorted(few.select(*keys).collect()) == sorted(many.select(*keys).collect()) != []
+
+
+def test_foreground_scans_move_places_only(spark):
+    text = [(line_of(r),) for r in random_boot(5, 50)]
+    lines = settle(parse_loglines(spark.createDataFrame(text, "value string"), segment_tokens=40))
+    fronts = settle(state._fronts(events.proc_foreground_events(lines)))
+    timed = ordering.as_of(lines.select(*state._PLACE), fronts, {"_event": fronts.event})
+    assert "payload" not in plan_of(timed) and "Window" in plan_of(timed)

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import re
 import shutil
 from collections import Counter
@@ -11,11 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from bootloom.operators import chunks, ordering, quality, state
-from bootloom.operators.lineage import shared_dir
+from bootloom.operators.lineage import settle, settled_within, shared_dir
 from bootloom.operators.loglines import parse_loglines
 from bootloom.plans import distributions
 from bootloom.plans.stitch import chunk_devices, stitch
-from bootloom.sources import logs, writers
+from bootloom.sources import commits, logs, writers
 from tests import models
 from tests.phone import BOOT, device_line, line_of, random_boot
 
@@ -221,6 +222,74 @@ def test_chunk_store(spark, upload):
     assert sorted(map(tuple, again.select("device_id", "boot_id", "start_token").collect())) == before
 
 
+def chunk_rows(spark, path):
+    tables = [*logs.read_chunks(spark, path), *logs.read_chunk_states(spark, path)]
+    return [sorted((r.device_id, r.boot_id, r.start_token) for r in t.collect()) for t in tables]
+
+
+def test_a_reload_replaces_also_by_nothing(spark, upload):
+    path, records = upload
+    lines = parse_loglines(logs.read_raw_logs(spark, str(path / "raw")), segment_tokens=50)
+    store = str(path / "again")
+    chunk_devices(lines, store)
+    before = chunk_rows(spark, store)
+    device = before[0][0][0]
+    assert all(device in {d for d, _, _ in rows} for rows in before)
+    quiet = lines.where((F.col("device_id") == device) & ~F.col("line").contains("healthd"))
+    chunk_devices(quiet, store, reload=True)
+    want = [[row for row in rows if row[0] != device] for rows in before]
+    assert chunk_rows(spark, store) == want
+    counts = {(r.device_id, r.boot_id): r.chunks for r in logs.read_chunk_counts(spark, store).collect()}
+    assert {n for (d, _), n in counts.items() if d == device} == {0} and sum(counts.values()) == len(want[0])
+    assert sorted(r.device_id for r in logs.done_devices(spark, store).collect()) == sorted(DEVICES)
+    writers.merge_generations(spark, store)
+    commits.drop_unused(spark, store)
+    assert chunk_rows(spark, store) == want and len(commits.last_version(spark, store).folders) == 1
+    chunk_devices(lines, store, reload=True)
+    assert chunk_rows(spark, store) == before
+
+
+def test_a_reload_that_fails_half_way_changes_nothing(spark, upload, monkeypatch):
+    path, records = upload
+    lines = parse_loglines(logs.read_raw_logs(spark, str(path / "raw")), segment_tokens=50)
+    store = str(path / "failing")
+    chunk_devices(lines, store)
+    before = chunk_rows(spark, store)
+    written, write = [], writers.by_device
+    for after in (1, 3):
+
+        def stops(df, place, *args, **options):
+            if len(written) == after:
+                raise OSError("the run ends here")
+            written.append(place)
+            write(df, place, *args, **options)
+
+        monkeypatch.setattr(writers, "by_device", stops)
+        with pytest.raises(OSError, match="ends here"):
+            chunk_devices(lines.where(~F.col("line").contains("healthd")), store, reload=True)
+        written.clear()
+        assert chunk_rows(spark, store) == before
+    monkeypatch.setattr(writers, "by_device", write)
+    commits.drop_unused(spark, store)
+    assert chunk_rows(spark, store) == before
+
+
+def test_settled_tables_go_with_their_scope(spark):
+    root = shared_dir(spark).removeprefix("file:")
+
+    def tables():
+        return {name for name in os.listdir(root) if name.startswith("settled-")}
+
+    before = tables()
+    with settled_within(spark):
+        with settled_within(spark) as inner:
+            settle(spark.range(3))
+            kept = settle(spark.range(5))
+            inner.keep(kept)
+        assert len(tables() - before) == 1 and kept.count() == 5
+    assert tables() == before
+
+
 def test_chunk_dumps(spark, tmp_path):
     def report(token, level):
         line = {"Line": "l", "BootId": BOOT, "LogcatToken": token, "TraceTime": 1.5, "Datetime": "2016-01-01T00:00:00Z"}

@@ -1,11 +1,14 @@
 """Every ordered operator against a plain loop, over random boots cut into many small segments."""
 
+import random
+import re
 from collections import Counter
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from bootloom.operators import chunks, events, ordering, sessions, spans, state
+from bootloom.operators import chunks, events, machines, ordering, periods, sessions, spans, state
 from bootloom.operators.loglines import parse_loglines
 from bootloom.plans import distributions
 from tests import models
@@ -188,3 +191,137 @@ def test_segment_size_does_not_matter(spark, boots):
     for size in (1, 1 << 40):
         got = state.fgbg_transitions(parse_loglines(text, segment_tokens=size))
         assert Counter(tuple(r) for r in got.select("logcat_token", "old_state", "new_state").collect()) == want
+
+
+def loop(machine, rows):
+    """(place, state) after each event, one after another."""
+    now = machine.initial
+    for place, event in rows:
+        now = machine.leads.get((now, event), now)
+        yield place, now
+
+
+CHARGING = machines.Machine(
+    "charging_state",
+    lambda df: events.healthd_events(df).withColumn("event", F.when(F.col("chg") == "", "on").otherwise("off")),
+    ("UNKNOWN", "CHARGING", "UNPLUGGED"),
+    {(s, e): t for s in ("UNKNOWN", "CHARGING", "UNPLUGGED") for e, t in (("on", "CHARGING"), ("off", "UNPLUGGED"))},
+)
+SUSPEND = machines.Machine(
+    "suspend_state",
+    lambda df: events.power_events(df).withColumnRenamed("power", "event"),
+    ("UNKNOWN", "SUSPENDED", "AWAKE"),
+    {(s, e): t for s in ("UNKNOWN", "SUSPENDED", "AWAKE") for e, t in (("entry", "SUSPENDED"), ("exit", "AWAKE"))},
+)
+
+
+def test_present_trackers_as_machines(lines):
+    """Both in one pass, and beside a tracker of the other kind."""
+    got = state.track(lines, CHARGING, SUSPEND, state.fronting())
+    want = state.track(lines, state.charging(), state.suspending(), state.fronting())
+    names = ["logcat_token", "charging_state", "suspend_state", "active_pid"]
+    assert found(got, *names) == found(want, *names)
+
+
+def debounce_events(df):
+    """A process comes to the front or goes; and each line more than a second after the latest of these."""
+    fronts = events.proc_foreground_events(df)
+    timed = ordering.as_of(df, fronts, {"since": F.col("trace_us")})
+    own = fronts.withColumn("event", F.when(F.col("fg_pid") != 0, "front").otherwise("gone"))
+    late = timed.where(F.col("trace_us") - F.col("since") > 1_000_000).withColumn("event", F.lit("late"))
+    return own.select(*df.columns, "event").unionByName(late.select(*df.columns, "event"))
+
+
+def test_debounce_as_a_machine(lines):
+    """Six states, three of them waiting: what follows a late line depends on the state it finds."""
+    shown = ("UNKNOWN", "FOREGROUND", "BACKGROUND")
+    leads = {(f"{s}{w}", "front"): "FOREGROUND" for s in shown for w in ("", "?")}
+    leads |= {(f"{s}{w}", "gone"): f"{s}?" for s in shown for w in ("", "?")}
+    leads |= {(f"{s}?", "late"): "BACKGROUND" for s in shown}
+    machine = machines.Machine("shown", debounce_events, tuple(f"{s}{w}" for s in shown for w in ("", "?")), leads)
+    got = state.track(lines, machine).withColumn("shown", F.rtrim(F.col("shown"), F.lit("?")))
+    assert found(got, "logcat_token", "shown") == found(state.fgbg_state(lines), "logcat_token", "fgbg_state")
+
+
+def test_machine_over_stretches_of_stretches(lines, boots):
+    """A lock of five digits, over trees of several widths."""
+    states = tuple("abcde")
+    leads = {(s, "turn"): states[(n * 2 + 1) % 5] for n, s in enumerate(states)} | {("e", "push"): "a", ("c", "push"): "c"}
+
+    def turns(df):
+        kinds = F.when(F.col("line").contains("healthd"), "turn").when(F.col("line").contains("other_tag"), "push")
+        return df.withColumn("event", F.coalesce(kinds, F.lit("nothing")))
+
+    machine = machines.Machine("lock", turns, states, leads)
+    name = {"health": "turn", "noise": "push"}
+
+    def model(records):
+        now = "a"
+        for r in records:
+            if r.kind in name:
+                after = leads.get((now, name[r.kind]), now)
+                yield r.token, now, after
+                now = after
+
+    for width in (2, 7, 256):
+        got = machines.machine_events(lines, machine, width)
+        assert found(got, "logcat_token", "old_state", "new_state") == expected(boots, lambda rs: list(model(rs)))
+    assert machines.machine_events(lines.limit(0), machine).collect() == []
+    tracked = state.track(lines.where("not line like '%healthd%' and not line like '%other_tag%'"), machine)
+    assert {r.lock for r in tracked.select("lock").distinct().collect()} == {"a"}
+
+
+def test_machines_are_bounded():
+    with pytest.raises(ValueError, match="states"):
+        machines.Machine("x", lambda df: df, tuple(map(str, range(65))), {})
+    with pytest.raises(ValueError, match="not among"):
+        machines.Machine("x", lambda df: df, ("a",), {("a", "e"): "b"})
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 86_400, 3 * 86_400 + 5, 7 * 86_400])
+def test_periods(spark, boots, seconds):
+    """Days as the records have them, and seconds that run back now and then."""
+    rng, text, want = random.Random(seconds), [], Counter()
+    for b, records in boots.items():
+        at, start = 1_451_606_400 + rng.randrange(1000), None
+        for r in records:
+            at += rng.choice([0, 0, 1, 2, 3, 40, -20, 9_000, 90_000] if seconds > 100 else [0, 0, 0, 1, 1, 2, -3, 15])
+            stamp = datetime.fromtimestamp(at, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.000000")
+            text.append((re.sub(r"2016-\d\d-\d\d 10:00:00\.123456", stamp, line_of(r), count=1),))
+            us = at * 1_000_000
+            if start is None:
+                start = us
+            elif us >= start + seconds * 1_000_000:
+                want[(b, r.token, start, us)] += 1
+                start = us
+    lines = parse_loglines(spark.createDataFrame(text, "value string").repartition(4), segment_tokens=40)
+    got = periods.period_boundaries(lines, timedelta(seconds=seconds))
+    assert want and found(got, "logcat_token", "old_start", "new_start") == want
+
+
+def test_periods_of_nothing(lines):
+    assert periods.period_boundaries(lines.limit(0), timedelta(hours=1)).collect() == []
+    assert periods.period_boundaries(lines, timedelta(days=400)).collect() == []
+    with pytest.raises(ValueError, match="longer"):
+        periods.period_boundaries(lines, timedelta(0))
+
+
+def test_chunks_over_narrow_folds(spark, lines, boots):
+    """Small arrays and a narrow tree give what large ones give; so do very many reports and segments."""
+    def bounds(limit, width):
+        got = chunks.chunk_boundaries(lines, limit, width)
+        return Counter((r.boot_id, r["at"].logcat_token, r.closes) for r in got.select("boot_id", "at", "closes").collect())
+
+    assert bounds(4, 2) == bounds(3, 5) == bounds(512, 256) and sum(bounds(4, 2).values()) > 20
+
+
+@pytest.mark.parametrize("reports", [5_000, 20_000])
+def test_very_many_boundaries(spark, reports):
+    """Down from 100 and up again by a charger, each report a boundary, in many segments."""
+    device, boot = "a" * 40, BOOTS[0]
+    level = "100 - id % 100"
+    stamp = "'2016-01-01 10:00:00.123456 203 204 D KernelPrintk <6>[1.0] healthd: battery'"
+    text = f"concat('{device} 1 1.0 {boot} ', id, ' ', id, '.000000 ', {stamp}, ' l=', {level}, ' v=4000 t=30.5 h=2 st=3 c=-100 chg=', if(id % 100 = 0, 'u', ''))"
+    many = parse_loglines(spark.range(reports).selectExpr(f"{text} as value"), segment_tokens=2)
+    found = chunks.discharge_chunks(many)
+    assert found.count() == reports // 100 * 98
