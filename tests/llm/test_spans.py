@@ -55,7 +55,7 @@ def test_runs_cover_a_long_passage():
 
 def test_nothing(spark):
     assert sp.without_repeats(table(spark).limit(0)).collect() == []
-    assert sp.runs(None) == [] and sp.runs(b"") == [] and sp.without(None, []) == (None, 0, 0)
+    assert sp.runs(None) == [] and sp.runs(b"") == [] and sp.without(None, []) == (None, 0)
 
 
 def letters(rng, n):
@@ -84,3 +84,12 @@ def test_any_51_words_of_a_long_sentence_share_a_run():
     parts = list(sp.sentences(("  " + passage + "\t").encode()))
     assert b"".join(s for s, _ in parts).decode() == "  " + passage + "\t" and sum(n for _, n in parts) == 51
     assert max(n for _, n in parts) <= sp.WINDOW
+
+
+def test_cuts_of_several_sentences_are_those_of_each():
+    rng = random.Random(7)
+    for _ in range(100):
+        each = [rng.choices([b"ab", b"cd", b"ef", b"gh"], k=rng.randint(9, 40)) for _ in range(rng.randint(1, 6))]
+        together = sp.cuts([w for words in each for w in words], [len(w) for w in each])
+        assert together == [sp.cuts(words, [len(words)])[0] for words in each]
+        assert all(c[-1] == len(w) and sorted(set(c)) == c for c, w in zip(together, each))
