@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from bootloom.llm import filter_audit, fingerprints, licenses, mixing
 from bootloom.llm.common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER
 from bootloom.llm.decontamination import WINDOW
@@ -42,26 +40,33 @@ from docs d left join hit h on d.doc_id = h.doc_id left join listed l on d.doc_i
 
 def _licenses() -> str:
     templates = ", ".join(
-        f"({i}, '{label}', {quoted(sorted(t))}, {math.ceil(licenses.THRESHOLD * len(t) - 1e-9)})"
-        for i, (label, t) in enumerate((label, licenses.template_words(text)) for label, text in licenses.TEMPLATES)
+        f"({i}, '{label}', {quoted(sorted(licenses.template_words(text)))}, {len(licenses.words_of(text))})"
+        for i, (label, text) in enumerate(licenses.TEMPLATES)
     )
     phrases = " union all ".join(
         f"select doc_id, i - 1 as start, '{label}' as label from spots "
         f"where i + {len(p) - 1} <= len(w) and w[i : i + {len(p) - 1}] = {quoted(p)}"
         for p, label in ((phrase.split(" "), label) for phrase, label in licenses.PHRASES.items())
     )
+    enough = f">= {licenses.THRESHOLD} * len(t) - 1e-9"
     return f"""
-with docs as (select doc_id, {words("text")} as w, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+with docs as (select doc_id, {words("text")} as w from documents),
 spots as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from docs),
 base as ({phrases}),
 placed as (select doc_id, count(*) as n, min(start) as a, max(start) as b,
              string_agg(distinct label, ',' order by label) as labels from base group by doc_id),
-blocks as (select distinct doc_id, list_distinct({words("line")}) as w
-           from (select doc_id, unnest(lines) as line from docs)),
-templates(id, label, w, least) as (values {templates}),
-met as (select doc_id, b.w as block, label, len(list_intersect(b.w, t.w)) / len(t.w) as share
-        from blocks b, templates t where len(list_intersect(b.w, t.w)) >= least),
-near as (select doc_id, label, share from met qualify share = max(share) over (partition by doc_id, list_sort(block))),
+templates(id, label, t, size) as (values {templates}),
+likely as (select doc_id, w, label, t, size from docs, templates where len(list_intersect(w, t)) {enough}),
+starts as (select doc_id, w, label, t, size, unnest(range(1, len(w) + 1)) as i from likely),
+blocks as (select doc_id, label, t, i, w[i : i + size - 1] as block from starts where list_contains(t, w[i])),
+met as (
+  select doc_id, label, i as first, len(list_intersect(block, t)) as shared, len(list_intersect(block, t)) / len(t) as share,
+    i - 1 + list_max(list_filter(range(1, len(block) + 1), lambda k: list_contains(t, block[k]))) as last
+  from blocks where len(list_intersect(block, t)) {enough}),
+near as (
+  select doc_id, label, share from met x where not exists (
+    select 1 from met y where y.doc_id = x.doc_id and y.label <> x.label and y.first <= x.last and x.first <= y.last
+      and (y.share > x.share or (y.share = x.share and y.shared > x.shared)))),
 every as (select doc_id, string_agg(distinct label, ',' order by label) as labels
           from (select doc_id, label from base union select doc_id, label from near) group by doc_id),
 best as (select doc_id, max(share) as share from near group by doc_id)
