@@ -26,8 +26,11 @@ from bootloom.llm.bpe import _BYTE_CHARS
 from bootloom.llm.common import release_memory
 from bootloom.operators.lineage import settle
 
-#: Bytes of text in one call of the libraries; a longer text is cut where no token can reach across.
-CALL_BYTES = 1 << 18
+#: Bytes of text that are worked off together; a longer text is cut where no token can reach across.
+CALL_BYTES = 1 << 21
+#: Bytes of distinct units that are encoded as one text, and of what a task remembers of units, about.
+JOINED_BYTES = 1 << 12
+REMEMBERED = 96 << 20
 #: A block of documents ends after so many documents or entries (pair and document).
 BLOCK_DOCS, BLOCK_ENTRIES = 1 << 13, 4_000_000
 #: Bits of a document's place in its block and of an id of the second tokenizer in an entry's key.
@@ -35,7 +38,11 @@ SLOT_BITS, ID_BITS = 16, 23
 #: Links that a group may have to be worked off together with others.
 SMALL = 256
 # A space before anything but white space, after anything but a space: both tokenizers begin a token there.
-_BOUNDARY = re.compile(rb"[^ ](?= [!-~\xc3-\xdf\xe4-\xff])")
+_START = rb"[!-~\xc3-\xdf\xe4-\xff]"
+_SAFE = re.compile(_START)
+_BOUNDARY = re.compile(rb"[^ ](?= " + _START + rb")")
+_UNIT = re.compile(rb"(?<=[^ ])(?= " + _START + rb")")
+_ODD_SPACE = re.compile(rb" (?!" + _START + rb")")
 
 
 def parts(data: bytes, limit: int) -> Iterator[bytes]:
@@ -121,48 +128,159 @@ class Block:
         return len(self.valid) - 1
 
 
+@dataclass
+class Units:
+    """Distinct stretches of text that both tokenizers cut alike wherever they stand, and what is known of each."""
+
+    valid: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    texts: list[bytes]  # the groups
+    pairs: np.ndarray  # linked pairs of ids, those of a unit side by side
+    times: np.ndarray
+    starts: np.ndarray  # the first pair of each unit, and the end
+
+    def __add__(self, more: Units) -> Units:
+        joined = {
+            c: np.concatenate([getattr(self, c), getattr(more, c)]) for c in ("valid", "n_a", "n_b", "n_groups", "pairs", "times")
+        }
+        starts = np.concatenate([self.starts, more.starts[1:] + self.starts[-1]])
+        return Units(**joined, texts=self.texts + more.texts, starts=starts)
+
+
+def units_of(part: bytes) -> list[bytes]:
+    """A part that begins with a space, cut before each space at which both tokenizers begin a token; without that space."""
+    if _ODD_SPACE.search(part):
+        return [unit[1:] for unit in _UNIT.split(part)]
+    return part[1:].split(b" ")
+
+
 class Aligner:
     """Aligns texts and gathers the entries (pair, document, number of links) of a block."""
 
     def __init__(self, pair: Pair, keep_groups: bool):
         self.pair, self.keep_groups = pair, keep_groups
         self.digits = _decimals(max(len(s) for s in pair.sizes))
+        self.rest()
+
+    def rest(self) -> None:
+        """Forget the units: between tasks, and when there are too many."""
+        self.number: dict[bytes, int] = {}
+        self.known: Units | None = None
+        self.held = 0
 
     def add(self, block: Block, texts: list[tuple[int, bytes]]) -> None:
-        """Parts of texts by slot; parts of one text follow each other."""
-        first, second = self.pair.encode([t for _, t in texts])
-        a_of, b_of = self.pair.a_bytes.__getitem__, self.pair.b_bytes.__getitem__
-        whole = []
-        for k, (slot, text) in enumerate(texts):
-            if b"".join(map(a_of, first[k])) == text and b"".join(map(b_of, second[k])) == text:
-                whole.append(k)
-            else:
+        """Parts of texts by slot; parts of one text follow each other.  A unit that is remembered is not encoded again."""
+        if self.held > REMEMBERED:
+            self.rest()
+        split = [units_of(text) for _, text in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            learned = self._learn(new)
+            self.known = learned if self.known is None else self.known + learned
+            self.held += sum(map(len, new)) + sum(map(len, learned.texts)) + 16 * len(learned.pairs) + 250 * len(new)
+        lengths, known = [len(words) for words in split], self.known
+        unit = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
+        at = 0
+        whole = known.valid.all()
+        texts_of = known.texts.__getitem__
+        for (slot, _), n in zip(texts, lengths):
+            own = unit[at : at + n]
+            at += n
+            if not whole and not known.valid[own].all():
                 block.valid[slot] = False
-        if not whole:
-            return
-        slots = np.array([texts[k][0] for k in whole], np.int64)
-        ends = np.cumsum([len(texts[k][1]) for k in whole])
+                continue
+            block.n_a[slot] += int(known.n_a[own].sum())
+            block.n_b[slot] += int(known.n_b[own].sum())
+            block.n_groups[slot] += int(known.n_groups[own].sum())
+            text = b";".join(map(texts_of, own.tolist()))
+            if block.digests[slot] is None:
+                block.digests[slot] = hashlib.sha256(text)
+            else:
+                text = b";" + text
+                block.digests[slot].update(text)
+            if self.keep_groups:
+                block.texts[slot].append(text)
+        # Each distinct unit of a document stands for its pairs, as often as it is there.
+        slots = np.repeat(np.array([slot for slot, _ in texts], np.int64), lengths)
+        both, often = np.unique(unit << SLOT_BITS | slots, return_counts=True)
+        unit, slots = both >> SLOT_BITS, both & ((1 << SLOT_BITS) - 1)
+        n = known.starts[unit + 1] - known.starts[unit]
+        where = np.repeat(known.starts[unit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keys = known.pairs[where] << SLOT_BITS | np.repeat(slots, n)
+        times = known.times[where] * np.repeat(often, n)
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        block.keys.append(keys[first])
+        block.times.append(np.add.reduceat(times, first) if len(first) else times)
+        block.entries += len(first)
+
+    def _learn(self, distinct: list[bytes]) -> Units:
+        """Encode and align units, many of them as one text; those whose ends are not safe stand alone."""
+        chunks: list[list[int]] = []
+        size = JOINED_BYTES
+        alone = []
+        for k, unit in enumerate(distinct):
+            if not _SAFE.match(unit) or unit.endswith(b" "):
+                alone.append([k])
+                continue
+            if size >= JOINED_BYTES:
+                chunks.append([])
+                size = 0
+            chunks[-1].append(k)
+            size += len(unit) + 1
+        valid = np.ones(len(distinct), bool)
+        todo, done = chunks + alone, []
+        while todo:
+            texts = [b" " + b" ".join([distinct[k] for k in chunk]) for chunk in todo]
+            first, second = self.pair.encode(texts)
+            again = []
+            for chunk, text, a, b in zip(todo, texts, first, second):
+                same = b"".join(map(self.pair.a_bytes.__getitem__, a)) == text
+                if same and b"".join(map(self.pair.b_bytes.__getitem__, b)) == text:
+                    done.append((chunk, a, b))
+                elif len(chunk) > 1:
+                    again += [[k] for k in chunk]
+                else:
+                    valid[chunk[0]] = False
+            todo = again
+        order = np.array([k for chunk, _, _ in done for k in chunk], np.int64)
+        ends = np.cumsum([len(distinct[k]) + 1 for k in order.tolist()])
         a, b = (
-            np.fromiter(chain.from_iterable([ids[k] for k in whole]), np.int64, sum(len(ids[k]) for k in whole))
-            for ids in (first, second)
+            np.fromiter(chain.from_iterable([d[side] for d in done]), np.int64, sum(len(d[side]) for d in done))
+            for side in (1, 2)
         )
+        return self._align(valid, order, ends, a, b)
+
+    def _align(self, valid: np.ndarray, order: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> Units:
+        """Units in this order, by the ids of their texts one after another; ``ends`` are those of units."""
         a_end, b_end = np.cumsum(self.pair.sizes[0][a]), np.cumsum(self.pair.sizes[1][b])
         a_last, b_last = np.isin(a_end, b_end), np.isin(b_end, a_end)
         # A token's group: the groups that have ended before it.
         a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
         n = int(a_last.sum())
         n_a, n_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
-        part = np.searchsorted(ends, a_end[a_last])
-        for counts, each in ((block.n_a, n_a), (block.n_b, n_b), (block.n_groups, np.ones(n, np.int64))):
-            got = np.zeros(len(whole), np.int64)
-            np.add.at(got, part, each)
-            for slot, more in zip(slots.tolist(), got.tolist()):
-                counts[slot] += more
-        self._write(block, slots, part, (a, a_group, a_last, n_a), (b, b_group, b_last, n_b))
-        self._link(block, slots[part], (a, a_group, n_a), (b, b_group, n_b))
-
-    def _write(self, block: Block, slots: np.ndarray, part: np.ndarray, first: tuple, second: tuple) -> None:
-        """Take in the groups as text: ids of the one, a bar, ids of the other, a semicolon."""
+        unit = np.searchsorted(ends, a_end[a_last])  # of each group, by place in the order
+        if not np.isin(ends, a_end[a_last]).all():
+            raise ValueError("a token reaches across the end of a unit")
+        total = len(valid)
+        sums = []
+        for each in (n_a, n_b, np.ones(n, np.int64)):
+            of_unit = np.zeros(total, np.int64)
+            np.add.at(of_unit, order[unit], each)
+            sums.append(of_unit)
+        texts = [b""] * total
+        for k, text in zip(order.tolist(), self._texts(unit, len(order), (a, a_group, a_last, n_a), (b, b_group, b_last, n_b))):
+            texts[k] = text
+        keys, times = self._links(order[unit] if n else unit, (a, a_group, n_a), (b, b_group, n_b))
+        starts = np.searchsorted(keys[:, 0], np.arange(total + 1)) if len(keys) else np.zeros(total + 1, np.int64)
+        return Units(valid, *sums, texts, keys[:, 1] if len(keys) else np.zeros(0, np.int64), times, starts)
+
+    def _texts(self, unit: np.ndarray, n_units: int, first: tuple, second: tuple) -> list[bytes]:
+        """The groups of each unit as text: ids of the one, a bar, ids of the other, a semicolon between groups."""
         (a, a_group, a_last, n_a), (b, b_group, b_last, n_b) = first, second
         ids, signs = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
         a_at = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[a_group]
@@ -172,42 +290,36 @@ class Aligner:
         rows, lengths = self.digits[0][ids], self.digits[1][ids]
         rows[np.arange(len(ids)), lengths] = signs
         flat = rows[np.arange(rows.shape[1]) <= lengths[:, None]].tobytes()
-        by_part = np.bincount(part, n_a + n_b, len(slots)).astype(np.int64)
-        stops = np.cumsum(lengths + 1)[np.cumsum(by_part) - 1].tolist()
-        start = 0
-        for slot, stop in zip(slots.tolist(), stops):
-            text = flat[start : stop - 1]
-            if block.digests[slot] is None:
-                block.digests[slot] = hashlib.sha256(text)
-            else:
-                text = b";" + text
-                block.digests[slot].update(text)
-            if self.keep_groups:
-                block.texts[slot].append(text)
-            start = stop
+        tokens = np.bincount(unit, n_a + n_b, n_units).astype(np.int64)
+        stops = np.append(0, np.cumsum(lengths + 1))[np.cumsum(tokens)].tolist()
+        return [flat[start : stop - 1] for start, stop in zip([0, *stops], stops)]
 
-    def _link(self, block: Block, slot: np.ndarray, first: tuple, second: tuple) -> None:
-        """Add the entries of the groups; ``slot`` is that of each group."""
+    @staticmethod
+    def _links(unit: np.ndarray, first: tuple, second: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, pair) of the linked pairs, sorted, with how often each is linked; ``unit`` is that of each group."""
         (a, a_group, n_a), (b, b_group, n_b) = first, second
         a_start, b_start = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         small = n_a * n_b <= SMALL
         times = np.where(small, n_b, 0)[a_group]
         group = np.repeat(a_group, times)
         within = np.arange(len(group)) - np.repeat(np.cumsum(times) - times, times)
-        keys = (np.repeat(a, times) << ID_BITS | b[b_start[group] + within]) << SLOT_BITS | slot[group]
-        self._take(block, *np.unique(keys, return_counts=True))
+        units = [unit[group]]
+        pairs = [np.repeat(a, times) << ID_BITS | b[b_start[group] + within]]
+        often = [np.ones(len(group), np.int64)]
         for g in np.flatnonzero(~small).tolist():
             # Of a large group, distinct ids only.
             ids_a, of_a = np.unique(a[a_start[g] : a_start[g] + n_a[g]], return_counts=True)
             ids_b, of_b = np.unique(b[b_start[g] : b_start[g] + n_b[g]], return_counts=True)
-            pairs = (ids_a[:, None] << ID_BITS | ids_b[None, :]) << SLOT_BITS | slot[g]
-            self._take(block, pairs.ravel(), (of_a[:, None] * of_b[None, :]).ravel())
-
-    @staticmethod
-    def _take(block: Block, keys: np.ndarray, times: np.ndarray) -> None:
-        block.keys.append(keys)
-        block.times.append(times)
-        block.entries += len(keys)
+            pairs.append((ids_a[:, None] << ID_BITS | ids_b[None, :]).ravel())
+            often.append((of_a[:, None] * of_b[None, :]).ravel())
+            units.append(np.full(len(pairs[-1]), unit[g]))
+        units, pairs, often = np.concatenate(units), np.concatenate(pairs), np.concatenate(often)
+        order = np.lexsort((pairs, units))
+        units, pairs, often = units[order], pairs[order], often[order]
+        new = np.ones(len(units), bool)
+        new[1:] = (units[1:] != units[:-1]) | (pairs[1:] != pairs[:-1])
+        starts = np.flatnonzero(new)
+        return np.stack([units[starts], pairs[starts]], axis=1), np.add.reduceat(often, starts) if len(starts) else often
 
 
 def bitmaps(keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -383,6 +495,7 @@ def postings(
             if taken < batch.num_rows:
                 ids.append(batch.column(0).slice(taken))
         yield from close()
+        aligner.rest()
         release_memory()
 
     return settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(aligned, ddl))
