@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootloom.operators.chunks import CHUNK
@@ -149,6 +149,80 @@ def merge_generations(spark: SparkSession, path: str) -> None:
     commit(spark, path, before, [{"name": name, "generation": before.number}])
 
 
+# How chunk dumps number states.
+DUMPED_FGBG = {"UNKNOWN": 1, "FOREGROUND": 2, "BACKGROUND": 4}
+DUMPED_CPU = {"UNKNOWN": -1, "OFFLINE": 0, "ONLINE": 1}
+
+
+def _number(state: str, numbers: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col(state))
+
+
+def chunk_dumps(chunks: DataFrame, members: DataFrame, cpus: DataFrame, fgbg: DataFrame, limit: int = 100_000) -> DataFrame:
+    """One row per chunk with all its lines as an array, for export: ``Start``, ``End``, start states and ``Data``.
+
+    A chunk of more than ``limit`` lines has several rows, told apart by ``part``,
+    with about so many lines at most each; which one a line is in depends on the
+    line only.
+    """
+    line = F.struct(
+        F.col("line").alias("Line"), F.col("boot_id").alias("BootId"), F.col("datetime").cast("string").alias("Datetime"),
+        F.col("datetime_nanos").alias("DatetimeNanos"), F.col("logcat_token").alias("LogcatToken"),
+        F.col("trace_time").alias("TraceTime"), F.col("pid").alias("Pid"), F.col("tid").alias("Tid"),
+        F.col("level").alias("Level"), F.col("tag").alias("Tag"), F.col("payload").alias("Payload"),
+    )
+    spread = F.pmod(F.xxhash64("_at"), F.greatest(F.ceil(F.col("_lines") / limit), F.lit(1))).cast("int").alias("part")
+    sizes = members.groupBy(*CHUNK).agg(F.count("*").alias("_lines"))
+    placed = members.select(*CHUNK, F.struct(*ORDER).alias("_at"), line.alias("_line")).join(sizes, CHUNK)
+    data = placed.select(*CHUNK, spread, "_at", "_line").groupBy(*CHUNK, "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]).alias("Data")
+    )
+    known = cpus.groupBy(*CHUNK).agg(
+        F.map_from_entries(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        F.col("cpu").cast("string"),
+                        F.struct(
+                            F.col("cpu").alias("Cpu"), _number("cpu_state", DUMPED_CPU).alias("CpuState"),
+                            F.col("cpu_freq").alias("Frequency"),
+                        ),
+                    )
+                )
+            )
+        ).alias("StartCpuState")
+    )
+
+    def report(side: str) -> Column:
+        own = F.col(side)
+        place = F.struct(
+            F.col("boot_id").alias("BootId"), own["logcat_token"].alias("LogcatToken"),
+            (own["trace_us"] / 1_000_000).alias("TraceTime"),
+        )
+        fields = [own[c].alias(c.capitalize()) for c in ("timestamp", "l", "v", "t", "h", "st", "c", "chg")]
+        return F.struct(place.alias("Logline"), *fields).alias(side.capitalize())
+
+    state = fgbg.select(*CHUNK, _number("fgbg_state", DUMPED_FGBG).alias("StartFgBgState"))
+    found = chunks.join(state, CHUNK, "left").join(known, CHUNK, "left").join(data, CHUNK, "left")
+    none = F.array().cast(data.schema["Data"].dataType)
+    return found.select(
+        *CHUNK, F.coalesce("part", F.lit(0)).alias("part"), report("start"), report("end"), "StartFgBgState", "StartCpuState",
+        F.coalesce("Data", none).alias("Data"),
+    )
+
+
+def write_chunk_dumps(dumps: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows of :func:`chunk_dumps` as one indented JSON object per gzip file, a directory per device and dump.
+
+    Read with :func:`bootloom.sources.logs.read_chunk_dumps`.
+    """
+    fields = [c for c in dumps.columns if c not in (*CHUNK, "part")]
+    text = F.to_json(F.struct(*fields), {"pretty": "true"})
+    named = F.concat_ws("-", "boot_id", "start_token", "end_token", "part").alias("dump")
+    dumped = dumps.select("device_id", named, text.alias("value")).repartition("device_id", "dump")
+    dumped.write.partitionBy("device_id", "dump").mode(mode).option("compression", "gzip").text(path)
+
+
 def chunk_meta(chunks: DataFrame, boots: DataFrame) -> DataFrame:
     """Number of chunks of each boot, 0 for boots without any."""
     flags = boots.select(*BOOT, F.lit(0).alias("_one")).unionByName(chunks.select(*BOOT, F.lit(1).alias("_one")))

@@ -496,6 +496,12 @@ oracle("chunk_devices_reload", f"""SELECT c.device_id, c.boot_id, start_token, e
      AND r.logcat_token <= c.start_token) AS cpus, fgbg_state
   FROM chunks c JOIN fgbg f ON f.device_id = c.device_id AND f.boot_id = c.boot_id AND f.logcat_token = start_token
   WHERE c.device_id NOT LIKE '%3'""", _CUT, _MEMBERS)
+oracle("chunk_dumps", f"""SELECT c.device_id, c.boot_id, start_token, end_token, start_level - end_level AS drop,
+  (SELECT count(*) FROM members m WHERE m.device_id = c.device_id AND m.boot_id = c.boot_id AND m.start_token = c.start_token) AS lines,
+  (SELECT nullif(count(DISTINCT r.cpu), 0) FROM cpu_rows r WHERE r.device_id = c.device_id AND r.boot_id = c.boot_id
+     AND r.logcat_token <= c.start_token) AS cpus,
+  CASE fgbg_state WHEN 'UNKNOWN' THEN 1 WHEN 'FOREGROUND' THEN 2 ELSE 4 END AS fgbg
+  FROM chunks c JOIN fgbg f ON f.device_id = c.device_id AND f.boot_id = c.boot_id AND f.logcat_token = start_token""", _CUT, _MEMBERS)
 oracle("no_suspend_chunks", f"""SELECT {_CHUNK} FROM chunks EXCEPT
   SELECT {_CHUNK} FROM members WHERE payload LIKE '%PM: suspend exit%'""", _CUT, _MEMBERS)
 oracle("gapless_chunks", f"""SELECT {_CHUNK.replace('device_id, boot_id', 'c.device_id, c.boot_id')} FROM chunks c

@@ -20,7 +20,7 @@ from bootloom.operators import events as ev
 from bootloom.operators import loglines as lg
 from bootloom.operators import machines, ordering, periods, quality, sessions, spans, state
 from bootloom.operators import predicates as pr
-from bootloom.operators.lineage import shared_dir
+from bootloom.operators.lineage import settle, shared_dir
 from bootloom.plans import distributions as di
 from bootloom.plans.stitch import chunk_devices, stitch
 from bootloom.sources import logs, writers
@@ -637,6 +637,21 @@ def chunk_devices_reload(spark, sf):
     return found.select(*ID, "start_token", "end_token", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"), "cpus", "fgbg_state")
 
 
+@query
+def chunk_dumps(spark, sf):
+    """Chunks as JSON dumps in parts of at most about ten lines, read back."""
+    path, lines = scratch(spark, "dumps"), telemetry_loglines(spark, sf)
+    chunks = settle(ck.discharge_chunks(lines))
+    states = ck.chunk_cpu_state(lines, chunks), ck.chunk_fgbg_state(lines, chunks)
+    writers.write_chunk_dumps(writers.chunk_dumps(chunks, ck.chunk_lines(lines, chunks), *states, limit=10), path)
+    return logs.read_chunk_dumps(spark, path).groupBy(*ID, "start_token", "end_token").agg(
+        F.sum(F.size("Data")).alias("lines"),
+        F.max(F.col("Start.L") - F.col("End.L")).alias("drop"),
+        F.max("StartFgBgState").alias("fgbg"),
+        F.max(F.size("StartCpuState")).alias("cpus"),
+    )
+
+
 @query
 def chunk_devices_counts(spark, sf):
     return logs.read_chunk_counts(spark, chunk_store(spark, sf))
