@@ -8,17 +8,24 @@ import json
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bootloom.llm.common import cut_at_space
+from bootloom.llm.common import cut_at_space, release_memory
 
-#: Bytes of text that are worked off at once, and words and pieces that a worker remembers in each of two generations.
+#: Bytes of text that are worked off at once; bytes of words, and of pieces, that a task remembers in each of two
+#: generations; and pairs of tokens that a worker remembers.
 PART_BYTES = 1 << 21
-REMEMBERED = 250_000
+REMEMBERED = 32 << 20
+PAIRS = 200_000
+#: What a remembered word takes beside its own bytes and ids, about.
+_OVERHEAD = 180
+#: Ids that are decoded at once.
+_DECODED = 1 << 18
 #: Texts of a batch whose results are held at once.
 ROWS = 1000
 #: Fixed value: the split pattern of word-level files as their JSON has it, and the same for lower-case printable ASCII.
@@ -187,7 +194,7 @@ class Codec:
     split and encoded once.  Normal form and split of a word that is not plain
     Latin text are the library's own.  What is remembered has two generations:
     once the newer one is full it becomes the older one, and what is still in
-    use comes back from there.
+    use comes back from there.  The decoded text is made from the ids.
     """
 
     def __init__(self, content: str, part_bytes: int = PART_BYTES, remembered: int = REMEMBERED):
@@ -200,14 +207,20 @@ class Codec:
         special = sorted((t["content"] for t in config["added_tokens"]), key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else "(?!)")
         # Special strings are no words, as a word never has letters next to signs; so they can stand among the words.
-        self.special = {t["content"]: (struct.pack("<I", t["id"]), t["content"] + " ") for t in config["added_tokens"]}
+        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in config["added_tokens"]}
         self.plain_split = SPLIT in content
-        # Of pieces between white space: ids, and tokens each followed by a space.
+        by_id = self.vocabulary.tokens | {t["id"]: t["content"] for t in config["added_tokens"]}
+        self.token_of = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        self.rest()
+
+    def rest(self) -> None:
+        """Forget: between tasks a worker that waits keeps the vocabulary only."""
+        # Ids of pieces between white space, and of words.
         self.ids: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, str] = {}
-        self.before: tuple[dict[bytes, bytes], dict[bytes, str]] = {}, {}
-        self.words: dict[str, tuple[bytes, str]] = dict(self.special)
-        self.words_before: dict[str, tuple[bytes, str]] = {}
+        self.ids_before: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = dict(self.special)
+        self.words_before: dict[str, bytes] = {}
+        self.held = self.held_words = 0
 
     def _split(self, text: str) -> list[str]:
         """Words in the vocabulary's alphabet and special strings of a text without white space."""
@@ -226,18 +239,20 @@ class Codec:
         return found
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Have ids and text of all of ``pieces``; the words that are new are encoded in one trie."""
-        if len(self.ids) > self.remembered:
-            self.before, self.ids, self.texts = (self.ids, self.texts), {}, {}
-        if len(self.words) > self.remembered:
-            self.words_before, self.words = self.words, dict(self.special)
-        ids, texts, words, words_before = self.ids, self.texts, self.words, self.words_before
-        ids_before, texts_before = self.before
+        """Have the ids of all of ``pieces``; the words that are new are encoded in one trie."""
+        if self.held > self.remembered:
+            self.ids_before, self.ids, self.held = self.ids, {}, 0
+        if self.held_words > self.remembered:
+            self.words_before, self.words, self.held_words = self.words, dict(self.special), 0
+        if len(self.vocabulary.pairs) > PAIRS:
+            self.vocabulary.pairs.clear()
+        ids, words, ids_before, words_before = self.ids, self.words, self.ids_before, self.words_before
         found: list[tuple[bytes, list[str]]] = []
         new: set[str] = set()
+        known, known_words = len(ids), len(words)
         for piece in pieces.difference(ids):
             if piece in ids_before:
-                ids[piece], texts[piece] = ids_before[piece], texts_before[piece]
+                ids[piece] = ids_before[piece]
                 continue
             split = [piece.decode().lower()] if piece.isalpha() else self._split(piece.decode())
             found.append((piece, split))
@@ -252,21 +267,16 @@ class Codec:
             trie.insert(word)
         numbers = self.vocabulary.ids
         for word, tokens in trie.encodings():
-            words[word] = struct.pack(f"<{len(tokens)}I", *[numbers[t] for t in tokens]), " ".join(tokens) + " "
+            words[word] = struct.pack(f"<{len(tokens)}I", *[numbers[t] for t in tokens])
         for piece, split in found:
-            if len(split) == 1:
-                ids[piece], texts[piece] = words[split[0]]
-            else:
-                got = [words[w] for w in split]
-                ids[piece], texts[piece] = b"".join([i for i, _ in got]), "".join([t for _, t in got])
-
-    def rest(self) -> None:
-        """Between tasks a worker that waits keeps the newer generation only."""
-        self.before, self.words_before = ({}, {}), {}
+            ids[piece] = words[split[0]] if len(split) == 1 else b"".join([words[w] for w in split])
+            self.held += len(piece) + len(ids[piece])
+        self.held += _OVERHEAD * (len(ids) - known)
+        self.held_words += _OVERHEAD * (len(words) - known_words) + 4 * sum(map(len, new))
 
     def results(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
         """Number of tokens, ids and decoded text of each text, worked off in parts of bounded size."""
-        rows: list[list[tuple[bytes, str]]] = [[] for _ in texts]
+        rows: list[list[bytes]] = [[] for _ in texts]
         waiting, size = [], 0
         for row, text in enumerate(texts):
             for part in cut_at_space(text, self.part_bytes):
@@ -277,18 +287,26 @@ class Codec:
                     waiting, size = [], 0
         self._settle(waiting, rows)
         for parts in rows:
-            ids = b"".join([i for i, _ in parts])
-            yield len(ids) // 4, ids, "".join([t for _, t in parts])[:-1]
-
-    def _settle(self, waiting: list[tuple[int, list[bytes]]], rows: list[list[tuple[bytes, str]]]) -> None:
+            ids = b"".join(parts)
+            parts.clear()
+            yield len(ids) // 4, ids, self.decoded(ids)
+
+    def decoded(self, ids: bytes) -> str:
+        """The tokens of ids, with a space between them."""
+        token_of = self.token_of.__getitem__
+        step = 4 * _DECODED
+        parts = (array("I", ids[at : at + step]) for at in range(0, len(ids), step))
+        return " ".join([" ".join(map(token_of, part)) for part in parts])
+
+    def _settle(self, waiting: list[tuple[int, list[bytes]]], rows: list[list[bytes]]) -> None:
         gc.disable()  # many small containers and no cycles among them
         try:
             self.learn(set().union(*(pieces for _, pieces in waiting)))
         finally:
             gc.enable()
-        ids_of, text_of = self.ids.__getitem__, self.texts.__getitem__
+        ids_of = self.ids.__getitem__
         for row, pieces in waiting:
-            rows[row].append((b"".join(map(ids_of, pieces)), "".join(map(text_of, pieces))))
+            rows[row].append(b"".join(map(ids_of, pieces)))
 
 
 _codecs: dict[int, Codec] = {}
@@ -309,6 +327,7 @@ def _row_groups(batches: Iterator[pa.Array], codec: Codec) -> Iterator[list[byte
         for at in range(0, max(len(batch), 1), ROWS):
             yield [row or b"" for row in batch.slice(at, ROWS).cast(pa.binary()).to_pylist()]
     codec.rest()
+    release_memory()
 
 
 def _read(path: str) -> str:

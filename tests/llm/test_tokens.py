@@ -78,7 +78,7 @@ def test_trie_on_random_words():
     """Words of few letters meet every order of merges; small generations forget and learn anew."""
     with open(WORD, encoding="utf-8") as file:
         content = file.read()
-    codec = bpe.Codec(content, part_bytes=200, remembered=20)
+    codec = bpe.Codec(content, part_bytes=200, remembered=2000)
     library = Tokenizer.from_str(content)
     rng = random.Random(5)
     texts = [
