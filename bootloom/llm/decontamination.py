@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bootloom.llm.common import release_memory
 from bootloom.operators.lineage import settle
 
 #: Words of a window, and bytes of benchmark text in one block of patterns.
@@ -17,7 +21,9 @@ BLOCK_BYTES = 32 << 20
 #: Words of ASCII letters and digits and all other characters, over bytes in lower case.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-Pattern = tuple[bytes, ...]
+# Odd multipliers that spread the numbers of a block's words over a table.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MASK = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -25,68 +31,133 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for many word patterns of one length.
+    """Search for all windows of one length in a text of word numbers.
 
-    ``shift`` says for a block of words how far the search may move when that
-    block ends at the current place; a block that is in no pattern lets it skip
-    all places that the block would cover.  Where the shift is 0 the block is
-    the suffix of some patterns: the bucket of that suffix lists them by their
-    first block, and the words themselves are compared.
+    ``words`` has the number of each word that is in a window, ``text`` the numbers
+    of all items' words, one after another; a window is a place in it.  ``shift``
+    says by hash of a block of words how far the search may move when such a block
+    ends at the current place; a block that is in no window lets it skip all
+    places that the block would cover.  Where the shift is 0 the block may be the
+    suffix of some windows: those of the suffix's hash are in one bucket, and
+    their words are compared.  Equal windows are one, with the items of all.
+
+    All of it is a few arrays, about 30 bytes for each window.
     """
 
-    def __init__(self, patterns: dict[Pattern, list[str | None]], length: int):
-        self.length, self.block = length, min(2, length)
+    def __init__(self, words: dict[bytes, int], text: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int):
+        self.words, self.text, self.length, self.block = words, text, length, min(2, length)
         self.skip = length - self.block + 1
-        self.shift: dict[Pattern, int] = {}
-        self.buckets: dict[Pattern, dict[Pattern, list[tuple[Pattern, list[str | None]]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                part = pattern[end - self.block : end]
-                self.shift[part] = min(self.shift.get(part, self.skip), length - end)
-            bucket = self.buckets.setdefault(pattern[-self.block :], {})
-            bucket.setdefault(pattern[: self.block], []).append((pattern, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str | None]]]:
-        """(start, items) of each occurrence, by start."""
-        if len(words) < self.length:
-            return
-        blocks = list(zip(*(words[i:] for i in range(self.block))))
-        shift, skip, back = self.shift, self.skip, self.length - self.block
-        at, end = back, len(blocks)  # the block that ends a window
+        # Equal windows side by side; should two that differ have one hash, they stay two.
+        key = np.zeros(len(starts), np.uint64)
+        for k in range(length):
+            key = (key ^ text[starts + k].astype(np.uint64)) * np.uint64(_MIX[0])
+            key ^= key >> np.uint64(29)
+        order = np.lexsort((items, key))
+        starts, items, key = starts[order], items[order], key[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = key[1:] != key[:-1]
+        for k in range(length):
+            new[1:] |= text[starts[1:] + k] != text[starts[:-1] + k]
+        first = np.flatnonzero(new)
+        self.items, self.ends = items.astype(np.int32), np.append(first, len(items)).astype(np.int32)
+        self.starts = starts[first].astype(np.int32)
+
+        self.bits = max(8, int(np.ceil(np.log2(2 * len(first) + 1))))
+        shift = np.full(1 << self.bits, self.skip, np.uint8)
+        for end in range(self.block, length + 1):
+            place = self._hashes(self.starts + end - self.block)
+            np.minimum.at(shift, place, np.uint8(length - end))
+        self.shift = shift.tobytes()
+        suffix = self._hashes(self.starts + length - self.block)
+        self.by_suffix = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.buckets = np.searchsorted(suffix[self.by_suffix], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _hashes(self, places: np.ndarray) -> np.ndarray:
+        mixed = np.zeros(len(places), np.uint64)
+        for k in range(self.block):
+            mixed += (self.text[places + k].astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[k])
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        arrays = (self.items, self.ends, self.starts, self.by_suffix, self.buckets)
+        return sum(a.nbytes for a in arrays) + len(self.shift)
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, numbers of items) of each occurrence, by start."""
+        number, shift, skip, down = self.words.get, self.shift, self.skip, 64 - self.bits
+        at, end = self.length - 1, len(words)  # the last word of a window
+        first_mix, second_mix = _MIX
+        pairs = self.block == 2
         while at < end:
-            block = blocks[at]
-            step = shift.get(block, skip)
+            last = number(words[at])
+            if last is None:
+                at += self.length  # no window has this word
+                continue
+            if pairs:
+                before = number(words[at - 1])
+                if before is None:
+                    at += skip
+                    continue
+                place = ((before + 1) * first_mix + (last + 1) * second_mix & _MASK) >> down
+            else:
+                place = ((last + 1) * first_mix & _MASK) >> down
+            step = shift[place]
             if step:
                 at += step
                 continue
-            start = at - back
-            for pattern, items in self.buckets[block].get(blocks[start], ()):
-                if pattern == tuple(words[start : start + self.length]):
-                    yield start, items
+            start = at - self.length + 1
+            own = [number(w, -1) for w in words[start : at + 1]]
+            for window in self.by_suffix[self.buckets[place] : self.buckets[place + 1]].tolist():
+                begin = self.starts[window]
+                if self.text[begin] == own[0] and self.text[begin : begin + self.length].tolist() == own:
+                    yield start, self.items[self.ends[window] : self.ends[window + 1]]
             at += 1
 
 
-def searchers(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
-    """One search for each length of window that the (id, text) items have."""
-    by_length: dict[int, dict[Pattern, list[str | None]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        length = min(window, len(words))
-        for start in range(len(words) - length + 1 if words else 0):
-            of = by_length.setdefault(length, {}).setdefault(tuple(words[start : start + length]), [])
-            if item_id not in of:
-                of.append(item_id)
-    return [WuManber(patterns, length) for length, patterns in by_length.items()]
-
-
-def _search_all(found: list[WuManber], words: list[bytes], spans: list[int]) -> tuple[list[int], set[str]]:
+@dataclass
+class Index:
+    """The searches of a block of items, one for each length of window, and the items' ids."""
+
+    searches: list[WuManber]
+    names: list[str | None]
+
+    @property
+    def nbytes(self) -> int:
+        """Of the arrays; the dictionary of words comes on top."""
+        return sum(one.nbytes for one in self.searches) + (self.searches[0].text.nbytes if self.searches else 0)
+
+
+def index_of(items: Iterable[tuple[str | None, str | None]], window: int) -> Index:
+    """Index (id, text) items; made once, on the driver, item by item."""
+    words: dict[bytes, int] = {}
+    numbers: dict[str | None, int] = {}
+    text, by_length = array("i"), {}
+    for item_id, item in items:
+        own = [words.setdefault(w, len(words)) for w in words_of(item)]
+        length = min(window, len(own))
+        if length:
+            starts, owners = by_length.setdefault(length, (array("i"), array("i")))
+            starts.extend(range(len(text), len(text) + len(own) - length + 1))
+            owners.extend([numbers.setdefault(item_id, len(numbers))] * (len(own) - length + 1))
+            text.extend(own)
+    whole = np.array(text, np.int32)
+    searches = [
+        WuManber(words, whole, np.array(starts, np.int64), np.array(owners, np.int64), length)
+        for length, (starts, owners) in sorted(by_length.items())
+    ]
+    return Index(searches, list(numbers))
+
+
+def _search_all(index: Index, words: list[bytes], spans: list[int]) -> tuple[list[int], set[str]]:
     """Hit words as starts and ends of spans that do not touch, with the given ones; and the items."""
     pairs = list(zip(spans[::2], spans[1::2]))
     items: set[str] = set()
-    for one in found:
+    for one in index.searches:
         for start, ids in one.search(words):
             pairs.append((start, start + one.length))
-            items.update(i for i in ids if i is not None)
+            items.update(index.names[i] for i in ids.tolist())
+    items.discard(None)
     merged: list[int] = []
     for start, end in sorted(pairs):
         if merged and start <= merged[-1]:
@@ -127,7 +198,7 @@ def decontaminated(
     id marks words but is not counted or listed.
 
     The benchmark is the query set: it goes to the workers in blocks of bounded
-    size.  A benchmark of several blocks takes one pass over the documents for
+    size, each as an index of arrays that takes about ten times the block's text.  A benchmark of several blocks takes one pass over the documents for
     each, with hits so far written between them.
     """
     spark = docs.sparkSession
@@ -159,11 +230,12 @@ def decontaminated(
 
 
 def _hits(spark, block: list[tuple], window: int):
-    items = spark.sparkContext.broadcast(block)
+    # A worker reads it once and keeps it for all its tasks.
+    index = spark.sparkContext.broadcast(index_of(block, window))
 
     @F.arrow_udf("struct<n: bigint, spans: array<int>, items: array<string>>")
     def hits(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        found = searchers(items.value, window)
+        found = index.value
         for texts, before in batches:
             counts, spans, names = [], [], []
             for doc, known in zip(texts, before):
@@ -177,5 +249,6 @@ def _hits(spark, block: list[tuple], window: int):
                 [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
                 ["n", "spans", "items"],
             )
+        release_memory()
 
     return hits

@@ -1,3 +1,6 @@
+import pickle
+import random
+
 import pytest
 
 from bootloom.llm import decontamination as dc
@@ -49,14 +52,37 @@ def test_without_benchmark_or_documents(spark):
 
 
 def test_search_skips():
-    """A text without any block of the patterns is looked at once for each skip."""
+    """A text without any word of the windows is looked at once for each window's length."""
     looked = []
 
-    class Shift(dict):
+    class Words(dict):
         def get(self, key, default=None):
             looked.append(key)
             return super().get(key, default)
 
-    search = dc.WuManber({tuple(b"p%d" % i for i in range(10)): ["1"]}, 10)
-    search.shift = Shift(search.shift)
-    assert list(search.search([b"w"] * 900)) == [] and len(looked) <= 101
+    index = dc.index_of([("1", " ".join("p%d" % i for i in range(10)))], 10)
+    (search,) = index.searches
+    search.words = Words(search.words)
+    assert list(search.search([b"w"] * 900)) == [] and len(looked) <= 90
+    looked.clear()
+    # Words of windows in another order: a block in no window lets it skip nine.
+    assert list(search.search([b"p5", b"p5"] * 450)) == [] and len(looked) <= 2 * 101
+
+
+def test_the_index_is_small():
+    rng = random.Random(1)
+    names = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000)]
+    items = [(str(n), " ".join(rng.choices(names, k=120))) for n in range(2_000)]
+    index = dc.index_of(items, 10)
+    windows = sum(111 for _ in items)
+    assert index.nbytes <= 40 * windows and len(pickle.dumps(index)) <= 60 * windows
+    text = [f"x{k}".encode() for k in range(30)] + dc.words_of(items[7][1])[40:60] + [b"x"] * 5
+    found = [(start, [index.names[i] for i in ids]) for start, ids in index.searches[0].search(text)]
+    assert found == [(30 + k, ["7"]) for k in range(11)]
+
+
+def test_equal_windows_have_all_their_items():
+    index = dc.index_of([("a", "one two three"), ("b", "ONE two, three"), ("a", "one two three"), (None, "one two three")], 10)
+    (search,) = index.searches
+    ((start, ids),) = search.search(dc.words_of("zero one two three four"))
+    assert start == 1 and {index.names[i] for i in ids} == {"a", "b", None} and len(search.starts) == 1
