@@ -84,7 +84,7 @@ def period_boundaries(lines: DataFrame, period: timedelta) -> DataFrame:
         onward = jump.select(*BOOT, F.col("nth").alias("after"), F.col("after").alias("_beyond"))
         jump = settle(jump.join(onward, [*BOOT, "after"]).select(*_KEY, F.col("_beyond").alias("after")))
     begun = records.join(reached, _KEY, "left_semi").withColumnRenamed("us", "new_start").drop("nth")
-    bounds = carry(begun, before={"old_start": F.col("new_start")}).where("old_start is not null")
+    bounds = settle(carry(begun, before={"old_start": F.col("new_start")}).where("old_start is not null"))
     place = [*BOOT, "segment", *ORDER]
     # Equal lines have one place: the first of them is the boundary.
     return lines.join(bounds, place).dropDuplicates(place).select(*lines.columns, "old_start", "new_start")

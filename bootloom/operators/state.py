@@ -232,7 +232,13 @@ def cpu_state(events: DataFrame, before: bool = False) -> DataFrame:
 
 
 def day_boundaries(lines: DataFrame) -> DataFrame:
-    """Lines whose day of the year differs from that of the line before, with ``old_day`` and ``new_day``."""
-    days = lines.withColumn("new_day", F.dayofyear("datetime"))
-    return carry(days, before={"old_day": F.col("new_day")}).where(F.col("old_day") != F.col("new_day"))
+    """Lines whose day of the year differs from that of the line before, with ``old_day`` and ``new_day``.
 
+    Places and days are scanned in order; the text of the few boundaries is
+    looked up afterwards.
+    """
+    days = lines.select(*_PLACE, F.dayofyear("datetime").alias("new_day"))
+    bounds = settle(carry(days, before={"old_day": F.col("new_day")}).where(F.col("old_day") != F.col("new_day")))
+    # Equal lines have one place and one day: the first of them is the boundary.
+    found = lines.join(bounds, _PLACE).dropDuplicates(_PLACE)
+    return found.select(*lines.columns, "old_day", "new_day")
