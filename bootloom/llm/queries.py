@@ -67,7 +67,7 @@ def op4_fingerprints(spark, sf):
 def op5_toxicity(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    held_out = (bucket_of(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out")
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), toxicity.FOLDS) == 0, F.lit(False)).alias("held_out")
     return toxicity.scored(docs, model).select("doc_id", held_out, "score", "predicted")
 
 

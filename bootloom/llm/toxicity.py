@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bootloom.llm.common import bucket_of
+from bootloom.llm.common import bucket_of, release_memory
 
 #: Fold modulus: ids whose crc32 leaves no remainder are held out.
 FOLDS = 5
@@ -116,6 +116,8 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
     prior: float
+    #: Positive and unlabelled texts that it was fitted on.
+    fitted: tuple[int, int] = (0, 0)
 
 
 def train(
@@ -131,8 +133,9 @@ def train(
 
     Positives are documents that ``labels`` calls toxic; the unlabelled are
     drawn from all documents outside the fold, whatever their label, as the risk
-    estimator wants them.  Both are bounded samples, the ones with the smallest
-    hashes of their ids.  The class prior is the toxic share of all labelled
+    estimator wants them.  Both are bounded samples of ids, the ones with the
+    smallest hashes; an id has one text in each, the one with the least hash if
+    it has several, so no more than ``positives + unlabelled`` texts are fitted on.  The class prior is the toxic share of all labelled
     rows outside the fold.  Rows of ``labels`` with a null id or label do not
     count; of several labels of an id the largest holds.  Without any positive,
     every score is below one half.
@@ -149,7 +152,13 @@ def train(
     sample = smallest(known.where("_toxic = 1").select(doc_id), positives, 1).unionByName(
         smallest(docs.where(learned).select(doc_id).distinct(), unlabelled, 0)
     )
-    chosen = docs.select(doc_id, F.col(text).alias("_text")).join(F.broadcast(sample), doc_id)
+    # An id may be in both; of several rows with an id the one with the least hash of its text stands for it.
+    hashed = docs.select(doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_hash"))
+    one = hashed.join(F.broadcast(sample.select(doc_id).distinct()), doc_id).groupBy(doc_id).agg(F.min("_text_hash").alias("_text_hash"))
+    whole = docs.select(doc_id, F.col(text).alias("_text")).withColumn("_text_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    # One text for each id, also where its rows are equal.
+    texts = whole.join(F.broadcast(one), [doc_id, "_text_hash"]).groupBy(doc_id).agg(F.min("_text").alias("_text"))
+    chosen = texts.join(F.broadcast(sample), doc_id)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,13 +166,14 @@ def train(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["_kind", "columns"]
             )
+        release_memory()
 
     got = chosen.select("_kind", "_text").mapInArrow(rows, "_kind int, columns array<int>").toArrow()
     kinds = got.column("_kind").to_numpy()
     each = [np.asarray(c, np.int32) for c in got.column("columns").to_pylist()]
     sides = [Sparse.of([c for c, k in zip(each, kinds) if k == kind]) for kind in (1, 0)]
     weights, bias = fit(*sides, prior)
-    return ToxicityModel(weights, bias, prior)
+    return ToxicityModel(weights, bias, prior, (len(sides[0].lengths), len(sides[1].lengths)))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
@@ -180,5 +190,6 @@ def scored(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> Data
         for batch in texts:
             found = [weights[features_of(t)].sum() for t in batch.cast(pa.binary()).to_pylist()]
             yield pa.array(_sigmoid(np.array(found, np.float64) + bias))
+        release_memory()
 
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
