@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ TRAINING_URLS = 200_000
 TREES, DEPTH = 20, 4
 #: How much a suffix's own share of blocked URLs is drawn to the overall share.
 SMOOTHING = 20.0
+#: Parts of the labelled URLs; a row is trained with the statistics of the others.
+FOLDS = 5
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -90,14 +94,39 @@ FEATURES = [
 SUFFIXES = ["s_host", "s_file"]
 
 
-def _statistics(labelled: DataFrame, suffix: str, overall: float) -> DataFrame:
-    """(suffix, smoothed share blocked, log of the number of URLs) over all labelled rows."""
-    n, blocked = F.count("*"), F.sum("label")
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
+def _statistics(labelled: DataFrame, suffix: str) -> DataFrame:
+    """(suffix, by fold the numbers of labelled and of blocked URLs) over all labelled rows."""
+    own = [F.when(_fold(F.col("url")) == k, F.col("label")) for k in range(FOLDS)]
     return labelled.groupBy(suffix).agg(
-        ((blocked + SMOOTHING * overall) / (n + SMOOTHING)).alias(f"{suffix}_share"), F.log1p(n).alias(f"{suffix}_size")
+        F.array(*[F.count(x) for x in own]).alias(f"{suffix}_n"),
+        F.array(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in own]).alias(f"{suffix}_blocked"),
     )
 
 
+def _with_statistics(rows: DataFrame, statistics: dict[str, DataFrame], overall: float, training: bool) -> DataFrame:
+    """Add each suffix's smoothed share of blocked URLs and the log of their number.
+
+    For rows to train on they are those of the other folds: neither a row's own
+    label is in them, nor does leaving out just that one give it away.
+    """
+    for suffix, table in statistics.items():
+        rows = rows.join(table, suffix, "left")
+        sums = []
+        for c in (f"{suffix}_n", f"{suffix}_blocked"):
+            each = [F.coalesce(F.get(c, F.lit(k)).cast("double"), F.lit(0.0)) for k in range(FOLDS)]
+            if training:
+                each = [F.when(_fold(F.col("url")) == k, 0.0).otherwise(x) for k, x in enumerate(each)]
+            sums.append(reduce(lambda x, y: x + y, each))
+        n, blocked = sums
+        share = (blocked + SMOOTHING * overall) / (n + SMOOTHING)
+        rows = rows.withColumns({f"{suffix}_share": share, f"{suffix}_size": F.log1p(n)})
+    return rows
+
+
 def judged(
     pages: DataFrame,
     *,
@@ -109,44 +138,44 @@ def judged(
 
     A URL that a rule fits has the rule's verdict.  The URLs that rules label,
     each counted once, train the trees that judge all others.  Shares of suffixes
-    are taken over all labelled rows; a suffix that no labelled row has gets the
-    overall share.  The trees are fitted on all distinct labelled URLs, or on
-    about ``training_urls`` of them, by a hash.  If the rules label none, or give
-    all the same verdict, that verdict (``allow`` for none) is the answer.
+    are taken over all labelled rows, for a row that the trees are fitted on
+    over those of other folds; a suffix that no labelled row has gets the overall
+    share.  The trees are fitted on all distinct labelled URLs, or on about
+    ``training_urls`` of them, by a hash.  If the rules label none, or give all the
+    same verdict, that verdict (``allow`` for none) is the answer.  Null URLs have
+    an empty host and path, and are judged like others.
     """
-    parted = with_parts(pages, url)
+    # The caller's columns stand aside, so that none has a name that is needed here.
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parted = with_parts(pages.select(F.struct(*kept).alias("_own"), F.col(url).alias("url")))
     ruled = parted.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     of_rule = F.element_at(verdicts, F.col("rule")) if rules else F.lit(None).cast("string")
-    known = ruled.where(F.col("rule").isNotNull()).select(F.col(url), "host", "path", of_rule.alias("_verdict"))
-    known = settle(
-        with_features(known.distinct(), url).withColumn("label", (F.col("_verdict") == "block").cast("double")).drop("_verdict")
-    )
+
+    def answer(rows: DataFrame, otherwise: Column) -> DataFrame:
+        return rows.select("_own.*", "host", "path", "rule", F.coalesce(of_rule, otherwise).alias("verdict"))
+
+    known = ruled.where(F.col("rule").isNotNull()).select("url", "host", "path", of_rule.alias("_verdict"))
+    label = (F.col("_verdict") == "block").cast("double")
+    known = settle(with_features(known.distinct()).withColumn("label", label).drop("_verdict"))
     n, blocked = known.agg(F.count("*"), F.sum("label")).first()
     if not n or blocked in (0, n):
-        only = "block" if n and blocked == n else "allow"
-        return ruled.withColumn("verdict", F.coalesce(of_rule, F.lit(only)))
+        return answer(ruled, F.lit("block" if n and blocked == n else "allow"))
     overall = blocked / n
-    statistics = {s: settle(_statistics(known, s, overall)) for s in SUFFIXES}
+    statistics = {s: settle(_statistics(known, s)) for s in SUFFIXES}
 
-    def assembled(rows: DataFrame) -> DataFrame:
-        for suffix, table in statistics.items():
-            rows = rows.join(table, suffix, "left").fillna({f"{suffix}_share": overall, f"{suffix}_size": 0.0})
+    def assembled(rows: DataFrame, training: bool) -> DataFrame:
         names = [*FEATURES, *[f"{s}_{k}" for s in SUFFIXES for k in ("share", "size")]]
-        return VectorAssembler(inputCols=names, outputCol="_features").transform(rows)
+        return VectorAssembler(inputCols=names, outputCol="_features").transform(_with_statistics(rows, statistics, overall, training))
 
     chosen = known
     if n > training_urls:
-        part = F.pmod(F.xxhash64(url), F.lit(1 << 30)) < int((1 << 30) * training_urls / n)
+        part = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * training_urls / n)
         chosen = known.where(part)
-    sample = settle(assembled(chosen).select("_features", "label"))
+    sample = settle(assembled(chosen, training=True).select("_features", "label"))
     trees = GBTClassifier(
         featuresCol="_features", labelCol="label", predictionCol="_block", maxIter=TREES, maxDepth=DEPTH, seed=7
     )
     trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(sample)
-    added = [*FEATURES, *SUFFIXES, *[f"{s}_{k}" for s in SUFFIXES for k in ("share", "size")]]
-    scored = trees.transform(assembled(with_features(ruled, url)))
-    by_trees = F.when(F.col("_block") == 1.0, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce(of_rule, by_trees)).drop(
-        *added, "_features", "_block", "_raw", "_probability"
-    )
+    scored = trees.transform(assembled(with_features(ruled), training=False))
+    return answer(scored, F.when(F.col("_block") == 1.0, "block").otherwise("allow"))

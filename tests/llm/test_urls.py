@@ -66,6 +66,14 @@ def test_clashing_columns_copies_and_few_labels(spark):
     rows = ODD + [(1, None), (4, "HTTP://WWW.Example.ORG/es/1")]
     got = ur.judged(pages(spark, rows).withColumn("host", F.lit("x"))).collect()
     assert len(got) == len(rows) and {r.label for r in got} == {3}
+    # With both verdicts or one, by trees or without: the same columns, each as it was.
+    names = [*ur.FEATURES, "s_file", "s_host_share", "s_host_n", "s_host_blocked", "_features", "_raw"]
+    both = pages(spark, rows + corpus()).withColumns({c: F.lit(f"own {c}") for c in names})
+    for df in (both, both.where("url like '%/fr/%'")):
+        found = ur.judged(df)
+        assert found.columns == [*df.columns, "host", "path", "rule", "verdict"]
+        first = found.first()
+        assert first.s_host == "mine" and first.label == 3 and all(first[c] == f"own {c}" for c in names)
     only = ur.judged(spark.createDataFrame([(1, "https://a.org/"), (2, "https://b.net/")], "page_id long, url string"))
     assert {r.verdict for r in only.collect()} == {"allow"}
     assert ur.judged(pages(spark, ODD).limit(0)).collect() == []
