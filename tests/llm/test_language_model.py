@@ -97,3 +97,29 @@ def test_a_pair_that_occurs_once_counts(spark):
         got = {r.doc_id: r.score for r in lm.scored(df, model, broadcast_bytes=limit).collect()}
         assert got[1] == pytest.approx(61 * math.log10(0.25 + 0.75 * 2 / (61 + 61 + 1)))
         assert got[1] > got[2] + 20
+
+
+def test_scores_against_a_plain_loop(spark, docs):
+    """From dictionaries of counts, rounded as the filter rounds them; the filter is nearly empty, so it has no false levels."""
+    df = table(spark, docs)
+    model = lm.train(df.where(lm.learned_from(F.col("doc_id"))))
+    words, pairs = Counter(), Counter()
+    for i, text in docs:
+        if learned(i):
+            own = tokens(text)
+            words.update(own)
+            pairs.update(zip(["<text>", *own], own))
+    total = sum(words.values()) + len(words) + 1
+
+    def rounded(n):
+        level = n.bit_length()
+        return (3 * 2 ** (level - 1) - 1) / 2 if n else 0.0
+
+    for row in lm.scored(df, model).collect():
+        own, score = tokens(row.text), 0.0
+        for before, word in zip(["<text>", *own], own):
+            history = rounded(words["\n" if before == "<text>" else before])
+            seen = min(rounded(pairs[before, word]), history) / max(history, 1)
+            weight = 0.25 if history else 0.0
+            score += math.log10(weight * seen + (1 - weight) * (rounded(words[word]) + 1) / total)
+        assert row.score == pytest.approx(score, rel=1e-9), row.doc_id
