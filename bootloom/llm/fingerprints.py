@@ -37,24 +37,34 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_IDF, most:
     return kept.select("term", F.explode(F.array_compact(F.array(*subsets))).alias("subset"))
 
 
-def _starts(docs: DataFrame, doc_id: str) -> list:
-    """Ids that cut the documents into about equal ranges, at most one for each shuffle partition."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(doc_id).where(F.col(doc_id).isNotNull()).repartitionByRange(parts, doc_id)
-    firsts = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min(doc_id).alias("first"))
-    return sorted(row["first"] for row in firsts.collect())[1:]
+#: The order of documents: null ids first, then by id, and by a hash of their texts.
+ORDER = ["_has_id", "doc_id", *KEY]
 
 
-def _bucket(doc_id: Column, starts: list) -> Column:
-    """The number of ``starts`` at or below the id, looked up in two steps; 0 for null."""
+def _starts(keyed: DataFrame) -> list:
+    """Places in the order that cut the documents into about equal ranges, at most one for each shuffle partition."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = keyed.select(*ORDER).repartitionByRange(parts, *ORDER)
+    firsts = places.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*ORDER)).alias("first"))
+    return [row["first"] for row in firsts.orderBy("first").collect()][1:]
+
+
+def _bucket(keyed: DataFrame, starts: list) -> Column:
+    """The number of ``starts`` at or below the document's place, looked up in two steps."""
     if not starts:
         return F.lit(0)
+    kinds = [keyed.schema[c].dataType for c in ORDER]
+
+    def place(row) -> Column:
+        return F.struct(*[F.lit(row[c]).cast(kind).alias(c) for c, kind in zip(ORDER, kinds)])
+
+    own = F.struct(*ORDER)
     step = max(1, int(len(starts) ** 0.5))
     blocks = [starts[i : i + step] for i in range(0, len(starts), step)]
-    coarse = F.array(*[F.lit(b[0]) for b in blocks])
-    fine = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
-    block = F.size(F.filter(coarse, lambda x: x <= doc_id))
-    within = F.size(F.filter(F.get(fine, block - 1), lambda x: x <= doc_id))
+    coarse = F.array(*[place(b[0]) for b in blocks])
+    fine = F.array(*[F.array(*[place(x) for x in b]) for b in blocks])
+    block = F.size(F.filter(coarse, lambda x: x <= own))
+    within = F.size(F.filter(F.get(fine, block - 1), lambda x: x <= own))
     return F.when(block > 0, (block - 1) * step + within).otherwise(0)
 
 
@@ -63,11 +73,13 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
     Null ids come first, equal ids are in the order of a hash of their texts,
     and after the last document comes the first.  The documents are shuffled
-    once, by ranges of ids; the first document of a range is also given to the
-    range before it, as a row with ``_extra``.
+    once, by ranges of that order, so many documents without an id, or with one
+    and the same, are in many ranges; the first document of a range is also given
+    to the range before it, as a row with ``_extra``.
     """
     keyed = with_key(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")))
-    keyed = keyed.withColumn("_bucket", _bucket(F.col("doc_id"), _starts(keyed, "doc_id")))
+    keyed = keyed.withColumn("_has_id", F.col("doc_id").isNotNull())
+    keyed = keyed.withColumn("_bucket", _bucket(keyed, _starts(keyed))).drop("_has_id")
     order = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", *KEY)
     firsts = keyed.groupBy("_bucket").agg(F.min(order).alias("first")).collect()
     firsts = sorted((r["_bucket"], r["first"]["_kd"], r["first"]["_kt"]) for r in firsts)

@@ -70,3 +70,11 @@ def test_shuffled_lexicon_gives_the_same(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     df = fp.fingerprints(table(spark))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_documents_without_an_id_are_in_many_ranges(spark):
+    docs = [(None, f"text {k}") for k in range(300)] + [(7, f"other {k}") for k in range(60)] + [(k, "x") for k in range(8, 48)]
+    got = fp.with_next(table(spark, docs)).where("not _extra").groupBy("_bucket").count().collect()
+    assert sum(r["count"] for r in got) == 400 and max(r["count"] for r in got) <= 130
+    follows = Counter(r.next for r in fp.with_next(table(spark, docs)).where("not _extra and next <> ''").collect())
+    assert follows["x"] == 40 and sum(n for t, n in follows.items() if t.startswith("text")) == 300
