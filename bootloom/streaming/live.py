@@ -250,7 +250,7 @@ def _fgbg_batch(
         own = settle(lines.select(*_PLACE, *text, _bucket(buckets).alias("bucket")))
         _add_batch(own, batch, state_path)
         if last_version(spark, out_path).notes.get("batch", -1) < batch:
-            _add_batch(_fgbg_news(own, state_path, out_path, delay_seconds), batch, out_path)
+            _add_batch(_fgbg_news(own, state_path, out_path, delay_seconds, buckets), batch, out_path)
     merge_small(spark, state_path, _NARROW, _write_boots, fanout)
     merge_small(spark, out_path, _CHANGES, _write_boots_net, fanout)
 
@@ -270,9 +270,15 @@ def touched_places(
     return places, events.select(*_PLACE, "fg_pid", "since")
 
 
-def _fgbg_news(own: DataFrame, state_path: str, out_path: str, delay_seconds: float) -> DataFrame:
+def _fgbg_news(own: DataFrame, state_path: str, out_path: str, delay_seconds: float, buckets: int) -> DataFrame:
     """The changes that a batch makes to the transitions written so far."""
     spark = own.sparkSession
+    states = ["old_state", "new_state"]
+    added = F.lit(1).cast("bigint").alias("change")
+    if not last_version(spark, out_path).folders:
+        # Nothing is before the first batch.
+        first = fgbg_changes_of(own, proc_foreground_events(own), delay_seconds)
+        return _net(first.select(_bucket(buckets).alias("bucket"), *_PLACE, *states, added))
     touched = settle(own.groupBy("bucket", *BOOT).agg(F.min("segment").alias("since")))
     # A bounded number, whatever a batch brings.
     numbers = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
@@ -298,8 +304,7 @@ def _fgbg_news(own: DataFrame, state_path: str, out_path: str, delay_seconds: fl
         events.where("segment >= since").select(*_PLACE, "fg_pid").unionByName(old_events),
         delay_seconds,
     )
-    states = ["old_state", "new_state"]
-    new = found.join(touched, BOOT).where("segment >= since").select("bucket", *_PLACE, *states, F.lit(1).cast("bigint").alias("change"))
+    new = found.join(touched, BOOT).where("segment >= since").select("bucket", *_PLACE, *states, added)
     old = written.where("segment >= since").select("bucket", *_PLACE, *states, (-F.col("change")).alias("change"))
     return _net(new.unionByName(old))
 
