@@ -310,14 +310,26 @@ _CHUNK_JSON = (
 
 
 def read_chunk_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks dumped as one indented JSON object per gzip file, with the device from the path."""
-    dumps = spark.read.schema(_CHUNK_JSON).json(
-        path, multiLine=True, pathGlobFilter="*.gz", recursiveFileLookup=True, primitivesAsString=False
-    )
-    return dumps.select(
-        device_of_path(F.col("_metadata.file_path")).alias("device_id"),
-        F.col("Start.Logline.BootId").alias("boot_id"),
-        F.col("Start.Logline.LogcatToken").alias("start_token"),
-        F.col("End.Logline.LogcatToken").alias("end_token"),
-        *[F.col(c) for c in ("Start", "End", "StartFgBgState", "StartCpuState", "Data")],
-    )
+    """Chunk dumps with the device from the path.
+
+    Files named ``*.json.gz`` have one JSON object per line, as
+    :func:`bootloom.sources.writers.write_chunk_dumps` leaves them; any other
+    ``*.gz`` is one indented JSON object.
+    """
+
+    def read(pattern: str, multi_line: bool) -> DataFrame:
+        return spark.read.schema(_CHUNK_JSON).json(
+            path, multiLine=multi_line, pathGlobFilter=pattern, recursiveFileLookup=True, primitivesAsString=False
+        )
+
+    def told(dumps: DataFrame) -> DataFrame:
+        return dumps.select(
+            device_of_path(F.col("_metadata.file_path")).alias("device_id"),
+            F.col("Start.Logline.BootId").alias("boot_id"),
+            F.col("Start.Logline.LogcatToken").alias("start_token"),
+            F.col("End.Logline.LogcatToken").alias("end_token"),
+            *[F.col(c) for c in ("Start", "End", "StartFgBgState", "StartCpuState", "Data")],
+        )
+
+    single = read("*.gz", True).where(~F.col("_metadata.file_name").endswith(".json.gz"))
+    return told(read("*.json.gz", False)).unionByName(told(single))

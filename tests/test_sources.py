@@ -305,6 +305,30 @@ def test_chunk_dumps(spark, tmp_path):
     assert [d.LogcatToken for d in row.Data] == [6, 7] and row.StartCpuState["0"].Frequency == 300000
 
 
+def test_chunk_dumps_share_files(spark, tmp_path):
+    """Many dumps of a device are in few files, with single ones beside them, and none is lost."""
+    line = {"Logline": {"BootId": BOOT, "LogcatToken": 1}}
+    (tmp_path / DEVICES[1]).mkdir()
+    write_gz(tmp_path / DEVICES[1] / "00000000.gz", [json.dumps({"Start": line, "End": line}, indent=4)])
+    report = "named_struct('Logline', named_struct('BootId', boot_id, 'LogcatToken', {}))"
+    dumps = spark.range(300).selectExpr(
+        f"'{DEVICES[0]}' as device_id", f"'{BOOT}' as boot_id", "id div 2 as start_token", "id div 2 + 1 as end_token",
+        "cast(id % 2 as int) as part",
+    )
+    dumps = dumps.selectExpr(
+        "*", f"{report.format('start_token')} as Start", f"{report.format('end_token')} as End",
+        "array(named_struct('LogcatToken', start_token, 'Line', 'a\nb')) as Data",
+    )
+    writers.write_chunk_dumps(dumps, str(tmp_path / "dumps"))
+    files = [f for _, _, names in os.walk(tmp_path / "dumps") for f in names if f.endswith(".gz")]
+    assert len(files) <= 2
+    got = logs.read_chunk_dumps(spark, str(tmp_path)).collect()
+    assert Counter((r.device_id, r.boot_id, r.start_token, r.end_token) for r in got) == Counter(
+        [(DEVICES[0], BOOT, n // 2, n // 2 + 1) for n in range(300)] + [(DEVICES[1], BOOT, 1, 1)]
+    )
+    assert {d.Line for r in got for d in r.Data or []} == {"a\nb"}
+
+
 def test_thermal_lines(spark, upload):
     path, records = upload
     lines = parse_loglines(logs.read_raw_logs(spark, str(path / "raw")))
