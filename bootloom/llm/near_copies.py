@@ -1,4 +1,4 @@
-"""Near-copies of documents: an exact similarity join over sets of word shingles."""
+"""Near-copies of documents: SimHash with pigeonring, then an exact similarity join over sets of word shingles."""
 
 from __future__ import annotations
 
@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from bootloom.llm.common import KEY, release_memory, with_key
 from bootloom.llm.components import components
+from bootloom.llm.simhash import Ring, links, signed
+from bootloom.llm.simhash_bits import majority
 from bootloom.operators.lineage import settle
 
 #: Words of a shingle, and the Jaccard similarity from which two texts are near-copies.
 SHINGLE, THRESHOLD = 5, 0.8
 #: One text in so many tells which shingles are common: those that this many of them have, at most the largest number.
 SAMPLE, COMMON, MOST_COMMON = 64, 8, 1 << 17
+#: Bits of a set's sketch, in longs.
+SKETCH = 4
 _EPS = 1e-9
 
 
@@ -39,6 +43,16 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - int(np.ceil(threshold * n - _EPS)) + 1 if n else 0
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of some classes of hashes, whether their number is odd, as the bits of longs.
+
+    A hash that only one of two sets has changes one bit, so the sketches differ in no
+    more bits than the sets do in hashes.
+    """
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _common(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample have, in order, with their counts; they only set the order of lookups."""
 
@@ -56,14 +70,33 @@ def _common(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return names[order], counts[order]
 
 
-def _links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, threshold: float) -> DataFrame:
+def _simhash_pairs(prints: DataFrame, ring: Ring) -> DataFrame:
+    """Pairs (``u``, ``v``) of sets ``s`` that SimHash takes for near-copies, one or two for each set.
+
+    Sets with one fingerprint ``fp`` are paired with the least of them, and these
+    where pigeonring links their fingerprints, each with its least neighbour.
+    """
+    first = settle(prints.groupBy("fp").agg(F.min("s").alias("first")))
+    same = prints.join(first, "fp").where("s <> first").select(F.col("s").alias("u"), F.col("first").alias("v"))
+    linked = links(first.select("fp"), ring).groupBy("u").agg(F.min("v").alias("v"))
+    near = linked.join(first.select(F.col("fp").alias("u"), F.col("first").alias("s")), "u")
+    near = near.join(first.select(F.col("fp").alias("v"), F.col("first").alias("s2")), "v")
+    near = near.select(F.greatest("s", "s2").alias("u"), F.least("s", "s2").alias("v"))
+    return same.unionByName(near)
+
+
+def _links(
+    rows: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, threshold: float, ring: Ring
+) -> DataFrame:
     """Pairs (``u``, ``v``) of sets that are near-copies.
 
     ``rows`` are looked-up shingles ``h`` with their set ``s``, its size ``n`` and
-    the shingle's place ``at`` in the common order; ``texts`` gives a text for each
-    set that is asked for.  First every set is compared with the least one at each of its shingles,
-    which ties crowds of near-copies together.  Then all pairs that meet and are
-    not tied yet are compared.
+    the shingle's place ``at`` in the common order; ``sets`` have the fingerprint ``fp``
+    and the sketch ``k`` of each set, and ``texts`` gives a text for each
+    set that is asked for.  First the pairs of SimHash are compared, and every set with
+    the least one at each of its shingles, which ties crowds of near-copies together.
+    Then all pairs that meet, are not tied yet and whose sketches are near enough are
+    compared: what SimHash's few bits miss is found here.
 
     A pair that meets must leave room for the overlap from its first place on, and of
     the one whose looked-up shingles end first, those that did not meet are not
@@ -76,7 +109,7 @@ def _links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
             yield pa.array([shingles(t, size) for t in batch.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
         release_memory()
 
-    def alike(met: DataFrame) -> DataFrame:
+    def bounded(met: DataFrame) -> DataFrame:
         overlap = threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - _EPS
         fits = F.least("n", "n2") >= threshold * F.greatest("n", "n2") - _EPS
         room = F.max(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))).alias("room")
@@ -84,7 +117,10 @@ def _links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
         larger, smaller = F.max(F.greatest("n", "n2")).alias("n"), F.max(F.least("n", "n2")).alias("n2")
         pairs = pairs.agg(F.count("*").alias("c"), room, larger, smaller)
         behind = F.ceil(threshold * F.col("n") - _EPS) - 1
-        pairs = settle(pairs.where((F.col("room") >= overlap) & (F.col("c") + behind >= overlap)).select("u", "v"))
+        return pairs.where((F.col("room") >= overlap) & (F.col("c") + behind >= overlap)).select("u", "v")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs)
         asked = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
         sets = texts(asked).select("s", all_of(F.col("_text")).alias("all")).dropDuplicates(["s"])
         sets = settle(sets)
@@ -99,17 +135,30 @@ def _links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     starred = rows.withColumn("least", least).select(
         "s", "n", "at", *[F.col(f"least.{c}").alias(f"{c}2") for c in ("s", "n", "at")]
     )
-    tied = alike(starred.where("s <> s2"))
+    # Sets that nobody meets are no near-copies, whatever their fingerprints.
+    by_simhash = _simhash_pairs(sets.select("s", "fp").join(rows.select("s").distinct(), "s", "left_semi"), ring)
+    tied = alike(bounded(starred.where("s <> s2")).unionByName(by_simhash).distinct())
     roots = components(tied).withColumnRenamed("node", "s")
     rooted = rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     apart = F.min("root").over(place) < F.max("root").over(place)
     rooted = settle(rooted.withColumn("apart", apart).where("apart").drop("apart"))
-    other = rooted.select("h", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "at", "root")])
-    return tied.unionByName(alike(rooted.join(other, "h").where("s > s2 and root <> root2")))
+    bits = [F.col("k")[i].alias(f"k{i}_") for i in range(SKETCH)]
+    rooted = rooted.join(sets.select("s", *bits), "s")
+    other = rooted.select("h", *[F.col(c).alias(f"{c}2") for c in rooted.columns if c != "h"])
+    differ = sum((F.bit_count(F.col(f"k{i}_").bitwiseXOR(F.col(f"k{i}_2"))) for i in range(SKETCH)), F.lit(0))
+    most = (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n2")) + _EPS
+    met = rooted.join(other, "h").where("s > s2 and root <> root2").where(differ <= most)
+    return tied.unionByName(alike(bounded(met)))
 
 
 def near_copies(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: float = THRESHOLD
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    size: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    ring: Ring = Ring(),
 ) -> DataFrame:
     """One row per document: its id, ``_kd`` and ``_kt`` (see ``with_key``), ``component_id``, ``stays``.
 
@@ -119,7 +168,9 @@ def near_copies(
     without an id come last; rows equal in id and text are one document).  Texts
     without words are copies of each other.
 
-    The join is exact.  Each set stands in one order of all shingles, and two
+    SimHash ties what is within ``ring.most`` bits, by pigeonring as in
+    :mod:`bootloom.llm.simhash` but from the set of shingles, and what it ties is
+    compared in full.  The join then finds the rest and is exact.  Each set stands in one order of all shingles, and two
     similar sets meet within their first fifth (at 0.8), where the first shingle
     that both have must leave room for the overlap.  Common shingles, as a
     sample tells, come last in that order; this changes what it costs, never
@@ -130,26 +181,29 @@ def near_copies(
     keyed = with_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     shared = spark.sparkContext.broadcast(_common(keyed, size))
 
-    @F.arrow_udf("struct<s: bigint, n: int, prefix: array<bigint>>")
+    @F.arrow_udf("struct<s: bigint, n: int, fp: bigint, k: array<bigint>, prefix: array<bigint>>")
     def looked_up(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, counts = shared.value
         for batch in texts:
-            ids, sizes, prefixes = [], [], []
+            ids, sizes, prints, sketches, prefixes = [], [], [], [], []
             for value in batch.cast(pa.binary()).to_pylist():
                 own = shingles(value, size)
                 ids.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 sizes.append(len(own))
+                prints.append(signed(majority(own.astype(">u8"))))
+                sketches.append(sketch(own))
                 if len(names):
                     at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                     own = own[np.argsort(np.where(names[at] == own, counts[at], 0), kind="stable")]
                 prefixes.append(own[: prefix_length(len(own), threshold)])
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, ["s", "n", "prefix"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, prefixes)]
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), *lists]
+            yield pa.StructArray.from_arrays(columns, ["s", "n", "fp", "k", "prefix"])
         release_memory()
 
     seen = settle(keyed.select("doc_id", *KEY, looked_up(F.col("_text")).alias("of")).select("doc_id", *KEY, "of.*"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
-    distinct = seen.groupBy("s").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    distinct = seen.groupBy("s").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "k", "prefix")])
     distinct = settle(distinct)
     rows = distinct.select("s", "n", F.posexplode("prefix").alias("at", "h"))
     rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times > 1").drop("times")
@@ -159,7 +213,7 @@ def near_copies(
         wanted = distinct.join(asked, "s", "left_semi").select("s", *[f"first.{k}" for k in KEY])
         return keyed.join(wanted, KEY).select("s", "_text")
 
-    roots = components(_links(rows, texts, size, threshold))
+    roots = components(_links(rows, distinct.select("s", "fp", "k"), texts, size, threshold, ring))
     rooted = distinct.select("s", "first").join(roots.withColumnRenamed("node", "s"), "s", "left")
     rooted = rooted.select("s", "first", F.coalesce("root", "s").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("least"))

@@ -30,7 +30,11 @@ def simhash(text: bytes | None, size: int = SHINGLE) -> int:
     starts = (ends - lengths)[: len(words) - run + 1].tolist()
     stops = ends[run - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], ">u8")
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], ">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number, unsigned, of the bits that are set in more than half the hashes, given as big-endian ``>u8``."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _STEP):
         part = hashes[at : at + _STEP]

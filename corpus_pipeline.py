@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bootloom.llm import bpe, decontamination, near_copies, spans, toxicity
 from bootloom.llm.common import bounded_batches
+from bootloom.llm.simhash import Ring
 from bootloom.operators.lineage import settle, settled_within
 
 #: SQL has no classifier and no BPE; the tests compare with plain loops.
@@ -32,10 +33,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, Jaccard 0.8), the one with the smallest id.
 
+    SimHash with pigeonring ties texts first, and each tie is compared exactly; an
+    exact join then finds what 4 of 64 bits miss, most pairs at that similarity.
+
     Texts without words, null ones too, are copies of each other.  A document
     without an id comes last; rows equal in id and text stay or go together.
     """
-    return near_copies.without_near_copies(docs)
+    return near_copies.without_near_copies(docs, ring=Ring(most=4, segments=5))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from bootloom.llm import near_copies as nc
+from bootloom.llm import simhash
 from tests.llm.plain import ODD, prose, spaced_words, table, unions
 
 ABC = "kala miru tofe sund ralo bine vost yuki del an zo".split()
@@ -67,3 +70,44 @@ def test_the_stage_takes_edited_copies(spark):
     kept = corpus_pipeline.one_of_each(spark, table(spark, docs), "").collect()
     assert sorted(r.doc_id for r in kept) == [1000 * i for i in range(1, 13)]
     assert corpus_pipeline.one_of_each(spark, table(spark).limit(0), "").collect() == []
+
+
+def test_the_stage_runs_simhash(spark, monkeypatch):
+    """Pigeonring gets the fingerprints of sets that meet others, with the stage's ring."""
+    asked, links = [], simhash.links
+
+    def seen(prints, ring, *args):
+        asked.append((prints.count(), ring))
+        return links(prints, ring, *args)
+
+    monkeypatch.setattr(nc, "links", seen)
+    docs = NEAR + [(900, noise(9, 60))]
+    corpus_pipeline.one_of_each(spark, table(spark, docs), "").collect()
+    assert asked == [(len({nc.shingles(t.encode()).tobytes() for _, t in NEAR}), simhash.Ring(4, 5))]
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(1 << 62), 1 << 62, 300)
+    for lost in range(0, 300, 7):
+        other = np.concatenate([base[lost:], rng.integers(-(1 << 62), 1 << 62, lost // 2)])
+        apart = sum(int(x).bit_count() for x in (nc.sketch(base) ^ nc.sketch(other)).view(np.uint64))
+        assert (apart > 0) == (lost > 0) and apart <= lost + lost // 2
+    assert not nc.sketch(base[:0]).any()
+
+
+def test_a_crowd_that_is_not_linked_is_told_by_sketches(spark, monkeypatch):
+    """Copies with edits of their own are further apart than they are from the text: few pairs are compared in full."""
+    crowd = [(i, edited(noise(5, 120), *[(7 * i + 23 * k) % 116 + 2 for k in range(4)])) for i in range(60)]
+    compared, settle = [], nc.settle
+
+    def counted(df):
+        kept = settle(df)
+        if kept.columns == ["u", "v"]:
+            compared.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nc, "settle", counted)
+    got = nc.near_copies(table(spark, crowd)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(crowd)
+    assert max(compared) < 60 * 59 / 8
