@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 PARTITION_BYTES = 256 << 20
+# Below this a partition is not worth a task of its own.
+LEAST_BYTES = 16 << 20
 
 # Log text is about this much larger than its gzip file.
 GZIP_RATIO = 8
@@ -16,3 +18,8 @@ def partitions_for(total_bytes: int, partition_bytes: int = PARTITION_BYTES) ->
     partitions that turn out small.
     """
     return max(1, -(-total_bytes // partition_bytes))
+
+
+def partitions_over(total_bytes: int, cores: int) -> int:
+    """As :func:`partitions_for`, but no core is idle as long as each has :data:`LEAST_BYTES`."""
+    return max(partitions_for(total_bytes), min(cores, partitions_for(total_bytes, LEAST_BYTES)))

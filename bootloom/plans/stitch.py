@@ -13,7 +13,7 @@ from bootloom.operators.chunks import chunk_cpu_state, chunk_fgbg_state, chunk_l
 from bootloom.operators.lineage import settle, settled_within
 from bootloom.operators.loglines import parse_loglines
 from bootloom.operators.ordering import SEGMENT_TOKENS, split_hot_segments
-from bootloom.plans.sizing import GZIP_RATIO, partitions_for
+from bootloom.plans.sizing import GZIP_RATIO, partitions_over
 from bootloom.sources.logs import (
     RAW_PATTERN,
     boot_ids,
@@ -56,7 +56,7 @@ def stitch(
     todo = new_files(files, reduce(DataFrame.union, known)).orderBy("file_name")
     for run in batched(todo.select("file_name", "device_id", "length").toLocalIterator(), files_per_run):
         raw = read_raw_logs(spark, [f.file_name for f in run], patterns)
-        partitions = partitions_for(GZIP_RATIO * sum(f.length for f in run))
+        partitions = partitions_over(GZIP_RATIO * sum(f.length for f in run), spark.sparkContext.defaultParallelism)
         if max(f.length for f in run) > LARGE_FILE:
             # One task must unzip it, but others can share its parsing.
             raw = raw.repartition(partitions, "file_name", "block_start", "line_no")
