@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bootloom.llm.common import KEY, release_memory, with_key
@@ -22,6 +22,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 SAMPLE, COMMON, MOST_COMMON = 64, 8, 1 << 17
 #: Bits of a set's sketch, in longs.
 SKETCH = 4
+#: Meetings for each looked-up shingle above which crowds are tied before all that meet are compared, and how many others
+#: at the same shingle a set is held against in a turn of that.
+CROWDED, NEIGHBOURS = 4, 4
 _EPS = 1e-9
 
 
@@ -85,6 +88,35 @@ def _simhash_pairs(prints: DataFrame, ring: Ring) -> DataFrame:
     return same.unionByName(near)
 
 
+def _near_enough(a: Callable[[str], Column], b: Callable[[str], Column], threshold: float) -> Column:
+    """Whether two sets of sizes ``n`` may be near-copies as far as their sketches tell; ``a`` and ``b`` give their columns."""
+    differ = sum((F.bit_count(a(f"k{i}_").bitwiseXOR(b(f"k{i}_"))) for i in range(SKETCH)), F.lit(0))
+    return differ <= (1 - threshold) / (1 + threshold) * (a("n") + b("n")) + _EPS
+
+
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` at shingles where sets of different ``root`` meet; ``earlier`` adds up to the number of these meetings."""
+    place = Window.partitionBy("h")
+    rooted = rows.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    # Ranks by root count the rows of smaller roots, with no need to hold those of one root.
+    rooted = rooted.withColumn("earlier", F.rank().over(place.orderBy("root")).cast("bigint") - 1)
+    return rooted.withColumn("most", F.max("earlier").over(place)).where("most > 0").drop("most")
+
+
+def _neighbours(rooted: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs (``u``, ``v``) of sets apart that stand near each other at a shingle, in an order of this turn, with near sketches."""
+    nearby = Window.partitionBy("h").orderBy(F.xxhash64("s", "h", F.lit(turn)))
+    own = F.struct("s", "n", "root", *[f"k{i}_" for i in range(SKETCH)])
+    others = F.array(*[F.lag(own, i).over(nearby) for i in range(1, NEIGHBOURS + 1)])
+
+    def may_be(o: Column) -> Column:
+        fits = F.least(F.col("n"), o["n"]) >= threshold * F.greatest(F.col("n"), o["n"]) - _EPS
+        return o.isNotNull() & (o["root"] != F.col("root")) & fits & _near_enough(F.col, lambda c: o[c], threshold)
+
+    met = rooted.select("*", others.alias("others")).select("s", F.explode(F.filter("others", may_be)).alias("o"))
+    return met.select(F.greatest("s", "o.s").alias("u"), F.least("s", "o.s").alias("v")).distinct()
+
+
 def _links(
     rows: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, threshold: float, ring: Ring
 ) -> DataFrame:
@@ -95,8 +127,11 @@ def _links(
     and the sketch ``k`` of each set, and ``texts`` gives a text for each
     set that is asked for.  First the pairs of SimHash are compared, and every set with
     the least one at each of its shingles, which ties crowds of near-copies together.
-    Then all pairs that meet, are not tied yet and whose sketches are near enough are
-    compared: what SimHash's few bits miss is found here.
+    As long as many still meet that are not tied, each set is held against a few others
+    at each of its shingles, in turns and in another order each time: a crowd of n is tied
+    by some n comparisons and not by the square of n.  Then all pairs that meet, are not
+    tied yet and whose sketches are near enough are compared: what SimHash's few bits and
+    the turns miss is found here, so nothing depends on the turns but what it costs.
 
     A pair that meets must leave room for the overlap from its first place on, and of
     the one whose looked-up shingles end first, those that did not meet are not
@@ -137,18 +172,24 @@ def _links(
     )
     # Sets that nobody meets are no near-copies, whatever their fingerprints.
     by_simhash = _simhash_pairs(sets.select("s", "fp").join(rows.select("s").distinct(), "s", "left_semi"), ring)
-    tied = alike(bounded(starred.where("s <> s2")).unionByName(by_simhash).distinct())
-    roots = components(tied).withColumnRenamed("node", "s")
-    rooted = rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    apart = F.min("root").over(place) < F.max("root").over(place)
-    rooted = settle(rooted.withColumn("apart", apart).where("apart").drop("apart"))
+    roots = components(alike(bounded(starred.where("s <> s2")).unionByName(by_simhash).distinct()))
     bits = [F.col("k")[i].alias(f"k{i}_") for i in range(SKETCH)]
-    rooted = rooted.join(sets.select("s", *bits), "s")
+    sketches = sets.select("s", *bits)
+    turn, before = 0, None
+    while True:
+        rooted = settle(_apart(rows, roots))
+        kept, meetings = rooted.agg(F.count("*"), F.sum("earlier")).first()
+        # A turn that ties little of what meets is the last: the rest are no near-copies, or few.
+        if not kept or meetings <= CROWDED * kept or (before and meetings > 0.8 * before):
+            break
+        turn, before = turn + 1, meetings
+        rows = rooted.select("s", "n", "at", "h")
+        found = alike(_neighbours(rooted.drop("at", "earlier").join(sketches, "s"), threshold, turn))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+    rooted = rooted.drop("earlier").join(sketches, "s")
     other = rooted.select("h", *[F.col(c).alias(f"{c}2") for c in rooted.columns if c != "h"])
-    differ = sum((F.bit_count(F.col(f"k{i}_").bitwiseXOR(F.col(f"k{i}_2"))) for i in range(SKETCH)), F.lit(0))
-    most = (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n2")) + _EPS
-    met = rooted.join(other, "h").where("s > s2 and root <> root2").where(differ <= most)
-    return tied.unionByName(alike(bounded(met)))
+    met = rooted.join(other, "h").where("s > s2 and root <> root2").where(_near_enough(F.col, lambda c: F.col(f"{c}2"), threshold))
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(alike(bounded(met)))
 
 
 def near_copies(

@@ -111,3 +111,22 @@ def test_a_crowd_that_is_not_linked_is_told_by_sketches(spark, monkeypatch):
     got = nc.near_copies(table(spark, crowd)).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(crowd)
     assert max(compared) < 60 * 59 / 8
+
+
+def test_a_crowd_of_edited_copies_is_tied_by_few_comparisons(spark, monkeypatch):
+    """Many copies link with many others, but not with the text they come from: it takes no square of them to tie them."""
+    n, compared, settle = 320, [], nc.settle
+    rng = random.Random(4)
+    crowd = [(i, edited(noise(8, 160), *rng.sample(range(2, 150), rng.choice((1, 2))))) for i in range(n)]
+
+    def counted(df):
+        kept = settle(df)
+        if kept.columns == ["u", "v"]:
+            compared.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nc, "settle", counted)
+    monkeypatch.setattr(nc, "_simhash_pairs", lambda prints, ring: spark.createDataFrame([], "u long, v long"))
+    got = nc.near_copies(table(spark, crowd)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(crowd)
+    assert sum(compared) < n * n / 4, compared
