@@ -174,8 +174,9 @@ def chunk_lines(lines: DataFrame, chunks: DataFrame, broadcast_limit: int = 100_
     else:
         near = lines.join(reach.select(*_BLOCK), _BLOCK, "left_semi").join(reach, _BLOCK)
     place = F.struct(*ORDER)
-    inside = F.get(F.filter("_chunks", lambda c: (c["start"] < place) & (place < c["end"])), F.lit(0))
-    found = near.withColumn("_chunk", inside).where("_chunk is not null")
+    # No two chunks hold a place, so no line is repeated; generated code compares faster than a function over the array.
+    tried = near.select(*lines.columns, F.explode("_chunks").alias("_chunk"))
+    found = tried.where((F.col("_chunk.start") < place) & (place < F.col("_chunk.end")))
     # A report belongs to the chunk if it is off charge and at its level; one run of its pattern tells both.
     report = F.get(fields(F.col("payload"), (fmt.HEALTHD_TEXT, [2, 8])), F.lit(0))
     told = F.filter(F.array(F.when(is_healthd_text(), report)), lambda r: F.get(r, F.lit(1)) == "")

@@ -81,6 +81,18 @@ def _drop_unfinished(spark: SparkSession, store_path: str, manifest_path: str) -
             system.delete(found.getPath(), True)
 
 
+def _without(lines: DataFrame, devices: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
+    """The lines of other devices; up to ``broadcast_limit`` devices go to the lines, which stay where they are.
+
+    A join by device would bring all lines of a device to one task, with every
+    scan, even where there is no device to leave out.
+    """
+    found = devices.limit(broadcast_limit + 1).count()
+    if not found:
+        return lines
+    return lines.join(F.broadcast(devices) if found <= broadcast_limit else devices, "device_id", "left_anti")
+
+
 def chunk_devices(lines: DataFrame, path: str, reload: bool = False) -> None:
     """Cut the boots of ``lines`` into discharge chunks and write them with their start states and counts.
 
@@ -90,7 +102,7 @@ def chunk_devices(lines: DataFrame, path: str, reload: bool = False) -> None:
     tables are there.
     """
     if not reload:
-        lines = lines.join(done_devices(lines.sparkSession, path), "device_id", "left_anti")
+        lines = _without(lines, done_devices(lines.sparkSession, path))
     with settled_within(lines.sparkSession):
         chunks = settle(discharge_chunks(lines))
         members, boots = chunk_lines(lines, chunks), settle(boot_ids(lines))

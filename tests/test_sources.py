@@ -15,6 +15,7 @@ from bootloom.operators import chunks, ordering, quality, state
 from bootloom.operators.lineage import settle, settled_within, shared_dir
 from bootloom.operators.loglines import parse_loglines
 from bootloom.plans import distributions
+from bootloom.plans import stitch as stitching
 from bootloom.plans.stitch import chunk_devices, stitch
 from bootloom.sources import commits, logs, writers
 from tests import models
@@ -222,6 +223,23 @@ def test_chunk_store(spark, upload):
     assert sorted(map(tuple, again.select("device_id", "boot_id", "start_token").collect())) == before
 
 
+def test_done_devices_are_left_out_without_a_shuffle(spark, upload, monkeypatch):
+    """With no device done, and with some: joined by device, the lines of one device would meet in one task."""
+    path, _ = upload
+    lines = settle(parse_loglines(logs.read_raw_logs(spark, str(path / "raw")), segment_tokens=50))
+    plans, find = [], stitching.discharge_chunks
+
+    def seen(rest):
+        plans.append(rest._jdf.queryExecution().executedPlan().toString())
+        return find(rest)
+
+    monkeypatch.setattr(stitching, "discharge_chunks", seen)
+    for some in (lines.where(F.col("device_id") == DEVICES[0]), lines):
+        chunk_devices(some, str(path / "spread"))
+    assert len(plans) == 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans), plans
+    assert {r.device_id for r in logs.read_chunk_counts(spark, str(path / "spread")).collect()} == set(DEVICES)
+
+
 def chunk_rows(spark, path):
     tables = [*logs.read_chunks(spark, path), *logs.read_chunk_states(spark, path)]
     return [sorted((r.device_id, r.boot_id, r.start_token) for r in t.collect()) for t in tables]
