@@ -10,17 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bootloom.llm.common import KEY, release_memory, with_key
+from bootloom.llm.common import KEY, marked, release_memory, with_key
 from bootloom.llm.components import components
 from bootloom.llm.simhash import Ring, links, signed
 from bootloom.llm.simhash_bits import majority
-from bootloom.operators.lineage import settle
+from bootloom.operators.lineage import drop_settled, settle
 
 #: Words of a shingle, and the Jaccard similarity from which two texts are near-copies.
 SHINGLE, THRESHOLD = 5, 0.8
 #: One text in so many tells which shingles are common: those that this many of them have, at most the largest number.
 SAMPLE, COMMON, MOST_COMMON = 64, 8, 1 << 17
-#: Bits of a set's sketch, in longs.
+#: Bits of a set's sketch, in longs: as it goes with looked-up shingles, and the fewest of its whole sketch.
 SKETCH = 4
 #: Meetings for each looked-up shingle above which crowds are tied before all that meet are compared, and how many others
 #: at the same shingle a set is held against in a turn of that.
@@ -46,16 +46,25 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - int(np.ceil(threshold * n - _EPS)) + 1 if n else 0
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, longs: int = SKETCH) -> np.ndarray:
     """For each of some classes of hashes, whether their number is odd, as the bits of longs.
 
     A hash that only one of two sets has changes one bit, so the sketches differ in no
-    more bits than the sets do in hashes.
+    more bits than the sets do in hashes.  Of a sketch of twice the longs, the halves'
+    exclusive or is the sketch.
     """
-    odd = np.bincount(hashes.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) % 2
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(64 * longs), minlength=64 * longs) % 2
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def whole_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A sketch with a bit for each hash at least: few bits tell nothing of large sets, about half of them differ anyway."""
+    longs = SKETCH
+    while 64 * longs < len(hashes):
+        longs *= 2
+    return sketch(hashes, longs)
+
+
 def _common(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample have, in order, with their counts; they only set the order of lookups."""
 
@@ -88,10 +97,43 @@ def _simhash_pairs(prints: DataFrame, ring: Ring) -> DataFrame:
     return same.unionByName(near)
 
 
+def _of_similar_size(n: Column, n2: Column, threshold: float) -> Column:
+    return F.least(n, n2) >= threshold * F.greatest(n, n2) - _EPS
+
+
+def _may_differ(n: Column, n2: Column, threshold: float) -> Column:
+    """In how many shingles two near-copies of these sizes differ at most."""
+    return (1 - threshold) / (1 + threshold) * (n + n2) + _EPS
+
+
 def _near_enough(a: Callable[[str], Column], b: Callable[[str], Column], threshold: float) -> Column:
     """Whether two sets of sizes ``n`` may be near-copies as far as their sketches tell; ``a`` and ``b`` give their columns."""
     differ = sum((F.bit_count(a(f"k{i}_").bitwiseXOR(b(f"k{i}_"))) for i in range(SKETCH)), F.lit(0))
-    return differ <= (1 - threshold) / (1 + threshold) * (a("n") + b("n")) + _EPS
+    return differ <= _may_differ(a("n"), b("n"), threshold)
+
+
+def _short(k: str, i: int) -> Column:
+    """The i-th of ``SKETCH`` longs that whole sketches of any length fold to."""
+    return F.aggregate(F.filter(k, lambda x, at: at % SKETCH == i), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _wholly_near_enough(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` that may be near-copies as far as their sizes and whole sketches tell."""
+    own = sets.select(F.col("s").alias("u"), F.col("n").alias("nu"), F.col("k").alias("ku"))
+    other = sets.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"))
+    n, n2 = F.col("nu"), F.col("nv")
+
+    def folded(k: str, to: str) -> Column:
+        # Sets of similar sizes have sketches of one length, or one has twice the longs.
+        half = F.floor(F.size(k) / 2).cast("int")
+        halves = F.zip_with(F.slice(k, F.lit(1), half), F.slice(k, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(k) > F.size(to), halves).otherwise(F.col(k))
+
+    bits = F.zip_with(folded("ku", "kv"), folded("kv", "ku"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    both = pairs.join(own, "u").join(other, "v")
+    similar = F.when(_of_similar_size(n, n2, threshold), differ <= _may_differ(n, n2, threshold))
+    return both.where(similar).select("u", "v")
 
 
 def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -110,7 +152,7 @@ def _neighbours(rooted: DataFrame, threshold: float, turn: int) -> DataFrame:
     others = F.array(*[F.lag(own, i).over(nearby) for i in range(1, NEIGHBOURS + 1)])
 
     def may_be(o: Column) -> Column:
-        fits = F.least(F.col("n"), o["n"]) >= threshold * F.greatest(F.col("n"), o["n"]) - _EPS
+        fits = _of_similar_size(F.col("n"), o["n"], threshold)
         return o.isNotNull() & (o["root"] != F.col("root")) & fits & _near_enough(F.col, lambda c: o[c], threshold)
 
     met = rooted.select("*", others.alias("others")).select("s", F.explode(F.filter("others", may_be)).alias("o"))
@@ -123,8 +165,8 @@ def _links(
     """Pairs (``u``, ``v``) of sets that are near-copies.
 
     ``rows`` are looked-up shingles ``h`` with their set ``s``, its size ``n`` and
-    the shingle's place ``at`` in the common order; ``sets`` have the fingerprint ``fp``
-    and the sketch ``k`` of each set, and ``texts`` gives a text for each
+    the shingle's place ``at`` in the common order; ``sets`` have the size ``n``, the
+    fingerprint ``fp`` and the whole sketch ``k`` of each set, and ``texts`` gives a text for each
     set that is asked for.  First the pairs of SimHash are compared, and every set with
     the least one at each of its shingles, which ties crowds of near-copies together.
     As long as many still meet that are not tied, each set is held against a few others
@@ -135,7 +177,8 @@ def _links(
 
     A pair that meets must leave room for the overlap from its first place on, and of
     the one whose looked-up shingles end first, those that did not meet are not
-    in the other.  What keeps both bounds is compared in full.
+    in the other.  What keeps both bounds, and that of the whole sketches, is compared in full:
+    texts are fetched for these pairs only.
     """
 
     @F.arrow_udf("array<bigint>")
@@ -146,7 +189,7 @@ def _links(
 
     def bounded(met: DataFrame) -> DataFrame:
         overlap = threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - _EPS
-        fits = F.least("n", "n2") >= threshold * F.greatest("n", "n2") - _EPS
+        fits = _of_similar_size(F.col("n"), F.col("n2"), threshold)
         room = F.max(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))).alias("room")
         pairs = met.where(fits).groupBy(F.greatest("s", "s2").alias("u"), F.least("s", "s2").alias("v"))
         larger, smaller = F.max(F.greatest("n", "n2")).alias("n"), F.max(F.least("n", "n2")).alias("n2")
@@ -155,15 +198,18 @@ def _links(
         return pairs.where((F.col("room") >= overlap) & (F.col("c") + behind >= overlap)).select("u", "v")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs)
+        pairs = settle(_wholly_near_enough(pairs, sets, threshold))
         asked = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
-        sets = texts(asked).select("s", all_of(F.col("_text")).alias("all")).dropDuplicates(["s"])
-        sets = settle(sets)
-        both = pairs.join(sets.select(F.col("s").alias("u"), F.col("all").alias("a")), "u")
-        both = both.join(sets.select(F.col("s").alias("v"), F.col("all").alias("b")), "v")
+        wanted = settle(sets.join(asked, "s", "left_semi").select("s", *KEY))
+        full = settle(texts(wanted).select("s", all_of(F.col("_text")).alias("all")).dropDuplicates(["s"]))
+        both = pairs.join(full.select(F.col("s").alias("u"), F.col("all").alias("a")), "u")
+        both = both.join(full.select(F.col("s").alias("v"), F.col("all").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         enough = shared >= threshold * (F.size("a") + F.size("b") - shared) - _EPS
-        return settle(both.where(enough).select("u", "v"))
+        found = settle(both.where(enough).select("u", "v"))
+        for used in (pairs, wanted, full):
+            drop_settled(used)
+        return found
 
     place = Window.partitionBy("h")
     least = F.min(F.struct("s", "n", "at")).over(place)
@@ -173,11 +219,12 @@ def _links(
     # Sets that nobody meets are no near-copies, whatever their fingerprints.
     by_simhash = _simhash_pairs(sets.select("s", "fp").join(rows.select("s").distinct(), "s", "left_semi"), ring)
     roots = components(alike(bounded(starred.where("s <> s2")).unionByName(by_simhash).distinct()))
-    bits = [F.col("k")[i].alias(f"k{i}_") for i in range(SKETCH)]
-    sketches = sets.select("s", *bits)
-    turn, before = 0, None
+    sketches = sets.select("s", *[_short("k", i).alias(f"k{i}_") for i in range(SKETCH)])
+    turn, before, rooted = 0, None, None
     while True:
-        rooted = settle(_apart(rows, roots))
+        last, rooted = rooted, settle(_apart(rows, roots))
+        if last is not None:
+            drop_settled(last)
         kept, meetings = rooted.agg(F.count("*"), F.sum("earlier")).first()
         # A turn that ties little of what meets is the last: the rest are no near-copies, or few.
         if not kept or meetings <= CROWDED * kept or (before and meetings > 0.8 * before):
@@ -232,7 +279,7 @@ def near_copies(
                 ids.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 sizes.append(len(own))
                 prints.append(signed(majority(own.astype(">u8"))))
-                sketches.append(sketch(own))
+                sketches.append(whole_sketch(own))
                 if len(names):
                     at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                     own = own[np.argsort(np.where(names[at] == own, counts[at], 0), kind="stable")]
@@ -246,20 +293,23 @@ def near_copies(
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
     distinct = seen.groupBy("s").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "k", "prefix")])
     distinct = settle(distinct)
-    rows = distinct.select("s", "n", F.posexplode("prefix").alias("at", "h"))
-    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times > 1").drop("times")
-    rows = settle(rows)
-
-    def texts(asked: DataFrame) -> DataFrame:
-        wanted = distinct.join(asked, "s", "left_semi").select("s", *[f"first.{k}" for k in KEY])
-        return keyed.join(wanted, KEY).select("s", "_text")
-
-    roots = components(_links(rows, distinct.select("s", "fp", "k"), texts, size, threshold, ring))
-    rooted = distinct.select("s", "first").join(roots.withColumnRenamed("node", "s"), "s", "left")
+    looked = distinct.select("s", "n", F.posexplode("prefix").alias("at", "h"))
+    rows = settle(looked.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times > 1").drop("times"))
+    # Most of what was written are prefixes; none are needed from here on.
+    named, sets = settle(seen.select("doc_id", *KEY, "s")), settle(distinct.drop("prefix"))
+    drop_settled(seen)
+    drop_settled(distinct)
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return marked(keyed, wanted).where("_marked").join(wanted, KEY).select("s", "_text")
+
+    links_of = sets.select("s", "n", "fp", "k", *[f"first.{k}" for k in KEY])
+    roots = components(_links(rows, links_of, texts, size, threshold, ring))
+    rooted = sets.select("s", "first").join(roots.withColumnRenamed("node", "s"), "s", "left")
     rooted = rooted.select("s", "first", F.coalesce("root", "s").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("least"))
     found = settle(rooted.join(firsts, "root").select("s", "least"))
-    return seen.select("doc_id", *KEY, "s").join(found, "s").select(
+    return named.join(found, "s").select(
         F.col("doc_id").alias(doc_id),
         *KEY,
         F.col("least.doc_id").alias("component_id"),
@@ -273,4 +323,8 @@ def without_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "d
     Rows equal in id and text are one document, so they stay or go together.
     """
     found = near_copies(docs, text=text, doc_id=doc_id, **settings)
-    return with_key(docs, text, doc_id).join(found.where("stays").select(*KEY).distinct(), KEY, "left_semi").drop(*KEY)
+    # Fewer go than stay, and most texts that stay need no shuffle.
+    going = settle(found.where("not stays").select(*KEY).distinct())
+    told = marked(with_key(docs, text, doc_id), going)
+    staying = told.where("_marked").join(going, KEY, "left_anti")
+    return told.where("not _marked").unionByName(staying).drop("_marked", *KEY)

@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from bootloom.llm import near_copies as nc
 from bootloom.llm import simhash
+from bootloom.llm.common import KEY, marked, with_key
 from tests.llm.plain import ODD, prose, spaced_words, table, unions
 
 ABC = "kala miru tofe sund ralo bine vost yuki del an zo".split()
@@ -130,3 +131,51 @@ def test_a_crowd_of_edited_copies_is_tied_by_few_comparisons(spark, monkeypatch)
     got = nc.near_copies(table(spark, crowd)).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(crowd)
     assert sum(compared) < n * n / 4, compared
+
+
+def test_long_texts_that_only_share_passages_are_not_fetched(spark, monkeypatch):
+    """Short sketches tell nothing of sets of many hundred shingles; whole ones do, so these texts are not read again."""
+    passage, fetched, settle = noise(10, 60), [], nc.settle
+    long = [(i, f"{noise(100 + i, 900)} {passage}") for i in range(40)] + [(40, edited(noise(100, 900), 300) + " " + passage)]
+
+    def counted(df):
+        kept = settle(df)
+        if kept.columns == ["s", "all"]:
+            fetched.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nc, "settle", counted)
+    got = nc.near_copies(table(spark, long)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute(long)
+    assert sum(fetched) == 2, fetched
+
+
+def test_whole_sketches_keep_every_near_copy(spark):
+    """Also where one of two sets has a sketch of twice the length, and with the least similarity there may be."""
+    rng, sets, near, far = np.random.default_rng(2), [], [], []
+    for n in (1, 5, 255, 256, 257, 300, 512, 513, 600, 1024, 1025, 1200, 2049):
+        base = rng.integers(-(1 << 62), 1 << 62, 2 * n)
+        lost = n // 5
+        for own in (base[:n], base[lost:n], np.concatenate([base[lost // 2 : n], base[n : n + lost // 2]]), base[n:]):
+            sets.append((len(sets), len(own), nc.whole_sketch(own).tolist()))
+        u = len(sets) - 4
+        near += [(u, u), (u + 1, u), (u, u + 1)] + [(u + 2, u)] * (lost == 0)
+        far += [(u + 3, u)] * (n >= 255)
+    frame = spark.createDataFrame(sets, "s long, n int, k array<long>")
+    pairs = spark.createDataFrame(near + far, "u long, v long")
+    got = {(r.u, r.v) for r in nc._wholly_near_enough(pairs, frame, 0.8).collect()}
+    assert set(near) <= got and not set(far) & got
+    folded = frame.select("s", *[nc._short("k", i) for i in range(nc.SKETCH)]).collect()
+    assert all(list(r[1:]) == np.bitwise_xor.reduce(np.reshape(sets[r.s][2], (-1, nc.SKETCH))).tolist() for r in folded)
+
+
+def test_most_texts_are_not_shuffled(spark):
+    """Documents whose key is asked for are marked, null and repeated ones too, and few others."""
+    docs = with_key(table(spark, ODD + ODD + [(5000 + i, f"text {i}") for i in range(2000)]))
+    for wanted in (docs.where("doc_id is null or doc_id % 50 = 0"), docs.limit(0)):
+        keys = wanted.select(*KEY).distinct()
+        expected = docs.join(keys, KEY, "left_semi").count()
+        told = marked(docs, keys)
+        assert told.where("_marked").join(keys, KEY, "left_semi").count() == expected
+        assert told.count() == docs.count() and told.where("_marked").count() <= expected + 20
+        assert marked(docs, keys, 1).where("_marked").join(keys, KEY, "left_semi").count() == expected
