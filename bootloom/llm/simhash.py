@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bootloom.llm.common import KEY, with_key
+from bootloom.llm.common import KEY, unsized, with_key
 from bootloom.llm.components import components
 from bootloom.llm.simhash_bits import BITS, SHINGLE, simhash
 from bootloom.operators.lineage import settle
@@ -109,10 +109,10 @@ def links(prints: DataFrame, ring: Ring = Ring(), crowd: int = CROWD) -> DataFra
         of_chain = F.array(*[F.lit(ring.mask(i, length)) for i in range(ring.segments)])[F.col("at")]
         kept = kept & (F.bit_count(difference.bitwiseAND(of_chain)) <= ring.budget(length))
     if crowded.isEmpty():
-        met = asked.join(filed.withColumnRenamed("fp", "v"), ["at", "chain"]).where("v < u")
+        met = unsized(asked).join(filed.withColumnRenamed("fp", "v"), ["at", "chain"]).where("v < u")
         return met.where(kept).select("u", "v").distinct()
     sparse = filed.join(crowded, ["at", "chain"], "left_anti")
-    met = asked.join(sparse.withColumnRenamed("fp", "v"), ["at", "chain"]).where("v < u")
+    met = unsized(asked).join(sparse.withColumnRenamed("fp", "v"), ["at", "chain"]).where("v < u")
     near_crowd = asked.join(crowded, ["at", "chain"], "left_semi").select(F.col("u").alias("fp")).distinct()
     return met.where(kept).select("u", "v").unionByName(_midpoint_links(near_crowd, ring.most)).distinct()
 
@@ -122,7 +122,7 @@ def _midpoint_links(prints: DataFrame, most: int) -> DataFrame:
     points = prints.select("fp", F.explode(F.array(*[F.lit(x) for x in near])).alias("x"))
     points = points.select("fp", F.expr("fp ^ x").alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return unsized(points).join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(

@@ -74,3 +74,17 @@ def unions(nodes, linked) -> dict:
         a, b = top(a), top(b)
         parent[max(a, b)] = min(a, b)
     return {n: top(n) for n in nodes}
+
+
+def broadcast_part(plan):
+    """The lines of a physical plan that stand below its broadcasts."""
+    found, limit = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*("))
+        if limit is not None and depth <= limit:
+            limit = None
+        if limit is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            limit = depth
+    return "\n".join(found)

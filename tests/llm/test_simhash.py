@@ -5,7 +5,7 @@ import xxhash
 
 from bootloom.llm import simhash as sh
 from bootloom.llm.components import components
-from tests.llm.plain import ODD, prose, spaced_words, table, unions
+from tests.llm.plain import ODD, broadcast_part, prose, spaced_words, table, unions
 
 
 def brute_print(text):
@@ -78,3 +78,12 @@ def test_ring_budgets():
         bits = rng.sample(range(64), rng.randint(0, 4))
         segments = [sum(low <= b < low + w for b in bits) for low, w in ring.bounds]
         assert any(all(sum(segments[(s + k) % 5] for k in range(n)) <= ring.budget(n) for n in range(1, 6)) for s in range(5))
+
+
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_looked_up_chains_are_not_broadcast(spark, crowd, tmp_path):
+    """A small table of fingerprints has 70 lookups for each, or 2,081 points, and Spark sizes both like the table."""
+    rng = random.Random(7)
+    spark.createDataFrame([(sh.signed(rng.getrandbits(64)),) for _ in range(3000)], "fp long").write.parquet(f"{tmp_path}/fp")
+    plan = sh.links(spark.read.parquet(f"{tmp_path}/fp"), crowd=crowd)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Generate" not in broadcast_part(plan)
