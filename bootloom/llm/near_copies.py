@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bootloom.llm.common import KEY, marked, release_memory, with_key
+from bootloom.llm.common import KEY, marked, release_memory, unsized, with_key
 from bootloom.llm.components import components
 from bootloom.llm.simhash import Ring, links, signed
 from bootloom.llm.simhash_bits import majority
@@ -200,7 +200,7 @@ def _links(
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = settle(_wholly_near_enough(pairs, sets, threshold))
         asked = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
-        wanted = settle(sets.join(asked, "s", "left_semi").select("s", *KEY))
+        wanted = settle(sets.join(unsized(asked), "s", "left_semi").select("s", *KEY))
         full = settle(texts(wanted).select("s", all_of(F.col("_text")).alias("all")).dropDuplicates(["s"]))
         both = pairs.join(full.select(F.col("s").alias("u"), F.col("all").alias("a")), "u")
         both = both.join(full.select(F.col("s").alias("v"), F.col("all").alias("b")), "v")

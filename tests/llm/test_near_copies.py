@@ -3,10 +3,12 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from bootloom.llm import components as components_module
 from bootloom.llm import near_copies as nc
 from bootloom.llm import simhash
 from bootloom.llm.common import KEY, marked, with_key
-from tests.llm.plain import ODD, prose, spaced_words, table, unions
+from bootloom.operators.lineage import settle
+from tests.llm.plain import ODD, broadcast_part, prose, spaced_words, table, unions
 
 ABC = "kala miru tofe sund ralo bine vost yuki del an zo".split()
 
@@ -179,3 +181,19 @@ def test_most_texts_are_not_shuffled(spark):
         assert told.where("_marked").join(keys, KEY, "left_semi").count() == expected
         assert told.count() == docs.count() and told.where("_marked").count() <= expected + 20
         assert marked(docs, keys, 1).where("_marked").join(keys, KEY, "left_semi").count() == expected
+
+
+def test_no_lookups_of_the_stage_are_broadcast(spark, tmp_path, monkeypatch):
+    """What an explode makes is larger than Spark takes it for, also its distinct rows: plans of all that is written."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    for module in (nc, simhash, components_module):
+        monkeypatch.setattr(module, "settle", seen)
+    table(spark, ODD + NEAR).write.parquet(f"{tmp_path}/docs")
+    nc.near_copies(spark.read.parquet(f"{tmp_path}/docs"), ring=simhash.Ring(most=4, segments=5)).collect()
+    assert sum("Generate" in p for p in plans) > 2
+    assert not [p for p in plans if "Generate" in broadcast_part(p)]
