@@ -1,5 +1,7 @@
 import math
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote
 from zlib import crc32
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bootloom.llm import language_model as lm
+from bootloom.operators.lineage import settle
 from tests.llm.plain import ODD, prose, spaced_words, table
 
 
@@ -123,3 +126,67 @@ def test_scores_against_a_plain_loop(spark, docs):
             weight = 0.25 if history else 0.0
             score += math.log10(weight * seen + (1 - weight) * (rounded(words[word]) + 1) / total)
         assert row.score == pytest.approx(score, rel=1e-9), row.doc_id
+
+
+@pytest.mark.parametrize("n_blocks", [1, 7, 8, 761, 9_000, 3_000_000])
+def test_names_of_a_group_come_back(n_blocks):
+    rng = np.random.default_rng(n_blocks)
+    names = np.unique(np.concatenate([rng.integers(0, 1 << 64, 5000, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)]))
+    groups = lm.Groups.of(n_blocks)
+    assert -(-n_blocks // groups.each) <= lm.GROUPS
+    order, found, starts = groups.parts(names)
+    assert sorted(order) == list(range(len(names))) and len(found) + 1 == len(starts)
+    for group, a, b in zip(found, starts, starts[1:]):
+        own = names[order[a:b]]
+        assert set(lm.blocks_of(own, n_blocks) // groups.each) == {group}
+        short = groups.short(own)
+        assert (np.diff(short.astype(object)) > 0).all()
+        steps = np.diff(short, prepend=np.uint64(0))
+        back = lm._unpacked(lm._packed(lm._planes(steps, lm._width(steps))))
+        assert (groups.long(np.cumsum(back, dtype=np.uint64), int(group)) == own).all()
+
+
+def test_both_ways_over_many_blocks_and_chunks(spark):
+    """Words that occur over 255 times, too, and rows that come twice; the same sums in the same order."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)} v{rng.integers(1 << 14)}" for x in rng.pareto(0.6, 2000).clip(0, 1e12)) for _ in range(60)]
+    df = table(spark, [(i % 50, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 2).repartition(4).cache()
+    model = lm.train(df)
+    assert model.n_blocks > 1
+    rows = [
+        sorted(map(tuple, lm.scored(df, model, broadcast_bytes=limit).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()))
+        for limit in (lm.BROADCAST_BYTES, 0)
+    ]
+    assert rows[0] == rows[1] and len(rows[0]) == 62
+
+
+def test_disk_is_in_proportion_to_the_tokens(spark, monkeypatch):
+    """Without a broadcast some 10 bytes a token are written and shuffled at a time, not several rows; and what was shuffled goes."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.pareto(0.6, 3000).clip(0, 1e6)) for _ in range(100)]
+    df = table(spark, list(enumerate(texts))).repartition(4).cache()
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk():
+        files = manager.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    written = []
+
+    def seen(df):
+        out = settle(df)
+        files = [Path(unquote(f.removeprefix("file://"))) for f in out.inputFiles()]
+        written.append(sum(f.stat().st_size for f in files))
+        return out
+
+    df.count()
+    spark._jvm.System.gc()
+    before = on_disk()
+    monkeypatch.setattr(lm, "settle", seen)
+    model = lm.train(df)
+    assert on_disk() - before < 100_000
+    written.clear()
+    lm.scored(df, model, broadcast_bytes=0)
+    assert on_disk() - before < 100_000
+    # Chunks and answers; distinct words are many here.
+    assert sum(written) < 10 * model.n_tokens
